@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The reference recomputes every statement in batch on each page load; it has no watermark, window,
+state or late-data handling. Nothing streaming-specific is built (see README, "Not built").
+"""
