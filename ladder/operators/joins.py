@@ -33,16 +33,31 @@ def label_of(code: str | Column, mapping: Mapping, fallback: bool = False) -> Co
     return F.coalesce(label, c.cast("string")) if fallback else label
 
 
+def literal_frame(spark: SparkSession, rows: list[tuple], names: list[str],
+                  types: list[T.DataType] | None = None) -> DataFrame:
+    """A few literal rows as a DataFrame built inside the JVM plan (no Python worker, no RDD)."""
+    if len(rows) > MAX_DICTIONARY_ENTRIES:
+        raise ValueError("too many literal rows; store them as a table instead")
+    types = types or [None] * len(names)
+
+    def cell(v, t):
+        c = F.lit(v)
+        return c.cast(t) if t is not None else c
+
+    structs = [F.struct(*[cell(v, t).alias(n) for v, n, t in zip(r, names, types)]) for r in rows]
+    if not structs:
+        schema = ", ".join(f"{n} {(t or T.StringType()).simpleString()}" for n, t in zip(names, types))
+        return spark.createDataFrame([], schema)
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def dimension(spark: SparkSession, mapping: Mapping, key: str = "code", label: str = "label",
               key_type: T.DataType | None = None) -> DataFrame:
     """A dictionary as a two-column DataFrame (a tiny dimension table)."""
-    if len(mapping) > MAX_DICTIONARY_ENTRIES:
-        raise ValueError("dictionary too large to broadcast")
     if key_type is None:
         sample = next(iter(mapping), "")
         key_type = T.IntegerType() if isinstance(sample, int) else T.StringType()
-    schema = T.StructType([T.StructField(key, key_type), T.StructField(label, T.StringType())])
-    return spark.createDataFrame(list(mapping.items()), schema)
+    return literal_frame(spark, list(mapping.items()), [key, label], [key_type, T.StringType()])
 
 
 def attach_label(df: DataFrame, code: str | Column, dim: DataFrame, label_as: str,

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ladder.operators.joins import label_of
+from ladder.operators.joins import label_of, literal_frame
 
 _AGG = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min}
 
@@ -36,10 +36,8 @@ def dense_pivot(df: DataFrame, row: str, col: str, value: str, rows: Sequence |
     wide = (grouped.pivot(col, list(cols)) if cols is not None else grouped.pivot(col)).agg(_AGG[agg](value))
     value_cols = [c for c in wide.columns if c != row]
     if rows is not None:
-        spark = df.sparkSession
-        dom = spark.createDataFrame(
-            [(v, i) for i, v in enumerate(rows, start=1)],
-            T.StructType([T.StructField(row, _type_of(rows)), T.StructField("_row_pos", T.IntegerType())]))
+        dom = literal_frame(df.sparkSession, [(v, i) for i, v in enumerate(rows, start=1)],
+                            [row, "_row_pos"], [_type_of(rows), T.IntegerType()])
         # The domain is a literal list (a handful of rows): broadcast it, keep its rows.
         wide = F.broadcast(dom).join(wide, on=row, how="left")
     else:

@@ -45,34 +45,39 @@ Query = Callable[[SparkSession, str], DataFrame]
 CITY = 1
 
 
+def _order(ordered: bool, df: DataFrame, *cols) -> DataFrame:
+    """The statement's ORDER BY, applied only to a final result (not to an input of another plan)."""
+    return group_order(df, *cols) if ordered else df
+
+
 def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_period(views.panel(spark, sf_dir), "year")
 
 
 # --- Q1, Q2: means by income decile ---------------------------------------------------------------
 
-def income_by_decile(spark: SparkSession, sf_dir: str) -> DataFrame:
+def income_by_decile(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
     base = _latest(spark, sf_dir).where(F.col("h_incomeq").between(1, 10))
     out = mean_by(base, int_code("h_incomeq").alias("decile"), "h_total_income", "avg_household_income",
                   positive=True)
-    return group_order(out, "decile")
+    return _order(ordered, out, "decile")
 
 
-def asset_by_decile(spark: SparkSession, sf_dir: str) -> DataFrame:
+def asset_by_decile(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
     base = _latest(spark, sf_dir).where(F.col("h_incomeq").between(1, 10))
     out = mean_by(base, int_code("h_incomeq").alias("decile"), "h_total_asset", "avg_total_asset")
-    return group_order(out, "decile")
+    return _order(ordered, out, "decile")
 
 
 # --- Q3: weighted spend per band interpolated between two institution tiers -------------------------
 
-def expected_rate_by_income_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+def expected_rate_by_income_band(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
     spend = views.edu_spend(spark, sf_dir).where(F.col("city") == CITY)
     bands = weighted_mean_by(spend, F.col("income_band").alias("band"), "total_cost", "weight", "mean_cost")
     tiers = tier_means(views.institution(spark, sf_dir).where(F.col("city") == CITY))
     out = interpolate_two_tiers(bands, tiers, "band", "mean_cost", spend_as="avg_private_edu_cost",
                                 expected_as="expected_employment_rate")
-    return group_order(out, "band")
+    return _order(ordered, out, "band")
 
 
 # --- Q4, Q5: parent income quintile vs child education ----------------------------------------------
@@ -82,14 +87,14 @@ def _quintile_base(spark: SparkSession, sf_dir: str, other: str) -> DataFrame:
     return pc.where(F.col("parent_quintile").isNotNull() & F.col(other).isNotNull())
 
 
-def child_education_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+def child_education_share(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
     base = _quintile_base(spark, sf_dir, "child_edu").select(
         int_code("parent_quintile").alias("quintile"), "child_edu").where(F.col("quintile").between(1, 5))
     out = share_within(base, "quintile", "child_edu", count_as="n_persons")
-    return group_order(out, "quintile", "child_edu")
+    return _order(ordered, out, "quintile", "child_edu")
 
 
-def graduate_rate_by_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
+def graduate_rate_by_cohort(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
     digit = first_digit("student_id")
     cohort = F.when(digit == "1", F.lit(COHORT_FIRST)).when(digit == "2", F.lit(COHORT_SECOND)) \
         .otherwise(F.lit(COHORT_OTHER))
@@ -97,129 +102,134 @@ def graduate_rate_by_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
         cohort.alias("cohort"), int_code("parent_quintile").alias("quintile"), "is_grad",
     ).where(F.col("quintile").between(1, 5))
     out = cohort_rate(base, "quintile", "cohort", "is_grad", {COHORT_FIRST: "keep1", COHORT_SECOND: "keep2"})
-    return group_order(out, "quintile")
+    return _order(ordered, out, "quintile")
 
 
 # --- Q6-Q9: education group statistics in the latest year -------------------------------------------
 
-def wage_by_education(spark: SparkSession, sf_dir: str) -> DataFrame:
+def wage_by_education(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
     base = _latest(spark, sf_dir).where(F.col("education_group").isNotNull())
     out = mean_by(base, "education_group", "p_monthly_wage", "avg_monthly_wage", count_as="n_samples",
                   positive=True)
     out = out.withColumn("education_label", label_of("education_group", EDU_LABELS))
-    return group_order(out, rank_of("education_group", EDU_ORDER))
+    return _order(ordered, out, rank_of("education_group", EDU_ORDER))
 
 
-def _education_share(spark: SparkSession, sf_dir: str, code: str, code_as: str) -> DataFrame:
+def _education_share(spark: SparkSession, sf_dir: str, code: str, code_as: str, ordered: bool) -> DataFrame:
     base = _latest(spark, sf_dir).where(F.col("education_group").isNotNull() & F.col(code).isNotNull())
     out = share_within(base, "education_group", int_code(code).alias(code_as), count_as="n_persons")
     out = out.withColumn("education_label", label_of("education_group", EDU_LABELS))
-    return group_order(out, rank_of("education_group", EDU_ORDER), code_as)
+    return _order(ordered, out, rank_of("education_group", EDU_ORDER), code_as)
 
 
-def education_employment_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _education_share(spark, sf_dir, "p_employment_type", "employment_type")
+def education_employment_share(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
+    return _education_share(spark, sf_dir, "p_employment_type", "employment_type", ordered)
 
 
-def education_firm_size_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _education_share(spark, sf_dir, "p_firm_size", "firm_size")
+def education_firm_size_share(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
+    return _education_share(spark, sf_dir, "p_firm_size", "firm_size", ordered)
 
 
-def education_job_status_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _education_share(spark, sf_dir, "p_job_status", "job_status")
+def education_job_status_share(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
+    return _education_share(spark, sf_dir, "p_job_status", "job_status", ordered)
 
 
 # --- Q10-Q12: wage / net asset by job attribute ------------------------------------------------------
 
-def _mean_by_code(spark, sf_dir, code, code_as, measure, mean_as, labels, positive) -> DataFrame:
+def _mean_by_code(spark, sf_dir, code, code_as, measure, mean_as, labels, positive, ordered) -> DataFrame:
     base = _latest(spark, sf_dir).where(F.col(code).isNotNull())
     out = mean_by(base, int_code(code).alias(code_as), measure, mean_as, count_as="n_samples", positive=positive)
     out = out.withColumn(f"{code_as}_label", label_of(code_as, labels))
-    return group_order(out, code_as)
+    return _order(ordered, out, code_as)
 
 
-def wage_by_firm_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+def wage_by_firm_size(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
     return _mean_by_code(spark, sf_dir, "p_firm_size", "firm_size", "p_monthly_wage", "avg_monthly_wage",
-                         FIRM_SIZE_LABELS, True)
+                         FIRM_SIZE_LABELS, True, ordered)
 
 
-def wage_by_job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+def wage_by_job_status(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
     return _mean_by_code(spark, sf_dir, "p_job_status", "job_status", "p_monthly_wage", "avg_monthly_wage",
-                         JOB_STATUS_LABELS, True)
+                         JOB_STATUS_LABELS, True, ordered)
 
 
-def net_asset_by_job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+def net_asset_by_job_status(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
     return _mean_by_code(spark, sf_dir, "p_job_status", "job_status", "h_net_asset", "avg_net_asset",
-                         JOB_STATUS_LABELS, False)
+                         JOB_STATUS_LABELS, False, ordered)
 
 
 # --- Q13: mobility type within employment type --------------------------------------------------------
 
-def employment_mobility_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+def employment_mobility_share(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
     base = _latest(spark, sf_dir).where(
         F.col("p_employment_type").isNotNull() & F.col("income_mobility_type").isNotNull())
     out = share_within(base, int_code("p_employment_type").alias("employment_type"),
                        F.col("income_mobility_type").alias("mobility_type"), count_as="n_persons")
     out = out.withColumn("employment_label", label_of("employment_type", EMPLOYMENT_TYPE_LABELS))
-    return group_order(out, "employment_type", "mobility_type")
+    return _order(ordered, out, "employment_type", "mobility_type")
 
 
 # --- Q14, Q15: change between endpoints, top/bottom ratio trend ----------------------------------------
 
-def income_asset_change_by_decile(spark: SparkSession, sf_dir: str) -> DataFrame:
+def income_asset_change_by_decile(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
     panel = views.panel(spark, sf_dir)
     base = panel.where(F.col("h_incomeq").between(1, 10) & F.col("h_total_income").isNotNull()
                        & F.col("h_total_asset").isNotNull())
     out = change_between_endpoints(
         base, "year", int_code("h_incomeq").alias("decile"),
         {"h_total_income": "income_change_pct", "h_total_asset": "asset_change_pct"}, source=panel)
-    return group_order(out, "decile")
+    return _order(ordered, out, "decile")
 
 
-def asset_gap_ratio_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+def asset_gap_ratio_trend(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
     out = group_ratio_trend(views.panel(spark, sf_dir), "year", "h_incomeq", "h_total_asset", top=10, bottom=1,
                             digits=2, ratio_as="asset_gap_ratio")
-    return group_order(out, "year")
+    return _order(ordered, out, "year")
 
 
 # --- Q16: debt by generation and year ------------------------------------------------------------------
 
-def debt_by_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+def debt_by_generation(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
     base = views.panel(spark, sf_dir).where(F.col("generation").isNotNull())
     out = mean_by(base, ["year", "generation"], "h_total_debt", "avg_debt")
-    return group_order(out, "year", "generation")
+    return _order(ordered, out, "year", "generation")
 
 
 # --- Q17-Q21: mobility ------------------------------------------------------------------------------------
 
-def escape_and_retention_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return group_order(escape_and_retention(views.panel(spark, sf_dir)), "year")
+def escape_and_retention_trend(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
+    return _order(ordered, escape_and_retention(views.panel(spark, sf_dir)), "year")
 
 
-def mobility_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mobility_share(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
     base = _latest(spark, sf_dir).where(F.col("income_mobility_type").isNotNull())
     out = share_of_total(base, F.col("income_mobility_type").alias("mobility_type"), count_as="n_persons")
     out = out.withColumn("mobility_label", label_of("mobility_type", MOBILITY_LABELS))
-    return group_order(out, rank_of("mobility_type", MOBILITY_ORDER))
+    return _order(ordered, out, rank_of("mobility_type", MOBILITY_ORDER))
 
 
-def income_transition_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return group_order(transition_matrix(views.panel(spark, sf_dir)), "prev_decile", "cur_decile")
+def income_transition_matrix(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
+    return _order(ordered, transition_matrix(views.panel(spark, sf_dir)), "prev_decile", "cur_decile")
 
 
-def upper_retention_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
+def upper_retention_kpi(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
     return upper_retention(views.panel(spark, sf_dir))
 
 
-def latest_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+def latest_year(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
     return views.panel(spark, sf_dir).agg(F.max("year").alias("latest_year"))
 
 
 # --- Dense matrices (R1-R3) in long form: row_pos, row_label, col_pos, col_label, value --------------
 
-def child_education_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense_long(child_education_share(spark, sf_dir), "quintile", "child_edu", "share",
-                      rows=[1, 2, 3, 4, 5], cols=[1, 2, 3, 4, 5, 6], col_labels=PARENT_EDU_LABELS)
+def _matrix(ordered: bool, matrix: DataFrame) -> DataFrame:
+    return _order(ordered, matrix, "row_pos", "col_pos")
+
+
+def child_education_matrix(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
+    flat = child_education_share(spark, sf_dir, ordered=False)
+    return _matrix(ordered, dense_long(flat, "quintile", "child_edu", "share", rows=[1, 2, 3, 4, 5],
+                                       cols=[1, 2, 3, 4, 5, 6], col_labels=PARENT_EDU_LABELS))
 
 
 def _education_matrix(flat: DataFrame, code_as: str, labels, cols=None) -> DataFrame:
@@ -227,58 +237,62 @@ def _education_matrix(flat: DataFrame, code_as: str, labels, cols=None) -> DataF
                       cols=cols, col_labels=labels)
 
 
-def education_employment_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _education_matrix(education_employment_share(spark, sf_dir), "employment_type", EMPLOYMENT_TYPE_LABELS)
+def education_employment_matrix(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
+    flat = education_employment_share(spark, sf_dir, ordered=False)
+    return _matrix(ordered, _education_matrix(flat, "employment_type", EMPLOYMENT_TYPE_LABELS))
 
 
-def education_firm_size_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _education_matrix(education_firm_size_share(spark, sf_dir), "firm_size", FIRM_SIZE_LABELS)
+def education_firm_size_matrix(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
+    flat = education_firm_size_share(spark, sf_dir, ordered=False)
+    return _matrix(ordered, _education_matrix(flat, "firm_size", FIRM_SIZE_LABELS))
 
 
-def education_job_status_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _education_matrix(education_job_status_share(spark, sf_dir), "job_status", JOB_STATUS_LABELS,
-                             cols=[1, 2, 3, 4, 5])
+def education_job_status_matrix(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
+    flat = education_job_status_share(spark, sf_dir, ordered=False)
+    return _matrix(ordered, _education_matrix(flat, "job_status", JOB_STATUS_LABELS, cols=[1, 2, 3, 4, 5]))
 
 
-def employment_mobility_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense_long(employment_mobility_share(spark, sf_dir), "employment_type", "mobility_type", "share",
-                      rows=[1, 2, 3], cols=MOBILITY_ORDER, row_labels=EMPLOYMENT_TYPE_LABELS,
-                      col_labels=MOBILITY_LABELS)
+def employment_mobility_matrix(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
+    flat = employment_mobility_share(spark, sf_dir, ordered=False)
+    return _matrix(ordered, dense_long(flat, "employment_type", "mobility_type", "share", rows=[1, 2, 3],
+                                       cols=MOBILITY_ORDER, row_labels=EMPLOYMENT_TYPE_LABELS,
+                                       col_labels=MOBILITY_LABELS))
 
 
-def debt_by_generation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense_long(debt_by_generation(spark, sf_dir), "year", "generation", "avg_debt", rows=None,
-                      cols=GENERATION_ORDER, agg="mean", col_labels=GENERATION_LABELS)
+def debt_by_generation_matrix(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
+    flat = debt_by_generation(spark, sf_dir, ordered=False)
+    return _matrix(ordered, dense_long(flat, "year", "generation", "avg_debt", rows=None, cols=GENERATION_ORDER,
+                                       agg="mean", col_labels=GENERATION_LABELS))
 
 
-def income_transition_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+def income_transition_dense(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
     levels = list(range(1, 11))
-    return dense_long(income_transition_matrix(spark, sf_dir), "prev_decile", "cur_decile", "share",
-                      rows=levels, cols=levels)
+    flat = income_transition_matrix(spark, sf_dir, ordered=False)
+    return _matrix(ordered, dense_long(flat, "prev_decile", "cur_decile", "share", rows=levels, cols=levels))
 
 
 # --- One-row metrics (K1-K5) -----------------------------------------------------------------------------
 
-def summary_kpi_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary_kpis(income_by_decile(spark, sf_dir), "avg_household_income",
-                        asset_by_decile(spark, sf_dir), "avg_total_asset",
-                        upper_retention_kpi(spark, sf_dir), "upper_retention",
-                        latest_year(spark, sf_dir), "latest_year")
+def summary_kpi_row(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
+    return summary_kpis(income_by_decile(spark, sf_dir, ordered=False), "avg_household_income",
+                        asset_by_decile(spark, sf_dir, ordered=False), "avg_total_asset",
+                        upper_retention_kpi(spark, sf_dir, ordered=False), "upper_retention",
+                        latest_year(spark, sf_dir, ordered=False), "latest_year")
 
 
-def transition_summary_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = income_transition_matrix(spark, sf_dir)
-    return transition_summary(income_transition_dense(spark, sf_dir)).where(
+def transition_summary_row(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
+    flat = income_transition_matrix(spark, sf_dir, ordered=False)
+    return transition_summary(income_transition_dense(spark, sf_dir, ordered=False)).where(
         flat.select(F.count(F.lit(1))).scalar() > 0)
 
 
-def wage_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = wage_by_education(spark, sf_dir)
+def wage_extremes(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
+    w = wage_by_education(spark, sf_dir, ordered=False)
     return extremes(w, "education_label", "avg_monthly_wage", rank_of("education_group", EDU_ORDER))
 
 
-def cohort_gap_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = graduate_rate_by_cohort(spark, sf_dir)
+def cohort_gap_ratio(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
+    q = graduate_rate_by_cohort(spark, sf_dir, ordered=False)
     return q.agg(F.count(F.lit(1)).alias("_rows"),
                  *first_last(q, "quintile", "keep1_rate", "keep1"),
                  *first_last(q, "quintile", "keep2_rate", "keep2")).where(F.col("_rows") > 0).drop("_rows")

@@ -14,9 +14,19 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+_READS: dict[tuple[int, str], DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table as a lazy DataFrame; Catalyst prunes columns and pushes filters into the scan."""
-    return spark.read.parquet(table_path(sf_dir, name))
+    """One input table as a lazy DataFrame; Catalyst prunes columns and pushes filters into the scan.
+
+    The (immutable) DataFrame is reused per session, so the file listing and schema read happen once.
+    """
+    path = table_path(sf_dir, name)
+    key = (id(spark.sparkContext._jsc), path)
+    if key not in _READS:
+        _READS[key] = spark.read.parquet(path)
+    return _READS[key]
 
 
 def load_views(spark: SparkSession, sf_dir: str, names=("region", "nation", "customer", "supplier",
