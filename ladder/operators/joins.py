@@ -18,6 +18,20 @@ def _literal(v) -> Column:
     return F.lit(v)
 
 
+# Largest join side (in rows) broadcast after an explicit count; beyond it Spark plans a shuffle join
+# and AQE may still switch to a broadcast from runtime sizes.
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df`` unchanged.
+
+    The check is a capped count (``limit(max_rows + 1)``), so on a large side every task stops early.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
 def label_of(code: str | Column, mapping: Mapping, fallback: bool = False) -> Column:
     """Label of a code from a fixed dictionary, as a literal map lookup inside codegen.
 

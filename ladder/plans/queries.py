@@ -72,7 +72,7 @@ def asset_by_decile(spark: SparkSession, sf_dir: str, ordered: bool = True) -> D
 # --- Q3: weighted spend per band interpolated between two institution tiers -------------------------
 
 def expected_rate_by_income_band(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
-    spend = views.edu_spend(spark, sf_dir).where(F.col("city") == CITY)
+    spend = views.edu_spend(spark, sf_dir, city=CITY)
     bands = weighted_mean_by(spend, F.col("income_band").alias("band"), "total_cost", "weight", "mean_cost")
     tiers = tier_means(views.institution(spark, sf_dir).where(F.col("city") == CITY))
     out = interpolate_two_tiers(bands, tiers, "band", "mean_cost", spend_as="avg_private_edu_cost",

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -61,6 +62,27 @@ def fingerprint(spark: SparkSession, paths: list[str], salt: str = "") -> str:
     return h.hexdigest()[:16]
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, hpath = _hadoop(spark, path)
+    fs.delete(hpath, True)
+
+
+_SCRATCH: list[str] = []
+
+
+def write_scratch(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as Parquet into a fresh folder under the shared table root and scan it back.
+
+    Cuts lineage like ``checkpoint()`` but in one job (a reliable RDD checkpoint recomputes its input to
+    write it). The folder is removed by the ``materialize`` call whose build created it.
+    """
+    spark = df.sparkSession
+    path = f"{table_root(spark)}/_scratch/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    _SCRATCH.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 _MEMO: dict[tuple[int, str], DataFrame] = {}
 
 
@@ -76,6 +98,7 @@ def materialize(spark: SparkSession, build, name: str, inputs: list[str], schema
     if key in _MEMO:
         return _MEMO[key]
     if not path_exists(spark, path + "/_SUCCESS"):
+        scratch_before = len(_SCRATCH)
         df = build()
         writer = df.write.mode("overwrite")
         if partition_by:
@@ -83,6 +106,8 @@ def materialize(spark: SparkSession, build, name: str, inputs: list[str], schema
         writer.parquet(path)
         schema = schema or df.schema
         columns = columns or df.columns
+        while len(_SCRATCH) > scratch_before:
+            delete_path(spark, _SCRATCH.pop())
     reader = spark.read.schema(schema) if schema is not None else spark.read
     out = reader.parquet(path)
     if columns:

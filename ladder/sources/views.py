@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ladder.sources.store import ensure_checkpoint_dir, materialize
+from ladder.operators.joins import broadcast_if_small
+from ladder.sources.store import materialize, write_scratch
 from ladder.sources.tables import read_table, table_path
 
 PANEL_SCHEMA = T.StructType([
@@ -59,21 +60,22 @@ def exact_ntile(df: DataFrame, buckets: int, order_by: list[str], partition_by:
 
     A window partitioned by a low-cardinality key (a year) or by nothing sends a whole group through one
     task. Here the rows are range-partitioned and sorted on (partition_by, order_by), numbered inside
-    each partition, and checkpointed (so the numbers are fixed and lineage is cut). The size of every
+    each partition, and written once (so the numbers are fixed and lineage is cut). The size of every
     (partition, group) block goes into a table with at most #partitions + #groups rows; a running sum
     over it gives each block's offset inside its group, hence every row's rank and group size, and the
     SQL-standard bucket follows in closed form (the first ``n % buckets`` buckets hold one row more).
     ``order_by`` must make the order total, as for a deterministic NTILE. Intended for few groups.
+    The numbered rows are written once under the shared checkpoint folder (``write_scratch``).
     """
     partition_by = list(partition_by)
     keys = partition_by + list(order_by)
-    ensure_checkpoint_dir(df.sparkSession)
-    numbered = (
+    numbered = write_scratch(
         df.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys])
         .sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in keys])
         .withColumn("_rid", F.monotonically_increasing_id())
-        .checkpoint(eager=True)
-        .withColumn("_pid", F.shiftright("_rid", _RID_BITS))
+    )
+    numbered = (
+        numbered.withColumn("_pid", F.shiftright("_rid", _RID_BITS))
         .withColumn("_idx", F.col("_rid").bitwiseAND(F.lit((1 << _RID_BITS) - 1)))
     )
     blocks = numbered.groupBy("_pid", *partition_by).agg(
@@ -195,13 +197,20 @@ def parent_child(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def edu_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem x supplier x nation: (income_band, total_cost, weight, city). Lazy; a ``city`` filter
-    is pushed into the nation scan, and Spark's size-checked join selection broadcasts the small sides."""
+def edu_spend(spark: SparkSession, sf_dir: str, city: int | None = None) -> DataFrame:
+    """lineitem x supplier x nation: (income_band, total_cost, weight, city). Lazy.
+
+    Suppliers are resolved to their city first (nation is a tiny dimension; with ``city`` given only that
+    city's suppliers remain). That side is broadcast only after a capped row count proves it small;
+    otherwise the lineitem join is a shuffle join on the supplier key (AQE may still demote it).
+    """
     li = read_table(spark, sf_dir, "lineitem").select("l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity")
     sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nat = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    sup_city = sup.join(nat, sup["s_nationkey"] == nat["n_nationkey"])
+    if city is not None:
+        nat = nat.where(F.col("n_regionkey") == F.lit(city))
+    sup_city = broadcast_if_small(
+        sup.join(nat, sup["s_nationkey"] == nat["n_nationkey"]).select("s_suppkey", "n_regionkey"))
     return li.join(sup_city, li["l_suppkey"] == sup_city["s_suppkey"]).select(
         F.col("l_linenumber").alias("income_band"),
         F.col("l_extendedprice").alias("total_cost"),
