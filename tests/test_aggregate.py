@@ -1,0 +1,42 @@
+from pyspark.sql import functions as F
+
+from ladder.functions import int_code
+from ladder.operators import cohort_rate, mean_by, rate_by, share_of_rows, weighted_mean_by
+
+
+def test_mean_by_positive_and_count(spark):
+    df = spark.createDataFrame([(1.0, 10.0), (1.9, 20.0), (2.0, 0.0), (2.0, None), (2.0, 5.0)], "k double, x double")
+    out = mean_by(df, int_code("k").alias("k"), "x", "m", count_as="n", positive=True)
+    assert sorted(map(tuple, out.collect())) == [(1, 2, 15.0), (2, 1, 5.0)]
+
+
+def test_weighted_mean_null_cost_keeps_weight_and_zero_weight_is_null(spark):
+    rows = [
+        (1, 10.0, 1.0), (1, None, 1.0),        # NULL cost: weight stays in the denominator -> 10/2
+        (2, 5.0, 0.0),                          # zero total weight -> NULL
+        (None, 4.0, 2.0), (None, 8.0, 2.0),     # NULL band is its own group
+    ]
+    df = spark.createDataFrame(rows, "band int, cost double, w double")
+    got = {r.band: r.mean for r in weighted_mean_by(df, "band", "cost", "w").collect()}
+    assert got == {1: 5.0, 2: None, None: 6.0}
+
+
+def test_rate_by_guarded_divisor(spark):
+    df = spark.createDataFrame([(1, 2.0, 5.0), (1, 9.0, 9.0), (2, 5.0, 6.0)], "y int, p double, c double")
+    p, c = F.col("p"), F.col("c")
+    out = rate_by(df, "y", {"escape": ((p <= 3) & (c > 3), p <= 3), "stay": ((p >= 8) & (c >= 8), p >= 8)})
+    got = {r.y: (r.escape, r.stay) for r in out.collect()}
+    assert got == {1: (100.0, 100.0), 2: (None, None)}
+
+
+def test_share_of_rows_empty_is_null(spark):
+    df = spark.createDataFrame([], "x double")
+    assert share_of_rows(df, F.col("x") > 1, "s").first().s is None
+
+
+def test_cohort_rate_other_tag_feeds_neither(spark):
+    rows = [(1, "A", 1), (1, "A", 0), (1, "B", 1), (1, "C", 1), (2, "C", 0)]
+    df = spark.createDataFrame(rows, "q int, tag string, ind int")
+    got = {r.q: r.asDict() for r in cohort_rate(df, "q", "tag", "ind", {"A": "a", "B": "b"}).collect()}
+    assert (got[1]["a_n"], got[1]["a_rate"], got[1]["b_n"], got[1]["b_rate"]) == (2, 50.0, 1, 100.0)
+    assert (got[2]["a_n"], got[2]["a_rate"], got[2]["b_n"], got[2]["b_rate"]) == (0, None, 0, None)

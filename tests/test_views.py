@@ -1,0 +1,35 @@
+import random
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ladder.sources.views import exact_ntile
+
+
+@pytest.mark.parametrize("n,buckets,groups", [(7, 10, 1), (10, 10, 1), (23, 10, 1), (1000, 10, 3), (501, 5, 0)])
+def test_exact_ntile_equals_window_ntile(spark, n, buckets, groups):
+    rnd = random.Random(n)
+    rows = [(i, rnd.randint(0, groups) if groups else 0, float(rnd.randint(0, 50))) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, g int, v double").repartition(4)
+    part = ["g"] if groups else []
+    got = exact_ntile(df, buckets, order_by=["v", "id"], partition_by=part, out="t")
+    w = (Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))).orderBy("v", "id")
+    expect = df.withColumn("t", F.ntile(buckets).over(w))
+    assert sorted(map(tuple, got.select("id", "t").collect())) == sorted(map(tuple, expect.select("id", "t").collect()))
+
+
+def test_exact_ntile_many_partitions(spark):
+    df = spark.range(0, 5003).select(F.col("id"), (F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 1000).cast("double").alias("v"))
+    got = exact_ntile(df.repartition(16), 10, order_by=["v", "id"], partition_by=["g"], out="t")
+    expect = df.withColumn("t", F.ntile(10).over(Window.partitionBy("g").orderBy("v", "id")))
+    diff = got.select("id", "t").exceptAll(expect.select("id", "t")).count()
+    assert diff == 0
+
+
+def test_exact_ntile_plan_has_no_window_over_rows(spark):
+    df = spark.range(0, 1000).select("id", (F.col("id") % 97).cast("double").alias("v"))
+    plan = exact_ntile(df, 5, order_by=["v", "id"], out="t")._jdf.queryExecution().executedPlan().toString()
+    # no NTILE window: the only windows run over the per-partition block table (few rows)
+    assert "ntile" not in plan.lower()
+    assert "_n" in plan and "_before" in plan
