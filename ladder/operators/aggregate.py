@@ -48,6 +48,21 @@ def weighted_mean_by(df: DataFrame, keys, x: str | Column, weight: str | Column,
     return df.groupBy(*_keys(keys)).agg((F.round(mean, digits) if digits is not None else mean).alias(mean_as))
 
 
+def weighted_sums(df: DataFrame, keys, x: str | Column, weight: str | Column) -> DataFrame:
+    """Partial state of a weighted mean per group: ``SUM(x*w) AS _sxw, SUM(w) AS _sw``.
+
+    Sums of sums give the same weighted mean, so the state can be aggregated below a join (fewer rows
+    shuffled, and a hot key collapses map-side) and finished with ``weighted_mean_from_sums``."""
+    x, w = col_of(x), col_of(weight)
+    return df.groupBy(*_keys(keys)).agg(F.sum(x * w).alias("_sxw"), F.sum(w).alias("_sw"))
+
+
+def weighted_mean_from_sums(sums: DataFrame, keys, mean_as: str = "mean", digits: int | None = None) -> DataFrame:
+    """Finish ``weighted_sums`` states (possibly re-grouped by coarser keys) into the weighted mean."""
+    mean = F.try_divide(F.sum("_sxw"), F.sum("_sw"))
+    return sums.groupBy(*_keys(keys)).agg((F.round(mean, digits) if digits is not None else mean).alias(mean_as))
+
+
 def rate_by(df: DataFrame, keys, rates: Mapping[str, tuple[Column, Column]], digits: int | None = 1) -> DataFrame:
     """Safe conditional ratios per group (A4, A6): for each ``alias -> (hit, eligible)`` the value
     ``ROUND(COUNT_IF(hit) * 100.0 / NULLIF(COUNT_IF(eligible), 0), digits)``."""

@@ -32,7 +32,8 @@ from ladder.operators.change import change_between_endpoints, group_ratio_trend
 from ladder.operators.filters import latest_period
 from ladder.operators.interpolate import interpolate_two_tiers, tier_means
 from ladder.operators.joins import label_of
-from ladder.operators.aggregate import weighted_mean_by
+from ladder.operators.aggregate import weighted_mean_by, weighted_mean_from_sums, weighted_sums
+from ladder.sources.tables import read_table
 from ladder.operators.metrics import extremes, first_last, summary_kpis, transition_summary
 from ladder.operators.mobility import escape_and_retention, transition_matrix, upper_retention
 from ladder.operators.reshape import dense_long
@@ -71,9 +72,26 @@ def asset_by_decile(spark: SparkSession, sf_dir: str, ordered: bool = True) -> D
 
 # --- Q3: weighted spend per band interpolated between two institution tiers -------------------------
 
+def spend_by_band(spark: SparkSession, sf_dir: str, city: int = CITY) -> DataFrame:
+    """Weighted mean spend per income band for one city's suppliers (the spend side of Q3).
+
+    Small supplier side (count-checked): one broadcast-join stage, then the band aggregate.
+    Otherwise lineitem is first reduced to weighted-sum states per (supplier, band) — map-side partial
+    aggregation collapses a supplier that holds a large share of all rows — and only those states are
+    shuffle-joined to the suppliers and re-aggregated per band.
+    """
+    suppliers, broadcast = views.city_suppliers(spark, sf_dir, city)
+    if broadcast:
+        spend = views.edu_spend(spark, sf_dir, city=city)
+        return weighted_mean_by(spend, F.col("income_band").alias("band"), "total_cost", "weight", "mean_cost")
+    li = read_table(spark, sf_dir, "lineitem")
+    states = weighted_sums(li, ["l_suppkey", F.col("l_linenumber").alias("band")], "l_extendedprice", "l_quantity")
+    joined = states.join(suppliers, states["l_suppkey"] == suppliers["s_suppkey"]).select("band", "_sxw", "_sw")
+    return weighted_mean_from_sums(joined, "band", "mean_cost")
+
+
 def expected_rate_by_income_band(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
-    spend = views.edu_spend(spark, sf_dir, city=CITY)
-    bands = weighted_mean_by(spend, F.col("income_band").alias("band"), "total_cost", "weight", "mean_cost")
+    bands = spend_by_band(spark, sf_dir, CITY)
     tiers = tier_means(views.institution(spark, sf_dir).where(F.col("city") == CITY))
     out = interpolate_two_tiers(bands, tiers, "band", "mean_cost", spend_as="avg_private_edu_cost",
                                 expected_as="expected_employment_rate")

@@ -197,6 +197,18 @@ def parent_child(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def city_suppliers(spark: SparkSession, sf_dir: str, city: int | None = None) -> tuple[DataFrame, bool]:
+    """(s_suppkey, n_regionkey) of the suppliers in ``city`` (all when None), and whether that side
+    passed the capped row count and is marked for broadcast."""
+    sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    nat = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    if city is not None:
+        nat = nat.where(F.col("n_regionkey") == F.lit(city))
+    side = sup.join(nat, sup["s_nationkey"] == nat["n_nationkey"]).select("s_suppkey", "n_regionkey")
+    checked = broadcast_if_small(side)
+    return checked, checked is not side
+
+
 def edu_spend(spark: SparkSession, sf_dir: str, city: int | None = None) -> DataFrame:
     """lineitem x supplier x nation: (income_band, total_cost, weight, city). Lazy.
 
@@ -205,12 +217,7 @@ def edu_spend(spark: SparkSession, sf_dir: str, city: int | None = None) -> Data
     otherwise the lineitem join is a shuffle join on the supplier key (AQE may still demote it).
     """
     li = read_table(spark, sf_dir, "lineitem").select("l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity")
-    sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    nat = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    if city is not None:
-        nat = nat.where(F.col("n_regionkey") == F.lit(city))
-    sup_city = broadcast_if_small(
-        sup.join(nat, sup["s_nationkey"] == nat["n_nationkey"]).select("s_suppkey", "n_regionkey"))
+    sup_city, _ = city_suppliers(spark, sf_dir, city)
     return li.join(sup_city, li["l_suppkey"] == sup_city["s_suppkey"]).select(
         F.col("l_linenumber").alias("income_band"),
         F.col("l_extendedprice").alias("total_cost"),

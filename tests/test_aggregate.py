@@ -40,3 +40,17 @@ def test_cohort_rate_other_tag_feeds_neither(spark):
     got = {r.q: r.asDict() for r in cohort_rate(df, "q", "tag", "ind", {"A": "a", "B": "b"}).collect()}
     assert (got[1]["a_n"], got[1]["a_rate"], got[1]["b_n"], got[1]["b_rate"]) == (2, 50.0, 1, 100.0)
     assert (got[2]["a_n"], got[2]["a_rate"], got[2]["b_n"], got[2]["b_rate"]) == (0, None, 0, None)
+
+
+def test_weighted_sums_regrouped_equal_flat_weighted_mean(spark):
+    from ladder.operators.aggregate import weighted_mean_from_sums, weighted_sums
+
+    rows = [(s, b, float(c) if c is not None else None, float(w))
+            for s, b, c, w in [(1, 1, 10, 1), (1, 1, None, 1), (2, 1, 30, 2), (1, 2, 5, 0), (3, 2, 7, 1),
+                               (3, 3, None, 4), (2, None, 2, 1)]]
+    df = spark.createDataFrame(rows, "supp int, band int, cost double, w double")
+    flat = {r.band: r.mean for r in weighted_mean_by(df, "band", "cost", "w").collect()}
+    states = weighted_sums(df, ["supp", "band"], "cost", "w")
+    two = {r.band: r.mean for r in weighted_mean_from_sums(states, "band").collect()}
+    assert flat == two
+    assert flat[3] is None and flat[None] == 2.0
