@@ -19,13 +19,22 @@ def _keys(keys) -> list:
     return list(keys)
 
 
+def dedupe(df: DataFrame, dedupe_on: Sequence[str] | None) -> DataFrame:
+    """Keep one row per ``dedupe_on`` combination (e.g. household x year for household attributes on a
+    person-grain panel); ``None`` keeps the rows as they are. A partially aggregated hash aggregate."""
+    return df.dropDuplicates(list(dedupe_on)) if dedupe_on else df
+
+
 def mean_by(df: DataFrame, keys, measure: str | Column, mean_as: str, digits: int | None = 1,
-            count_as: str | None = None, positive: bool = False, not_null: bool = True) -> DataFrame:
+            count_as: str | None = None, positive: bool = False, not_null: bool = True,
+            dedupe_on: Sequence[str] | None = None) -> DataFrame:
     """``SELECT keys, [COUNT(*)], ROUND(AVG(measure), digits) GROUP BY keys``.
 
     ``not_null`` drops rows whose measure is NULL, ``positive`` also rows with measure <= 0.
     Keys may be Columns (e.g. ``int_code('x').alias('k')``) to group by an expression.
+    ``dedupe_on`` switches grain first (see ``dedupe``); the default keeps every row (person grain).
     """
+    df = dedupe(df, dedupe_on)
     m = col_of(measure)
     if not_null:
         df = df.where(m.isNotNull())
@@ -63,9 +72,11 @@ def weighted_mean_from_sums(sums: DataFrame, keys, mean_as: str = "mean", digits
     return sums.groupBy(*_keys(keys)).agg((F.round(mean, digits) if digits is not None else mean).alias(mean_as))
 
 
-def rate_by(df: DataFrame, keys, rates: Mapping[str, tuple[Column, Column]], digits: int | None = 1) -> DataFrame:
+def rate_by(df: DataFrame, keys, rates: Mapping[str, tuple[Column, Column]], digits: int | None = 1,
+            dedupe_on: Sequence[str] | None = None) -> DataFrame:
     """Safe conditional ratios per group (A4, A6): for each ``alias -> (hit, eligible)`` the value
     ``ROUND(COUNT_IF(hit) * 100.0 / NULLIF(COUNT_IF(eligible), 0), digits)``."""
+    df = dedupe(df, dedupe_on)
     aggs = [percent(count_when(hit), count_when(eligible), digits).alias(alias)
             for alias, (hit, eligible) in rates.items()]
     return df.groupBy(*_keys(keys)).agg(*aggs)

@@ -16,12 +16,13 @@ def latest_period(df: DataFrame, period: str = "year", source: DataFrame | None
     return df.where(F.col(period) == src.select(F.max(period)).scalar())
 
 
-def endpoints(df: DataFrame, period: str = "year", source: DataFrame | None = None) -> DataFrame:
-    """Rows of the first and last period: ``period IN ((SELECT MIN ...), (SELECT MAX ...))``."""
-    src = df if source is None else source
-    return df.where(F.col(period).isin(src.select(F.min(period)).scalar(), src.select(F.max(period)).scalar()))
+def period_bounds(df: DataFrame, period: str = "year"):
+    """(first, last) period as Columns read from one scalar subquery returning both bounds."""
+    bounds = df.select(F.struct(F.min(period).alias("lo"), F.max(period).alias("hi"))).scalar()
+    return bounds.getField("lo"), bounds.getField("hi")
 
 
-def period_bounds(df: DataFrame, period: str = "year"):
-    """(first, last) period as two scalar-subquery Columns."""
-    return df.select(F.min(period)).scalar(), df.select(F.max(period)).scalar()
+def endpoints(df: DataFrame, period: str = "year", source: DataFrame | None = None) -> DataFrame:
+    """Rows of the first and last period: ``period IN ((SELECT MIN ...), (SELECT MAX ...))``."""
+    first, last = period_bounds(df if source is None else source, period)
+    return df.where(F.col(period).isin(first, last))

@@ -68,3 +68,15 @@ def first_last(df: DataFrame, order: str, measure: str, prefix: str, digits: int
     last = F.coalesce(F.max_by(F.col(measure), F.col(order)), F.lit(0.0))
     ratio = F.coalesce(F.round(F.try_divide(last, F.nullif(first, F.lit(0.0))), digits), F.lit(0.0))
     return [first.alias(f"{prefix}_first"), last.alias(f"{prefix}_last"), ratio.alias(f"{prefix}_ratio")]
+
+
+def endpoint_values(order: str, measures: dict[str, str]) -> list[Column]:
+    """Aggregate Columns: each measure in the first and the last row of a result ordered by ``order``
+    with NULLs first (O3), as ``<prefix>_first`` / ``<prefix>_last``; ``measures`` maps measure ->
+    prefix. NULL measures stay NULL."""
+    key = F.struct(F.col(order).isNotNull().alias("_known"), F.col(order).alias("_key"))
+    cols = []
+    for measure, prefix in measures.items():
+        cols.append(F.min_by(F.col(measure), key).alias(f"{prefix}_first"))
+        cols.append(F.max_by(F.col(measure), key).alias(f"{prefix}_last"))
+    return cols

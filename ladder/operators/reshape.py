@@ -101,3 +101,7 @@ def to_matrix(matrix: DataFrame) -> DataFrame:
         F.transform(F.sort_array(F.collect_list(F.struct("row_pos", "cells"))),
                     lambda r: F.transform(r["cells"], lambda c: c["value"])).alias("values"),
     ).select(F.struct("rows", "columns", "values").alias("matrix"))
+
+
+# The chart encoding under the name the blueprint uses.
+to_series = to_chart

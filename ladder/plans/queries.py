@@ -34,7 +34,8 @@ from ladder.operators.interpolate import interpolate_two_tiers, tier_means
 from ladder.operators.joins import label_of
 from ladder.operators.aggregate import weighted_mean_by, weighted_mean_from_sums, weighted_sums
 from ladder.sources.tables import read_table
-from ladder.operators.metrics import extremes, first_last, summary_kpis, transition_summary
+from ladder.operators.joins import attach_scalar
+from ladder.operators.metrics import endpoint_values, extremes, first_last, summary_kpis, transition_summary
 from ladder.operators.mobility import escape_and_retention, transition_matrix, upper_retention
 from ladder.operators.reshape import dense_long
 from ladder.operators.shares import share_of_total, share_within
@@ -316,6 +317,27 @@ def cohort_gap_ratio(spark: SparkSession, sf_dir: str, ordered: bool = True) ->
                  *first_last(q, "quintile", "keep2_rate", "keep2")).where(F.col("_rows") > 0).drop("_rows")
 
 
+def _endpoints_row(first: DataFrame, first_key: str, first_measures: dict[str, str],
+                   second: DataFrame, second_key: str, second_measures: dict[str, str]) -> DataFrame:
+    """First/last values of two ordered results in one row; no row when the first result is empty."""
+    row = first.agg(F.count(F.lit(1)).alias("_rows"), *endpoint_values(first_key, first_measures))
+    other = second.agg(*endpoint_values(second_key, second_measures))
+    return attach_scalar(row.where(F.col("_rows") > 0).drop("_rows"), other)
+
+
+def income_asset_endpoints(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
+    return _endpoints_row(income_by_decile(spark, sf_dir, ordered=False), "decile",
+                          {"avg_household_income": "income"},
+                          asset_by_decile(spark, sf_dir, ordered=False), "decile", {"avg_total_asset": "asset"})
+
+
+def spend_band_endpoints(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
+    q = expected_rate_by_income_band(spark, sf_dir, ordered=False)
+    return q.agg(F.count(F.lit(1)).alias("_rows"), *endpoint_values(
+        "band", {"avg_private_edu_cost": "cost", "expected_employment_rate": "expected"})
+    ).where(F.col("_rows") > 0).drop("_rows")
+
+
 QUERIES: dict[str, Query] = {
     "income_by_decile": income_by_decile,
     "asset_by_decile": asset_by_decile,
@@ -349,4 +371,6 @@ QUERIES: dict[str, Query] = {
     "transition_summary": transition_summary_row,
     "wage_extremes": wage_extremes,
     "cohort_gap_ratio": cohort_gap_ratio,
+    "income_asset_endpoints": income_asset_endpoints,
+    "spend_band_endpoints": spend_band_endpoints,
 }

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,6 +85,13 @@ def write_scratch(df: DataFrame) -> DataFrame:
 
 
 _MEMO: dict[tuple[int, str], DataFrame] = {}
+_LOCKS: dict[str, threading.Lock] = {}
+_LOCKS_GUARD = threading.Lock()
+
+
+def _lock_for(path: str) -> threading.Lock:
+    with _LOCKS_GUARD:
+        return _LOCKS.setdefault(path, threading.Lock())
 
 
 def materialize(spark: SparkSession, build, name: str, inputs: list[str], schema: StructType | None = None,
@@ -95,8 +103,14 @@ def materialize(spark: SparkSession, build, name: str, inputs: list[str], schema
     """
     path = f"{table_root(spark)}/{name}-{fingerprint(spark, inputs, name)}"
     key = (id(spark.sparkContext._jsc), path)
-    if key in _MEMO:
+    with _lock_for(path):  # one build per table even when queries run from several threads
+        if key not in _MEMO:
+            _MEMO[key] = _build_or_scan(spark, build, path, schema, partition_by, columns)
         return _MEMO[key]
+
+
+def _build_or_scan(spark: SparkSession, build, path: str, schema: StructType | None,
+                   partition_by: tuple[str, ...], columns: list[str] | None) -> DataFrame:
     if not path_exists(spark, path + "/_SUCCESS"):
         scratch_before = len(_SCRATCH)
         df = build()
@@ -110,7 +124,4 @@ def materialize(spark: SparkSession, build, name: str, inputs: list[str], schema
             delete_path(spark, _SCRATCH.pop())
     reader = spark.read.schema(schema) if schema is not None else spark.read
     out = reader.parquet(path)
-    if columns:
-        out = out.select(*columns)
-    _MEMO[key] = out
-    return out
+    return out.select(*columns) if columns else out

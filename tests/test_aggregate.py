@@ -54,3 +54,11 @@ def test_weighted_sums_regrouped_equal_flat_weighted_mean(spark):
     two = {r.band: r.mean for r in weighted_mean_from_sums(states, "band").collect()}
     assert flat == two
     assert flat[3] is None and flat[None] == 2.0
+
+
+def test_dedupe_on_switches_to_household_grain(spark):
+    rows = [(1, 2001, 100.0), (1, 2001, 100.0), (2, 2001, 40.0)]
+    df = spark.createDataFrame(rows, "household_id int, year int, income double")
+    person = mean_by(df, "year", "income", "m", digits=None).first().m
+    household = mean_by(df, "year", "income", "m", digits=None, dedupe_on=["household_id", "year"]).first().m
+    assert person == 80.0 and household == 70.0

@@ -93,3 +93,11 @@ def test_transition_summary(spark):
     r = transition_summary(m).first()
     assert (r.avg_stay, r.lower_stay, r.upper_stay) == (55.0, 10.0, 100.0)
     assert transition_summary(m.limit(0)).count() == 0
+
+
+def test_endpoint_values_null_key_first(spark):
+    from ladder.operators import endpoint_values
+
+    df = spark.createDataFrame([(2, 20.0), (None, 5.0), (9, None), (1, 10.0)], "k int, v double")
+    r = df.agg(*endpoint_values("k", {"v": "v"})).first()
+    assert (r.v_first, r.v_last) == (5.0, None)
