@@ -68,7 +68,14 @@ def delete_path(spark: SparkSession, path: str) -> None:
     fs.delete(hpath, True)
 
 
-_SCRATCH: list[str] = []
+_LOCAL = threading.local()
+
+
+def _scratch() -> list[str]:
+    """Scratch folders written by the build running on this thread."""
+    if not hasattr(_LOCAL, "paths"):
+        _LOCAL.paths = []
+    return _LOCAL.paths
 
 
 def write_scratch(df: DataFrame) -> DataFrame:
@@ -80,7 +87,7 @@ def write_scratch(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{table_root(spark)}/_scratch/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    _SCRATCH.append(path)
+    _scratch().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -112,7 +119,7 @@ def materialize(spark: SparkSession, build, name: str, inputs: list[str], schema
 def _build_or_scan(spark: SparkSession, build, path: str, schema: StructType | None,
                    partition_by: tuple[str, ...], columns: list[str] | None) -> DataFrame:
     if not path_exists(spark, path + "/_SUCCESS"):
-        scratch_before = len(_SCRATCH)
+        scratch_before = len(_scratch())
         df = build()
         writer = df.write.mode("overwrite")
         if partition_by:
@@ -120,8 +127,8 @@ def _build_or_scan(spark: SparkSession, build, path: str, schema: StructType | N
         writer.parquet(path)
         schema = schema or df.schema
         columns = columns or df.columns
-        while len(_SCRATCH) > scratch_before:
-            delete_path(spark, _SCRATCH.pop())
+        while len(_scratch()) > scratch_before:
+            delete_path(spark, _scratch().pop())
     reader = spark.read.schema(schema) if schema is not None else spark.read
     out = reader.parquet(path)
     return out.select(*columns) if columns else out
