@@ -87,6 +87,9 @@ def exact_ntile(df: DataFrame, buckets: int, order_by: list[str], partition_by:
                    F.lit(0)).alias("_before"),
         F.sum("_n").over(by_group).alias("_total"),
     )
+    # At most #partitions + #groups rows: broadcast after the capped count, so the numbered rows are
+    # never shuffled for this join (a size estimate taken from the inputs would not show that).
+    blocks = broadcast_if_small(blocks)
     cond = numbered["_pid"] == blocks["_pid"]
     for k in partition_by:
         cond = cond & numbered[k].eqNullSafe(blocks[k])
