@@ -6,6 +6,9 @@ fingerprint; ``edu_spend`` and ``institution`` are lazy joins that Catalyst plan
 
 from __future__ import annotations
 
+import hashlib
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,6 +56,10 @@ _SEGMENT_TO_EDUCATION = [
 
 _RID_BITS = 33  # monotonically_increasing_id(): partition id in the upper bits, row index in the lower 33
 
+# Materialised views are keyed by their inputs and by this module's source, so a changed derivation
+# never reuses a table written by an older one.
+_SOURCE_SALT = hashlib.sha1(Path(__file__).read_bytes()).hexdigest()[:12]
+
 
 def exact_ntile(df: DataFrame, buckets: int, order_by: list[str], partition_by: list[str] = (),
                 out: str = "ntile") -> DataFrame:
@@ -172,7 +179,7 @@ def build_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel view, materialised as Parquet partitioned by ``year`` (latest-year filters prune)."""
     return materialize(
-        spark, lambda: build_panel(spark, sf_dir), "panel",
+        spark, lambda: build_panel(spark, sf_dir), f"panel-{_SOURCE_SALT}",
         [table_path(sf_dir, "orders"), table_path(sf_dir, "customer")],
         schema=PANEL_SCHEMA, partition_by=("year",), columns=PANEL_COLUMNS,
     )
@@ -194,7 +201,7 @@ def build_parent_child(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parent_child(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(
-        spark, lambda: build_parent_child(spark, sf_dir), "parent_child",
+        spark, lambda: build_parent_child(spark, sf_dir), f"parent_child-{_SOURCE_SALT}",
         [table_path(sf_dir, "customer")], schema=PARENT_CHILD_SCHEMA,
         columns=[f.name for f in PARENT_CHILD_SCHEMA.fields],
     )

@@ -62,3 +62,12 @@ def test_dedupe_on_switches_to_household_grain(spark):
     person = mean_by(df, "year", "income", "m", digits=None).first().m
     household = mean_by(df, "year", "income", "m", digits=None, dedupe_on=["household_id", "year"]).first().m
     assert person == 80.0 and household == 70.0
+
+
+def test_pivot_max_conditional_columns(spark):
+    from ladder.operators import pivot_max
+
+    rows = [(1, 2000, 5.0), (1, 2001, 7.0), (2, 2001, 3.0)]
+    df = spark.createDataFrame(rows, "k int, y int, v double")
+    out = {r.k: (r.start, r.end) for r in pivot_max(df, "k", "y", {"start": (2000, "v"), "end": (2001, "v")}).collect()}
+    assert out == {1: (5.0, 7.0), 2: (None, 3.0)}

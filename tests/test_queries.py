@@ -84,3 +84,16 @@ def test_sinks(spark, tmp_out):
     paths = write_all({"latest_year": latest}, tmp_out)
     assert spark.read.parquet(paths["latest_year"]).first().latest_year == latest.first().latest_year
     assert os.path.exists(os.path.join(paths["latest_year"], "_SUCCESS"))
+
+
+def test_write_dashboard_writes_each_result(spark, tmp_out):
+    from ladder.sources import write_dashboard
+
+    q = entry_mod.queries()
+    subset = {k: q[k] for k in ("latest_year", "mobility_share", "income_transition_dense")}
+    paths = write_dashboard(spark, SF_SMALL, tmp_out, queries=subset, fmt="json")
+    assert set(paths) == set(subset)
+    back = spark.read.json(paths["income_transition_dense"])
+    assert back.count() == 100
+    labels = {r.mobility_label for r in spark.read.json(paths["mobility_share"]).collect()}
+    assert labels <= {"상승", "유지", "하락"}
