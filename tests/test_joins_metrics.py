@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from ladder.functions.labels import EDU_LABELS, EDU_ORDER
 from ladder.functions import rank_of

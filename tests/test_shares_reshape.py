@@ -1,7 +1,5 @@
 import json
 
-import pandas as pd
-import pytest
 
 from ladder.operators import dense_long, dense_pivot, share_of_total, share_within, to_chart, to_matrix
 
