@@ -27,19 +27,24 @@ from ladder.functions.labels import (
     MOBILITY_ORDER,
     PARENT_EDU_LABELS,
 )
-from ladder.operators.aggregate import cohort_rate, group_order, mean_by
+from ladder.operators.aggregate import (
+    cohort_rate,
+    group_order,
+    mean_by,
+    weighted_mean_by,
+    weighted_mean_from_sums,
+    weighted_sums,
+)
 from ladder.operators.change import change_between_endpoints, group_ratio_trend
 from ladder.operators.filters import latest_period
 from ladder.operators.interpolate import interpolate_two_tiers, tier_means
-from ladder.operators.joins import label_of
-from ladder.operators.aggregate import weighted_mean_by, weighted_mean_from_sums, weighted_sums
-from ladder.sources.tables import read_table
-from ladder.operators.joins import attach_scalar
+from ladder.operators.joins import attach_scalar, label_of
 from ladder.operators.metrics import endpoint_values, extremes, first_last, summary_kpis, transition_summary
 from ladder.operators.mobility import escape_and_retention, transition_matrix, upper_retention
 from ladder.operators.reshape import dense_long
 from ladder.operators.shares import share_of_total, share_within
 from ladder.sources import views
+from ladder.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
