@@ -41,7 +41,7 @@ from ladder.operators.interpolate import interpolate_two_tiers, tier_means
 from ladder.operators.joins import attach_scalar, label_of
 from ladder.operators.metrics import endpoint_values, extremes, first_last, summary_kpis, transition_summary
 from ladder.operators.mobility import escape_and_retention, transition_matrix, upper_retention
-from ladder.operators.reshape import dense_long
+from ladder.operators.reshape import dense_long, to_chart, to_matrix
 from ladder.operators.shares import share_of_total, share_within
 from ladder.sources import views
 from ladder.sources.tables import read_table
@@ -295,6 +295,44 @@ def income_transition_dense(spark: SparkSession, sf_dir: str, ordered: bool = Tr
     return _matrix(ordered, dense_long(flat, "prev_decile", "cur_decile", "share", rows=levels, cols=levels))
 
 
+# --- Emitted payloads (R4): one JSON document per chart or matrix --------------------------------------
+
+def _chart_json(matrix: DataFrame) -> DataFrame:
+    return to_chart(matrix).select(F.to_json("chart").alias("chart"))
+
+
+def _matrix_json(matrix: DataFrame) -> DataFrame:
+    return to_matrix(matrix).select(F.to_json("matrix").alias("matrix"))
+
+
+def child_education_chart(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
+    return _chart_json(child_education_matrix(spark, sf_dir, ordered=False))
+
+
+def education_employment_chart(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
+    return _chart_json(education_employment_matrix(spark, sf_dir, ordered=False))
+
+
+def education_firm_size_chart(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
+    return _chart_json(education_firm_size_matrix(spark, sf_dir, ordered=False))
+
+
+def education_job_status_chart(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
+    return _matrix_json(education_job_status_matrix(spark, sf_dir, ordered=False))
+
+
+def employment_mobility_chart(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
+    return _chart_json(employment_mobility_matrix(spark, sf_dir, ordered=False))
+
+
+def debt_by_generation_chart(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
+    return _chart_json(debt_by_generation_matrix(spark, sf_dir, ordered=False))
+
+
+def income_transition_chart(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
+    return _matrix_json(income_transition_dense(spark, sf_dir, ordered=False))
+
+
 # --- One-row metrics (K1-K5) -----------------------------------------------------------------------------
 
 def summary_kpi_row(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
@@ -378,4 +416,11 @@ QUERIES: dict[str, Query] = {
     "cohort_gap_ratio": cohort_gap_ratio,
     "income_asset_endpoints": income_asset_endpoints,
     "spend_band_endpoints": spend_band_endpoints,
+    "child_education_chart": child_education_chart,
+    "education_employment_chart": education_employment_chart,
+    "education_firm_size_chart": education_firm_size_chart,
+    "education_job_status_chart": education_job_status_chart,
+    "employment_mobility_chart": employment_mobility_chart,
+    "debt_by_generation_chart": debt_by_generation_chart,
+    "income_transition_chart": income_transition_chart,
 }
