@@ -50,10 +50,11 @@ def escape_and_retention(df: DataFrame, period: str = "year", prev: str = "prev_
 
 def upper_retention(df: DataFrame, period: str = "year", prev: str = "prev_income_decile",
                     cur: str = "h_incomeq", gap: str = "year_gap", high: int = UPPER_MIN_DECILE,
-                    digits: int | None = 1, value_as: str = "upper_retention") -> DataFrame:
+                    digits: int | None = 1, value_as: str = "upper_retention",
+                    periods: DataFrame | None = None) -> DataFrame:
     """Latest-period share of the high group that stayed high, over all its rows (A7); one row, 0 when
-    there is no such row (the dashboard's KPI default)."""
-    base = latest_period(df, period).where(
+    there is no such row (the dashboard's KPI default). ``periods`` may hold the table's periods."""
+    base = latest_period(df, period, source=periods).where(
         (F.col(gap) == 1) & (F.col(prev) >= high) & F.col(cur).isNotNull())
     rate = percent(count_when(F.col(cur) >= high), F.count(F.lit(1)), digits)
     return base.agg(F.coalesce(rate, F.lit(0.0)).alias(value_as))

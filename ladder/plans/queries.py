@@ -58,7 +58,7 @@ def _order(ordered: bool, df: DataFrame, *cols) -> DataFrame:
 
 
 def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest_period(views.panel(spark, sf_dir), "year")
+    return latest_period(views.panel(spark, sf_dir), "year", source=views.panel_periods(spark, sf_dir))
 
 
 # --- Q1, Q2: means by income decile ---------------------------------------------------------------
@@ -201,7 +201,8 @@ def income_asset_change_by_decile(spark: SparkSession, sf_dir: str, ordered: boo
                        & F.col("h_total_asset").isNotNull())
     out = change_between_endpoints(
         base, "year", int_code("h_incomeq").alias("decile"),
-        {"h_total_income": "income_change_pct", "h_total_asset": "asset_change_pct"}, source=panel)
+        {"h_total_income": "income_change_pct", "h_total_asset": "asset_change_pct"},
+        source=views.panel_periods(spark, sf_dir))
     return _order(ordered, out, "decile")
 
 
@@ -237,11 +238,11 @@ def income_transition_matrix(spark: SparkSession, sf_dir: str, ordered: bool = T
 
 
 def upper_retention_kpi(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
-    return upper_retention(views.panel(spark, sf_dir))
+    return upper_retention(views.panel(spark, sf_dir), periods=views.panel_periods(spark, sf_dir))
 
 
 def latest_year(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
-    return views.panel(spark, sf_dir).agg(F.max("year").alias("latest_year"))
+    return views.panel_periods(spark, sf_dir).agg(F.max("year").alias("latest_year"))
 
 
 # --- Dense matrices (R1-R3) in long form: row_pos, row_label, col_pos, col_label, value --------------

@@ -14,20 +14,29 @@ def to_records(df: DataFrame, column: str = "record") -> DataFrame:
                                {"ignoreNullFields": "false"}).alias(column))
 
 
-def write_all(results: Mapping[str, DataFrame], path: str, fmt: str = "parquet") -> dict[str, str]:
-    """Write each named result to ``<path>/<name>`` (S3). Executors write; the driver only commits."""
-    out = {}
-    for name, df in results.items():
-        target = f"{path.rstrip('/')}/{name}"
-        df.write.mode("overwrite").format(fmt).save(target)
-        out[name] = target
-    return out
+def write_all(results: Mapping[str, DataFrame], path: str, fmt: str = "parquet", workers: int = 1) -> dict[str, str]:
+    """Write each named result to ``<path>/<name>`` (S3). Executors write; the driver only commits.
+    ``workers`` > 1 submits the independent writes concurrently."""
+    from ladder.plans.dashboard import run_all
+
+    targets = {name: f"{path.rstrip('/')}/{name}" for name in results}
+
+    def writer(name):
+        return lambda: results[name].write.mode("overwrite").format(fmt).save(targets[name])
+
+    run_all([writer(name) for name in results], workers)
+    return targets
 
 
 def write_dashboard(spark: SparkSession, sf_dir: str, path: str,
                     queries: Mapping[str, Callable[[SparkSession, str], DataFrame]] | None = None,
-                    fmt: str = "json") -> dict[str, str]:
-    """Compute every registered result over ``sf_dir`` and write one dataset per result (S3)."""
-    if queries is None:
-        from ladder.plans.queries import QUERIES as queries
-    return write_all({name: fn(spark, sf_dir) for name, fn in queries.items()}, path, fmt)
+                    fmt: str = "json", workers: int = 4) -> dict[str, str]:
+    """Compute every registered result over ``sf_dir`` and write one dataset per result (S3).
+
+    With the default query set the statements are computed once and shared by the derived outputs."""
+    if queries is not None:
+        return write_all({name: fn(spark, sf_dir) for name, fn in queries.items()}, path, fmt, workers)
+    from ladder.plans.dashboard import dashboard, shared_statements
+
+    with shared_statements(spark, sf_dir, workers):
+        return write_all(dashboard(spark, sf_dir), path, fmt, workers)

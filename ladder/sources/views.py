@@ -185,6 +185,18 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def panel_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct ``year`` values of the panel (a handful of rows), materialised next to it.
+
+    Period bounds (``MAX(year)``, ``MIN(year)``) read this instead of scanning every panel file's
+    footer in each query; the values are the panel's own, derived by Spark from it."""
+    return materialize(
+        spark, lambda: panel(spark, sf_dir).select("year").distinct(), f"panel_periods-{_SOURCE_SALT}",
+        [table_path(sf_dir, "orders"), table_path(sf_dir, "customer")],
+        schema=T.StructType([T.StructField("year", T.IntegerType())]), columns=["year"],
+    )
+
+
 def build_parent_child(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per customer with a parent-income quintile and child education (FIXTURES.md §2.4)."""
     cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey")

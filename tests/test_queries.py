@@ -96,3 +96,17 @@ def test_write_dashboard_writes_each_result(spark, tmp_out):
     assert back.count() == 100
     labels = {r.mobility_label for r in spark.read.json(paths["mobility_share"]).collect()}
     assert labels <= {"상승", "유지", "하락"}
+
+
+def test_dashboard_shares_statements_and_matches_independent_runs(spark):
+    from ladder.plans.dashboard import dashboard, shared_statements
+
+    names = ["child_education_matrix", "summary_kpis", "income_transition_chart", "wage_extremes"]
+    q = entry_mod.queries()
+    independent = {n: sorted(map(str, q[n](spark, SF_SMALL).collect())) for n in names}
+    with shared_statements(spark, SF_SMALL, workers=4):
+        res = dashboard(spark, SF_SMALL, names)
+        plan = res["child_education_matrix"]._jdf.queryExecution().executedPlan().toString()
+        shared = {n: sorted(map(str, df.collect())) for n, df in res.items()}
+    assert shared == independent
+    assert "InMemoryTableScan" in plan
