@@ -26,10 +26,11 @@ BROADCAST_MAX_ROWS = 1_000_000
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df`` unchanged.
 
-    The check is a capped count (``limit(max_rows + 1)``), so on a large side every task stops early.
+    The check is an exact ``count()``: a partial count per task and one row per task to the final sum.
+    (A ``limit(n).count()`` would funnel up to n rows per task through a single-partition exchange.)
+    It scans only the candidate side, which is never larger than the join input it protects.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def label_of(code: str | Column, mapping: Mapping, fallback: bool = False) -> Column:
@@ -78,14 +79,13 @@ def attach_label(df: DataFrame, code: str | Column, dim: DataFrame, label_as: st
                  fallback: bool = False) -> DataFrame:
     """Left equi-join to a small dimension ``(key, label)``.
 
-    The dimension is broadcast only below ``MAX_DICTIONARY_ENTRIES`` rows (checked); larger ones go
-    through Spark's own size-checked join selection. Unmatched rows keep a NULL label, or the code text
-    with ``fallback``.
+    The dimension is broadcast only up to ``MAX_DICTIONARY_ENTRIES`` rows (counted); larger ones go
+    through Spark's own join selection. Unmatched rows keep a NULL label, or the code text with
+    ``fallback``.
     """
     key, label = dim.columns[0], dim.columns[1]
     c = col_of(code)
-    n = dim.limit(MAX_DICTIONARY_ENTRIES + 1).count()
-    side = F.broadcast(dim) if n <= MAX_DICTIONARY_ENTRIES else dim
+    side = broadcast_if_small(dim, MAX_DICTIONARY_ENTRIES)
     d = side.select(F.col(key).alias("_dim_key"), F.col(label).alias("_dim_label"))
     out = df.join(d, c == F.col("_dim_key"), "left")
     lab = F.coalesce(F.col("_dim_label"), c.cast("string")) if fallback else F.col("_dim_label")

@@ -81,7 +81,7 @@ def asset_by_decile(spark: SparkSession, sf_dir: str, ordered: bool = True) -> D
 def spend_by_band(spark: SparkSession, sf_dir: str, city: int = CITY) -> DataFrame:
     """Weighted mean spend per income band for one city's suppliers (the spend side of Q3).
 
-    Small supplier side (count-checked): one broadcast-join stage, then the band aggregate.
+    Small supplier side (row-counted): one broadcast-join stage, then the band aggregate.
     Otherwise lineitem is first reduced to weighted-sum states per (supplier, band) — map-side partial
     aggregation collapses a supplier that holds a large share of all rows — and only those states are
     shuffle-joined to the suppliers and re-aggregated per band.

@@ -94,7 +94,7 @@ def exact_ntile(df: DataFrame, buckets: int, order_by: list[str], partition_by:
                    F.lit(0)).alias("_before"),
         F.sum("_n").over(by_group).alias("_total"),
     )
-    # At most #partitions + #groups rows: broadcast after the capped count, so the numbered rows are
+    # At most #partitions + #groups rows: broadcast after counting them, so the numbered rows are
     # never shuffled for this join (a size estimate taken from the inputs would not show that).
     blocks = broadcast_if_small(blocks)
     cond = numbered["_pid"] == blocks["_pid"]
@@ -221,7 +221,7 @@ def parent_child(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def city_suppliers(spark: SparkSession, sf_dir: str, city: int | None = None) -> tuple[DataFrame, bool]:
     """(s_suppkey, n_regionkey) of the suppliers in ``city`` (all when None), and whether that side
-    passed the capped row count and is marked for broadcast."""
+    passed the row count and is marked for broadcast."""
     sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nat = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     if city is not None:
@@ -235,7 +235,7 @@ def edu_spend(spark: SparkSession, sf_dir: str, city: int | None = None) -> Data
     """lineitem x supplier x nation: (income_band, total_cost, weight, city). Lazy.
 
     Suppliers are resolved to their city first (nation is a tiny dimension; with ``city`` given only that
-    city's suppliers remain). That side is broadcast only after a capped row count proves it small;
+    city's suppliers remain). That side is broadcast only after a row count proves it small;
     otherwise the lineitem join is a shuffle join on the supplier key (AQE may still demote it).
     """
     li = read_table(spark, sf_dir, "lineitem").select("l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity")
