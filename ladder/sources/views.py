@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,13 +112,6 @@ def exact_ntile(df: DataFrame, buckets: int, order_by: list[str], partition_by:
     return joined.withColumn(out, bucket.cast("int")).drop("_rid", "_pid", "_idx", "_first", "_before", "_total")
 
 
-def _when_chain(pairs: list[tuple[Column, object]]) -> Column:
-    expr = None
-    for cond, value in pairs:
-        expr = F.when(cond, F.lit(value)) if expr is None else expr.when(cond, F.lit(value))
-    return expr
-
-
 def build_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """person x year panel with household attributes (FIXTURES.md §2.1), not materialised."""
     orders = read_table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_totalprice", "o_orderstatus")
