@@ -12,7 +12,8 @@ import argparse
 import json
 
 
-def main(argv: list[str] | None = None) -> dict[str, str]:
+def main(argv: list[str] | None = None, spark=None) -> dict[str, str]:
+    """Run the refresh; with ``spark`` given, use that session and leave it running."""
     from pyspark.sql import SparkSession
 
     from ladder.sources import write_dashboard
@@ -25,14 +26,17 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
     ap.add_argument("--master", default=None, help="Spark master (default: from spark-submit / local[*])")
     args = ap.parse_args(argv)
 
-    builder = SparkSession.builder.appName("ladder-dashboard").config("spark.ui.enabled", "false")
-    if args.master:
-        builder = builder.master(args.master)
-    spark = builder.getOrCreate()
+    own = spark is None
+    if own:
+        builder = SparkSession.builder.appName("ladder-dashboard").config("spark.ui.enabled", "false")
+        if args.master:
+            builder = builder.master(args.master)
+        spark = builder.getOrCreate()
     try:
         paths = write_dashboard(spark, args.sf_dir, args.out_dir, fmt=args.format, workers=args.workers)
     finally:
-        spark.stop()
+        if own:
+            spark.stop()
     print(json.dumps(paths, ensure_ascii=False, indent=1))
     return paths
 

@@ -110,3 +110,12 @@ def test_dashboard_shares_statements_and_matches_independent_runs(spark):
         shared = {n: sorted(map(str, df.collect())) for n, df in res.items()}
     assert shared == independent
     assert "InMemoryTableScan" in plan
+
+
+def test_command_line_refresh_writes_every_result(spark, tmp_out):
+    from ladder.__main__ import main
+
+    paths = main([SF_SMALL, os.path.join(tmp_out, "dash"), "--format", "parquet", "--workers", "4"], spark=spark)
+    assert set(paths) == set(entry_mod.queries())
+    assert spark.read.parquet(paths["income_transition_dense"]).count() == 100
+    assert not spark.sparkContext._jsc.sc().isStopped()
