@@ -77,8 +77,15 @@ if __name__ == "__main__":
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or None
-    spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-             .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate())
+    import os
+
+    builder = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
+               .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC"))
+    # Extra session settings to check robustness, e.g. LADDER_CONF="spark.sql.adaptive.enabled=false"
+    for kv in filter(None, os.environ.get("LADDER_CONF", "").split(",")):
+        k, v = kv.split("=", 1)
+        builder = builder.config(k, v)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     rep = compare(spark, sf_dir, names)
     bad = 0
