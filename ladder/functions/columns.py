@@ -17,12 +17,12 @@ def col_of(c: str | Column) -> Column:
 
 
 def int_code(c: str | Column) -> Column:
-    """Integer code stored as a real: truncates toward zero like ``CAST(x AS INTEGER)``."""
+    """Integer code stored as a real: truncates toward zero like ``CAST(x AS INTEGER)``."""
     return col_of(c).cast("int")
 
 
 def lenient_double(c: str | Column) -> Column:
-    """Text to double the lenient way: the longest numeric prefix, 0.0 when there is none.
+    """Text to double the lenient way: the longest numeric prefix, 0.0 when there is none.
 
     NULL stays NULL. '68.5%' -> 68.5, '-' -> 0.0, 'abc' -> 0.0, ' 70 ' -> 70.0, '.5' -> 0.5.
     """
@@ -33,7 +33,7 @@ def lenient_double(c: str | Column) -> Column:
 
 
 def rank_of(c: str | Column, domain: Sequence) -> Column:
-    """1-based position of ``c`` in ``domain``; NULL for values outside it (a CASE without ELSE)."""
+    """1-based position of ``c`` in ``domain``; NULL for values outside it (a CASE without ELSE) (P10, O2)."""
     c = col_of(c)
     expr = None
     for pos, value in enumerate(domain, start=1):
@@ -42,21 +42,21 @@ def rank_of(c: str | Column, domain: Sequence) -> Column:
 
 
 def safe_ratio(num: str | Column, den: str | Column) -> Column:
-    """num / den with NULL (not an error, not infinity) when den is 0 or NULL."""
+    """num / den with NULL (not an error, not infinity) when den is 0 or NULL."""
     return F.try_divide(col_of(num), col_of(den))
 
 
 def percent(num: str | Column, den: str | Column, digits: int | None = 1) -> Column:
-    """round(num * 100.0 / den, digits) as double; NULL when den is 0."""
+    """round(num * 100.0 / den, digits) as double; NULL when den is 0."""
     value = F.try_divide(col_of(num).cast("double") * F.lit(100.0), col_of(den))
     return F.round(value, digits) if digits is not None else value
 
 
 def count_when(cond: Column) -> Column:
-    """SUM(CASE WHEN cond THEN 1 ELSE 0 END) as bigint (0 on no match, never NULL on rows)."""
+    """SUM(CASE WHEN cond THEN 1 ELSE 0 END) as bigint (0 on no match, never NULL on rows) (A4)."""
     return F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))).cast("bigint")
 
 
 def first_digit(c: str | Column) -> Column:
-    """First character of the decimal text of an id."""
+    """First character of the decimal text of an id: ``SUBSTR(CAST(id AS TEXT), 1, 1)``."""
     return F.substring(col_of(c).cast("string"), 1, 1)
