@@ -47,9 +47,7 @@ def main() -> None:
     from ladder.sources import views
 
     t0 = time.perf_counter()
-    views.panel(spark, sf_dir)
-    views.panel_periods(spark, sf_dir)
-    views.parent_child(spark, sf_dir)
+    views.build_views(spark, sf_dir, workers=2)
     build = time.perf_counter() - t0
 
     latencies: dict[str, float] = {}

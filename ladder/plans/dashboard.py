@@ -28,15 +28,27 @@ STATEMENTS = [
 ]
 
 
+# Dense matrices the chart documents and the transition KPI are derived from.
+MATRICES = [
+    "child_education_matrix", "education_employment_matrix", "education_firm_size_matrix",
+    "education_job_status_matrix", "employment_mobility_matrix", "debt_by_generation_matrix",
+    "income_transition_dense",
+]
+
+
 @contextmanager
 def shared_statements(spark: SparkSession, sf_dir: str, workers: int = 1) -> Iterator[list[DataFrame]]:
-    """Persist the unordered statement results for the duration of the block, then release them.
+    """Persist the unordered statement results, then the dense matrices built on them, for the
+    duration of the block, and release them afterwards.
 
-    The statements are materialised up front, ``workers`` at a time (independent Spark jobs that the
+    Each layer is materialised up front, ``workers`` at a time (independent Spark jobs that the
     scheduler interleaves on the executors)."""
-    held = [QUERIES[name](spark, sf_dir, ordered=False).persist(StorageLevel.MEMORY_AND_DISK)
-            for name in STATEMENTS]
-    run_all([df.count for df in held], workers)
+    held = []
+    for layer in (STATEMENTS, MATRICES):
+        frames = [QUERIES[name](spark, sf_dir, ordered=False).persist(StorageLevel.MEMORY_AND_DISK)
+                  for name in layer]
+        held.extend(frames)
+        run_all([df.count for df in frames], workers)
     try:
         yield held
     finally:

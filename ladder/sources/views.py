@@ -254,3 +254,22 @@ def institution(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return cust.join(nat, cust["c_nationkey"] == nat["n_nationkey"]).select(
         F.col("c_name").alias("name"), F.col("n_regionkey").alias("city"), rate.alias("rate_text"))
+
+
+def build_views(spark: SparkSession, sf_dir: str, workers: int = 2) -> None:
+    """Materialise the panel (with its periods) and the parent/child view; the two are independent
+    and are built concurrently when ``workers`` > 1."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def panel_and_periods():
+        panel(spark, sf_dir)
+        panel_periods(spark, sf_dir)
+
+    tasks = [panel_and_periods, lambda: parent_child(spark, sf_dir)]
+    if workers <= 1:
+        for t in tasks:
+            t()
+        return
+    with ThreadPoolExecutor(max_workers=min(workers, len(tasks))) as pool:
+        for f in [pool.submit(t) for t in tasks]:
+            f.result()
