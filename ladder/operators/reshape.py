@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,29 +51,47 @@ def dense_long(df: DataFrame, row: str, col: str, value: str, rows: Sequence | N
                cols: Sequence | None = None, agg: str = "sum", fill: float = 0.0,
                row_labels: Mapping | None = None, col_labels: Mapping | None = None,
                digits: int | None = 1) -> DataFrame:
-    """Dense matrix in long form: ``row_pos, row_label, col_pos, col_label, value``.
+    """Dense matrix in long form: ``row_pos, row_label, col_pos, col_label, value``.
 
-    Labels come from the dictionaries with the key's own text as fallback (``dict.get(k, k)``).
+    Same domains as ``dense_pivot``: fixed ``rows``/``cols`` lists (missing cells filled with ``fill``,
+    unlisted keys dropped) or, for one of the two, the observed keys in ascending order. NULL keys are
+    dropped. Fully lazy: the scaffold is the observed (or listed) keys of one side with the listed keys
+    of the other added by ``explode`` of a literal array, so no join builds the product and no job runs
+    while the plan is built. Labels come from the dictionaries with the key's own text as fallback.
     """
-    wide = dense_pivot(df, row, col, value, rows, cols, agg, fill)
-    value_cols = [c for c in wide.columns if c not in (row, "_row_pos")]
-    if not value_cols:
-        spark = df.sparkSession
-        return spark.createDataFrame([], "row_pos int, row_label string, col_pos int, col_label string, value double")
-    col_pos = {c: i for i, c in enumerate(value_cols, start=1)}
-    col_type = df.schema[col].dataType
-    stacked = wide.select(
-        F.col(row).alias("_row_key"), F.col("_row_pos").alias("row_pos"),
-        F.explode(F.array(*[F.struct(F.lit(col_pos[c]).alias("col_pos"), F.lit(c).alias("_col_text"),
-                                     F.col(f"`{c}`").alias("value")) for c in value_cols])).alias("_cell"))
-    col_key = F.col("_cell._col_text").cast(col_type)
-    row_key = F.col("_row_key")
+    if rows is None and cols is None:
+        raise ValueError("dense_long needs at least one fixed domain (rows or cols)")
+    data = df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
+    cells = data.groupBy(row, col).agg(_AGG[agg](value).alias("_v"))
+    spark = df.sparkSession
+
+    def listed(values: Sequence, key: str, pos: str, dtype: T.DataType) -> Column:
+        return F.array(*[F.struct(F.lit(v).cast(dtype).alias(key), F.lit(i).alias(pos))
+                         for i, v in enumerate(values, start=1)])
+
+    row_type, col_type = df.schema[row].dataType, df.schema[col].dataType
+    if rows is not None and cols is not None:
+        base = literal_frame(spark, [(v, i) for i, v in enumerate(rows, start=1)], [row, "row_pos"],
+                             [row_type, T.IntegerType()])
+        scaffold = base.select(row, "row_pos", F.inline(listed(cols, col, "col_pos", col_type)))
+    elif cols is None:
+        # Observed column keys, ranked over the distinct keys (a handful of rows).
+        observed = data.select(col).distinct().select(
+            col, F.dense_rank().over(Window.orderBy(F.col(col))).cast("int").alias("col_pos"))
+        scaffold = observed.select(col, "col_pos", F.inline(listed(rows, row, "row_pos", row_type)))
+    else:
+        observed = data.select(row).distinct().select(
+            row, F.dense_rank().over(Window.orderBy(F.col(row))).cast("int").alias("row_pos"))
+        scaffold = observed.select(row, "row_pos", F.inline(listed(cols, col, "col_pos", col_type)))
+    filled = scaffold.join(cells, [row, col], "left")
+    row_key, col_key = F.col(row), F.col(col)
     row_label = label_of(row_key, row_labels, fallback=True) if row_labels else row_key.cast("string")
-    col_label = label_of(col_key, col_labels, fallback=True) if col_labels else F.col("_cell._col_text")
-    val = F.col("_cell.value")
-    return stacked.select(
-        "row_pos", row_label.alias("row_label"), F.col("_cell.col_pos").alias("col_pos"),
-        col_label.alias("col_label"), (F.round(val, digits) if digits is not None else val).alias("value"))
+    col_label = label_of(col_key, col_labels, fallback=True) if col_labels else col_key.cast("string")
+    val = F.coalesce(F.col("_v").cast("double"), F.lit(float(fill)))
+    return filled.select(
+        F.col("row_pos").cast("int").alias("row_pos"), row_label.alias("row_label"),
+        F.col("col_pos").cast("int").alias("col_pos"), col_label.alias("col_label"),
+        (F.round(val, digits) if digits is not None else val).alias("value"))
 
 
 def to_chart(matrix: DataFrame) -> DataFrame:
