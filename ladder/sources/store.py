@@ -43,11 +43,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_NAMESPACE: list[str] = []
+
+
+def set_namespace(name: str | None) -> None:
+    """Put materialised tables in ``ladder_tables/<name>`` (e.g. one run's private builds); None resets."""
+    _NAMESPACE[:] = [name] if name else []
+
+
 def table_root(spark: SparkSession) -> str:
-    """Folder for materialised tables: ``<spark.checkpoint.dir>/ladder_tables``."""
+    """Folder for materialised tables: ``<spark.checkpoint.dir>/ladder_tables[/<namespace>]``."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     base = configured or ensure_checkpoint_dir(spark)
-    return base.rstrip("/") + "/ladder_tables"
+    return "/".join([base.rstrip("/"), "ladder_tables", *_NAMESPACE])
 
 
 def fingerprint(spark: SparkSession, paths: list[str], salt: str = "") -> str:
