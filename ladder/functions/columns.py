@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Longest numeric prefix of a trimmed string: sign, digits with optional fraction (or a bare
+# Longest numeric prefix after leading whitespace: sign, digits with optional fraction (or a bare
 # fraction), optional exponent. Lets '68.5%' read as 68.5 and '1e2x' as 100.
-_NUMERIC_PREFIX = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
+_NUMERIC_PREFIX = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 
 
 def col_of(c: str | Column) -> Column:
@@ -24,10 +24,11 @@ def int_code(c: str | Column) -> Column:
 def lenient_double(c: str | Column) -> Column:
     """Text to double the lenient way: the longest numeric prefix, 0.0 when there is none.
 
-    NULL stays NULL. '68.5%' -> 68.5, '-' -> 0.0, 'abc' -> 0.0, ' 70 ' -> 70.0, '.5' -> 0.5.
+    NULL stays NULL. '68.5%' -> 68.5, '-' -> 0.0, 'abc' -> 0.0, ' 70 ' -> 70.0, '.5' -> 0.5,
+    '\t5' -> 5.0 (any leading whitespace is skipped, as a C-style text-to-real cast does).
     """
     c = col_of(c)
-    prefix = F.regexp_extract(F.trim(c), _NUMERIC_PREFIX, 0)
+    prefix = F.regexp_extract(c, _NUMERIC_PREFIX, 1)
     parsed = F.coalesce(F.nullif(prefix, F.lit("")).try_cast("double"), F.lit(0.0))
     return F.when(c.isNotNull(), parsed)
 

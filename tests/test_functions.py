@@ -36,3 +36,26 @@ def test_round_is_half_up_on_decimal_text(spark):
     # The rounding the reference's SQL engine performs; DuckDB's binary rounding differs on 1.005.
     row = spark.range(1).select(F.round(F.lit(1.005), 2).alias("a"), F.round(F.lit(0.15), 1).alias("b")).first()
     assert (row.a, row.b) == (1.01, 0.2)
+
+
+def test_lenient_double_equals_sqlite_text_to_real_cast(spark):
+    """Property check against SQLite's own CAST(text AS REAL) (in-process, in-memory)."""
+    import math
+    import sqlite3
+
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    alphabet = st.sampled_from(list("0123456789+-.eE %ax\t\n"))
+    con = sqlite3.connect(":memory:")
+
+    @settings(max_examples=1, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(st.text(alphabet, max_size=8), min_size=200, max_size=200))
+    def check(texts):
+        expect = [con.execute("SELECT CAST(? AS REAL)", (t,)).fetchone()[0] for t in texts]
+        df = spark.createDataFrame([(t,) for t in texts], "t string")
+        got = [r[0] for r in df.select(lenient_double("t")).collect()]
+        for t, g, e in zip(texts, got, expect):
+            assert g == e or (math.isinf(g) and math.isinf(e) and (g > 0) == (e > 0)), (t, g, e)
+
+    check()
