@@ -119,3 +119,11 @@ def test_command_line_refresh_writes_every_result(spark, tmp_out):
     assert set(paths) == set(entry_mod.queries())
     assert spark.read.parquet(paths["income_transition_dense"]).count() == 100
     assert not spark.sparkContext._jsc.sc().isStopped()
+
+
+def test_statements_equal_sqlite_engine(spark):
+    """The reference's engine (SQLite, with its own ROUND) gives the same statement results."""
+    from sqlite_crosscheck import crosscheck
+
+    report = crosscheck(spark, SF_SMALL)
+    assert len(report) == 20 and sum(report.values()) == 0, report
