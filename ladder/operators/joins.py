@@ -75,7 +75,7 @@ def dimension(spark: SparkSession, mapping: Mapping, key: str = "code", label: s
     return literal_frame(spark, list(mapping.items()), [key, label], [key_type, T.StringType()])
 
 
-def attach_label(df: DataFrame, code: str | Column, dim: DataFrame, label_as: str,
+def attach_label(df: DataFrame, code: str | Column, dim: DataFrame, label_as: str = "label",
                  fallback: bool = False) -> DataFrame:
     """Left equi-join to a small dimension ``(key, label)``.
 
