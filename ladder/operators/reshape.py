@@ -99,8 +99,9 @@ def to_chart(matrix: DataFrame) -> DataFrame:
     (R4): one dataset per column key, values in row order. Bounded by the matrix's domain sizes."""
     per_col = matrix.groupBy("col_pos", "col_label").agg(
         F.sort_array(F.collect_list(F.struct("row_pos", "row_label", "value"))).alias("cells"))
+    no_labels = F.array().cast("array<string>")
     return per_col.agg(
-        F.min_by(F.transform("cells", lambda c: c["row_label"]), "col_pos").alias("labels"),
+        F.coalesce(F.min_by(F.transform("cells", lambda c: c["row_label"]), "col_pos"), no_labels).alias("labels"),
         F.transform(F.sort_array(F.collect_list(F.struct(
             "col_pos", F.col("col_label").alias("label"),
             F.transform("cells", lambda c: c["value"]).alias("data")))),
@@ -115,7 +116,8 @@ def to_matrix(matrix: DataFrame) -> DataFrame:
     return per_row.agg(
         F.transform(F.sort_array(F.collect_list(F.struct("row_pos", "row_label"))),
                     lambda r: r["row_label"]).alias("rows"),
-        F.min_by(F.transform("cells", lambda c: c["col_label"]), "row_pos").alias("columns"),
+        F.coalesce(F.min_by(F.transform("cells", lambda c: c["col_label"]), "row_pos"),
+                   F.array().cast("array<string>")).alias("columns"),
         F.transform(F.sort_array(F.collect_list(F.struct("row_pos", "cells"))),
                     lambda r: F.transform(r["cells"], lambda c: c["value"])).alias("values"),
     ).select(F.struct("rows", "columns", "values").alias("matrix"))

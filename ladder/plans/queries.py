@@ -294,9 +294,11 @@ MATRIX_ORDER = ("row_pos", "col_pos")
 
 @query(order=MATRIX_ORDER)
 def child_education_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # This statement's table is empty (not a zero matrix) when the statement has no rows.
     flat = child_education_share(spark, sf_dir, ordered=False)
-    return dense_long(flat, "quintile", "child_edu", "share", rows=[1, 2, 3, 4, 5], cols=[1, 2, 3, 4, 5, 6],
-                      col_labels=PARENT_EDU_LABELS)
+    dense = dense_long(flat, "quintile", "child_edu", "share", rows=[1, 2, 3, 4, 5], cols=[1, 2, 3, 4, 5, 6],
+                       col_labels=PARENT_EDU_LABELS)
+    return dense.where(flat.select(F.count(F.lit(1))).scalar() > 0)
 
 
 def _education_matrix(flat: DataFrame, code_as: str, labels, cols=None) -> DataFrame:
