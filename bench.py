@@ -45,6 +45,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
 
     from ladder.plans.dashboard import dashboard, run_all, shared_statements
+    from ladder.plans.queries import QUERIES
     from ladder.sources import store, views
 
     # The session's checkpoint folder (a local temporary one only when the session names none),
@@ -64,17 +65,17 @@ def main() -> None:
     latencies: dict[str, float] = {}
     rows: dict[str, int] = {}
 
-    def timed(name, df):
+    def timed(name):
         def action():
             t = time.perf_counter()
-            rows[name] = len(df.collect())
+            rows[name] = len(dashboard(spark, sf_dir, [name])[name].collect())
             latencies[name] = time.perf_counter() - t
         return action
 
+    names = list(QUERIES)
     t1 = time.perf_counter()
     with shared_statements(spark, sf_dir, workers):
-        results = dashboard(spark, sf_dir)
-        run_all([timed(name, df) for name, df in results.items()], workers)
+        run_all([timed(name) for name in names], workers)
     page_load = time.perf_counter() - t1
 
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
@@ -85,9 +86,9 @@ def main() -> None:
         "warmup_sec": round(warmup, 3),
         "build_views_sec": round(build, 3),
         "page_load_sec": round(page_load, 3),
-        "queries": {k: round(latencies[k], 3) for k in results},
+        "queries": {k: round(latencies[k], 3) for k in names},
         "rows": rows,
-        "n_results": len(results),
+        "n_results": len(names),
         "workers": workers,
         "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
         "cpus": cpus,

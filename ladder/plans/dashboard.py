@@ -43,12 +43,17 @@ def shared_statements(spark: SparkSession, sf_dir: str, workers: int = 1) -> Ite
 
     Each layer is materialised up front, ``workers`` at a time (independent Spark jobs that the
     scheduler interleaves on the executors)."""
+    def materialise(name: str):
+        def action() -> DataFrame:
+            df = QUERIES[name](spark, sf_dir, ordered=False).persist(StorageLevel.MEMORY_AND_DISK)
+            df.count()
+            return df
+        return action
+
     held = []
     for layer in (STATEMENTS, MATRICES):
-        frames = [QUERIES[name](spark, sf_dir, ordered=False).persist(StorageLevel.MEMORY_AND_DISK)
-                  for name in layer]
-        held.extend(frames)
-        run_all([df.count for df in frames], workers)
+        # Plan, persist and fill each result on its own worker, so planning overlaps execution.
+        held.extend(run_all([materialise(name) for name in layer], workers))
     try:
         yield held
     finally:

@@ -60,7 +60,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 CITY = 1
 
 _BUILT: dict[tuple, DataFrame] = {}
-_BUILD_LOCK = threading.RLock()
+_LOCKS: dict[tuple, threading.Lock] = {}
+_LOCKS_GUARD = threading.Lock()
+
+
+def _lock(key: tuple) -> threading.Lock:
+    # One lock per query: queries depend on each other as a DAG, so nested builds never wait in a cycle.
+    with _LOCKS_GUARD:
+        return _LOCKS.setdefault(key, threading.Lock())
 
 
 def query(order: Callable[[], list[str | Column]] | tuple[str, ...] = ()):
@@ -74,7 +81,7 @@ def query(order: Callable[[], list[str | Column]] | tuple[str, ...] = ()):
         @wraps(fn)
         def wrapper(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
             key = (id(spark.sparkContext._jsc), sf_dir, fn.__name__)
-            with _BUILD_LOCK:
+            with _lock(key):
                 if key not in _BUILT:
                     _BUILT[key] = fn(spark, sf_dir)
                 df = _BUILT[key].select("*")
