@@ -273,3 +273,21 @@ def build_views(spark: SparkSession, sf_dir: str, workers: int = 2) -> None:
     with ThreadPoolExecutor(max_workers=min(workers, len(tasks))) as pool:
         for f in [pool.submit(t) for t in tasks]:
             f.result()
+
+
+def register_views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Register the input tables and the four derived views as temp views, so statements can also be
+    written in Spark SQL (``spark.sql("SELECT ... FROM panel ...")``). Returns the registered frames."""
+    from ladder.sources.tables import load_views
+
+    frames = load_views(spark, sf_dir)
+    derived = {
+        "panel": panel(spark, sf_dir),
+        "parent_child": parent_child(spark, sf_dir),
+        "edu_spend": edu_spend(spark, sf_dir),
+        "institution": institution(spark, sf_dir),
+    }
+    for name, df in derived.items():
+        df.createOrReplaceTempView(name)
+    frames.update(derived)
+    return frames

@@ -1,11 +1,11 @@
-"""Cross-check against the reference's engine: run the statements over the materialised views in an
-in-memory SQLite (Python's sqlite3, in-process) with SQLite's own ROUND, AVG and window functions, and
-compare with the Spark results.
+"""Cross-checks of the statements on other execution paths, compared with the DataFrame results:
 
-Usage: python tests/sqlite_crosscheck.py [sf_dir]
+* ``sqlite``: the reference's engine — an in-memory SQLite (Python's sqlite3, in-process) with its own
+  ROUND, AVG and window functions, over the materialised views. The spend/institution statement is
+  skipped (SQLite lacks regular expressions).
+* ``sparksql``: the same statements as Spark SQL text over temp views (``register_views``).
 
-Only the statements over ``panel`` and ``parent_child`` run here; the spend/institution statement needs
-regular expressions, which SQLite lacks.
+Usage: python tests/engine_crosscheck.py [sf_dir] [sqlite|sparksql]
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ sys.path.insert(0, __file__.rsplit("/tests/", 1)[0])
 from ladder.plans.dashboard import STATEMENTS  # noqa: E402
 from ladder.plans.oracle import build_bodies  # noqa: E402
 from ladder.plans.queries import QUERIES  # noqa: E402
-from ladder.sources import views  # noqa: E402
+from ladder.sources import register_views, views  # noqa: E402
 
 
 def _norm(v):
@@ -35,11 +35,24 @@ def _rows(records, cols):
     return sorted(rows, key=lambda t: tuple((x is None, str(x)) for x in t))
 
 
+def sparksql_crosscheck(spark, sf_dir: str) -> dict[str, int]:
+    register_views(spark, sf_dir)
+    bodies = build_bodies(dialect="spark")
+    report = {}
+    for name in STATEMENTS:
+        sql_df = spark.sql(bodies[name][1])
+        cols = sql_df.columns
+        got = _rows([r.asDict() for r in sql_df.collect()], cols)
+        spk = _rows([r.asDict() for r in QUERIES[name](spark, sf_dir).collect()], cols)
+        report[name] = sum(a != b for a, b in zip(spk, got)) + abs(len(spk) - len(got))
+    return report
+
+
 def crosscheck(spark, sf_dir: str) -> dict[str, int]:
     con = sqlite3.connect(":memory:")
     views.panel(spark, sf_dir).toPandas().to_sql("panel", con, index=False)
     views.parent_child(spark, sf_dir).toPandas().to_sql("parent_child", con, index=False)
-    bodies = build_bodies(rounding="native")
+    bodies = build_bodies(dialect="sqlite")
     report = {}
     for name in STATEMENTS:
         used, sql = bodies[name]
@@ -57,10 +70,11 @@ if __name__ == "__main__":
     from pyspark.sql import SparkSession
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
+    engine = sys.argv[2] if len(sys.argv) > 2 else "sqlite"
     spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
              .config("spark.ui.enabled", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
-    rep = crosscheck(spark, sf)
+    rep = (sparksql_crosscheck if engine == "sparksql" else crosscheck)(spark, sf)
     for k, v in rep.items():
         print(f"{k:32s} differing rows: {v}")
     print("statements:", len(rep), "total differing rows:", sum(rep.values()))

@@ -123,12 +123,20 @@ def test_command_line_refresh_writes_every_result(spark, tmp_out):
 
 def test_statements_equal_sqlite_engine(spark):
     """The reference's engine (SQLite, with its own ROUND) gives the same statement results."""
-    from sqlite_crosscheck import crosscheck
+    from engine_crosscheck import crosscheck
 
     report = crosscheck(spark, SF_SMALL)
     assert len(report) == 20 and sum(report.values()) == 0, report
 
 
+def test_statements_as_spark_sql_text(spark):
+    """The statements written as Spark SQL over the registered views give the DataFrame results."""
+    from engine_crosscheck import sparksql_crosscheck
+
+    report = sparksql_crosscheck(spark, SF_SMALL)
+    assert len(report) == 21 and sum(report.values()) == 0, report
+
+
 def test_oracle_parity_on_empty_inputs(spark, tmp_out):
     """Empty input tables (same schemas): every query still agrees with its oracle (empty results,
     zero-filled fixed-domain matrices, KPI defaults)."""
