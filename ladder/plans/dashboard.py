@@ -50,11 +50,11 @@ def shared_statements(spark: SparkSession, sf_dir: str, workers: int = 1) -> Ite
             return df
         return action
 
-    held = []
-    for layer in (STATEMENTS, MATRICES):
-        # Plan, persist and fill each result on its own worker, so planning overlaps execution.
-        held.extend(run_all([materialise(name) for name in layer], workers))
+    held: list[DataFrame] = []
     try:
+        for layer in (STATEMENTS, MATRICES):
+            # Plan, persist and fill each result on its own worker, so planning overlaps execution.
+            held.extend(run_all([materialise(name) for name in layer], workers))
         yield held
     finally:
         for df in held:
