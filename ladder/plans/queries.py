@@ -80,7 +80,7 @@ def query(order: Callable[[], list[str | Column]] | tuple[str, ...] = ()):
     def deco(fn: Callable[[SparkSession, str], DataFrame]):
         @wraps(fn)
         def wrapper(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
-            key = (id(spark.sparkContext._jsc), sf_dir, fn.__name__)
+            key = (spark.sparkContext.applicationId, sf_dir, fn.__name__)
             with _lock(key):
                 if key not in _BUILT:
                     _BUILT[key] = fn(spark, sf_dir)

@@ -99,7 +99,7 @@ def write_scratch(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_MEMO: dict[tuple[int, str], DataFrame] = {}
+_MEMO: dict[tuple[str, str], DataFrame] = {}
 _LOCKS: dict[str, threading.Lock] = {}
 _LOCKS_GUARD = threading.Lock()
 
@@ -117,7 +117,7 @@ def materialize(spark: SparkSession, build, name: str, inputs: list[str], schema
     table already exists.
     """
     path = f"{table_root(spark)}/{name}-{fingerprint(spark, inputs, name)}"
-    key = (id(spark.sparkContext._jsc), path)
+    key = (spark.sparkContext.applicationId, path)
     with _lock_for(path):  # one build per table even when queries run from several threads
         if key not in _MEMO:
             _MEMO[key] = _build_or_scan(spark, build, path, schema, partition_by, columns)
