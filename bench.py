@@ -30,6 +30,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     workers = int(os.environ.get("BENCH_WORKERS", "4"))
+    fuse_env = os.environ.get("BENCH_FUSE", "auto")
+    fuse = None if fuse_env == "auto" else fuse_env != "0"
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("ladder-bench")
@@ -44,7 +46,7 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
 
-    from ladder.plans.dashboard import dashboard, run_all, shared_statements
+    from ladder.plans.dashboard import FUSE_MIN_BYTES, dashboard, latest_slice_bytes, run_all, shared_statements
     from ladder.plans.queries import QUERIES
     from ladder.sources import store, views
 
@@ -73,8 +75,10 @@ def main() -> None:
         return action
 
     names = list(QUERIES)
+    slice_bytes = latest_slice_bytes(spark, sf_dir)
+    fused = (slice_bytes >= FUSE_MIN_BYTES) if fuse is None else fuse
     t1 = time.perf_counter()
-    with shared_statements(spark, sf_dir, workers):
+    with shared_statements(spark, sf_dir, workers, fuse=fused):
         run_all([timed(name) for name in names], workers)
     page_load = time.perf_counter() - t1
 
@@ -90,6 +94,8 @@ def main() -> None:
         "rows": rows,
         "n_results": len(names),
         "workers": workers,
+        "fused_latest_year": fused,
+        "latest_slice_bytes": slice_bytes,
         "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
         "cpus": cpus,
     }))

@@ -70,6 +70,24 @@ def _lock(key: tuple) -> threading.Lock:
         return _LOCKS.setdefault(key, threading.Lock())
 
 
+# Per (application, input folder): statement name -> replacement plan, while a refresh runs fused.
+_FUSED: dict[tuple, dict[str, DataFrame]] = {}
+
+
+def set_fused(spark: SparkSession, sf_dir: str, frames: dict[str, DataFrame] | None) -> None:
+    """Resolve the named statements to ``frames`` for this session and input folder (None ends it).
+
+    While set, every query is planned (and memoised separately) on top of the replacements; ending
+    it drops those plans."""
+    ctx = (spark.sparkContext.applicationId, sf_dir)
+    if frames:
+        _FUSED[ctx] = dict(frames)
+        return
+    _FUSED.pop(ctx, None)
+    for key in [k for k in _BUILT if k[:2] == ctx and k[3] == "fused"]:
+        _BUILT.pop(key, None)
+
+
 def query(order: Callable[[], list[str | Column]] | tuple[str, ...] = ()):
     """Declare a registered query: build its unordered DataFrame once per session and input folder,
     and apply ``order`` (names, or a function returning Columns) when ``ordered`` is requested.
@@ -80,10 +98,11 @@ def query(order: Callable[[], list[str | Column]] | tuple[str, ...] = ()):
     def deco(fn: Callable[[SparkSession, str], DataFrame]):
         @wraps(fn)
         def wrapper(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
-            key = (spark.sparkContext.applicationId, sf_dir, fn.__name__)
+            fused = _FUSED.get((spark.sparkContext.applicationId, sf_dir))
+            key = (spark.sparkContext.applicationId, sf_dir, fn.__name__, "fused" if fused else "plain")
             with _lock(key):
                 if key not in _BUILT:
-                    _BUILT[key] = fn(spark, sf_dir)
+                    _BUILT[key] = fused[fn.__name__] if fused and fn.__name__ in fused else fn(spark, sf_dir)
                 df = _BUILT[key].select("*")
             if ordered and order:
                 return group_order(df, *(order() if callable(order) else order))

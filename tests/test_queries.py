@@ -152,3 +152,20 @@ def test_oracle_parity_on_empty_inputs(spark, tmp_out):
     assert not bad, bad
     kpi = entry_mod.queries()["summary_kpis"](spark, tmp_out).first()
     assert (kpi.income_gap, kpi.asset_gap, kpi.upper_retention, kpi.latest_year) == (0.0, 0.0, 0.0, None)
+
+
+def test_fused_refresh_equals_independent_results(spark):
+    """Forced fusion: the latest-year statements come from one grouping-sets pass, and every result of
+    the refresh (statements, matrices, charts, KPIs) equals the independently planned one."""
+    from ladder.plans.dashboard import dashboard, shared_statements
+    from ladder.plans.fused import fused_statements
+
+    q = entry_mod.queries()
+    independent = {n: sorted(map(str, fn(spark, SF_SMALL).collect())) for n, fn in q.items()}
+    with shared_statements(spark, SF_SMALL, workers=4, fuse=True):
+        res = dashboard(spark, SF_SMALL)
+        plan = res["wage_by_education"]._jdf.queryExecution().executedPlan().toString()
+        shared = {n: sorted(map(str, df.collect())) for n, df in res.items()}
+    assert shared == independent
+    assert "InMemoryTableScan" in plan
+    assert len(fused_statements(spark, SF_SMALL)) == 12
