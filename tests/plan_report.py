@@ -83,7 +83,10 @@ def main(sf_dir: str, out: str) -> None:
              f"Executed physical plans (AQE final plans) of every registered query at `{sf_dir}`, summarised by",
              "`tests/plan_report.py`. Scans list read schema, pushed filters and partition filters; shuffle",
              "keys are shown without expression ids. Regenerate after plan changes.", ""]
-    for name, fn in QUERIES.items():
+    from ladder.plans.fused import latest_cube
+
+    entries = list(QUERIES.items()) + [("latest_cube (refresh only, fused latest-year statements)", latest_cube)]
+    for name, fn in entries:
         df = fn(spark, sf_dir)
         df.collect()
         s = summarize(df._jdf.queryExecution().executedPlan().executedPlan().toString())
