@@ -33,13 +33,19 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; only when none is configured (tests, local runs) set one."""
+    """The session's checkpoint folder. Only a local-mode session without one (tests, local runs) gets
+    a temporary folder; on a cluster a machine-local folder would be wrong, so one must be configured."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="ladder-ckpt-"))
+    if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage (HDFS, object store): "
+                               "materialised tables and lineage cuts are written there")
+        configured = tempfile.mkdtemp(prefix="ladder-ckpt-")
+    sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
