@@ -27,6 +27,12 @@ def _hadoop(spark: SparkSession, path: str):
     return fs, hpath
 
 
+def content_bytes(spark: SparkSession, path: str) -> int:
+    """Total bytes under ``path`` (file-system metadata only)."""
+    fs, hpath = _hadoop(spark, path)
+    return int(fs.getContentSummary(hpath).getLength())
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     fs, hpath = _hadoop(spark, path)
     return bool(fs.exists(hpath))

@@ -55,7 +55,9 @@ def compare(spark, sf_dir: str, names=None) -> dict:
         if name not in sqls:
             report[name] = {"status": "rows-only", "rows": len(s)}
             continue
-        d = con.execute(sqls[name]).fetchdf()
+        rel = con.execute(sqls[name])
+        duck_types = {col[0]: str(col[1]) for col in rel.description}
+        d = rel.fetchdf()
         entry = {"rows": (len(s), len(d)), "sec": round(secs, 2)}
         if sorted(s.columns) != sorted(d.columns):
             entry["status"] = f"COLUMNS {sorted(s.columns)} vs {sorted(d.columns)}"
@@ -66,8 +68,7 @@ def compare(spark, sf_dir: str, names=None) -> dict:
         else:
             entry["status"] = "ok"
         entry["spark_types"] = {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
-        entry["duck_types"] = {c: str(t) for c, t in zip(d.columns, con.execute(sqls[name]).description and
-                                                              [x[1] for x in con.execute(sqls[name]).description])}
+        entry["duck_types"] = duck_types
         report[name] = entry
     return report
 
