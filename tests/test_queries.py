@@ -169,3 +169,19 @@ def test_fused_refresh_equals_independent_results(spark):
     assert shared == independent
     assert "InMemoryTableScan" in plan
     assert len(fused_statements(spark, SF_SMALL)) == 12
+
+
+def test_low_group_escape_plus_stay_is_100(spark):
+    from pyspark.sql import functions as F
+
+    from ladder.operators import rate_by
+    from ladder.sources import views
+
+    p = views.panel(spark, SF_SMALL).where(
+        (F.col("year_gap") == 1) & F.col("prev_income_decile").isNotNull() & F.col("h_incomeq").isNotNull())
+    prev, cur = F.col("prev_income_decile"), F.col("h_incomeq")
+    rates = rate_by(p, "year", {"escape": ((prev <= 3) & (cur > 3), prev <= 3),
+                                "stay": ((prev <= 3) & (cur <= 3), prev <= 3)}).collect()
+    assert rates and all(abs(r.escape + r.stay - 100.0) <= 0.1 for r in rates if r.escape is not None)
+    trend = {r.year: r.lower_escape_rate for r in entry_mod.queries()["escape_and_retention_trend"](spark, SF_SMALL).collect()}
+    assert {r.year: r.escape for r in rates} == trend
