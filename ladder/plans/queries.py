@@ -49,9 +49,10 @@ from ladder.operators.interpolate import interpolate_two_tiers, tier_means
 from ladder.operators.joins import attach_scalar, label_of
 from ladder.operators.metrics import endpoint_values, extremes, first_last, summary_kpis, transition_summary
 from ladder.operators.mobility import escape_and_retention, transition_matrix, upper_retention
-from ladder.operators.reshape import dense_long, to_chart, to_matrix
+from ladder.operators.reshape import dense_long, dense_pivot, to_chart, to_matrix
 from ladder.operators.shares import share_of_total, share_within
 from ladder.sources import views
+from ladder.sources.sinks import to_records
 from ladder.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -371,6 +372,13 @@ def income_transition_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_long(flat, "prev_decile", "cur_decile", "share", rows=levels, cols=levels)
 
 
+@query(order=("year",))
+def debt_by_generation_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The debt pivot in wide form (R3): one row per observed year, one column per generation."""
+    flat = debt_by_generation(spark, sf_dir, ordered=False)
+    return dense_pivot(flat, "year", "generation", "avg_debt", cols=GENERATION_ORDER, agg="mean").drop("_row_pos")
+
+
 # --- Emitted payloads (R4): one JSON document per chart or matrix --------------------------------------
 
 def _chart_json(matrix: DataFrame) -> DataFrame:
@@ -416,6 +424,12 @@ def income_transition_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matrix_json(income_transition_dense(spark, sf_dir, ordered=False))
 
 
+@query()
+def wage_by_education_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement emitted as JSON records (S2): one object per row, NULLs kept, non-ASCII kept."""
+    return to_records(wage_by_education(spark, sf_dir, ordered=False))
+
+
 # --- One-row metrics (K1-K5) -----------------------------------------------------------------------------
 
 @query()
@@ -512,4 +526,6 @@ QUERIES: dict[str, Query] = {
     "employment_mobility_chart": employment_mobility_chart,
     "debt_by_generation_chart": debt_by_generation_chart,
     "income_transition_chart": income_transition_chart,
+    "debt_by_generation_pivot": debt_by_generation_pivot,
+    "wage_by_education_records": wage_by_education_records,
 }
