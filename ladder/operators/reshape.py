@@ -1,8 +1,13 @@
 """Pivots over fixed or observed category domains and chart/matrix encodings.
 
-Inputs are aggregated results (rows x categories cells), so every step here moves few rows. Wide
-pivots use ``groupBy().pivot(col, values)``; the row domain is enforced by a left join from a small
-literal domain frame, so missing rows appear as zeros and unlisted rows drop out.
+Inputs are aggregated results (rows x categories cells), so every step here moves few rows.
+
+* ``dense_pivot`` (wide): ``groupBy().pivot(col, values)``; a listed row domain is a literal frame
+  (size-checked by ``literal_frame``) broadcast and left-joined, so missing rows appear as zeros and
+  unlisted rows drop out.
+* ``dense_long`` (long, what the registered matrices use): a scaffold of listed/observed keys built by
+  ``explode`` of a literal array, left-joined with the aggregated cells; lazy, no pivot job.
+* ``to_chart`` / ``to_matrix``: the emitted nested encodings, assembled from the dense long form.
 """
 
 from __future__ import annotations
