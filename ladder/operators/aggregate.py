@@ -113,6 +113,6 @@ def pivot_max(df: DataFrame, keys, selector: str | Column, cases: Mapping[str, t
     return df.groupBy(*_keys(keys)).agg(*aggs)
 
 
-def group_order(df: DataFrame, *cols: Sequence) -> DataFrame:
+def group_order(df: DataFrame, *cols: str | Column) -> DataFrame:
     """ORDER BY with NULLs first, as the source SQL engine does on ascending keys (O1, O2)."""
     return df.orderBy(*[col_of(c).asc_nulls_first() for c in cols])
