@@ -33,3 +33,26 @@ def test_exact_ntile_plan_has_no_window_over_rows(spark):
     # no NTILE window: the only windows run over the per-partition block table (few rows)
     assert "ntile" not in plan.lower()
     assert "_n" in plan and "_before" in plan
+
+
+def test_exact_ntile_property(spark):
+    """Random sizes (including empty and smaller than the bucket count), bucket counts, group counts
+    and input partitionings, always equal to Spark's window NTILE."""
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(n=st.integers(0, 120), buckets=st.integers(1, 12), groups=st.integers(0, 3),
+           parts=st.integers(1, 6), seed=st.integers(0, 10**6))
+    def check(n, buckets, groups, parts, seed):
+        rnd = random.Random(seed)
+        rows = [(i, rnd.randint(0, groups), float(rnd.randint(0, 9))) for i in range(n)]
+        df = spark.createDataFrame(rows, "id long, g int, v double").repartition(parts)
+        part = ["g"] if groups else []
+        got = exact_ntile(df, buckets, order_by=["v", "id"], partition_by=part, out="t")
+        w = (Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))).orderBy("v", "id")
+        expect = df.withColumn("t", F.ntile(buckets).over(w))
+        assert sorted(map(tuple, got.select("id", "t").collect())) == \
+            sorted(map(tuple, expect.select("id", "t").collect()))
+
+    check()
