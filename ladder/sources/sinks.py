@@ -34,9 +34,20 @@ def write_dashboard(spark: SparkSession, sf_dir: str, path: str,
     """Compute every registered result over ``sf_dir`` and write one dataset per result (S3).
 
     With the default query set the statements are computed once and shared by the derived outputs."""
+    from ladder.plans.dashboard import run_all, shared_statements
+
+    def writer(name, fn):
+        target = f"{path.rstrip('/')}/{name}"
+        return lambda: (fn(spark, sf_dir).write.mode("overwrite").format(fmt).save(target), target)[1]
+
+    def write(selected):
+        # Each worker plans and writes one result, so planning overlaps the other writes.
+        targets = run_all([writer(name, fn) for name, fn in selected.items()], workers)
+        return dict(zip(selected, targets))
+
     if queries is not None:
-        return write_all({name: fn(spark, sf_dir) for name, fn in queries.items()}, path, fmt, workers)
-    from ladder.plans.dashboard import dashboard, shared_statements
+        return write(dict(queries))
+    from ladder.plans.queries import QUERIES
 
     with shared_statements(spark, sf_dir, workers):
-        return write_all(dashboard(spark, sf_dir), path, fmt, workers)
+        return write(dict(QUERIES))
