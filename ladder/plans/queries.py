@@ -89,6 +89,20 @@ def set_fused(spark: SparkSession, sf_dir: str, frames: dict[str, DataFrame] | N
         _BUILT.pop(key, None)
 
 
+def forget(spark: SparkSession, sf_dir: str | None = None) -> None:
+    """Drop the memoised plans, table scans and materialised-view handles of this session (for one input
+    folder, or all). Call it after the input tables change within a running session; the next call
+    re-fingerprints the inputs and rebuilds what changed."""
+    from ladder.sources import store, tables
+
+    app = spark.sparkContext.applicationId
+    for key in [k for k in _BUILT if k[0] == app and (sf_dir is None or k[1] == sf_dir)]:
+        _BUILT.pop(key, None)
+    for memo in (store._MEMO, tables._READS):
+        for key in [k for k in memo if k[0] == app and (sf_dir is None or sf_dir.rstrip("/") in k[1])]:
+            memo.pop(key, None)
+
+
 def query(order: Callable[[], list[str | Column]] | tuple[str, ...] = ()):
     """Declare a registered query: build its unordered DataFrame once per session and input folder,
     and apply ``order`` (names, or a function returning Columns) when ``ordered`` is requested.

@@ -36,3 +36,28 @@ def test_write_scratch_cuts_lineage_and_is_cleaned_by_materialize(spark):
     out = store.materialize(spark, build, "scratch_user", [])
     assert sorted(r.y for r in out.collect()) == [1, 2, 3, 4, 5]
     assert store._scratch() == []             # the scratch folder was removed after the write
+
+
+def test_forget_rebuilds_after_inputs_change(spark, tmp_out):
+    """After the input tables change, ``forget`` makes the next query re-fingerprint and rebuild."""
+    import shutil
+
+    from conftest import SF_SMALL
+    from ladder.plans.queries import QUERIES, forget
+    from ladder.sources.tables import TABLES
+
+    sf = os.path.join(tmp_out, "sf")
+    os.makedirs(sf)
+    for t in TABLES:
+        shutil.copy(f"{SF_SMALL}/{t}.parquet", f"{sf}/{t}.parquet")
+    before = QUERIES["latest_year"](spark, sf).first().latest_year
+    orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    time.sleep(1.1)
+    orders.where(F.year("o_orderdate") < before).write.mode("overwrite").parquet(f"{sf}/orders_new.parquet")
+    shutil.rmtree(f"{sf}/orders.parquet", ignore_errors=True)
+    if os.path.exists(f"{sf}/orders.parquet"):
+        os.remove(f"{sf}/orders.parquet")
+    os.rename(f"{sf}/orders_new.parquet", f"{sf}/orders.parquet")
+    forget(spark, sf)
+    after = QUERIES["latest_year"](spark, sf).first().latest_year
+    assert after == before - 1
