@@ -185,3 +185,30 @@ def test_low_group_escape_plus_stay_is_100(spark):
     assert rates and all(abs(r.escape + r.stay - 100.0) <= 0.1 for r in rates if r.escape is not None)
     trend = {r.year: r.lower_escape_rate for r in entry_mod.queries()["escape_and_retention_trend"](spark, SF_SMALL).collect()}
     assert {r.year: r.escape for r in rates} == trend
+
+
+def _windows_without_partitions(node):
+    """Yield (WindowExec, subtree text) for windows with no partition keys (or only literal ones)."""
+    if node.nodeName() == "Window":
+        spec = node.partitionSpec()
+        keys = [spec.apply(i) for i in range(spec.size())]
+        if all(k.foldable() for k in keys):
+            yield node, node.treeString()
+    children = node.children()
+    for i in range(children.size()):
+        yield from _windows_without_partitions(children.apply(i))
+
+
+def test_unpartitioned_windows_only_over_aggregated_rows(spark):
+    """SURVEY §5: a single-partition window may only run over an aggregated result, never over rows
+    of a scanned table."""
+    seen = 0
+    for name, fn in entry_mod.queries().items():
+        plan = fn(spark, SF_SMALL)._jdf.queryExecution().sparkPlan()
+        for _, tree in _windows_without_partitions(plan):
+            seen += 1
+            lines = tree.splitlines()[1:]
+            first_agg = next((i for i, ln in enumerate(lines) if "Aggregate" in ln), None)
+            first_scan = next((i for i, ln in enumerate(lines) if "Scan" in ln and "LocalTableScan" not in ln), None)
+            assert first_agg is not None and (first_scan is None or first_agg < first_scan), (name, tree)
+    assert seen > 0
