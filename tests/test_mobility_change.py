@@ -109,3 +109,14 @@ def test_transition_matrix_against_pandas(spark, seed):
     for (a, _), (_, s) in got.items():
         by_prev[a] = by_prev.get(a, 0.0) + s
     assert all(abs(v - 100.0) <= 0.1 * 10 for v in by_prev.values())
+
+
+def test_period_filters_take_bounds_from_the_whole_source(spark):
+    from ladder.operators import endpoints, latest_period
+
+    df = spark.createDataFrame([(1999, 1.0), (2000, 2.0), (2001, None), (2002, 4.0)], "year int, x double")
+    filtered = df.where(F.col("x").isNotNull() & (F.col("year") < 2002))
+    # bounds from the whole table (2002), not from the filtered rows: nothing survives
+    assert latest_period(filtered, "year", source=df).count() == 0
+    assert [r.year for r in latest_period(filtered, "year").collect()] == [2000]
+    assert sorted(r.year for r in endpoints(df, "year").collect()) == [1999, 2002]
