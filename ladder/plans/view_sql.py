@@ -5,6 +5,11 @@ The oracle runs on base tables only, so every query inlines the views it reads a
 
 from __future__ import annotations
 
+from ladder.sources.views import SEGMENT_TO_EDUCATION  # noqa: E402  (the fixture rule, one source)
+
+_SEGMENT_CASES = "\n             ".join(
+    f"WHEN c.c_mktsegment = '{segment}' THEN '{group}'" for segment, group in SEGMENT_TO_EDUCATION)
+
 _PANEL = [
     ("_spend", """
     SELECT o_custkey AS hid,
@@ -24,7 +29,7 @@ _PANEL = [
            LAG(dec) OVER (PARTITION BY hid ORDER BY year) AS prv,
            year - LAG(year) OVER (PARTITION BY hid ORDER BY year) AS gap
     FROM _ranked"""),
-    ("panel", """
+    ("panel", f"""
     SELECT
         CASE WHEN s.hid % 41 = 0 THEN NULL ELSE s.hid END AS household_id,
         p.person_no,
@@ -41,11 +46,7 @@ _PANEL = [
              WHEN s.dec < s.prv THEN 'downward'
              ELSE 'stable' END AS income_mobility_type,
         CASE WHEN s.hid % 29 = 0 THEN NULL
-             WHEN c.c_mktsegment = 'AUTOMOBILE' THEN 'elementary'
-             WHEN c.c_mktsegment = 'BUILDING' THEN 'middle_school'
-             WHEN c.c_mktsegment = 'FURNITURE' THEN 'high_school'
-             WHEN c.c_mktsegment = 'HOUSEHOLD' THEN 'college'
-             WHEN c.c_mktsegment = 'MACHINERY' THEN 'university' END AS education_group,
+             {_SEGMENT_CASES} END AS education_group,
         CAST(CASE WHEN s.hid % 31 = 0 THEN 9 ELSE (s.hid + p.person_no) % 3 + 1 END AS DOUBLE) AS p_employment_type,
         CAST(c.c_nationkey % 6 + 1 AS DOUBLE) AS p_firm_size,
         CAST((s.hid + p.person_no) % 5 + 1 AS DOUBLE) AS p_job_status,

@@ -46,7 +46,7 @@ PARENT_CHILD_SCHEMA = T.StructType([
 ])
 
 # Fixture rule: market segment -> education group.
-_SEGMENT_TO_EDUCATION = [
+SEGMENT_TO_EDUCATION = [
     ("AUTOMOBILE", "elementary"),
     ("BUILDING", "middle_school"),
     ("FURNITURE", "high_school"),
@@ -141,7 +141,7 @@ def build_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     dec, prv = F.col("dec"), F.col("prv")
     acct = F.col("c_acctbal")
     education = F.when(hid % 29 == 0, F.lit(None).cast("string"))
-    for segment, group in _SEGMENT_TO_EDUCATION:
+    for segment, group in SEGMENT_TO_EDUCATION:
         education = education.when(F.col("c_mktsegment") == F.lit(segment), F.lit(group))
     return persons.select(
         F.when(hid % 41 != 0, hid).alias("household_id"),
