@@ -101,6 +101,9 @@ def forget(spark: SparkSession, sf_dir: str | None = None) -> None:
     for memo in (store._MEMO, tables._READS):
         for key in [k for k in memo if k[0] == app and (sf_dir is None or sf_dir.rstrip("/") in k[1])]:
             memo.pop(key, None)
+    for key in [k for k in store._PATHS
+                if k[0] == app and (sf_dir is None or any(sf_dir.rstrip("/") in p for p in k[2]))]:
+        store._PATHS.pop(key, None)
 
 
 def query(order: Callable[[], list[str | Column]] | tuple[str, ...] = ()):

@@ -112,6 +112,7 @@ def write_scratch(df: DataFrame) -> DataFrame:
 
 
 _MEMO: dict[tuple[str, str], DataFrame] = {}
+_PATHS: dict[tuple, str] = {}
 _LOCKS: dict[str, threading.Lock] = {}
 _LOCKS_GUARD = threading.Lock()
 
@@ -128,8 +129,12 @@ def materialize(spark: SparkSession, build, name: str, inputs: list[str], schema
     ``build`` is a zero-argument callable returning the DataFrame, so nothing is computed when the
     table already exists.
     """
-    path = f"{table_root(spark)}/{name}-{fingerprint(spark, inputs, name)}"
-    key = (spark.sparkContext.applicationId, path)
+    app = spark.sparkContext.applicationId
+    located = (app, name, tuple(inputs), tuple(_NAMESPACE))
+    if located not in _PATHS:  # fingerprint once per session (listing storage is not free on object stores)
+        _PATHS[located] = f"{table_root(spark)}/{name}-{fingerprint(spark, inputs, name)}"
+    path = _PATHS[located]
+    key = (app, path)
     with _lock_for(path):  # one build per table even when queries run from several threads
         if key not in _MEMO:
             _MEMO[key] = _build_or_scan(spark, build, path, schema, partition_by, columns)

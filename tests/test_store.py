@@ -17,12 +17,12 @@ def test_materialize_reuses_until_inputs_change(spark, tmp_out):
 
     first = store.materialize(spark, build, "t", [src])
     assert first.count() == 10 and len(builds) == 1
-    store._MEMO.clear()                       # a new process: found on storage, not rebuilt
+    store._MEMO.clear(); store._PATHS.clear()  # a new process: found on storage, not rebuilt
     again = store.materialize(spark, build, "t", [src])
     assert again.count() == 10 and len(builds) == 1
     time.sleep(1.1)                           # a newer modification time on the changed input
     spark.range(20).write.mode("overwrite").parquet(src)
-    store._MEMO.clear()
+    store._MEMO.clear(); store._PATHS.clear()  # as forget() or a new process does
     changed = store.materialize(spark, build, "t", [src])
     assert changed.count() == 20 and len(builds) == 2
 
