@@ -23,14 +23,16 @@ def _literal(v) -> Column:
 BROADCAST_MAX_ROWS = 1_000_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df`` unchanged.
+def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """``broadcast(df)`` when it has at most ``max_rows`` (default ``BROADCAST_MAX_ROWS``) rows, else
+    ``df`` unchanged.
 
     The check is an exact ``count()``: a partial count per task and one row per task to the final sum.
     (A ``limit(n).count()`` would funnel up to n rows per task through a single-partition exchange.)
     It scans only the candidate side, which is never larger than the join input it protects.
     """
-    return F.broadcast(df) if df.count() <= max_rows else df
+    limit = BROADCAST_MAX_ROWS if max_rows is None else max_rows
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def label_of(code: str | Column, mapping: Mapping, fallback: bool = False) -> Column:
