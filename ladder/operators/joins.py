@@ -19,9 +19,13 @@ def _literal(v) -> Column:
 
 
 # Largest join side (in rows) broadcast after an explicit count; beyond it Spark plans a shuffle join
-# and AQE may still switch to a broadcast from runtime sizes.
+# and AQE may still switch to a broadcast from runtime sizes. For sides that grow with the data.
 BROADCAST_MAX_ROWS = 1_000_000
 
+# The same check for tables small by construction (dimensions such as nation, per-partition
+# bookkeeping such as the ntile block table); counted all the same.
+BOUNDED_MAX_ROWS = 1_000_000
+
 
 def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """``broadcast(df)`` when it has at most ``max_rows`` (default ``BROADCAST_MAX_ROWS``) rows, else
@@ -35,6 +39,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def broadcast_bounded(df: DataFrame) -> DataFrame:
+    """``broadcast_if_small`` for a table small by construction (bound ``BOUNDED_MAX_ROWS``)."""
+    return broadcast_if_small(df, BOUNDED_MAX_ROWS)
+
+
 def label_of(code: str | Column, mapping: Mapping, fallback: bool = False) -> Column:
     """Label of a code from a fixed dictionary, as a literal map lookup inside codegen.
 

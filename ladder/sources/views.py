@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ladder.operators.joins import broadcast_if_small
+from ladder.operators.joins import broadcast_bounded, broadcast_if_small
 from ladder.sources.store import materialize, write_scratch
 from ladder.sources.tables import read_table, table_path
 
@@ -96,7 +96,7 @@ def exact_ntile(df: DataFrame, buckets: int, order_by: list[str], partition_by:
     )
     # At most #partitions + #groups rows: broadcast after counting them, so the numbered rows are
     # never shuffled for this join (a size estimate taken from the inputs would not show that).
-    blocks = broadcast_if_small(blocks)
+    blocks = broadcast_bounded(blocks)
     cond = numbered["_pid"] == blocks["_pid"]
     for k in partition_by:
         cond = cond & numbered[k].eqNullSafe(blocks[k])
@@ -219,7 +219,7 @@ def city_suppliers(spark: SparkSession, sf_dir: str, city: int | None = None) ->
     nat = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     if city is not None:
         nat = nat.where(F.col("n_regionkey") == F.lit(city))
-    side = sup.join(nat, sup["s_nationkey"] == nat["n_nationkey"]).select("s_suppkey", "n_regionkey")
+    side = sup.join(broadcast_bounded(nat), sup["s_nationkey"] == nat["n_nationkey"]).select("s_suppkey", "n_regionkey")
     checked = broadcast_if_small(side)
     return checked, checked is not side
 
@@ -252,7 +252,7 @@ def institution(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(key % 23 == 0, F.lit("-"))
         .otherwise(F.round(F.col("c_acctbal") / F.lit(100), 1).cast("string"))
     )
-    return cust.join(nat, cust["c_nationkey"] == nat["n_nationkey"]).select(
+    return cust.join(broadcast_bounded(nat), cust["c_nationkey"] == nat["n_nationkey"]).select(
         F.col("c_name").alias("name"), F.col("n_regionkey").alias("city"), rate.alias("rate_text"))
 
 

@@ -101,10 +101,48 @@ def main(sf_dir: str, out: str) -> None:
             extra = f"; partition filters `{part}`" if part else ""
             lines.append(f"- scan `{table}`: `{schema}`; pushed `{pushed}`{extra}")
         lines.append("")
+    lines += _cluster_scale_section(spark, sf_dir)
     open(out, "w").write("\n".join(lines))
     print("wrote", out)
 
 
+def _cluster_scale_section(spark, sf_dir: str) -> list[str]:
+    """Plans with the paths taken at cluster scale forced (no size-checked or automatic broadcasts)."""
+    from ladder.operators import joins
+    from ladder.plans.queries import expected_rate_by_income_band, forget
+    from ladder.sources import store, views
+
+    lines = ["# Cluster-scale paths", "",
+             "The same plans with every size-checked broadcast refused and automatic broadcast joins off,",
+             "as happens when the sides are large (views rebuilt in a private namespace).", ""]
+    old_rows, old_auto = joins.BROADCAST_MAX_ROWS, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    joins.BROADCAST_MAX_ROWS = -1
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    store.set_namespace("plan-report-cluster-scale")
+    forget(spark, sf_dir)
+    try:
+        for title, df in [("expected_rate_by_income_band", expected_rate_by_income_band(spark, sf_dir)),
+                          ("panel build (orders aggregation, exact ntile, household window, customer join)",
+                           views.build_panel(spark, sf_dir))]:
+            df.collect()
+            s = summarize(df._jdf.queryExecution().executedPlan().executedPlan().toString())
+            lines.append(f"## {title}")
+            lines.append("")
+            lines.append(f"- shuffles (own, incl. subqueries): {len(s['exchanges'])} — "
+                         + (", ".join(s["exchanges"]) or "none"))
+            lines.append(f"- broadcasts: {s['broadcasts']}; joins: " + (", ".join(s["joins"]) or "none"))
+            for table, schema, pushed, part in sorted(set(s["scans"])):
+                lines.append(f"- scan `{table}`: `{schema}`; pushed `{pushed}`")
+            lines.append("")
+    finally:
+        joins.BROADCAST_MAX_ROWS = old_rows
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old_auto)
+        store.delete_path(spark, store.table_root(spark))
+        store.set_namespace(None)
+        forget(spark, sf_dir)
+    return lines
+
+
 if __name__ == "__main__":
     main(sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01",
          sys.argv[2] if len(sys.argv) > 2 else "PLANS.md")
