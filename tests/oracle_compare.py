@@ -1,6 +1,7 @@
 """Compare every registered query against its oracle SQL on DuckDB, as the driver does.
 
 Usage: python tests/oracle_compare.py [sf_dir] [name ...]
+Set ORACLE_REPORT=path.json to also write the per-query report as JSON.
 """
 
 from __future__ import annotations
@@ -98,3 +99,9 @@ if __name__ == "__main__":
         else:
             bad += 1
     print("mismatches:", bad)
+    if os.environ.get("ORACLE_REPORT"):
+        import json
+
+        with open(os.environ["ORACLE_REPORT"], "w") as fh:
+            json.dump({"sf_dir": sf_dir, "mismatches": bad, "queries": rep}, fh, indent=1, default=str,
+                      ensure_ascii=False)
