@@ -240,3 +240,10 @@ def test_large_data_code_paths_give_the_same_results(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         store.set_namespace(None)
         forget(spark, SF_SMALL)
+
+
+def test_fusion_decision_from_file_metadata(spark):
+    from ladder.plans.dashboard import FUSE_MIN_BYTES, latest_slice_bytes
+
+    size = latest_slice_bytes(spark, SF_SMALL)
+    assert 0 < size < FUSE_MIN_BYTES        # a small slice: a refresh runs the statements unfused
