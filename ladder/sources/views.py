@@ -7,13 +7,14 @@ fingerprint; ``edu_spend`` and ``institution`` are lazy joins that Catalyst plan
 from __future__ import annotations
 
 import hashlib
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ladder.operators.joins import broadcast_bounded, broadcast_if_small
+from ladder.operators.joins import broadcast_bounded, broadcast_if_small, literal_frame
 from ladder.sources.store import materialize, write_scratch
 from ladder.sources.tables import read_table, table_path
 
@@ -179,15 +180,14 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The distinct ``year`` values of the panel (a handful of rows), materialised next to it.
+    """The panel's distinct ``year`` values (a handful of rows), from its partition folders.
 
-    Period bounds (``MAX(year)``, ``MIN(year)``) read this instead of scanning every panel file's
-    footer in each query; the values are the panel's own, derived by Spark from it."""
-    return materialize(
-        spark, lambda: panel(spark, sf_dir).select("year").distinct(), f"panel_periods-{_SOURCE_SALT}",
-        [table_path(sf_dir, "orders"), table_path(sf_dir, "customer")],
-        schema=T.StructType([T.StructField("year", T.IntegerType())]), columns=["year"],
-    )
+    Spark writes a ``year=`` folder only for years that have rows, and the panel scan already holds
+    that listing on the driver (partition discovery), so no job reads data or footers. Period bounds
+    (``MAX(year)``, ``MIN(year)``) read this instead of scanning the panel in every query."""
+    years = sorted({int(m.group(1)) for f in panel(spark, sf_dir).inputFiles()
+                    for m in [re.search(r"/year=(-?\d+)/", f)] if m})
+    return literal_frame(spark, [(y,) for y in years], ["year"], [T.IntegerType()])
 
 
 def build_parent_child(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,15 +257,11 @@ def institution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_views(spark: SparkSession, sf_dir: str, workers: int = 2) -> None:
-    """Materialise the panel (with its periods) and the parent/child view; the two are independent
-    and are built concurrently when ``workers`` > 1."""
+    """Materialise the panel and the parent/child view; the two are independent and are built
+    concurrently when ``workers`` > 1."""
     from concurrent.futures import ThreadPoolExecutor
 
-    def panel_and_periods():
-        panel(spark, sf_dir)
-        panel_periods(spark, sf_dir)
-
-    tasks = [panel_and_periods, lambda: parent_child(spark, sf_dir)]
+    tasks = [lambda: panel(spark, sf_dir), lambda: parent_child(spark, sf_dir)]
     if workers <= 1:
         for t in tasks:
             t()
