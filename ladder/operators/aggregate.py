@@ -105,7 +105,8 @@ def cohort_rate(df: DataFrame, keys, cohort: str | Column, indicator: str | Colu
     return df.groupBy(*_keys(keys)).agg(*aggs)
 
 
-def pivot_max(df: DataFrame, keys, selector: str | Column, cases: Mapping[str, tuple[object, str | Column]]) -> DataFrame:
+def pivot_max(df: DataFrame, keys, selector: str | Column,
+              cases: Mapping[str, tuple[object, str | Column]]) -> DataFrame:
     """Pivot by conditional max (A8): ``MAX(CASE WHEN selector = v THEN x END) AS alias`` per case."""
     sel = col_of(selector)
     aggs = [F.max(F.when(sel == (v if isinstance(v, Column) else F.lit(v)), col_of(x))).alias(alias)

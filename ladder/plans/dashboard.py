@@ -64,7 +64,8 @@ def shared_statements(spark: SparkSession, sf_dir: str, workers: int = 1, fuse:
     duration of the block, and release them afterwards.
 
     With ``fuse`` the latest-year statements resolve to projections of one persisted grouping-sets
-    aggregate; by default that happens when the latest-year slice holds ``FUSE_MIN_BYTES`` or more. Each layer is materialised up front, ``workers`` at a time (independent Spark jobs that
+    aggregate; by default that happens when the latest-year slice holds ``FUSE_MIN_BYTES`` or more.
+    Each layer is materialised up front, ``workers`` at a time (independent Spark jobs that
     the scheduler interleaves on the executors; the first to need the aggregate fills it)."""
     def materialise(name: str):
         def action() -> DataFrame:
