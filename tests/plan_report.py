@@ -82,7 +82,15 @@ def main(sf_dir: str, out: str) -> None:
     lines = ["# PLANS", "",
              f"Executed physical plans (AQE final plans) of every registered query at `{sf_dir}`, summarised by",
              "`tests/plan_report.py`. Scans list read schema, pushed filters and partition filters; shuffle",
-             "keys are shown without expression ids. Regenerate after plan changes.", ""]
+             "keys are shown without expression ids. Regenerate after plan changes.", "",
+             "Reading guide: every query scans the materialised `panel` (or `parent_child`, or the TPC-H-style",
+             "inputs for the spend statement) with only its columns and pushed filters; latest-year queries",
+             "carry a `year = Subquery` partition filter. The first aggregate (or the `distinct` of the",
+             "transition matrix) is the only exchange that moves data-sized rows, and it is partially",
+             "aggregated map-side. Every later exchange (windows, pivots, ORDER BY, `SinglePartition`",
+             "for global aggregates) moves aggregated rows bounded by the category domains. Broadcasts are",
+             "count-checked tables or literal domains. The last section shows the plans taken at cluster scale.",
+             ""]
     from ladder.plans.fused import latest_cube
 
     entries = list(QUERIES.items()) + [("latest_cube (refresh only, fused latest-year statements)", latest_cube)]
