@@ -1,8 +1,19 @@
 from ladder.sources.sinks import to_records, write_all, write_dashboard
 from ladder.sources.tables import load_views, read_table, table_path
-from ladder.sources.views import edu_spend, exact_ntile, institution, panel, parent_child, register_views
+from ladder.sources.views import (
+    build_views,
+    city_suppliers,
+    edu_spend,
+    exact_ntile,
+    institution,
+    panel,
+    panel_periods,
+    parent_child,
+    register_views,
+)
 
 __all__ = [
-    "edu_spend", "exact_ntile", "institution", "load_views", "panel", "parent_child", "read_table", "register_views",
-    "table_path", "to_records", "write_all", "write_dashboard",
+    "build_views", "city_suppliers", "edu_spend", "exact_ntile", "institution", "load_views", "panel",
+    "panel_periods", "parent_child", "read_table", "register_views", "table_path", "to_records", "write_all",
+    "write_dashboard",
 ]
