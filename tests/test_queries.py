@@ -247,3 +247,14 @@ def test_fusion_decision_from_file_metadata(spark):
 
     size = latest_slice_bytes(spark, SF_SMALL)
     assert 0 < size < FUSE_MIN_BYTES        # a small slice: a refresh runs the statements unfused
+
+
+def test_records_equal_pandas_record_encoding(spark):
+    """One JSON object per row, as a pandas records encoding with non-ASCII kept gives them."""
+    from ladder.sources import to_records
+
+    df = entry_mod.queries()["employment_mobility_share"](spark, SF_SMALL)   # has NULL labels (code 9)
+    ours = [json.loads(r.record) for r in to_records(df).collect()]
+    theirs = json.loads(df.toPandas().to_json(orient="records", force_ascii=False))
+    assert ours == theirs
+    assert any(rec["employment_label"] is None for rec in ours)
