@@ -258,3 +258,20 @@ def test_records_equal_pandas_record_encoding(spark):
     theirs = json.loads(df.toPandas().to_json(orient="records", force_ascii=False))
     assert ours == theirs
     assert any(rec["employment_label"] is None for rec in ours)
+
+
+def test_chart_equals_pandas_pivot_of_the_flat_result(spark):
+    """R4 on the trickiest case (observed columns, label-keyed rows, NULL labels dropped): our chart
+    document equals a pandas pivot_table / reindex / fillna of the flat statement result."""
+    from ladder.functions.labels import EDU_LABELS, EDU_ORDER, EMPLOYMENT_TYPE_LABELS
+
+    q = entry_mod.queries()
+    flat = q["education_employment_share"](spark, SF_SMALL).toPandas()
+    rows = [EDU_LABELS[x] for x in EDU_ORDER]
+    pivot = (flat.pivot_table(index="education_label", columns="employment_type", values="share", aggfunc="sum")
+             .reindex(index=rows).fillna(0))
+    expect = {"labels": rows,
+              "datasets": [{"label": EMPLOYMENT_TYPE_LABELS.get(int(c), str(c)),
+                            "data": [float(v) for v in pivot[c].tolist()]} for c in pivot.columns]}
+    chart = json.loads(q["education_employment_chart"](spark, SF_SMALL).first().chart)
+    assert chart == expect
