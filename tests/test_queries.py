@@ -275,3 +275,16 @@ def test_chart_equals_pandas_pivot_of_the_flat_result(spark):
                             "data": [float(v) for v in pivot[c].tolist()]} for c in pivot.columns]}
     chart = json.loads(q["education_employment_chart"](spark, SF_SMALL).first().chart)
     assert chart == expect
+
+
+def test_transition_matrix_document_equals_pandas_reindex(spark):
+    """R4 matrix form: the 10 x 10 document equals a pandas pivot of the flat transition shares,
+    reindexed to deciles 1..10 on both axes with zeros filled."""
+    q = entry_mod.queries()
+    flat = q["income_transition_matrix"](spark, SF_SMALL).toPandas()
+    levels = list(range(1, 11))
+    pivot = (flat.pivot_table(index="prev_decile", columns="cur_decile", values="share", aggfunc="sum")
+             .reindex(index=levels, columns=levels, fill_value=0).fillna(0))
+    expect = {"rows": [str(x) for x in levels], "columns": [str(x) for x in levels],
+              "values": [[float(v) for v in row] for row in pivot.values.tolist()]}
+    assert json.loads(q["income_transition_chart"](spark, SF_SMALL).first().matrix) == expect
