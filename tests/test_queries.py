@@ -288,3 +288,18 @@ def test_transition_matrix_document_equals_pandas_reindex(spark):
     expect = {"rows": [str(x) for x in levels], "columns": [str(x) for x in levels],
               "values": [[float(v) for v in row] for row in pivot.values.tolist()]}
     assert json.loads(q["income_transition_chart"](spark, SF_SMALL).first().matrix) == expect
+
+
+def test_child_education_chart_equals_pandas_fixed_domain_pivot(spark):
+    """R4 with fixed domains (5 quintiles x 6 education codes) and code labels with fallback."""
+    from ladder.functions.labels import PARENT_EDU_LABELS
+
+    q = entry_mod.queries()
+    flat = q["child_education_share"](spark, SF_SMALL).toPandas()
+    rows, cols = [1, 2, 3, 4, 5], [1, 2, 3, 4, 5, 6]
+    pivot = (flat.pivot_table(index="quintile", columns="child_edu", values="share", aggfunc="sum")
+             .reindex(index=rows, columns=cols, fill_value=0).fillna(0))
+    expect = {"labels": [str(x) for x in rows],
+              "datasets": [{"label": str(PARENT_EDU_LABELS.get(int(c), c)),
+                            "data": [float(v) for v in pivot[c].tolist()]} for c in cols]}
+    assert json.loads(q["child_education_chart"](spark, SF_SMALL).first().chart) == expect
