@@ -8,6 +8,7 @@ concatenates the tokens' bytes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -56,9 +57,18 @@ def _splitter(pattern: str):
     return regex.compile(pattern)
 
 
+def safe_ends(text: str, pattern: str, start: int = 0) -> Iterator[int]:
+    """Ends of the pre-tokens from the boundary ``start`` on at which the text can be cut: the parts have the same
+    pre-tokens alone. Not after white space, whose last character belongs to what follows only if it is seen."""
+    for m in _splitter(pattern).finditer(text, start):
+        end = m.end()
+        if end == len(text) or not text[end - 1].isspace():
+            yield end
+
+
 def boundaries(chunk: str, pattern: str) -> list[int]:
-    """Where pre-tokens of the chunk start or end."""
-    return [0, *(m.end() for m in _splitter(pattern).finditer(chunk))]
+    """Where the chunk can be cut, if a pre-token starts at its start."""
+    return [0, *safe_ends(chunk, pattern)]
 
 
 def encode_bytes(text: str, ranks: str, pattern: str) -> bytes:

@@ -1,6 +1,6 @@
 """Edit-aware token counts (operator 3).
 
-A document's pre-tokens lie in leaves of a segment tree whose nodes hold the code points and tokens below them. An
+A document's pre-tokens (joined where a cut isn't safe) lie in leaves of a segment tree whose nodes hold the code points and tokens below them. An
 edit re-encodes only the leaves it touches and the boundary context before them, until the pre-tokens meet an old leaf
 boundary again; then the sums above the changed leaves are brought up to date. The leaves are columns of a
 table, so trees can be kept and edited later.
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladder.llm.bpe import LOOKAHEAD, _splitter, default_pattern, encoder
+from ladder.llm.bpe import LOOKAHEAD, default_pattern, encoder, safe_ends
 from ladder.llm.common import ship
 
 LEAF = 64
@@ -45,7 +45,7 @@ class Tree:
 
     @classmethod
     def of(cls, text: str, ranks: str, pattern: str, leaf: int = LEAF) -> Tree:
-        ends = [m.end() for m in _splitter(pattern).finditer(text)]
+        ends = list(safe_ends(text, pattern))
         cuts = ends[leaf - 1::leaf]
         if ends and (not cuts or cuts[-1] != ends[-1]):
             cuts.append(ends[-1])
@@ -107,9 +107,9 @@ class Tree:
         pieces, at = [], begin
         old, old_end = first, begin  # leaves before ``old`` end at ``old_end`` in the old text
         found = False
-        for m in _splitter(self.pattern).finditer(text, begin):
-            pieces.append(m.end() - at)
-            at = m.end()
+        for stop in safe_ends(text, self.pattern, begin):
+            pieces.append(stop - at)
+            at = stop
             while old < self.width and (old_end < end or old_end + shift < at):
                 old_end += self.chars[self.width + old]
                 old += 1
