@@ -20,7 +20,7 @@ SPELLINGS = {
     "labelling": "labeling", "labour": "labor", "licence": "license", "licenced": "licensed", "licences": "licenses",
     "maximise": "maximize", "modelled": "modeled", "modelling": "modeling", "offence": "offense",
     "optimise": "optimize", "organisation": "organization", "organise": "organize", "practise": "practice",
-    "programme": "program", "realise": "realize", "recognise": "recognize", "signalling": "signaling",
+    "programme": "program", "realise": "realize", "recognise": "recognize", "signalling": "signaling", "sublicence": "sublicense",
     "utilisation": "utilization", "whilst": "while", "wilful": "willful",
 }
 

@@ -151,14 +151,14 @@ def thresholds(sketch: DataFrame, min_rows: int = MIN_ROWS, width: int = WIDTH)
 
 
 def judge(measured: DataFrame, edges: DataFrame, lang: str, source: str) -> DataFrame:
-    """Adds ``failed_rules`` (names, sorted) and ``kept``. A row whose group has no fences (every row of it failed
+    """Adds ``failed_rules`` (names, in the order of RULES) and ``kept``. A row whose group has no fences (every row of it failed
     the base rules) is judged by the base rules alone."""
     on = F.col(lang).eqNullSafe(F.col("g_lang")) & F.col(source).eqNullSafe(F.col("g_source"))
     broken = [
         F.when(F.col(r.measure) > F.col(f"fence.high_{r.measure}") if r.side == "high"
                else F.col(r.measure) < F.col(f"fence.low_{r.measure}"), F.lit(f"{r.side}_{r.measure}"))
         for r in RULES]
-    failed = F.concat_ws(",", *sorted(broken, key=str))
+    failed = F.concat_ws(",", *broken)
     return (measured.join(edges, on, "left").withColumn("failed_rules", failed)
             .withColumn("kept", ~F.col("base_failed") & (F.col("failed_rules") == ""))
             .drop("g_lang", "g_source", "fence"))
