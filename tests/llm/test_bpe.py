@@ -1,0 +1,39 @@
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from conftest import odd_rows, prose
+
+from ladder.llm import bpe
+
+
+def whole(text):
+    return bpe.encode_bytes(text, bpe.default_ranks(), bpe.default_pattern())
+
+
+def mixed(seed, n):
+    r = random.Random(seed)
+    parts = ["'s", "'ll", "'", " ", "  ", "\n", "\t \n", "a", "été", "12", "!", "?!", " ", "漢字", "\U0001f600", "́", "x'v"]
+    return "".join(r.choices(parts, k=n))
+
+
+@pytest.mark.parametrize("chunk,overlap", [(16384, 1024), (50, 20), (7, 5), (40, 1)])
+def test_encoding_equals_the_whole_texts(spark, chunk, overlap):
+    texts = [(r[0], r[1]) for r in odd_rows() if len(r[1] or "") < 20_000 or chunk > 50]
+    texts += [(1000 + s, mixed(s, 120)) for s in range(40)] + [(2000, " " * 400 + "x"), (2001, "a" * 300 + " b" * 50)]
+    texts += [(2002, prose(77, 12_000))] * 2 if chunk > 50 else []
+    df = spark.createDataFrame([(*t, "h") for t in texts], "doc_id long, text string, h string").repartition(4)
+    got = Counter((r.doc_id, bytes(r.ids)) for r in bpe.encode(df, chunk=chunk, overlap=overlap).collect())
+    assert got == Counter((i, whole(t or "")) for i, t in texts)
+
+
+def test_decoding_gives_the_bytes_back(odd, none):
+    want = Counter((r[0], (r[1] or "").encode()) for r in odd_rows())
+    assert Counter((r.doc_id, bytes(r.decoded)) for r in bpe.decode(bpe.encode(odd)).collect()) == want
+    assert bpe.decode(bpe.encode(none)).count() == 0
+
+
+def test_ids_are_little_endian_numbers():
+    ids = np.frombuffer(whole("hello world"), dtype="<u4")
+    assert b"".join(bpe.encoder(bpe.default_ranks(), bpe.default_pattern())[1][int(i)] for i in ids) == b"hello world"

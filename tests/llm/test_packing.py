@@ -1,0 +1,77 @@
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+from conftest import odd_rows, prose
+from tokenizers import Tokenizer
+
+from ladder.llm import packing
+
+TOKENIZER = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def brute_pieces(rows, length=4096):
+    out = []
+    for i, t in rows:
+        ids = [*TOKENIZER.encode(t or "", add_special_tokens=False).ids, 1]
+        for p, at in enumerate(range(0, len(ids), length)):
+            part = np.array(ids[at:at + length], dtype="<u4")
+            out.append((i, p, at, len(part), zlib.crc32(part.tobytes())))
+    return sorted(out, key=repr)
+
+
+def check_packed(rows, length):
+    by = defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append((r.offset, r.length))
+    for items in by.values():
+        at = 0
+        for offset, n in sorted(items):
+            assert offset == at
+            at += n
+        assert at <= length
+    return len(by)
+
+
+def test_pieces_and_places(odd, small, none):
+    for docs, rows in ((odd, [(r[0], r[1]) for r in odd_rows()]), (small, [(r.doc_id, r.text) for r in small.collect()])):
+        got = packing.pack_documents(docs).collect()
+        assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got), key=repr) == brute_pieces(rows)
+        bins = check_packed(got, 4096)
+        assert bins <= 1.02 * -(-sum(r.length for r in got) // 4096) + 1
+    assert packing.pack_documents(none).count() == 0
+
+
+def test_ids_of_odd_strings_equal_the_tokenisers():
+    ids = packing.WordIds(packing.default_vocabulary())
+    for t in ("", " ", "a b", "Á é", "İstanbul ΣΑΣ σας", "\x1c\x85x y", "it's I'LL x's", "\U0001f600!!\n\n12,5",
+              "<|endoftext|> a<|endoftext|>b", "漢字 かな", "é" * 3000, prose(8, 4000), "a\x00b ﻿z"):
+        assert ids.encode(t.encode()) == np.array(TOKENIZER.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
+def test_forgetting_strings_changes_nothing(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    ids = packing.WordIds(packing.default_vocabulary())
+    for s in range(30):
+        t = prose(s, 200, 150)
+        assert ids.encode(t.encode()) == np.array(TOKENIZER.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_best_fit_takes_the_tightest_bin_and_closes_the_fullest():
+    bins = packing.BestFit(10, 2)
+    assert bins.put(6) == (0, 0) and bins.put(7) == (1, 0)
+    assert bins.put(3) == (1, 7)  # three left there: tighter than four
+    assert bins.put(8) == (2, 0)
+    assert bins.put(5) == (3, 0)  # two are open: the one with two left closes
+    assert bins.put(4) == (0, 6) and bins.put(5) == (3, 5) and bins.put(2) == (4, 0)
+    assert bins.put(10) == (5, 0) and bins.open == 1
+
+
+def test_bounded_bins_still_pack_whole_pieces(spark):
+    items = spark.range(3000).selectExpr("id", "1 + id * 7919 % 97 as length")
+    got = packing.pack(items, 100, open_bins=3, per_task=1000).collect()
+    assert len(got) == 3000
+    check_packed(got, 100)
+    again = packing.pack(items, 100, open_bins=3, per_task=1000).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))

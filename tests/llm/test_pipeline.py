@@ -1,0 +1,35 @@
+from collections import Counter
+
+import corpus_pipeline
+import __spark_entry__
+from conftest import SMALL, odd_rows
+from test_packing import check_packed
+from test_simhash import brute_components, brute_fingerprint
+
+from ladder.llm import langid, quality
+
+
+def test_stages_and_run(spark, tmp_path, odd, none):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "quality_rules", "simhash_near_dedup", "best_fit_packing"]
+    for docs in (spark.read.parquet(f"{SMALL}/documents.parquet"), odd, none):
+        where = f"{tmp_path}/{docs is odd}{docs is none}"
+        docs.write.parquet(f"{where}/documents.parquet")
+        docs = spark.read.parquet(f"{where}/documents.parquet")
+        told = docs.join(langid.identify(docs).where("NOT rejected").select("doc_id").distinct(), "doc_id", "left_semi")
+        if docs.where("doc_id IS NULL").isEmpty():
+            assert sorted(r.doc_id for r in told.collect()) == sorted(r.doc_id for r in corpus_pipeline.language_id(spark, docs, where).collect())
+        kept = quality.keep_good(langid.keep_identified(docs)).select("doc_id", "text").collect()
+        group = brute_components([brute_fingerprint(r.text) for r in kept])
+        stay = {}
+        for r, g in zip(kept, group, strict=True):
+            stay[g] = min((x for x in (r.doc_id, stay.get(g)) if x is not None), default=None)
+        packed = corpus_pipeline.run(spark, where).collect()
+        assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(stay.values())
+        check_packed(packed, 4096)
+
+
+def test_registered_with_sql_where_it_can():
+    names = __spark_entry__.queries()
+    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)}
+    assert set(__spark_entry__.oracle_sql()) <= set(names)
+    assert len(odd_rows()) > 70
