@@ -8,23 +8,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Columns whose text is a JSON document of its own.
+DOCUMENT_COLUMNS = ("record", "chart", "matrix", "document")
+
+
 def to_records(df: DataFrame, column: str = "record") -> DataFrame:
     """One JSON object per row, NULLs kept as ``null`` and non-ASCII text kept as is."""
     return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]),
                                {"ignoreNullFields": "false"}).alias(column))
 
 
+def _save(df: DataFrame, target: str, fmt: str) -> str:
+    """One dataset. JSON keeps NULL fields; a result that is one JSON document per row is written as it is, a line each,
+    not as text inside another document."""
+    writer = df.write.mode("overwrite")
+    if fmt == "json" and len(df.columns) == 1 and df.columns[0] in DOCUMENT_COLUMNS:
+        writer.text(target)
+    elif fmt == "json":
+        writer.option("ignoreNullFields", "false").json(target)
+    else:
+        writer.format(fmt).save(target)
+    return target
+
+
 def write_all(results: Mapping[str, DataFrame], path: str, fmt: str = "parquet", workers: int = 1) -> dict[str, str]:
     """Write each named result to ``<path>/<name>`` (S3). Executors write; the driver only commits.
     ``workers`` > 1 submits the independent writes concurrently."""
     from ladder.plans.dashboard import run_all
 
     targets = {name: f"{path.rstrip('/')}/{name}" for name in results}
-
-    def writer(name):
-        return lambda: results[name].write.mode("overwrite").format(fmt).save(targets[name])
-
-    run_all([writer(name) for name in results], workers)
+    run_all([lambda name=name: _save(results[name], targets[name], fmt) for name in results], workers)
     return targets
 
 
@@ -35,19 +48,15 @@ def write_dashboard(spark: SparkSession, sf_dir: str, path: str,
 
     With the default query set the statements are computed once and shared by the derived outputs."""
     from ladder.plans.dashboard import run_all, shared_statements
+    from ladder.plans.queries import QUERIES
 
-    def writer(name, fn):
-        target = f"{path.rstrip('/')}/{name}"
-        return lambda: (fn(spark, sf_dir).write.mode("overwrite").format(fmt).save(target), target)[1]
-
-    def write(selected):
+    def write(selected, source):
         # Each worker plans and writes one result, so planning overlaps the other writes.
-        targets = run_all([writer(name, fn) for name, fn in selected.items()], workers)
-        return dict(zip(selected, targets))
+        targets = run_all([lambda name=name, fn=fn: _save(fn(spark, source), f"{path.rstrip('/')}/{name}", fmt)
+                           for name, fn in selected.items()], workers)
+        return dict(zip(selected, targets, strict=True))
 
     if queries is not None:
-        return write(dict(queries))
-    from ladder.plans.queries import QUERIES
-
-    with shared_statements(spark, sf_dir, workers):
-        return write(dict(QUERIES))
+        return write(dict(queries), sf_dir)
+    with shared_statements(spark, sf_dir) as run:
+        return write(dict(QUERIES), run)

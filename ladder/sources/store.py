@@ -10,6 +10,7 @@ gives a new table instead of a stale read.
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import threading
 import uuid
@@ -27,59 +28,42 @@ def _hadoop(spark: SparkSession, path: str):
     return fs, hpath
 
 
-def content_bytes(spark: SparkSession, path: str) -> int:
-    """Total bytes under ``path`` (file-system metadata only)."""
-    fs, hpath = _hadoop(spark, path)
-    return int(fs.getContentSummary(hpath).getLength())
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     fs, hpath = _hadoop(spark, path)
     return bool(fs.exists(hpath))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder. Only a local-mode session without one (tests, local runs) gets
-    a temporary folder; on a cluster a machine-local folder would be wrong, so one must be configured."""
+    """The session's checkpoint folder. Only a single-process session (``local`` or ``local[...]``) without one gets a
+    temporary folder; on a cluster a machine-local folder would be wrong, so one must be configured."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
+    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage (HDFS, object store): "
-                               "materialised tables and lineage cuts are written there")
-        configured = tempfile.mkdtemp(prefix="ladder-ckpt-")
-    sc.setCheckpointDir(configured)
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage (HDFS, object store): "
+                           "materialised tables and lineage cuts are written there")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="ladder-ckpt-"))
     return sc.getCheckpointDir()
 
 
-_NAMESPACE: list[str] = []
-
-
-def set_namespace(name: str | None) -> None:
-    """Put materialised tables in ``ladder_tables/<name>`` (e.g. one run's private builds); None resets."""
-    _NAMESPACE[:] = [name] if name else []
-
-
 def table_root(spark: SparkSession) -> str:
-    """Folder for materialised tables: ``<spark.checkpoint.dir>/ladder_tables[/<namespace>]``."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    base = configured or ensure_checkpoint_dir(spark)
-    return "/".join([base.rstrip("/"), "ladder_tables", *_NAMESPACE])
+    """Folder for materialised tables: ``<spark.checkpoint.dir>/ladder_tables``."""
+    return ensure_checkpoint_dir(spark).rstrip("/") + "/ladder_tables"
 
 
 def fingerprint(spark: SparkSession, paths: list[str], salt: str = "") -> str:
-    """Hash of (path, total size, newest modification time) of every input path."""
+    """Hash of the path, length and modification time of every file under the input paths, at any depth."""
     h = hashlib.sha1(f"{_BUILD_VERSION}|{salt}".encode())
     for p in sorted(paths):
         fs, hpath = _hadoop(spark, p)
-        size, mtime = 0, 0
-        for st in fs.listStatus(hpath):
-            size += int(st.getLen())
-            mtime = max(mtime, int(st.getModificationTime()))
-        h.update(f"|{p}|{size}|{mtime}".encode())
+        files, found = fs.listFiles(hpath, True), []
+        while files.hasNext():
+            st = files.next()
+            found.append(f"|{st.getPath().toString()}|{st.getLen()}|{st.getModificationTime()}")
+        h.update(f"|{p}".encode())
+        for line in sorted(found):
+            h.update(line.encode())
     return h.hexdigest()[:16]
 
 
@@ -91,28 +75,25 @@ def delete_path(spark: SparkSession, path: str) -> None:
 _LOCAL = threading.local()
 
 
-def _scratch() -> list[str]:
-    """Scratch folders written by the build running on this thread."""
-    if not hasattr(_LOCAL, "paths"):
-        _LOCAL.paths = []
-    return _LOCAL.paths
-
-
 def write_scratch(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet into a fresh folder under the shared table root and scan it back.
 
     Cuts lineage like ``checkpoint()`` but in one job (a reliable RDD checkpoint recomputes its input to
-    write it). The folder is removed by the ``materialize`` call whose build created it.
+    write it), and tells the planner the table's real size. The folder is removed when the ``materialize`` build that
+    wrote it ends, well or not; written outside of one, when the session ends.
     """
     spark = df.sparkSession
     path = f"{table_root(spark)}/_scratch/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    _scratch().append(path)
+    fs, hpath = _hadoop(spark, path)
+    builds = getattr(_LOCAL, "builds", [])
+    if builds:
+        builds[-1].append(path)
+    df.write.parquet(path)
+    if not builds:
+        fs.deleteOnExit(hpath)
     return spark.read.schema(df.schema).parquet(path)
 
 
-_MEMO: dict[tuple[str, str], DataFrame] = {}
-_PATHS: dict[tuple, str] = {}
 _LOCKS: dict[str, threading.Lock] = {}
 _LOCKS_GUARD = threading.Lock()
 
@@ -127,33 +108,35 @@ def materialize(spark: SparkSession, build, name: str, inputs: list[str], schema
     """Write ``build()`` once as Parquet keyed by the inputs' fingerprint; return a scan of it.
 
     ``build`` is a zero-argument callable returning the DataFrame, so nothing is computed when the
-    table already exists.
+    table already exists. The table is written to a folder of its own and published by a rename, so readers never
+    see part of it; of two drivers that build it at the same time, the first to publish wins.
     """
-    app = spark.sparkContext.applicationId
-    located = (app, name, tuple(inputs), tuple(_NAMESPACE))
-    if located not in _PATHS:  # fingerprint once per session (listing storage is not free on object stores)
-        _PATHS[located] = f"{table_root(spark)}/{name}-{fingerprint(spark, inputs, name)}"
-    path = _PATHS[located]
-    key = (app, path)
+    path = f"{table_root(spark)}/{name}-{fingerprint(spark, inputs, name)}"
     with _lock_for(path):  # one build per table even when queries run from several threads
-        if key not in _MEMO:
-            _MEMO[key] = _build_or_scan(spark, build, path, schema, partition_by, columns)
-        return _MEMO[key]
-
-
-def _build_or_scan(spark: SparkSession, build, path: str, schema: StructType | None,
-                   partition_by: tuple[str, ...], columns: list[str] | None) -> DataFrame:
-    if not path_exists(spark, path + "/_SUCCESS"):
-        scratch_before = len(_scratch())
-        df = build()
-        writer = df.write.mode("overwrite")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
-        schema = schema or df.schema
-        columns = columns or df.columns
-        while len(_scratch()) > scratch_before:
-            delete_path(spark, _scratch().pop())
+        if not path_exists(spark, path + "/_SUCCESS"):
+            _build(spark, build, path, partition_by)
     reader = spark.read.schema(schema) if schema is not None else spark.read
     out = reader.parquet(path)
     return out.select(*columns) if columns else out
+
+
+def _build(spark: SparkSession, build, path: str, partition_by: tuple[str, ...]) -> None:
+    if not hasattr(_LOCAL, "builds"):
+        _LOCAL.builds = []
+    own = f"{path}.{uuid.uuid4().hex}"
+    _LOCAL.builds.append([own])
+    try:
+        df = build()
+        if partition_by:  # a folder's rows meet in few tasks; adaptive execution splits the large ones
+            df = df.hint("rebalance", *partition_by)
+            df.write.partitionBy(*partition_by).parquet(own)
+        else:
+            df.write.parquet(own)
+        fs, target = _hadoop(spark, path)
+        _, source = _hadoop(spark, own)
+        # A rename onto a folder that is there moves into it on some file systems: look first.
+        if not fs.exists(target) and not fs.rename(source, target) and not path_exists(spark, path + "/_SUCCESS"):
+            raise RuntimeError(f"can't publish {path}")
+    finally:
+        for p in _LOCAL.builds.pop():
+            delete_path(spark, p)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ladder.sources.run import once
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -14,19 +16,10 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-_READS: dict[tuple[str, str], DataFrame] = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table as a lazy DataFrame; Catalyst prunes columns and pushes filters into the scan.
-
-    The (immutable) DataFrame is reused per session, so the file listing and schema read happen once.
-    """
-    path = table_path(sf_dir, name)
-    key = (spark.sparkContext.applicationId, path)
-    if key not in _READS:
-        _READS[key] = spark.read.parquet(path)
-    return _READS[key]
+    Within a ``Run`` the file listing and schema read happen once."""
+    return once(sf_dir, ("table", name), lambda: spark.read.parquet(table_path(sf_dir, name)))
 
 
 def load_views(spark: SparkSession, sf_dir: str, names=("region", "nation", "customer", "supplier",

@@ -7,14 +7,13 @@ fingerprint; ``edu_spend`` and ``institution`` are lazy joins that Catalyst plan
 from __future__ import annotations
 
 import hashlib
-import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ladder.operators.joins import broadcast_bounded, broadcast_if_small, literal_frame
+from ladder.sources.run import once
 from ladder.sources.store import materialize, write_scratch
 from ladder.sources.tables import read_table, table_path
 
@@ -95,9 +94,9 @@ def exact_ntile(df: DataFrame, buckets: int, order_by: list[str], partition_by:
                    F.lit(0)).alias("_before"),
         F.sum("_n").over(by_group).alias("_total"),
     )
-    # At most #partitions + #groups rows: broadcast after counting them, so the numbered rows are
-    # never shuffled for this join (a size estimate taken from the inputs would not show that).
-    blocks = broadcast_bounded(blocks)
+    # At most #partitions + #groups rows. Written, so that the planner joins by its real size: an estimate taken from
+    # the inputs would shuffle the numbered rows.
+    blocks = write_scratch(blocks)
     cond = numbered["_pid"] == blocks["_pid"]
     for k in partition_by:
         cond = cond & numbered[k].eqNullSafe(blocks[k])
@@ -170,24 +169,24 @@ def build_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _panel_inputs(sf_dir: str) -> list[str]:
+    return [table_path(sf_dir, "orders"), table_path(sf_dir, "customer")]
+
+
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel view, materialised as Parquet partitioned by ``year`` (latest-year filters prune)."""
-    return materialize(
-        spark, lambda: build_panel(spark, sf_dir), f"panel-{_SOURCE_SALT}",
-        [table_path(sf_dir, "orders"), table_path(sf_dir, "customer")],
-        schema=PANEL_SCHEMA, partition_by=("year",), columns=PANEL_COLUMNS,
-    )
+    return once(sf_dir, "panel", lambda: materialize(
+        spark, lambda: build_panel(spark, sf_dir), f"panel-{_SOURCE_SALT}", _panel_inputs(sf_dir),
+        schema=PANEL_SCHEMA, partition_by=("year",), columns=PANEL_COLUMNS))
 
 
 def panel_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The panel's distinct ``year`` values (a handful of rows), from its partition folders.
+    """The panel's distinct ``year`` values (a handful of rows), aggregated from the panel once and stored beside it.
 
-    Spark writes a ``year=`` folder only for years that have rows, and the panel scan already holds
-    that listing on the driver (partition discovery), so no job reads data or footers. Period bounds
-    (``MAX(year)``, ``MIN(year)``) read this instead of scanning the panel in every query."""
-    years = sorted({int(m.group(1)) for f in panel(spark, sf_dir).inputFiles()
-                    for m in [re.search(r"/year=(-?\d+)/", f)] if m})
-    return literal_frame(spark, [(y,) for y in years], ["year"], [T.IntegerType()])
+    Period bounds (``MAX(year)``, ``MIN(year)``) read this instead of scanning the panel in every query."""
+    return once(sf_dir, "panel_periods", lambda: materialize(
+        spark, lambda: panel(spark, sf_dir).select("year").distinct().coalesce(1), f"panel_periods-{_SOURCE_SALT}",
+        _panel_inputs(sf_dir), schema=T.StructType([T.StructField("year", T.IntegerType())])))
 
 
 def build_parent_child(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,34 +204,26 @@ def build_parent_child(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parent_child(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(
+    return once(sf_dir, "parent_child", lambda: materialize(
         spark, lambda: build_parent_child(spark, sf_dir), f"parent_child-{_SOURCE_SALT}",
         [table_path(sf_dir, "customer")], schema=PARENT_CHILD_SCHEMA,
-        columns=[f.name for f in PARENT_CHILD_SCHEMA.fields],
-    )
+        columns=[f.name for f in PARENT_CHILD_SCHEMA.fields]))
 
 
-def city_suppliers(spark: SparkSession, sf_dir: str, city: int | None = None) -> tuple[DataFrame, bool]:
-    """(s_suppkey, n_regionkey) of the suppliers in ``city`` (all when None), and whether that side
-    passed the row count and is marked for broadcast."""
+def city_suppliers(spark: SparkSession, sf_dir: str, city: int | None = None) -> DataFrame:
+    """(s_suppkey, n_regionkey) of the suppliers in ``city`` (all when None)."""
     sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nat = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     if city is not None:
         nat = nat.where(F.col("n_regionkey") == F.lit(city))
-    side = sup.join(broadcast_bounded(nat), sup["s_nationkey"] == nat["n_nationkey"]).select("s_suppkey", "n_regionkey")
-    checked = broadcast_if_small(side)
-    return checked, checked is not side
+    return sup.join(nat, sup["s_nationkey"] == nat["n_nationkey"]).select("s_suppkey", "n_regionkey")
 
 
 def edu_spend(spark: SparkSession, sf_dir: str, city: int | None = None) -> DataFrame:
-    """lineitem x supplier x nation: (income_band, total_cost, weight, city). Lazy.
-
-    Suppliers are resolved to their city first (nation is a tiny dimension; with ``city`` given only that
-    city's suppliers remain). That side is broadcast only after a row count proves it small;
-    otherwise the lineitem join is a shuffle join on the supplier key (AQE may still demote it).
-    """
+    """lineitem x supplier x nation: (income_band, total_cost, weight, city). Lazy; Spark picks the joins by the
+    tables' sizes."""
     li = read_table(spark, sf_dir, "lineitem").select("l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity")
-    sup_city, _ = city_suppliers(spark, sf_dir, city)
+    sup_city = city_suppliers(spark, sf_dir, city)
     return li.join(sup_city, li["l_suppkey"] == sup_city["s_suppkey"]).select(
         F.col("l_linenumber").alias("income_band"),
         F.col("l_extendedprice").alias("total_cost"),
@@ -252,7 +243,7 @@ def institution(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(key % 23 == 0, F.lit("-"))
         .otherwise(F.round(F.col("c_acctbal") / F.lit(100), 1).cast("string"))
     )
-    return cust.join(broadcast_bounded(nat), cust["c_nationkey"] == nat["n_nationkey"]).select(
+    return cust.join(nat, cust["c_nationkey"] == nat["n_nationkey"]).select(
         F.col("c_name").alias("name"), F.col("n_regionkey").alias("city"), rate.alias("rate_text"))
 
 
