@@ -6,7 +6,6 @@ from ladder.functions.columns import (
     lenient_double,
     percent,
     rank_of,
-    safe_ratio,
 )
 
 __all__ = [
@@ -17,5 +16,4 @@ __all__ = [
     "lenient_double",
     "percent",
     "rank_of",
-    "safe_ratio",
 ]

@@ -42,11 +42,6 @@ def rank_of(c: str | Column, domain: Sequence) -> Column:
     return expr if expr is not None else F.lit(None).cast("int")
 
 
-def safe_ratio(num: str | Column, den: str | Column) -> Column:
-    """num / den with NULL (not an error, not infinity) when den is 0 or NULL."""
-    return F.try_divide(col_of(num), col_of(den))
-
-
 def percent(num: str | Column, den: str | Column, digits: int | None = 1) -> Column:
     """round(num * 100.0 / den, digits) as double; NULL when den is 0."""
     value = F.try_divide(col_of(num).cast("double") * F.lit(100.0), col_of(den))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ladder.functions.columns import col_of, int_code
-from ladder.operators.filters import period_bounds
+from ladder.operators.aggregate import pivot_max
+from ladder.operators.filters import endpoints, period_bounds
 
 
 def change_between_endpoints(df: DataFrame, period: str, key: Column, measures: Mapping[str, str],
@@ -22,16 +23,16 @@ def change_between_endpoints(df: DataFrame, period: str, key: Column, measures:
     """
     first, last = period_bounds(df if source is None else source, period)
     key_name = df.select(key).columns[0]
-    at_ends = df.where(F.col(period).isin(first, last))
-    means = at_ends.groupBy(F.col(period).alias("_p"), key).agg(
+    means = endpoints(df, period, source).groupBy(F.col(period).alias("_p"), key).agg(
         *[F.avg(col_of(m)).alias(f"_m{i}") for i, m in enumerate(measures)])
-    aggs = []
+    ends = pivot_max(means, key_name, "_p", {
+        f"_{side}{i}": (bound, f"_m{i}") for i in range(len(measures)) for side, bound in (("s", first), ("e", last))})
+    out = [key_name]
     for i, alias in enumerate(measures.values()):
-        start = F.max(F.when(F.col("_p") == first, F.col(f"_m{i}")))
-        end = F.max(F.when(F.col("_p") == last, F.col(f"_m{i}")))
+        start, end = F.col(f"_s{i}"), F.col(f"_e{i}")
         ch = F.try_divide((end - start) * F.lit(100.0), start)
-        aggs.append((F.round(ch, digits) if digits is not None else ch).alias(alias))
-    return means.groupBy(key_name).agg(*aggs)
+        out.append((F.round(ch, digits) if digits is not None else ch).alias(alias))
+    return ends.select(*out)
 
 
 def group_ratio_trend(df: DataFrame, period: str, key: str, measure: str, top: int = 10,
@@ -46,7 +47,6 @@ def group_ratio_trend(df: DataFrame, period: str, key: str, measure: str, top: i
     base = df.where(F.col(key).isin(bottom, top) & F.col(measure).isNotNull())
     means = base.groupBy(F.col(period).alias(period_as), int_code(key).alias("_k")).agg(
         F.avg(measure).alias("_m"))
-    num = F.max(F.when(F.col("_k") == top, F.col("_m")))
-    den = F.max(F.when(F.col("_k") == bottom, F.col("_m")))
-    r = F.try_divide(num, den)
-    return means.groupBy(period_as).agg((F.round(r, digits) if digits is not None else r).alias(ratio_as))
+    pair = pivot_max(means, period_as, "_k", {"_top": (top, "_m"), "_bottom": (bottom, "_m")})
+    r = F.try_divide(F.col("_top"), F.col("_bottom"))
+    return pair.select(period_as, (F.round(r, digits) if digits is not None else r).alias(ratio_as))

@@ -30,10 +30,11 @@ def interpolate_two_tiers(bands: DataFrame, tiers: DataFrame, band: str, spend:
     means attached to every band (J1). No High or no Normal tier gives an empty result, as an inner
     join on a constant predicate does. A zero maximum gives NULL.
     """
+    rate = lambda name: F.max(F.when(F.col(tier) == F.lit(name), F.col(tier_rate)))
+    both = tiers.agg(rate(HIGH_TIER).alias("_high"), rate(NORMAL_TIER).alias("_normal"),
+                     F.count_if(F.col(tier).isin(HIGH_TIER, NORMAL_TIER)).alias("_tiers")).where("_tiers = 2")
     top = bands.select(F.max(spend)).scalar()
-    high = tiers.where(F.col(tier) == F.lit(HIGH_TIER)).select(F.col(tier_rate).alias("_high"))
-    normal = tiers.where(F.col(tier) == F.lit(NORMAL_TIER)).select(F.col(tier_rate).alias("_normal"))
-    with_tiers = attach_scalar(attach_scalar(bands, high), normal)
+    with_tiers = attach_scalar(bands, both.drop("_tiers"))
     p = F.try_divide(F.col(spend), top)
     expected = p * F.col("_high") + (F.lit(1) - p) * F.col("_normal")
     s = F.col(spend)

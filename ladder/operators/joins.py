@@ -1,4 +1,5 @@
-"""Dictionary lookups and scalar attachment."""
+"""Dictionary lookups and scalar attachment (J1-J5, P11, P12). No join here carries a broadcast hint: Spark picks the
+strategy from the tables' sizes, at plan time or adaptively."""
 
 from __future__ import annotations
 
@@ -10,51 +11,15 @@ from pyspark.sql import types as T
 
 from ladder.functions.columns import col_of
 
-# A dictionary small enough to ship to every task as part of the plan or as a broadcast.
-MAX_DICTIONARY_ENTRIES = 10_000
-
-
-def _literal(v) -> Column:
-    return F.lit(v)
-
-
-# Largest join side (in rows) broadcast after an explicit count; beyond it Spark plans a shuffle join
-# and AQE may still switch to a broadcast from runtime sizes. For sides that grow with the data.
-BROADCAST_MAX_ROWS = 1_000_000
-
-# The same check for tables small by construction (dimensions such as nation, per-partition
-# bookkeeping such as the ntile block table); counted all the same.
-BOUNDED_MAX_ROWS = 1_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """``broadcast(df)`` when it has at most ``max_rows`` (default ``BROADCAST_MAX_ROWS``) rows, else
-    ``df`` unchanged.
-
-    The check is an exact ``count()``: a partial count per task and one row per task to the final sum.
-    (A ``limit(n).count()`` would funnel up to n rows per task through a single-partition exchange.)
-    It scans only the candidate side, which is never larger than the join input it protects.
-    """
-    limit = BROADCAST_MAX_ROWS if max_rows is None else max_rows
-    return F.broadcast(df) if df.count() <= limit else df
-
-
-def broadcast_bounded(df: DataFrame) -> DataFrame:
-    """``broadcast_if_small`` for a table small by construction (bound ``BOUNDED_MAX_ROWS``)."""
-    return broadcast_if_small(df, BOUNDED_MAX_ROWS)
-
-
 def label_of(code: str | Column, mapping: Mapping, fallback: bool = False) -> Column:
     """Label of a code from a fixed dictionary, as a literal map lookup inside codegen.
 
     Unmapped codes give NULL, or with ``fallback`` the code's own text (``dict.get(k, k)``).
     """
-    if len(mapping) > MAX_DICTIONARY_ENTRIES:
-        raise ValueError("dictionary too large for a literal lookup; join a dimension table instead")
     c = col_of(code)
     pairs = []
     for k, v in mapping.items():
-        pairs.extend([_literal(k), _literal(v)])
+        pairs.extend([F.lit(k), F.lit(v)])
     label = F.try_element_at(F.create_map(*pairs), c)
     return F.coalesce(label, c.cast("string")) if fallback else label
 
@@ -62,8 +27,6 @@ def label_of(code: str | Column, mapping: Mapping, fallback: bool = False) -> Co
 def literal_frame(spark: SparkSession, rows: list[tuple], names: list[str],
                   types: list[T.DataType] | None = None) -> DataFrame:
     """A few literal rows as a DataFrame built inside the JVM plan (no Python worker, no RDD)."""
-    if len(rows) > MAX_DICTIONARY_ENTRIES:
-        raise ValueError("too many literal rows; store them as a table instead")
     types = types or [None] * len(names)
 
     def cell(v, t):
@@ -77,32 +40,6 @@ def literal_frame(spark: SparkSession, rows: list[tuple], names: list[str],
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
-def dimension(spark: SparkSession, mapping: Mapping, key: str = "code", label: str = "label",
-              key_type: T.DataType | None = None) -> DataFrame:
-    """A dictionary as a two-column DataFrame (a tiny dimension table)."""
-    if key_type is None:
-        sample = next(iter(mapping), "")
-        key_type = T.IntegerType() if isinstance(sample, int) else T.StringType()
-    return literal_frame(spark, list(mapping.items()), [key, label], [key_type, T.StringType()])
-
-
-def attach_label(df: DataFrame, code: str | Column, dim: DataFrame, label_as: str = "label",
-                 fallback: bool = False) -> DataFrame:
-    """Left equi-join to a small dimension ``(key, label)``.
-
-    The dimension is broadcast only up to ``MAX_DICTIONARY_ENTRIES`` rows (counted); larger ones go
-    through Spark's own join selection. Unmatched rows keep a NULL label, or the code text with
-    ``fallback``.
-    """
-    key, label = dim.columns[0], dim.columns[1]
-    c = col_of(code)
-    side = broadcast_if_small(dim, MAX_DICTIONARY_ENTRIES)
-    d = side.select(F.col(key).alias("_dim_key"), F.col(label).alias("_dim_label"))
-    out = df.join(d, c == F.col("_dim_key"), "left")
-    lab = F.coalesce(F.col("_dim_label"), c.cast("string")) if fallback else F.col("_dim_label")
-    return out.withColumn(label_as, lab).drop("_dim_key", "_dim_label")
-
-
 def attach_scalar(df: DataFrame, one_row: DataFrame, prefix: str = "") -> DataFrame:
     """Attach the single row of ``one_row`` to every row of ``df``.
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladder.functions.columns import count_when, int_code, percent
+from ladder.functions.columns import int_code
 from ladder.functions.labels import LOWER_MAX_DECILE, UPPER_MIN_DECILE
+from ladder.operators.aggregate import rate_by, share_of_rows
 from ladder.operators.filters import latest_period
 from ladder.operators.shares import share_of_counts
 
@@ -42,10 +43,10 @@ def escape_and_retention(df: DataFrame, period: str = "year", prev: str = "prev_
     group (prev >= high) that stayed (cur >= high); NULL when a group is empty (A6)."""
     p, c = F.col(prev), F.col(cur)
     base = df.where((F.col(gap) == 1) & p.isNotNull() & c.isNotNull())
-    return base.groupBy(F.col(period).alias(period_as)).agg(
-        percent(count_when((p <= low) & (c > low)), count_when(p <= low), digits).alias(escape_as),
-        percent(count_when((p >= high) & (c >= high)), count_when(p >= high), digits).alias(retention_as),
-    )
+    return rate_by(base, F.col(period).alias(period_as), {
+        escape_as: ((p <= low) & (c > low), p <= low),
+        retention_as: ((p >= high) & (c >= high), p >= high),
+    }, digits)
 
 
 def upper_retention(df: DataFrame, period: str = "year", prev: str = "prev_income_decile",
@@ -56,5 +57,5 @@ def upper_retention(df: DataFrame, period: str = "year", prev: str = "prev_incom
     there is no such row (the dashboard's KPI default). ``periods`` may hold the table's periods."""
     base = latest_period(df, period, source=periods).where(
         (F.col(gap) == 1) & (F.col(prev) >= high) & F.col(cur).isNotNull())
-    rate = percent(count_when(F.col(cur) >= high), F.count(F.lit(1)), digits)
-    return base.agg(F.coalesce(rate, F.lit(0.0)).alias(value_as))
+    share = share_of_rows(base, F.col(cur) >= high, value_as, digits)
+    return share.select(F.coalesce(value_as, F.lit(0.0)).alias(value_as))

@@ -3,11 +3,11 @@
 Inputs are aggregated results (rows x categories cells), so every step here moves few rows.
 
 * ``dense_pivot`` (wide): ``groupBy().pivot(col, values)``; a listed row domain is a literal frame
-  (size-checked by ``literal_frame``) broadcast and left-joined, so missing rows appear as zeros and
+  of a handful of rows, broadcast and left-joined, so missing rows appear as zeros and
   unlisted rows drop out.
-* ``dense_long`` (long, what the registered matrices use): a scaffold of listed/observed keys built by
-  ``explode`` of a literal array, left-joined with the aggregated cells; lazy, no pivot job.
-* ``to_chart`` / ``to_matrix``: the emitted nested encodings, assembled from the dense long form.
+* ``dense_grid`` (one row of arrays, what the registered matrices and documents use): one pass over the input, then
+  array functions on its cells; lazy, no pivot job, no join. ``to_long`` explodes it.
+* ``to_chart`` / ``to_matrix``: the emitted nested encodings of a grid.
 """
 
 from __future__ import annotations
@@ -52,81 +52,82 @@ def dense_pivot(df: DataFrame, row: str, col: str, value: str, rows: Sequence |
                                           for c in value_cols])
 
 
-def dense_long(df: DataFrame, row: str, col: str, value: str, rows: Sequence | None = None,
+def dense_grid(df: DataFrame, row: str, col: str, value: str, rows: Sequence | None = None,
                cols: Sequence | None = None, agg: str = "sum", fill: float = 0.0,
                row_labels: Mapping | None = None, col_labels: Mapping | None = None,
                digits: int | None = 1) -> DataFrame:
-    """Dense matrix in long form: ``row_pos, row_label, col_pos, col_label, value``.
+    """Dense matrix as one row: ``row_labels, col_labels, values`` (one array per row), ``n_cells`` (observed ones) and
+    ``raw`` (the rows of ``df`` in order of their columns) (R1-R3, J5, P14).
 
-    Same domains as ``dense_pivot``: fixed ``rows``/``cols`` lists (missing cells filled with ``fill``,
-    unlisted keys dropped) or, for one of the two, the observed keys in ascending order. NULL keys are
-    dropped. Fully lazy: the scaffold is the observed (or listed) keys of one side with the listed keys
-    of the other added by ``explode`` of a literal array, so no join builds the product and no job runs
-    while the plan is built. Labels come from the dictionaries with the key's own text as fallback.
+    Fixed ``rows``/``cols`` lists (missing cells filled with ``fill``, unlisted keys dropped) or, where None, the observed
+    keys in ascending order. NULL keys are dropped from the matrix, not from ``raw``. ``df`` is read once: it is reduced
+    to its cells, and the observed keys, the fill and the order come from the array of cells. Its size is bounded by the
+    key domains. Labels come from the dictionaries with the key's own text as fallback.
     """
-    if rows is None and cols is None:
-        raise ValueError("dense_long needs at least one fixed domain (rows or cols)")
-    data = df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
-    cells = data.groupBy(row, col).agg(_AGG[agg](value).alias("_v"))
-    spark = df.sparkSession
-
-    def listed(values: Sequence, key: str, pos: str, dtype: T.DataType) -> Column:
-        return F.array(*[F.struct(F.lit(v).cast(dtype).alias(key), F.lit(i).alias(pos))
-                         for i, v in enumerate(values, start=1)])
-
-    row_type, col_type = df.schema[row].dataType, df.schema[col].dataType
-    if rows is not None and cols is not None:
-        base = literal_frame(spark, [(v, i) for i, v in enumerate(rows, start=1)], [row, "row_pos"],
-                             [row_type, T.IntegerType()])
-        scaffold = base.select(row, "row_pos", F.inline(listed(cols, col, "col_pos", col_type)))
-    elif cols is None:
-        # Observed column keys, ranked over the distinct keys (a handful of rows).
-        observed = data.select(col).distinct().select(
-            col, F.dense_rank().over(Window.orderBy(F.col(col))).cast("int").alias("col_pos"))
-        scaffold = observed.select(col, "col_pos", F.inline(listed(rows, row, "row_pos", row_type)))
-    else:
-        observed = data.select(row).distinct().select(
-            row, F.dense_rank().over(Window.orderBy(F.col(row))).cast("int").alias("row_pos"))
-        scaffold = observed.select(row, "row_pos", F.inline(listed(cols, col, "col_pos", col_type)))
-    filled = scaffold.join(cells, [row, col], "left")
-    row_key, col_key = F.col(row), F.col(col)
-    row_label = label_of(row_key, row_labels, fallback=True) if row_labels else row_key.cast("string")
-    col_label = label_of(col_key, col_labels, fallback=True) if col_labels else col_key.cast("string")
-    val = F.coalesce(F.col("_v").cast("double"), F.lit(float(fill)))
-    return filled.select(
-        F.col("row_pos").cast("int").alias("row_pos"), row_label.alias("row_label"),
-        F.col("col_pos").cast("int").alias("col_pos"), col_label.alias("col_label"),
-        (F.round(val, digits) if digits is not None else val).alias("value"))
-
-
-def to_chart(matrix: DataFrame) -> DataFrame:
-    """Long dense matrix -> one row ``struct<labels: array<string>, datasets: array<struct<label, data>>>``
-    (R4): one dataset per column key, values in row order. Bounded by the matrix's domain sizes."""
-    per_col = matrix.groupBy("col_pos", "col_label").agg(
-        F.sort_array(F.collect_list(F.struct("row_pos", "row_label", "value"))).alias("cells"))
-    no_labels = F.array().cast("array<string>")
-    return per_col.agg(
-        F.coalesce(F.min_by(F.transform("cells", lambda c: c["row_label"]), "col_pos"), no_labels).alias("labels"),
-        F.transform(F.sort_array(F.collect_list(F.struct(
-            "col_pos", F.col("col_label").alias("label"),
-            F.transform("cells", lambda c: c["value"]).alias("data")))),
-            lambda d: F.struct(d["label"].alias("label"), d["data"].alias("data"))).alias("datasets"),
-    ).select(F.struct("labels", "datasets").alias("chart"))
-
-
-def to_matrix(matrix: DataFrame) -> DataFrame:
-    """Long dense matrix -> one row ``struct<rows, columns, values: array<array<double>>>``."""
-    per_row = matrix.groupBy("row_pos", "row_label").agg(
-        F.sort_array(F.collect_list(F.struct("col_pos", "col_label", "value"))).alias("cells"))
-    return per_row.agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("row_pos", "row_label"))),
-                    lambda r: r["row_label"]).alias("rows"),
-        F.coalesce(F.min_by(F.transform("cells", lambda c: c["col_label"]), "row_pos"),
-                   F.array().cast("array<string>")).alias("columns"),
-        F.transform(F.sort_array(F.collect_list(F.struct("row_pos", "cells"))),
-                    lambda r: F.transform(r["cells"], lambda c: c["value"])).alias("values"),
-    ).select(F.struct("rows", "columns", "values").alias("matrix"))
-
-
-# The chart encoding under the name the blueprint uses.
-to_series = to_chart
+    cells = df.groupBy(F.col(row).alias("r"), F.col(col).alias("c")).agg(
+        _AGG[agg](value).cast("double").alias("v"), F.collect_list(F.struct(*df.columns)).alias("members"))
+    known = F.col("r").isNotNull() & F.col("c").isNotNull()
+    one = cells.agg(F.collect_list(F.when(known, F.struct("r", "c", "v"))).alias("cells"),
+                    F.sort_array(F.flatten(F.collect_list("members"))).alias("raw"))
+
+    def keys(listed: Sequence | None, name: str, dtype: T.DataType) -> Column:
+        if listed is None:
+            return F.array_sort(F.array_distinct(F.transform("cells", lambda x: x[name])))
+        return F.array(*[F.lit(v).cast(dtype) for v in listed])
+
+    def labels(key: Column, mapping: Mapping | None) -> Column:
+        return label_of(key, mapping, fallback=True) if mapping else key.cast("string")
+
+    found = F.map_from_entries(F.transform("cells", lambda x: F.struct(F.struct(x["r"].alias("r"), x["c"].alias("c")), x["v"])))
+    one = one.select("raw", F.size("cells").alias("n_cells"), found.alias("found"),
+                     keys(rows, "r", df.schema[row].dataType).alias("rows"),
+                     keys(cols, "c", df.schema[col].dataType).alias("cols"))
+
+    def cell(r: Column, c: Column) -> Column:
+        v = F.coalesce(F.try_element_at(F.col("found"), F.struct(r.alias("r"), c.alias("c"))), F.lit(float(fill)))
+        return F.round(v, digits) if digits is not None else v
+
+    return one.select(
+        F.transform("rows", lambda r: labels(r, row_labels)).alias("row_labels"),
+        F.transform("cols", lambda c: labels(c, col_labels)).alias("col_labels"),
+        F.transform("rows", lambda r: F.transform("cols", lambda c: cell(r, c))).alias("values"), "n_cells", "raw")
+
+
+def to_long(grid: DataFrame) -> DataFrame:
+    """A grid in long form: ``row_pos, row_label, col_pos, col_label, value``, positions from 1."""
+    by_row = grid.select("row_labels", "col_labels", F.posexplode("values").alias("r", "row"))
+    by_cell = by_row.select("row_labels", "col_labels", "r", F.posexplode("row").alias("c", "value"))
+    return by_cell.select(
+        (F.col("r") + 1).alias("row_pos"), F.get("row_labels", F.col("r")).alias("row_label"),
+        (F.col("c") + 1).alias("col_pos"), F.get("col_labels", F.col("c")).alias("col_label"), "value")
+
+
+def dense_long(df: DataFrame, *args, **kwargs) -> DataFrame:
+    """``dense_grid`` in long form."""
+    return to_long(dense_grid(df, *args, **kwargs))
+
+
+def _or_empty(grid: DataFrame, value: Column, only_observed: bool) -> Column:
+    """``value``, or an empty array where the grid has no rows or no columns (``only_observed``: no observed cell)."""
+    kind = grid.select(value.alias("x")).schema["x"].dataType
+    full = (F.size("row_labels") > 0) & (F.size("col_labels") > 0)
+    if only_observed:
+        full = full & (F.col("n_cells") > 0)
+    return F.when(full, value).otherwise(F.array().cast(kind))
+
+
+def to_chart(grid: DataFrame, raw: bool = False, empty: bool = False) -> DataFrame:
+    """A grid -> one row ``struct<labels, datasets: array<struct<label, data>>[, raw]>`` (R4): one dataset per column
+    key, values in row order. ``empty``: without observed cells labels and datasets are empty, too."""
+    datasets = F.transform("col_labels", lambda label, j: F.struct(
+        label.alias("label"), F.transform("values", lambda row: F.get(row, j)).alias("data")))
+    return grid.select(F.struct(_or_empty(grid, F.col("row_labels"), empty).alias("labels"),
+                                _or_empty(grid, datasets, empty).alias("datasets"),
+                                *([F.col("raw")] if raw else [])).alias("chart"))
+
+
+def to_matrix(grid: DataFrame, raw: bool = False) -> DataFrame:
+    """A grid -> one row ``struct<rows, columns, values: array<array<double>>[, raw]>``."""
+    parts = {"rows": "row_labels", "columns": "col_labels", "values": "values"}
+    return grid.select(F.struct(*[_or_empty(grid, F.col(c), False).alias(k) for k, c in parts.items()],
+                                *([F.col("raw")] if raw else [])).alias("matrix"))

@@ -1,14 +1,14 @@
-"""The latest-year statements fused into one pass (GROUPING SETS), for a dashboard refresh.
+"""The latest-year statements from one pass, for a dashboard refresh.
 
-Twelve statements read the latest-year slice of the panel, each with its own key and row filter. Run
-one by one, a refresh scans that slice twelve times. Here one aggregate with a grouping set per key
-computes all of them in a single scan: each statement's row filter moves inside its own conditional
-aggregates (``COUNT_IF(cond)``, ``AVG(CASE WHEN cond THEN x END)``), and a group exists for a
-statement only where its count is positive — exactly the groups its filtered ``GROUP BY`` would form.
-Partial aggregation still runs map-side per grouping set, so hot keys collapse before the shuffle.
+Twelve statements read the latest-year slice of the panel, each with its own key and row filter. Run one by one, a
+refresh scans that slice twelve times. Here one aggregate by the six codes keeps, per combination of codes, the count
+and sum that each statement needs (its row filter sits inside its own conditional aggregates). The statements are
+rolled up from that small table: a group exists for a statement only where its count is positive, exactly the groups
+its filtered ``GROUP BY`` would form. Partial aggregation runs map-side, so hot keys collapse before the shuffle, and
+the plan is the same at every size.
 
-The registered queries keep their own lean plans (a single statement reads only its columns); a
-refresh uses these projections instead (``dashboard.shared_statements``).
+The registered queries keep their own lean plans (a single statement reads only its columns); a refresh is given
+these results instead (``dashboard.shared_statements``).
 """
 
 from __future__ import annotations
@@ -29,25 +29,11 @@ from ladder.operators.joins import label_of
 from ladder.operators.shares import share_of_counts
 from ladder.plans import queries as q
 
-# Grouping keys of the fused aggregate, in grouping_id bit order (first key = highest bit).
 KEYS = ["decile", "education_group", "firm_size", "job_status", "employment_type", "mobility_type"]
 
-SETS = {
-    "decile": ["decile"],
-    "education": ["education_group"],
-    "education_employment": ["education_group", "employment_type"],
-    "education_firm": ["education_group", "firm_size"],
-    "education_status": ["education_group", "job_status"],
-    "firm": ["firm_size"],
-    "status": ["job_status"],
-    "employment_mobility": ["employment_type", "mobility_type"],
-    "mobility": ["mobility_type"],
-    "all": [],
-}
-
-
-def _gid(keys: list[str]) -> int:
-    return sum(1 << (len(KEYS) - 1 - i) for i, k in enumerate(KEYS) if k not in keys)
+# What each condition sums: counts alone need nothing.
+MEASURES = {"income": "h_total_income", "asset": "h_total_asset", "edu_wage": "p_monthly_wage",
+            "firm_wage": "p_monthly_wage", "status_wage": "p_monthly_wage", "status_asset": "h_net_asset"}
 
 
 def _conditions() -> dict[str, Column]:
@@ -73,8 +59,8 @@ def _conditions() -> dict[str, Column]:
 
 
 @q.query()
-def latest_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All latest-year statement aggregates in one grouping-sets aggregate (one scan of the slice)."""
+def latest_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and sums of every latest-year statement per combination of the six codes (one scan of the slice)."""
     cond = _conditions()
     base = q._latest(spark, sf_dir).select(
         int_code("h_incomeq").alias("decile"), "education_group",
@@ -85,24 +71,23 @@ def latest_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
         "h_total_income", "h_total_asset", "p_monthly_wage", "h_net_asset", "h_incomeq",
     )
     flag = {name: F.col(f"_c_{name}") for name in cond}
-    aggs = [F.grouping_id().alias("_gid")]
-    for name in cond:
-        aggs.append(count_when(flag[name]).alias(f"n_{name}"))
-    for name, measure in [("income", "h_total_income"), ("asset", "h_total_asset"), ("edu_wage", "p_monthly_wage"),
-                          ("firm_wage", "p_monthly_wage"), ("status_wage", "p_monthly_wage"),
-                          ("status_asset", "h_net_asset")]:
-        aggs.append(F.avg(F.when(flag[name], F.col(measure))).alias(f"m_{name}"))
+    aggs = [count_when(flag[name]).alias(f"n_{name}") for name in cond]
+    aggs += [F.sum(F.when(flag[name], F.col(x))).alias(f"s_{name}") for name, x in MEASURES.items()]
     aggs.append(count_when(flag["retention"] & (F.col("h_incomeq") >= UPPER_MIN_DECILE)).alias("hits_retention"))
-    return base.groupingSets([SETS[s] for s in SETS], *KEYS).agg(*aggs)
+    return base.groupBy(*KEYS).agg(*aggs)
 
 
-def _part(spark: SparkSession, sf_dir: str, grouping: str, measure: str) -> DataFrame:
-    cube = latest_cube(spark, sf_dir, ordered=False)
-    return cube.where((F.col("_gid") == _gid(SETS[grouping])) & (F.col(f"n_{measure}") > 0))
+def _part(spark: SparkSession, sf_dir: str, measure: str, *keys: str) -> DataFrame:
+    """The cells rolled up to ``keys``: ``n_<measure>`` and, where it is summed, ``m_<measure>``."""
+    n = F.sum(f"n_{measure}")
+    aggs = [n.alias(f"n_{measure}")]
+    if measure in MEASURES:
+        aggs.append(F.try_divide(F.sum(f"s_{measure}"), n).alias(f"m_{measure}"))
+    return latest_cells(spark, sf_dir).groupBy(*keys).agg(*aggs).where(F.col(f"n_{measure}") > 0)
 
 
-def _mean(spark, sf_dir, grouping, measure, key, mean_as, count_as=None, labels=None, label_as=None):
-    part = _part(spark, sf_dir, grouping, measure)
+def _mean(spark, sf_dir, measure, key, mean_as, count_as=None, labels=None, label_as=None):
+    part = _part(spark, sf_dir, measure, key)
     cols = [key] + ([F.col(f"n_{measure}").alias(count_as)] if count_as else [])
     cols.append(F.round(F.col(f"m_{measure}"), 1).alias(mean_as))
     if labels is not None:
@@ -110,39 +95,39 @@ def _mean(spark, sf_dir, grouping, measure, key, mean_as, count_as=None, labels=
     return part.select(*cols)
 
 
-def _share(spark, sf_dir, grouping, measure, group, category, labels=None, label_key=None, label_as=None):
-    part = _part(spark, sf_dir, grouping, measure).select(
+def _share(spark, sf_dir, measure, group, category, labels=None, label_key=None, label_as=None):
+    part = _part(spark, sf_dir, measure, *([group] if group else []), category).select(
         *([group] if group else []), category, F.col(f"n_{measure}").alias("n_persons"))
     out = share_of_counts(part, group, "n_persons", "share", 1)
     return out.withColumn(label_as, label_of(label_key, labels)) if labels is not None else out
 
 
 def fused_statements(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The twelve latest-year statements as projections of ``latest_cube`` (unordered, with the same
+    """The twelve latest-year statements as roll-ups of ``latest_cells`` (unordered, with the same
     columns and values as the registered plans)."""
-    retention = latest_cube(spark, sf_dir, ordered=False).where(F.col("_gid") == _gid(SETS["all"])).select(
-        F.coalesce(percent(F.col("hits_retention"), F.col("n_retention"), 1), F.lit(0.0)).alias("upper_retention"))
+    retention = latest_cells(spark, sf_dir).agg(F.coalesce(
+        percent(F.sum("hits_retention"), F.sum("n_retention"), 1), F.lit(0.0)).alias("upper_retention"))
     return {
-        "income_by_decile": _mean(spark, sf_dir, "decile", "income", "decile", "avg_household_income"),
-        "asset_by_decile": _mean(spark, sf_dir, "decile", "asset", "decile", "avg_total_asset"),
-        "wage_by_education": _mean(spark, sf_dir, "education", "edu_wage", "education_group", "avg_monthly_wage",
+        "income_by_decile": _mean(spark, sf_dir, "income", "decile", "avg_household_income"),
+        "asset_by_decile": _mean(spark, sf_dir, "asset", "decile", "avg_total_asset"),
+        "wage_by_education": _mean(spark, sf_dir, "edu_wage", "education_group", "avg_monthly_wage",
                                    "n_samples", EDU_LABELS, "education_label"),
-        "education_employment_share": _share(spark, sf_dir, "education_employment", "edu_emp", "education_group",
+        "education_employment_share": _share(spark, sf_dir, "edu_emp", "education_group",
                                              "employment_type", EDU_LABELS, "education_group", "education_label"),
-        "education_firm_size_share": _share(spark, sf_dir, "education_firm", "edu_firm", "education_group",
+        "education_firm_size_share": _share(spark, sf_dir, "edu_firm", "education_group",
                                             "firm_size", EDU_LABELS, "education_group", "education_label"),
-        "education_job_status_share": _share(spark, sf_dir, "education_status", "edu_status", "education_group",
+        "education_job_status_share": _share(spark, sf_dir, "edu_status", "education_group",
                                              "job_status", EDU_LABELS, "education_group", "education_label"),
-        "wage_by_firm_size": _mean(spark, sf_dir, "firm", "firm_wage", "firm_size", "avg_monthly_wage",
+        "wage_by_firm_size": _mean(spark, sf_dir, "firm_wage", "firm_size", "avg_monthly_wage",
                                    "n_samples", FIRM_SIZE_LABELS, "firm_size_label"),
-        "wage_by_job_status": _mean(spark, sf_dir, "status", "status_wage", "job_status", "avg_monthly_wage",
+        "wage_by_job_status": _mean(spark, sf_dir, "status_wage", "job_status", "avg_monthly_wage",
                                     "n_samples", JOB_STATUS_LABELS, "job_status_label"),
-        "net_asset_by_job_status": _mean(spark, sf_dir, "status", "status_asset", "job_status", "avg_net_asset",
+        "net_asset_by_job_status": _mean(spark, sf_dir, "status_asset", "job_status", "avg_net_asset",
                                          "n_samples", JOB_STATUS_LABELS, "job_status_label"),
-        "employment_mobility_share": _share(spark, sf_dir, "employment_mobility", "emp_mobility", "employment_type",
+        "employment_mobility_share": _share(spark, sf_dir, "emp_mobility", "employment_type",
                                             "mobility_type", EMPLOYMENT_TYPE_LABELS, "employment_type",
                                             "employment_label"),
-        "mobility_share": _share(spark, sf_dir, "mobility", "mobility", None, "mobility_type", MOBILITY_LABELS,
+        "mobility_share": _share(spark, sf_dir, "mobility", None, "mobility_type", MOBILITY_LABELS,
                                  "mobility_type", "mobility_label"),
         "upper_retention_kpi": retention,
     }
