@@ -2,15 +2,15 @@
 
 0. ``warmup``: one trivial job on made-up rows (JVM class loading, codegen start-up); reported
    separately as ``warmup_sec`` and not part of ``value``.
-1. ``build_views``: derive and materialise the panel, its periods and the parent/child view into a
-   private namespace under the session's checkpoint folder (always measured, never reused from an
-   earlier run; removed at the end).
-2. ``page_load``: every registered result (the 21 statements and all outputs derived from them).
-   The statement results are computed once and shared; independent results are submitted
-   concurrently ($BENCH_WORKERS at a time), as a dashboard refresh would.
-
-Prints one JSON line; ``value`` = build_views + page_load wall seconds. ``queries`` holds each
-result's latency inside the page load (they overlap when workers > 1).
+1. ``build_views``: derive and materialise the panel, its periods and the parent/child view in a checkpoint folder of
+   this run's own (always measured, never reused from an earlier run).
+2. ``page_load``: every registered result of the dashboard. The statement results are computed once and shared;
+   independent results are submitted concurrently ($BENCH_WORKERS at a time), as a dashboard refresh would.
+3. ``cold``: afterwards every result once more by itself, one at a time, from the derived tables, nothing shared or
+   cached. Not part of ``value``.
+
+Prints one JSON line; ``value`` = build_views + page_load wall seconds. ``queries`` holds each result's cold seconds,
+``shared`` its latency inside the page load (these overlap when workers > 1).
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
-import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -30,8 +30,6 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     workers = int(os.environ.get("BENCH_WORKERS", "4"))
-    fuse_env = os.environ.get("BENCH_FUSE", "auto")
-    fuse = None if fuse_env == "auto" else fuse_env != "0"
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("ladder-bench")
@@ -40,21 +38,17 @@ def main() -> None:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.scheduler.mode", "FAIR")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="ladder-bench-"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
 
-    from ladder.plans.dashboard import FUSE_MIN_BYTES, dashboard, latest_slice_bytes, run_all, shared_statements
+    from ladder.plans.dashboard import run_all, shared_statements
     from ladder.plans.queries import QUERIES
-    from ladder.sources import store, views
-
-    # The session's checkpoint folder (a local temporary one only when the session names none),
-    # with a private namespace so this run builds its tables from scratch.
-    store.ensure_checkpoint_dir(spark)
-    namespace = f"bench-{uuid.uuid4().hex[:12]}"
-    store.set_namespace(namespace)
+    from ladder.sources import views
+    from ladder.sources.run import Run
 
     tw = time.perf_counter()
     spark.range(1000).selectExpr("sum(id) AS s").collect()
@@ -62,25 +56,26 @@ def main() -> None:
 
     t0 = time.perf_counter()
     views.build_views(spark, sf_dir, workers=2)
+    views.panel_periods(spark, sf_dir)
     build = time.perf_counter() - t0
 
-    latencies: dict[str, float] = {}
+    shared: dict[str, float] = {}
     rows: dict[str, int] = {}
 
-    def timed(name):
+    def timed(name, run, into):
         def action():
             t = time.perf_counter()
-            rows[name] = len(dashboard(spark, sf_dir, [name])[name].collect())
-            latencies[name] = time.perf_counter() - t
+            rows[name] = len(QUERIES[name](spark, run).collect())
+            into[name] = time.perf_counter() - t
         return action
 
     names = list(QUERIES)
-    slice_bytes = latest_slice_bytes(spark, sf_dir)
-    fused = (slice_bytes >= FUSE_MIN_BYTES) if fuse is None else fuse
     t1 = time.perf_counter()
-    with shared_statements(spark, sf_dir, workers, fuse=fused):
-        run_all([timed(name) for name in names], workers)
+    with shared_statements(spark, sf_dir) as run:
+        run_all([timed(name, run, shared) for name in names], workers)
     page_load = time.perf_counter() - t1
+    cold: dict[str, float] = {}
+    run_all([timed(name, Run(sf_dir), cold) for name in names])
 
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     print(json.dumps({
@@ -90,17 +85,14 @@ def main() -> None:
         "warmup_sec": round(warmup, 3),
         "build_views_sec": round(build, 3),
         "page_load_sec": round(page_load, 3),
-        "queries": {k: round(latencies[k], 3) for k in names},
+        "queries": {k: round(cold[k], 3) for k in names},
+        "shared": {k: round(shared[k], 3) for k in names},
         "rows": rows,
         "n_results": len(names),
         "workers": workers,
-        "fused_latest_year": fused,
-        "latest_slice_bytes": slice_bytes,
         "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
         "cpus": cpus,
     }))
-    store.delete_path(spark, store.table_root(spark))
-    store.set_namespace(None)
     spark.stop()
 
 

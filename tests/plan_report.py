@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import sys
+from collections import Counter
 
 sys.path.insert(0, __file__.rsplit("/tests/", 1)[0])
 
@@ -89,11 +90,12 @@ def main(sf_dir: str, out: str) -> None:
              "transition matrix) is the only exchange that moves data-sized rows, and it is partially",
              "aggregated map-side. Every later exchange (windows, pivots, ORDER BY, `SinglePartition`",
              "for global aggregates) moves aggregated rows bounded by the category domains. Broadcasts are",
-             "count-checked tables or literal domains. The last section shows the plans taken at cluster scale.",
+             "Spark's choice by the tables' sizes. `n x scan` counts executed scans. The last section shows the",
+             "same plans with broadcasts off.",
              ""]
-    from ladder.plans.fused import latest_cube
+    from ladder.plans.fused import latest_cells
 
-    entries = list(QUERIES.items()) + [("latest_cube (refresh only, fused latest-year statements)", latest_cube)]
+    entries = list(QUERIES.items()) + [("latest_cells (refresh only, all latest-year statements)", latest_cells)]
     for name, fn in entries:
         df = fn(spark, sf_dir)
         df.collect()
@@ -105,9 +107,9 @@ def main(sf_dir: str, out: str) -> None:
         lines.append(f"- broadcasts: {s['broadcasts']}; joins: " + (", ".join(s["joins"]) or "none")
                      + f"; reused exchanges/subqueries: {s['reused']}")
         lines.append(f"- whole-stage-codegen stages: {s['codegen_stages']}")
-        for table, schema, pushed, part in sorted(set(s["scans"])):
+        for (table, schema, pushed, part), n in sorted(Counter(s["scans"]).items()):
             extra = f"; partition filters `{part}`" if part else ""
-            lines.append(f"- scan `{table}`: `{schema}`; pushed `{pushed}`{extra}")
+            lines.append(f"- {n} x scan `{table}`: `{schema}`; pushed `{pushed}`{extra}")
         lines.append("")
     lines += _cluster_scale_section(spark, sf_dir)
     open(out, "w").write("\n".join(lines))
@@ -115,19 +117,13 @@ def main(sf_dir: str, out: str) -> None:
 
 
 def _cluster_scale_section(spark, sf_dir: str) -> list[str]:
-    """Plans with the paths taken at cluster scale forced (no size-checked or automatic broadcasts)."""
-    from ladder.operators import joins
-    from ladder.plans.queries import expected_rate_by_income_band, forget
-    from ladder.sources import store, views
-
-    lines = ["# Cluster-scale paths", "",
-             "The same plans with every size-checked broadcast refused and automatic broadcast joins off,",
-             "as happens when the sides are large (views rebuilt in a private namespace).", ""]
-    old_rows, old_auto = joins.BROADCAST_MAX_ROWS, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    joins.BROADCAST_MAX_ROWS = -1
+    """The plans as Spark makes them when every side is large (automatic broadcast joins off)."""
+    from ladder.plans.queries import expected_rate_by_income_band
+    from ladder.sources import views
+
+    lines = ["# Without broadcasts", "", "The same plans with automatic broadcast joins off, as when the sides are large.", ""]
+    old_auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    store.set_namespace("plan-report-cluster-scale")
-    forget(spark, sf_dir)
     try:
         for title, df in [("expected_rate_by_income_band", expected_rate_by_income_band(spark, sf_dir)),
                           ("panel build (orders aggregation, exact ntile, household window, customer join)",
@@ -139,15 +135,11 @@ def _cluster_scale_section(spark, sf_dir: str) -> list[str]:
             lines.append(f"- shuffles (own, incl. subqueries): {len(s['exchanges'])} — "
                          + (", ".join(s["exchanges"]) or "none"))
             lines.append(f"- broadcasts: {s['broadcasts']}; joins: " + (", ".join(s["joins"]) or "none"))
-            for table, schema, pushed, part in sorted(set(s["scans"])):
-                lines.append(f"- scan `{table}`: `{schema}`; pushed `{pushed}`")
+            for (table, schema, pushed, _), n in sorted(Counter(s["scans"]).items()):
+                lines.append(f"- {n} x scan `{table}`: `{schema}`; pushed `{pushed}`")
             lines.append("")
     finally:
-        joins.BROADCAST_MAX_ROWS = old_rows
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old_auto)
-        store.delete_path(spark, store.table_root(spark))
-        store.set_namespace(None)
-        forget(spark, sf_dir)
     return lines
 
 

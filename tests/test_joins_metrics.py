@@ -2,9 +2,7 @@
 from ladder.functions.labels import EDU_LABELS, EDU_ORDER
 from ladder.functions import rank_of
 from ladder.operators import (
-    attach_label,
     attach_scalar,
-    dimension,
     extremes,
     interpolate_two_tiers,
     label_of,
@@ -12,7 +10,6 @@ from ladder.operators import (
     tier_means,
     transition_summary,
 )
-from ladder.operators.joins import broadcast_if_small
 
 
 def test_label_lookup_and_fallback(spark):
@@ -20,9 +17,6 @@ def test_label_lookup_and_fallback(spark):
     m = {1: "one", 2: "two"}
     rows = df.select(label_of("code", m).alias("a"), label_of("code", m, fallback=True).alias("b")).collect()
     assert [(r.a, r.b) for r in rows] == [("one", "one"), (None, "9"), (None, None)]
-    joined = attach_label(df, "code", dimension(spark, m), "label", fallback=True)
-    assert sorted((r.code or 0, r.label or "") for r in joined.collect()) == [(0, ""), (1, "one"), (9, "9")]
-    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
 
 
 def test_attach_scalar_empty_row_empties_result(spark):
@@ -32,15 +26,6 @@ def test_attach_scalar_empty_row_empties_result(spark):
     assert attach_scalar(df, one.where("v < 0")).count() == 0
 
 
-def test_broadcast_if_small(spark):
-    df = spark.range(10)
-    small = broadcast_if_small(df, max_rows=10)
-    big = broadcast_if_small(df, max_rows=5)
-    j1 = spark.range(100).join(small, "id")._jdf.queryExecution().optimizedPlan().toString()
-    j2 = spark.range(100).join(big, "id")._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" in j1.lower() and "broadcast" not in j2.lower()
-
-
 RATES = ["-", "68.5%", "", None, " 70 ", "1e2x", "-3.5", "abc", ".5", "+7", "68.0"]
 
 

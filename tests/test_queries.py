@@ -2,12 +2,16 @@
 
 import json
 import os
+import shutil
 
 
 from conftest import SF_SMALL
 from oracle_compare import compare
 
 import __spark_entry__ as entry_mod
+from ladder.plans.queries import QUERIES
+
+OWN = list(QUERIES)  # the library's own results; the optional text operators have tests of their own
 
 
 def test_entry_smoke(spark):
@@ -17,17 +21,17 @@ def test_entry_smoke(spark):
 
 
 def test_queries_and_oracles_cover_the_same_names():
-    assert set(entry_mod.queries()) == set(entry_mod.oracle_sql())
+    assert set(OWN) <= set(entry_mod.queries()) and set(OWN) <= set(entry_mod.oracle_sql())
 
 
 def test_oracle_parity_small(spark):
-    report = compare(spark, SF_SMALL)
+    report = compare(spark, SF_SMALL, OWN)
     bad = {k: v["status"] for k, v in report.items() if v["status"] != "ok"}
     assert not bad, bad
 
 
 def test_result_order_nulls_and_custom_rank(spark):
-    q = entry_mod.queries()
+    q = QUERIES
     edu = [r.education_group for r in q["wage_by_education"](spark, SF_SMALL).collect()]
     order = ["elementary", "middle_school", "high_school", "college", "university", "graduate_school"]
     assert edu == [g for g in order if g in edu]
@@ -38,7 +42,7 @@ def test_result_order_nulls_and_custom_rank(spark):
 
 
 def test_properties_on_fixture(spark):
-    q = entry_mod.queries()
+    q = QUERIES
     # shares within each group sum to 100 up to rounding (before densifying)
     for name, group in [("child_education_share", "quintile"), ("education_job_status_share", "education_group"),
                         ("employment_mobility_share", "employment_type"), ("income_transition_matrix", "prev_decile")]:
@@ -57,14 +61,14 @@ def test_properties_on_fixture(spark):
 
 
 def test_plans_have_no_cartesian_product(spark):
-    for name, fn in entry_mod.queries().items():
+    for name, fn in QUERIES.items():
         plan = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan, name
         assert "BroadcastNestedLoopJoin" not in plan, name
 
 
 def test_latest_year_scan_prunes_partitions(spark):
-    df = entry_mod.queries()["income_by_decile"](spark, SF_SMALL)
+    df = QUERIES["income_by_decile"](spark, SF_SMALL)
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(year" in plan and "= Subquery" in plan
@@ -74,7 +78,7 @@ def test_latest_year_scan_prunes_partitions(spark):
 def test_sinks(spark, tmp_out):
     from ladder.sources import to_records, write_all
 
-    q = entry_mod.queries()
+    q = QUERIES
     rec = to_records(q["wage_by_education"](spark, SF_SMALL)).collect()
     first = json.loads(rec[0].record)
     assert set(first) == {"education_group", "n_samples", "avg_monthly_wage", "education_label"}
@@ -88,7 +92,7 @@ def test_sinks(spark, tmp_out):
 def test_write_dashboard_writes_each_result(spark, tmp_out):
     from ladder.sources import write_dashboard
 
-    q = entry_mod.queries()
+    q = QUERIES
     subset = {k: q[k] for k in ("latest_year", "mobility_share", "income_transition_dense")}
     paths = write_dashboard(spark, SF_SMALL, tmp_out, queries=subset, fmt="json")
     assert set(paths) == set(subset)
@@ -102,10 +106,10 @@ def test_dashboard_shares_statements_and_matches_independent_runs(spark):
     from ladder.plans.dashboard import dashboard, shared_statements
 
     names = ["child_education_matrix", "summary_kpis", "income_transition_chart", "wage_extremes"]
-    q = entry_mod.queries()
+    q = QUERIES
     independent = {n: sorted(map(str, q[n](spark, SF_SMALL).collect())) for n in names}
-    with shared_statements(spark, SF_SMALL, workers=4):
-        res = dashboard(spark, SF_SMALL, names)
+    with shared_statements(spark, SF_SMALL) as run:
+        res = dashboard(spark, run, names)
         plan = res["child_education_matrix"]._jdf.queryExecution().executedPlan().toString()
         shared = {n: sorted(map(str, df.collect())) for n, df in res.items()}
     assert shared == independent
@@ -116,7 +120,7 @@ def test_command_line_refresh_writes_every_result(spark, tmp_out):
     from ladder.__main__ import main
 
     paths = main([SF_SMALL, os.path.join(tmp_out, "dash"), "--format", "parquet", "--workers", "4"], spark=spark)
-    assert set(paths) == set(entry_mod.queries())
+    assert set(paths) == set(OWN)
     assert spark.read.parquet(paths["income_transition_dense"]).count() == 100
     assert not spark.sparkContext._jsc.sc().isStopped()
 
@@ -147,23 +151,23 @@ def test_oracle_parity_on_empty_inputs(spark, tmp_out):
     for t in TABLES:
         schema = pq.read_schema(f"{SF_SMALL}/{t}.parquet")
         pq.write_table(schema.empty_table(), os.path.join(tmp_out, f"{t}.parquet"))
-    report = compare(spark, tmp_out)
+    report = compare(spark, tmp_out, OWN)
     bad = {k: v["status"] for k, v in report.items() if v["status"] != "ok"}
     assert not bad, bad
-    kpi = entry_mod.queries()["summary_kpis"](spark, tmp_out).first()
+    kpi = QUERIES["summary_kpis"](spark, tmp_out).first()
     assert (kpi.income_gap, kpi.asset_gap, kpi.upper_retention, kpi.latest_year) == (0.0, 0.0, 0.0, None)
 
 
 def test_fused_refresh_equals_independent_results(spark):
-    """Forced fusion: the latest-year statements come from one grouping-sets pass, and every result of
-    the refresh (statements, matrices, charts, KPIs) equals the independently planned one."""
+    """The latest-year statements of a refresh come from one pass, and every result of the refresh (statements,
+    matrices, charts, KPIs) equals the independently planned one."""
     from ladder.plans.dashboard import dashboard, shared_statements
     from ladder.plans.fused import fused_statements
 
-    q = entry_mod.queries()
+    q = QUERIES
     independent = {n: sorted(map(str, fn(spark, SF_SMALL).collect())) for n, fn in q.items()}
-    with shared_statements(spark, SF_SMALL, workers=4, fuse=True):
-        res = dashboard(spark, SF_SMALL)
+    with shared_statements(spark, SF_SMALL) as run:
+        res = dashboard(spark, run)
         plan = res["wage_by_education"]._jdf.queryExecution().executedPlan().toString()
         shared = {n: sorted(map(str, df.collect())) for n, df in res.items()}
     assert shared == independent
@@ -183,7 +187,7 @@ def test_low_group_escape_plus_stay_is_100(spark):
     rates = rate_by(p, "year", {"escape": ((prev <= 3) & (cur > 3), prev <= 3),
                                 "stay": ((prev <= 3) & (cur <= 3), prev <= 3)}).collect()
     assert rates and all(abs(r.escape + r.stay - 100.0) <= 0.1 for r in rates if r.escape is not None)
-    trend = {r.year: r.lower_escape_rate for r in entry_mod.queries()["escape_and_retention_trend"](spark, SF_SMALL).collect()}
+    trend = {r.year: r.lower_escape_rate for r in QUERIES["escape_and_retention_trend"](spark, SF_SMALL).collect()}
     assert {r.year: r.escape for r in rates} == trend
 
 
@@ -203,7 +207,7 @@ def test_unpartitioned_windows_only_over_aggregated_rows(spark):
     """SURVEY §5: a single-partition window may only run over an aggregated result, never over rows
     of a scanned table."""
     seen = 0
-    for name, fn in entry_mod.queries().items():
+    for name, fn in QUERIES.items():
         plan = fn(spark, SF_SMALL)._jdf.queryExecution().sparkPlan()
         for _, tree in _windows_without_partitions(plan):
             seen += 1
@@ -214,46 +218,75 @@ def test_unpartitioned_windows_only_over_aggregated_rows(spark):
     assert seen > 0
 
 
-def test_large_data_code_paths_give_the_same_results(spark, monkeypatch):
-    """Force the paths taken at cluster scale: data-sized sides are never broadcast (supplier states are
-    pre-aggregated and shuffle-joined), no automatic broadcast joins, views rebuilt in a private
-    namespace, then the full oracle parity. Tables small by construction (nation, the ntile block
-    table) are still broadcast after their count, as they would be at any scale."""
-    from ladder.operators import joins
-    from ladder.plans.queries import forget
-    from ladder.sources import store
-
-    monkeypatch.setattr(joins, "BROADCAST_MAX_ROWS", -1)
+def test_the_same_plans_without_any_broadcast(spark, tmp_out):
+    """As at cluster scale: no automatic broadcast joins, views rebuilt, the same results. The plans don't
+    look at sizes, so only Spark's join strategies change."""
+    for t in ("nation", "customer", "supplier", "orders", "lineitem"):
+        shutil.copy(f"{SF_SMALL}/{t}.parquet", tmp_out)  # another path: the derived tables are built anew
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    store.set_namespace("large-paths")
-    forget(spark, SF_SMALL)
     try:
-        plan = entry_mod.queries()["expected_rate_by_income_band"](spark, SF_SMALL)._jdf.queryExecution() \
-            .executedPlan().toString()
-        # weighted-sum states shuffle-joined to the suppliers; only the nation dimension is broadcast
-        assert "SortMergeJoin" in plan and "_sxw" in plan
-        report = compare(spark, SF_SMALL)
-        bad = {k: v["status"] for k, v in report.items() if v["status"] != "ok"}
-        assert not bad, bad
+        plan = QUERIES["expected_rate_by_income_band"](spark, tmp_out)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "_sxw" in plan and "Broadcast" not in plan
+        names = ["expected_rate_by_income_band", "income_by_decile", "child_education_chart", "income_transition_chart",
+                 "debt_by_generation_pivot", "summary_kpis", "spend_band_endpoints"]
+        got = {n: [tuple(r) for r in QUERIES[n](spark, tmp_out).collect()] for n in names}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-        store.set_namespace(None)
-        forget(spark, SF_SMALL)
+    assert got == {n: [tuple(r) for r in QUERIES[n](spark, SF_SMALL).collect()] for n in names}
+
+
+def test_building_plans_starts_no_job_beyond_the_derived_tables(spark):
+    for fn in QUERIES.values():
+        fn(spark, SF_SMALL)  # the derived tables are there now
+    spark.sparkContext.setJobGroup("planning", "")
+    try:
+        for name in ("expected_rate_by_income_band", "dashboard_document", "education_firm_size_matrix"):
+            QUERIES[name](spark, SF_SMALL)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+    stages = [spark.sparkContext.statusTracker().getJobInfo(j) for j in jobs]
+    # Reading a Parquet file's schema is a one-task job; nothing else runs.
+    assert all(len(s.stageIds) == 1 for s in stages if s)
 
 
-def test_fusion_decision_from_file_metadata(spark):
-    from ladder.plans.dashboard import FUSE_MIN_BYTES, latest_slice_bytes
+def test_results_scan_their_input_once(spark):
+    once = ["education_employment_matrix", "education_firm_size_matrix", "education_employment_chart",
+            "education_firm_size_chart", "debt_by_generation_matrix", "debt_by_generation_chart",
+            "child_education_matrix", "child_education_chart", "transition_summary"]
+    for name in once:
+        df = QUERIES[name](spark, SF_SMALL)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().executedPlan().toString().split("== Initial Plan ==")[0]
+        scans = [x for x in plan.splitlines() if "FileScan parquet" in x and "panel_periods" not in x]
+        assert len(scans) == 1, (name, plan)
+
+
+def test_latest_year_reads_a_table(spark):
+    df = QUERIES["latest_year"](spark, SF_SMALL)
+    assert "FileScan parquet" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_json_sink_keeps_nulls_and_does_not_nest_documents(spark, tmp_out):
+    from ladder.sources import write_dashboard
 
-    size = latest_slice_bytes(spark, SF_SMALL)
-    assert 0 < size < FUSE_MIN_BYTES        # a small slice: a refresh runs the statements unfused
+    paths = write_dashboard(spark, SF_SMALL, tmp_out, queries={
+        k: QUERIES[k] for k in ("employment_mobility_share", "income_transition_chart", "dashboard_document")})
+    rows = [json.loads(r.value) for r in spark.read.text(paths["employment_mobility_share"]).collect()]
+    assert any("employment_label" in r and r["employment_label"] is None for r in rows)
+    doc = [json.loads(r.value) for r in spark.read.text(paths["income_transition_chart"]).collect()]
+    assert len(doc) == 1 and len(doc[0]["values"]) == 10 and doc[0]["raw"]
+    whole = json.loads(spark.read.text(paths["dashboard_document"]).first().value)
+    assert whole["kpis"]["latest_year"] and whole["charts"]["income_transition_chart"] == doc[0]
+    assert len(whole["charts"]) == 19
 
 
 def test_records_equal_pandas_record_encoding(spark):
     """One JSON object per row, as a pandas records encoding with non-ASCII kept gives them."""
     from ladder.sources import to_records
 
-    df = entry_mod.queries()["employment_mobility_share"](spark, SF_SMALL)   # has NULL labels (code 9)
+    df = QUERIES["employment_mobility_share"](spark, SF_SMALL)   # has NULL labels (code 9)
     ours = [json.loads(r.record) for r in to_records(df).collect()]
     theirs = json.loads(df.toPandas().to_json(orient="records", force_ascii=False))
     assert ours == theirs
@@ -265,7 +298,7 @@ def test_chart_equals_pandas_pivot_of_the_flat_result(spark):
     document equals a pandas pivot_table / reindex / fillna of the flat statement result."""
     from ladder.functions.labels import EDU_LABELS, EDU_ORDER, EMPLOYMENT_TYPE_LABELS
 
-    q = entry_mod.queries()
+    q = QUERIES
     flat = q["education_employment_share"](spark, SF_SMALL).toPandas()
     rows = [EDU_LABELS[x] for x in EDU_ORDER]
     pivot = (flat.pivot_table(index="education_label", columns="employment_type", values="share", aggfunc="sum")
@@ -280,13 +313,14 @@ def test_chart_equals_pandas_pivot_of_the_flat_result(spark):
 def test_transition_matrix_document_equals_pandas_reindex(spark):
     """R4 matrix form: the 10 x 10 document equals a pandas pivot of the flat transition shares,
     reindexed to deciles 1..10 on both axes with zeros filled."""
-    q = entry_mod.queries()
+    q = QUERIES
     flat = q["income_transition_matrix"](spark, SF_SMALL).toPandas()
     levels = list(range(1, 11))
     pivot = (flat.pivot_table(index="prev_decile", columns="cur_decile", values="share", aggfunc="sum")
              .reindex(index=levels, columns=levels, fill_value=0).fillna(0))
     expect = {"rows": [str(x) for x in levels], "columns": [str(x) for x in levels],
-              "values": [[float(v) for v in row] for row in pivot.values.tolist()]}
+              "values": [[float(v) for v in row] for row in pivot.values.tolist()],
+              "raw": json.loads(flat.to_json(orient="records", force_ascii=False))}
     assert json.loads(q["income_transition_chart"](spark, SF_SMALL).first().matrix) == expect
 
 
@@ -294,12 +328,13 @@ def test_child_education_chart_equals_pandas_fixed_domain_pivot(spark):
     """R4 with fixed domains (5 quintiles x 6 education codes) and code labels with fallback."""
     from ladder.functions.labels import PARENT_EDU_LABELS
 
-    q = entry_mod.queries()
+    q = QUERIES
     flat = q["child_education_share"](spark, SF_SMALL).toPandas()
     rows, cols = [1, 2, 3, 4, 5], [1, 2, 3, 4, 5, 6]
     pivot = (flat.pivot_table(index="quintile", columns="child_edu", values="share", aggfunc="sum")
              .reindex(index=rows, columns=cols, fill_value=0).fillna(0))
     expect = {"labels": [str(x) for x in rows],
               "datasets": [{"label": str(PARENT_EDU_LABELS.get(int(c), c)),
-                            "data": [float(v) for v in pivot[c].tolist()]} for c in cols]}
+                            "data": [float(v) for v in pivot[c].tolist()]} for c in cols],
+              "raw": json.loads(flat.to_json(orient="records", force_ascii=False))}
     assert json.loads(q["child_education_chart"](spark, SF_SMALL).first().chart) == expect

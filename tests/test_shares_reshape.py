@@ -1,7 +1,7 @@
 import json
 
 
-from ladder.operators import dense_long, dense_pivot, share_of_total, share_within, to_chart, to_matrix
+from ladder.operators import dense_grid, dense_long, dense_pivot, share_of_total, share_within, to_chart, to_matrix
 
 
 def _shares_small(spark):
@@ -53,7 +53,7 @@ def test_dense_long_labels_with_fallback(spark):
 
 def test_to_chart_and_to_matrix(spark):
     flat = share_within(_shares_small(spark), "g", "c")
-    m = dense_long(flat, "g", "c", "share", rows=[1, 2], cols=[1, 2], row_labels={1: "r1"}, col_labels={2: "c2"})
+    m = dense_grid(flat, "g", "c", "share", rows=[1, 2], cols=[1, 2], row_labels={1: "r1"}, col_labels={2: "c2"})
     chart = json.loads(to_chart(m).selectExpr("to_json(chart)").first()[0])
     assert chart == {"labels": ["r1", "2"], "datasets": [{"label": "1", "data": [37.5, 0.0]},
                                                          {"label": "c2", "data": [12.5, 66.7]}]}
@@ -66,3 +66,27 @@ def test_dense_pivot_mean_observed_rows(spark):
                                "year int, gen string, v double")
     wide = dense_pivot(df, "year", "gen", "v", cols=["young", "middle", "senior"], agg="mean").orderBy("_row_pos")
     assert [tuple(r) for r in wide.collect()] == [(2000, 1, 0.0, 0.0, 0.0), (2001, 2, 2.0, 4.0, 0.0)]
+
+
+def test_documents_with_raw_rows_and_without_rows(spark):
+    rows = [(2, "b", 1.0), (1, None, 5.0), (1, "a", None), (1, "z", 2.0)]
+    df = spark.createDataFrame(rows, "g int, c string, v double")
+    doc = json.loads(to_matrix(dense_grid(df, "g", "c", "v", cols=["a", "b"]), raw=True)
+                     .selectExpr("to_json(matrix, map('ignoreNullFields', 'false'))").first()[0])
+    assert doc["rows"] == ["1", "2"] and doc["values"] == [[0.0, 0.0], [0.0, 1.0]]
+    assert doc["raw"] == [{"g": 1, "c": None, "v": 5.0}, {"g": 1, "c": "a", "v": None}, {"g": 1, "c": "z", "v": 2.0},
+                          {"g": 2, "c": "b", "v": 1.0}]
+    none = dense_grid(df.where("g > 9"), "g", "c", "v", rows=[1, 2], cols=["a"])
+    assert json.loads(to_chart(none, raw=True, empty=True).selectExpr("to_json(chart)").first()[0]) == {
+        "labels": [], "datasets": [], "raw": []}
+    assert json.loads(to_chart(none).selectExpr("to_json(chart)").first()[0]) == {
+        "labels": ["1", "2"], "datasets": [{"label": "a", "data": [0.0, 0.0]}]}
+
+
+def test_a_grid_reads_its_input_once(spark, tmp_out):
+    spark.createDataFrame([(1, 2, 3.0)], "g int, c int, v double").write.parquet(tmp_out + "/t")
+    df = spark.read.parquet(tmp_out + "/t")
+    for kw in ({}, {"rows": [1]}, {"cols": [1]}, {"rows": [1], "cols": [2]}):
+        m = dense_long(df, "g", "c", "v", **kw)
+        m.collect()
+        assert m._jdf.queryExecution().executedPlan().executedPlan().toString().count("FileScan parquet") == 1

@@ -1,6 +1,7 @@
 import os
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from ladder.sources import store
@@ -17,17 +18,72 @@ def test_materialize_reuses_until_inputs_change(spark, tmp_out):
 
     first = store.materialize(spark, build, "t", [src])
     assert first.count() == 10 and len(builds) == 1
-    store._MEMO.clear(); store._PATHS.clear()  # a new process: found on storage, not rebuilt
     again = store.materialize(spark, build, "t", [src])
     assert again.count() == 10 and len(builds) == 1
-    time.sleep(1.1)                           # a newer modification time on the changed input
+    time.sleep(1.1)  # a newer modification time on the changed input
     spark.range(20).write.mode("overwrite").parquet(src)
-    store._MEMO.clear(); store._PATHS.clear()  # as forget() or a new process does
     changed = store.materialize(spark, build, "t", [src])
     assert changed.count() == 20 and len(builds) == 2
 
 
+def _scratch_folders(spark):
+    root = store.table_root(spark).removeprefix("file:") + "/_scratch"
+    return sorted(os.listdir(root)) if os.path.isdir(root) else []
+
+
+def test_nested_inputs_change_the_fingerprint(spark, tmp_out):
+    src = os.path.join(tmp_out, "src.parquet")
+    spark.range(4).selectExpr("id", "1 a", "id % 2 b").write.partitionBy("a", "b").parquet(src)
+    before = store.fingerprint(spark, [src])
+    assert store.fingerprint(spark, [src]) == before
+    spark.range(1).write.mode("append").parquet(f"{src}/a=1/b=1")
+    assert store.fingerprint(spark, [src]) != before
+
+
+def test_a_failing_build_leaves_nothing(spark, tmp_out):
+    before = _scratch_folders(spark)
+
+    def build():
+        store.write_scratch(spark.range(5))
+        return spark.range(3).select(F.raise_error(F.lit("no")).alias("x"))
+
+    with pytest.raises(Exception, match="no"):
+        store.materialize(spark, build, "failing", [])
+    root = store.table_root(spark).removeprefix("file:")
+    assert _scratch_folders(spark) == before
+    assert not [x for x in os.listdir(root) if x.startswith("failing")]
+
+
+def test_the_first_of_two_builders_wins(spark):
+    def build():
+        store.materialize(spark, lambda: spark.range(3), "raced2", [])
+        path = f"{store.table_root(spark)}/raced-{store.fingerprint(spark, [], 'raced')}"
+        spark.range(7).write.mode("overwrite").parquet(path)  # another driver publishes meanwhile
+        return spark.range(5)
+
+    assert store.materialize(spark, build, "raced", []).count() == 7
+    root = store.table_root(spark).removeprefix("file:")
+    assert len([x for x in os.listdir(root) if x.startswith("raced-")]) == 1
+
+
+def test_cluster_sessions_need_a_checkpoint_folder():
+    class Sc:
+        master = "local-cluster[2,1,512]"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Sc()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        store.ensure_checkpoint_dir(Session())
+
+
 def test_write_scratch_cuts_lineage_and_is_cleaned_by_materialize(spark):
+    before = _scratch_folders(spark)
+
     def build():
         numbered = store.write_scratch(spark.range(5).withColumn("y", F.col("id") + 1))
         assert "FileScan parquet" in numbered._jdf.queryExecution().executedPlan().toString()
@@ -35,15 +91,15 @@ def test_write_scratch_cuts_lineage_and_is_cleaned_by_materialize(spark):
 
     out = store.materialize(spark, build, "scratch_user", [])
     assert sorted(r.y for r in out.collect()) == [1, 2, 3, 4, 5]
-    assert store._scratch() == []             # the scratch folder was removed after the write
+    assert _scratch_folders(spark) == before
 
 
-def test_forget_rebuilds_after_inputs_change(spark, tmp_out):
-    """After the input tables change, ``forget`` makes the next query re-fingerprint and rebuild."""
+def test_a_changed_input_is_seen_at_the_next_call(spark, tmp_out):
+    """Nothing to invalidate: a query called with a plain path sees the input as it is then."""
     import shutil
 
     from conftest import SF_SMALL
-    from ladder.plans.queries import QUERIES, forget
+    from ladder.plans.queries import QUERIES
     from ladder.sources.tables import TABLES
 
     sf = os.path.join(tmp_out, "sf")
@@ -58,6 +114,5 @@ def test_forget_rebuilds_after_inputs_change(spark, tmp_out):
     if os.path.exists(f"{sf}/orders.parquet"):
         os.remove(f"{sf}/orders.parquet")
     os.rename(f"{sf}/orders_new.parquet", f"{sf}/orders.parquet")
-    forget(spark, sf)
     after = QUERIES["latest_year"](spark, sf).first().latest_year
     assert after == before - 1
