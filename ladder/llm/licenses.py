@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ladder.llm.common import Scratch
+from ladder.operators.joins import literal_frame
+
 # Words that licence matching treats as the same, each with the form used here.
 SPELLINGS = {
     "acknowledgement": "acknowledgment", "analogue": "analog", "analyse": "analyze", "artefact": "artifact",
@@ -76,7 +79,7 @@ def digest(text: Column) -> Column:
 
 def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
     """(license_id, digest) of known (id, text) pairs; equal digests under several ids keep the smallest id."""
-    rows = spark.createDataFrame(list(known), "license_id string, text string")
+    rows = literal_frame(spark, list(known), ["license_id", "text"])
     return rows.select("license_id", digest(F.col("text")).alias("digest")).groupBy("digest").agg(
         F.min("license_id").alias("license_id"))
 
@@ -93,13 +96,14 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None, doc_id: str =
     """
     known = known_digests(docs.sparkSession) if known is None else known
     known = known.select(F.col("digest").alias("k_digest"), F.col("license_id").alias("k_id"))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
-    whole = rows.select("doc_id", digest(F.col("t")).alias("digest"))
-    lines = rows.withColumn("digest", digest(F.col("t"))).select("doc_id", "digest", F.explode(F.split("t", "\n")).alias("line"))
-    found = (lines.select("doc_id", "digest", digest(F.col("line")).alias("k_digest")).join(known, "k_digest")
+    t = F.col(text)
+    digests = docs.select(F.col(doc_id).alias("doc_id"), digest(t).alias("digest"), F.array_distinct(
+        F.filter(F.transform(F.split(t, "\n"), digest), lambda d: d.isNotNull())).alias("lines"))
+    digests = Scratch(docs.sparkSession, "licenses").table(digests)  # the texts are read and normalised once
+    found = (digests.select("doc_id", "digest", F.explode("lines").alias("k_digest")).join(known, "k_digest")
              .groupBy("doc_id", "digest").agg(F.array_join(F.sort_array(F.collect_set("k_id")), ",").alias("notice_ids"))
              .select(F.col("doc_id").alias("n_doc"), F.col("digest").alias("n_digest"), "notice_ids"))
     same = F.col("doc_id").eqNullSafe(F.col("n_doc")) & (F.col("digest") == F.col("n_digest"))
-    return (whole.join(found, same, "left")
+    return (digests.select("doc_id", "digest").join(found, same, "left")
             .join(known, F.col("digest") == F.col("k_digest"), "left")
             .select("doc_id", "digest", F.col("k_id").alias("license_id"), "notice_ids"))
