@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladder.functions.columns import lenient_double
@@ -33,9 +33,9 @@ def interpolate_two_tiers(bands: DataFrame, tiers: DataFrame, band: str, spend:
     rate = lambda name: F.max(F.when(F.col(tier) == F.lit(name), F.col(tier_rate)))
     both = tiers.agg(rate(HIGH_TIER).alias("_high"), rate(NORMAL_TIER).alias("_normal"),
                      F.count_if(F.col(tier).isin(HIGH_TIER, NORMAL_TIER)).alias("_tiers")).where("_tiers = 2")
-    top = bands.select(F.max(spend)).scalar()
-    with_tiers = attach_scalar(bands, both.drop("_tiers"))
-    p = F.try_divide(F.col(spend), top)
+    # The window is over the bands' aggregates, a few rows.
+    with_tiers = attach_scalar(bands.withColumn("_top", F.max(spend).over(Window.partitionBy())), both.drop("_tiers"))
+    p = F.try_divide(F.col(spend), F.col("_top"))
     expected = p * F.col("_high") + (F.lit(1) - p) * F.col("_normal")
     s = F.col(spend)
     return with_tiers.select(

@@ -90,7 +90,8 @@ def main(sf_dir: str, out: str) -> None:
              "transition matrix) is the only exchange that moves data-sized rows, and it is partially",
              "aggregated map-side. Every later exchange (windows, pivots, ORDER BY, `SinglePartition`",
              "for global aggregates) moves aggregated rows bounded by the category domains. Broadcasts are",
-             "Spark's choice by the tables' sizes. `n x scan` counts executed scans. The last section shows the",
+             "Spark's choice by the tables' sizes. `n x scan` counts the scans that the final plan prints: a",
+             "subquery at each of its uses though it runs once, reused exchanges not at all. The last section shows the",
              "same plans with broadcasts off.",
              ""]
     from ladder.plans.fused import latest_cells
