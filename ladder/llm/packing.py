@@ -10,6 +10,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +26,7 @@ OPEN_BINS = 16384
 PER_TASK = 65536
 END_ID = 1
 #: Most white-space separated strings a Python worker remembers the ids of.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
 def default_vocabulary() -> str:
@@ -46,31 +47,64 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, strings: list[bytes]) -> None:
-        if len(self.known) + len(strings) > REMEMBERED:
-            self.known.clear()
-        for at in range(0, len(strings), 4096):
-            part = [s.decode() for s in strings[at:at + 4096]]
-            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(got.ids, dtype="<u4")
-            starts = np.cumsum([0] + [len(s) + 1 for s in part])
-            cut = np.searchsorted([o[0] for o in got.offsets], starts)
-            self.known.update((s, ids[a:b].tobytes())
-                              for s, a, b in zip(strings[at:at + 4096], cut[:-1], cut[1:], strict=True))
-
-    def encode(self, text: bytes) -> bytes:
-        strings = text.split()  # bytes: at ASCII white space only
-        out = list(map(self.known.get, strings))
-        if None in out:
-            fresh = list({s for s, ids in zip(strings, out, strict=True) if ids is None})
-            if len(fresh) + len(self.known) > REMEMBERED:  # also drops what this text has found
+        ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
+        self.ends_word[ends] = True
+        self.stops = {b"": b""} | {t.encode(): self._ids(t).tobytes() for t in ".,"}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _learn(self, strings: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of strings not seen yet (and of the words in them)."""
+        new: dict[bytes, bytes] = {}
+        for at in range(0, len(strings), 8192):
+            words, others = [], []
+            for s in strings[at:at + 8192]:
+                # A run of letters is one word of the vocabulary, whose case it drops; a stop after it is another.
+                word = s.lower()
+                stop = word[-1:] if word[-1:] in self.stops else b""
+                word = word[:len(word) - len(stop)]
+                if word.decode().isalpha():
+                    words.append((s, word, stop))
+                else:
+                    others.append(s)
+            seen = {w: self.known.get(w) or new.get(w) for _, w, _ in words}
+            fresh = [w for w, ids in seen.items() if ids is None]
+            ids = self._ids(b" ".join(fresh).decode())
+            cut = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+            if len(cut) == len(fresh):
+                flat = ids.tobytes()
+                seen.update((w, flat[4 * a:4 * b]) for w, a, b in zip(fresh, [0, *cut], cut, strict=False))
+                new.update(seen)
+                new.update((s, seen[w] + self.stops[stop]) for s, w, stop in words)
+            else:  # not each word was one: by the places of the tokens
+                others += [s for s, _, _ in words]
+            new.update(self._by_place(others))
+        return new
+
+    def _by_place(self, strings: list[bytes]) -> dict[bytes, bytes]:
+        part = [s.decode() for s in strings]
+        got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+        ids = np.array(got.ids, dtype="<u4")
+        starts = np.cumsum([0] + [len(s) + 1 for s in part])
+        cut = np.searchsorted([o[0] for o in got.offsets], starts)
+        return {s: ids[a:b].tobytes() for s, a, b in zip(strings, cut[:-1], cut[1:], strict=True)}
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.split() for t in texts]  # bytes: at ASCII white space only
+        found = [list(map(self.known.get, s)) for s in split]
+        fresh = {s for strings, ids in zip(split, found, strict=True) if None in ids
+                 for s, x in zip(strings, ids, strict=True) if x is None}
+        if fresh:
+            new = self._learn(list(fresh))
+            found = [[new[s] if x is None else x for s, x in zip(strings, ids, strict=True)] if None in ids else ids
+                     for strings, ids in zip(split, found, strict=True)]
+            if len(self.known) + len(new) > REMEMBERED:
                 self.known.clear()
-                fresh = list(set(strings))
-            for at in range(0, len(fresh), REMEMBERED):
-                self._learn(fresh[at:at + REMEMBERED])
-                out = [o if o is not None else self.known.get(s) for s, o in zip(strings, out, strict=True)]
-        return b"".join(out)
+            if len(new) <= REMEMBERED:
+                self.known.update(new)
+        return [b"".join(ids) for ids in found]
 
 
 @lru_cache(maxsize=2)
@@ -78,6 +112,20 @@ def word_ids(vocabulary: str) -> WordIds:
     return WordIds(vocabulary)
 
 
+def _groups(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first, texts) of runs of about ``most`` bytes; nulls as empty texts."""
+    group, size, first = [], 0, 0
+    for i, t in enumerate(texts):
+        data = t.as_py() or b""
+        if group and size + len(data) > most:
+            yield first, group
+            group, size, first = [], 0, i
+        group.append(data)
+        size += len(data)
+    if group:
+        yield first, group
+
+
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH,
            vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every row: its token ids, then ``END_ID``, cut every
@@ -90,12 +138,13 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
         encode = word_ids(vocabulary).encode
         for b in batches:
             row, out = [], []
-            for i, t in enumerate(b.column(1)):
-                ids = encode(t.as_py() or b"") + end
-                for at in range(0, len(ids), 4 * length):
-                    part = ids[at:at + 4 * length]
-                    row.append(i)
-                    out.append((at // (4 * length), at // 4, len(part) // 4, zlib.crc32(part), part))
+            for first, texts in _groups(b.column(1)):
+                for i, ids in enumerate(encode(texts), first):
+                    ids += end
+                    for at in range(0, len(ids), 4 * length):
+                        part = ids[at:at + 4 * length]
+                        row.append(i)
+                        out.append((at // (4 * length), at // 4, len(part) // 4, zlib.crc32(part), part * with_ids))
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             arrays = [b.column(0).take(pa.array(row, pa.int64())), pa.array(cols[0], pa.int32()),
                       *[pa.array(c, pa.int64()) for c in cols[1:4]]]
