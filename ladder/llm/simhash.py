@@ -267,9 +267,12 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **s
     doc_id (rows without one last), of several such rows that with the smallest digest of its text, of rows equal
     in both any one.
     """
-    key = F.struct(F.col(doc_id).isNull().alias("z"), F.col(doc_id).alias("id"),
-                   F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256).alias("h"))
-    rows = docs.select(F.struct("*").alias("_row"), key.alias("_key"))
+    digest = F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)
+    key = F.struct(F.col(doc_id).isNull().alias("z"), F.col(doc_id).alias("id"), digest.alias("h"))  # in this order
+    # As text it can be grouped and joined by one exchange (a struct's nullability would ask for a second).
+    name = lambda k: F.concat_ws(":", k["z"], k["id"], k["h"])
+    rows = docs.select(F.struct("*").alias("_row"), name(key).alias("_key"))
     stay = near_duplicates(docs.select(key.alias("_key"), F.col(text).alias("_text")), "_key", "_text", **settings)
+    stay = stay.select(name(F.col("component_id")).alias("_key")).distinct()
     once = rows.groupBy("_key").agg(F.first("_row").alias("_row"))  # repeated rows meet on the map side
-    return once.join(stay.select(F.col("component_id").alias("_key")).distinct(), "_key", "left_semi").select("_row.*")
+    return once.join(stay, "_key", "left_semi").select("_row.*")
