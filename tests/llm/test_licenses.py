@@ -35,3 +35,26 @@ def test_equals_sql(spark):
     got = rows_of(op2_license_scan(spark, sf).select(*rel.columns))
     assert got == sorted(rel.fetchall(), key=repr)
     assert any(r[3] for r in got)
+
+
+def test_entire_common_licences_and_their_notices_are_known(spark):
+    folder = "/usr/share/common-licenses/"
+    files = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only",
+             "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = [(f, open(folder + f).read(), k, None) for f, k in files.items()]
+    rows += [(f"{f} in one line", " ".join(t.split()), k, k) for f, t, k, _ in rows if f != "BSD"]
+    bsd = open(folder + "BSD").read()
+    two = bsd[:bsd.index("3. Neither")] + bsd[bsd.index("\nTHIS SOFTWARE"):]
+    rows += [("BSD-2", two.replace("REGENTS", "COPYRIGHT HOLDERS", 1).replace("REGENTS", "COPYRIGHT HOLDER"), "BSD-2-Clause", None),
+             ("MIT file", "MIT License\n\nCopyright (c) 2020 Some One\n\n" + MIT, "MIT", None)]
+    notices = {"SPDX-License-Identifier: MIT": "MIT", "Creative Commons Attribution 4.0 International": "CC-BY-4.0",
+               "Licensed under a Creative Commons Attribution 4.0 International": "CC-BY-4.0",
+               "This work is licensed under a Creative Commons Attribution 4.0 International License.": "CC-BY-4.0",
+               "License: Creative Commons Attribution 4.0 International": "CC-BY-4.0",
+               "All rights reserved.": licenses.RESERVED, "Released under the GNU GPL v3": "GPL-3.0-only"}
+    rows += [(n, f"Intro\n{n}\nend", None, k) for n, k in notices.items()]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id string, text string")
+    got = {r.doc_id: r for r in licenses.license_scan(docs).collect()}
+    assert {r[0]: got[r[0]].license_id for r in rows} == {r[0]: r[2] for r in rows}
+    assert {n: got[n].notice_ids for n in notices} == notices
+    assert got["GPL-3 in one line"].notice_ids == "GPL-3.0-only"
