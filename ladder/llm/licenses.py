@@ -1,6 +1,6 @@
 """License scans by canonical digest (operator 2), built-in functions only.
 
-A text is brought to a canonical form (case, copyright lines, punctuation, white space, equivalent spellings) and
+A text is brought to a canonical form (case, holder clauses, punctuation, white space, equivalent spellings) and
 the SHA-256 digest of the entire form is hash-joined to the digests of known texts. Each document is looked up as a
 whole and by its lines (a notice usually stands on a line of its own), each line again as an entire text.
 """
@@ -184,8 +184,19 @@ def _known() -> tuple[tuple[str, str], ...]:
 
 KNOWN = _known()
 
-#: Lines that only name a holder: dropped before digesting. A sentence about copyright stays.
-COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright\b|\(c\)|©)[^\n]*(?:[0-9]{4}|\(c\)|©|all rights reserved)[^\n]*$"
+# A sentence ends at a full stop after a word of two letters or more that is no title (Dr., Jr.) and not in "Inc. and ...".
+_WORD_END = r"(?:[\p{L}\p{N})>][\p{L}\p{N})>]{2}|\b(?:[a-ce-ikln-rt-z0-9][a-z0-9]|[djms][a-qu-z0-9]))"
+_STOP = rf"{_WORD_END}\.[ \t]+(?:(?:and|&)[ \t](?:[^\n]*?{_WORD_END}\.[ \t]+|[^\n]*))?(?:<[^>\n]*>[ \t]*)?"
+_RESERVED = r"all rights reserved\b(?: worldwide\b)?\.?"
+_ABBREVIATED = r"\b(?:\p{L}|inc|ltd|co|corp|dr|jr|st)\.[ \t]"
+#: A holder's clause at the start of a line: dropped before digesting. It names a year, (c) or "all rights reserved" in
+#: its first sentence and goes to the sentence's end, "all rights reserved" after it, or else the line's end. What
+#: follows it in the line stays, and so does a sentence about copyright.
+COPYRIGHT_LINE = (
+    r"(?m)^(?:[ \t]*(?:copyright\b|\(c\)|©)"
+    rf"[^\n.]*?(?:(?:\.[^ \t\n]|{_ABBREVIATED})[^\n.]*?){{0,20}}?"
+    rf"(?:(?:[0-9]{{4}}|\(c\)|©)(?:[ \t,]*(?:by[ \t]+)?(?:dr|prof|mrs?|ms|st)\.)?"
+    rf"(?:\.[ \t]+(?:{_RESERVED})?|[^\n]*?(?:{_STOP}(?:{_RESERVED})?|{_RESERVED})|[^\n]*)|{_RESERVED}))+")
 
 
 def canonical(text: Column) -> Column:

@@ -3,6 +3,7 @@ from conftest import rows_of
 
 from ladder.llm import licenses
 from ladder.llm.queries import ORACLE_SQL, op2_license_scan
+from pyspark.sql import functions as F
 
 MIT = licenses.KNOWN[0][1]
 
@@ -58,3 +59,38 @@ def test_entire_common_licences_and_their_notices_are_known(spark):
     assert {r[0]: got[r[0]].license_id for r in rows} == {r[0]: r[2] for r in rows}
     assert {n: got[n].notice_ids for n in notices} == notices
     assert got["GPL-3 in one line"].notice_ids == "GPL-3.0-only"
+
+
+def test_what_follows_the_holder_in_a_line_stays(spark):
+    one = " ".join(MIT.split())
+    whole = [f"{head} {one}" for head in (
+        "Copyright (c) 2020 Some One.", "Copyright 2020 Some One, Inc. All rights reserved.", "(c) J. R. Hacker 2019-2020.",
+        "Copyright (c) 2020 Acme, Inc. and contributors.", "© 2019 Foo Labs. Copyright (c) 2020 Bar Labs.",
+        "Copyright 2020.", "Copyright (c) 2020 Some One\n")]
+    gone = ["Copyright (c) 2020 Dr. J. Smith", "Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>",
+            "Copyright 2020 a.b.example.org and others", "(c) 2020 Acme Inc. and contributors", "Copyright Acme Inc. 2020",
+            "© 2020 X. All rights reserved."]
+    rows = [(t, "MIT") for t in whole] + [(f"{g}\n{MIT}", "MIT") for g in gone] + [(g, None) for g in gone]
+    docs = spark.createDataFrame([(t, t) for t, _ in rows], "doc_id string, text string")
+    got = {r.doc_id: r for r in licenses.license_scan(docs).collect()}
+    assert {t: got[t].license_id for t, _ in rows} == dict(rows)
+    assert all(got[g].digest is None for g in gone)
+    notice = "Copyright 2024 Acme. Licensed under the MIT License."
+    law = "Copyright notices stay in. The act of 1976 says more."
+    long = "copyright " + "a.b " * 20_000 + "."
+    docs = spark.createDataFrame([(t, t) for t in (notice, law, long, "(c) 2020 " + "a.b " * 20_000)], "doc_id string, text string")
+    got = {r.doc_id: r for r in licenses.license_scan(docs).collect()}
+    assert (got[notice].license_id, got[notice].notice_ids) == ("MIT", "MIT")
+    plain = spark.createDataFrame([(law.replace("Copyright", "- copyright"),)], "t string").select(licenses.digest(F.col("t")).alias("d"))
+    assert got[law].digest == plain.first().d and got[long].digest is not None
+
+
+def test_sql_cuts_the_same_clauses(spark):
+    texts = ["Copyright (c) 2020 Some One. " + MIT, "© 2020 X. All rights reserved. Licensed under CC BY 4.0.",
+             "copyright Acme Ltd. 2020 and Co. and others. Rest", "Copyright notices stay. 1976", "(c) (c) 2020. Copyright 1999 by Dr. No"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    duck = duckdb.connect()
+    duck.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    duck.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    rel = duck.sql(ORACLE_SQL["op2_license_scan"])
+    assert rows_of(licenses.license_scan(docs).select(*rel.columns)) == sorted(rel.fetchall(), key=repr)
