@@ -1,0 +1,11 @@
+import os
+
+from ladder.llm import quality
+
+
+def test_readme_states_every_floor():
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    text = " ".join(open(os.path.join(top, "README.md")).read().split())
+    for r in quality.RULES:
+        assert f"`{r.measure}` {r.floor}" in text
+    assert f"quartile ± {quality.WIDTH} × max(spread, floor)" in text
