@@ -4,7 +4,8 @@
 2. ``sketches``: per (language, source) and measure a mergeable quantile sketch: counts per logarithmic bucket with
    ``2**BITS`` steps per power of two (values below that are exact, others within ``2**-BITS``). Sketches merge by
    adding counts, so one pass over the rows makes the finest level and the coarser levels come from it.
-3. ``thresholds``: upper and lower fences from each sketch's quartiles. A (language, source) group with fewer than
+3. ``thresholds``: upper and lower fences from each sketch's quartiles, a quartile no farther from the median than the
+   other one or the floor, so that junk on one side moves no fence while it is less than half. A (language, source) group with fewer than
    ``min_rows`` rows uses its language's merged sketch, a small language the sketch of all rows.
 4. ``judge``: the rows joined with their group's fences.
 
@@ -27,7 +28,8 @@ BITS = 5
 
 @dataclass(frozen=True)
 class Rule:
-    """A measure is out of bounds beyond ``quartile ± width * max(inter-quartile range, floor)``, on the given side."""
+    """A measure is out of bounds beyond ``quartile ± width * max(inter-quartile range, floor)``, on the given side. A
+    quartile farther from the median than both the other quartile and the floor is first drawn in to that distance."""
 
     measure: str
     side: str
@@ -130,12 +132,15 @@ def thresholds(sketch: DataFrame, min_rows: int = MIN_ROWS, width: int = WIDTH)
     # The quartile is the first bucket whose running count reaches a quarter (three quarters) of the rows.
     fences = ranked.groupBy(*group).agg(
         F.min(F.when(4 * F.col("upto") >= F.col("total"), F.col("bucket"))).alias("q1"),
+        F.min(F.when(2 * F.col("upto") >= F.col("total"), F.col("bucket"))).alias("mid"),
         F.min(F.when(4 * F.col("upto") >= 3 * F.col("total"), F.col("bucket"))).alias("q3"),
         F.max("total").alias("rows"))
     aggs = []
     for r in RULES:
-        spread = f"greatest(q3 - q1, {r.floor})"
-        edge = f"q3 + {width} * {spread}" if r.side == "high" else f"q1 - {width} * {spread}"
+        upper = f"least(q3, mid + greatest(mid - q1, {r.floor}))"
+        lower = f"greatest(q1, mid - greatest(q3 - mid, {r.floor}))"
+        spread = f"greatest({upper} - {lower}, {r.floor})"
+        edge = f"{upper} + {width} * {spread}" if r.side == "high" else f"{lower} - {width} * {spread}"
         aggs.append(F.max(F.when(F.col("measure") == r.measure, F.expr(edge))).alias(f"{r.side}_{r.measure}"))
     wide = fences.groupBy("level", "lang", "source").agg(F.max("rows").alias("rows"), *aggs)
     edges = F.struct("rows", *[f"{r.side}_{r.measure}" for r in RULES])

@@ -76,3 +76,17 @@ def test_equals_sql(spark):
 def test_plan_is_native(small):
     plan = quality.quality_rules(small)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_a_junk_heavy_source_keeps_its_fences(spark):
+    # 70 good rows and 50 of junk (42 %) in one source: too many symbols, long words, or short ones.
+    def text(word, i):
+        return " ".join(f"{word}{chr(97 + j % 26)}{chr(97 + j // 26)}{chr(97 + i % 26)}" for j in range(80))
+
+    for junk, rule in (("ab##", "high_symbols_pm"), ("a" * 20, "high_word_len_pc"), ("", "low_word_len_pc")):
+        rows = [(i, text("abcd" if junk else "abcdefghij", i)) for i in range(70)] + [(1000 + i, text(junk, i)) for i in range(50)]
+        docs = spark.createDataFrame([(*r, "en", "x") for r in rows], "doc_id long, text string, lang string, source string")
+        got = quality.quality_rules(docs).collect()
+        assert {r.doc_id for r in got if r.kept} == set(range(70)), rule
+        assert all(rule in r.failed_rules for r in got if r.doc_id >= 1000), rule
+        assert quality.keep_good(docs).count() == 70
