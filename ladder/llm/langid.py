@@ -58,14 +58,14 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     ``sample_docs`` with the smallest hash, ``sample_chars`` code points of each. Rows without a language teach
     nothing. The languages' counts say below which hash about four times as many lie, so only those are ranked, however
     many rows and tasks there are; a language's sample comes to the driver."""
-    labelled = docs.where(F.col(lang).isNotNull() & ~is_held_out(doc_id)).select(
+    labelled = docs.where(F.col(lang).isNotNull() & ~is_held_out(doc_id) & F.col(text).rlike(r"\p{L}")).select(
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("t"), F.xxhash64(doc_id, text).alias("h"))
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not counts:
         return Model({})
     place = F.pmod("h", F.lit(_PLACES))
     upto = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(_PLACES, 4 * sample_docs * _PLACES // n))])
-    rows = labelled.where((place < F.element_at(upto, F.col("lang"))) & F.col("t").rlike(r"\p{L}")).select(
+    rows = labelled.where(place < F.element_at(upto, F.col("lang"))).select(
         "lang", F.substring("t", 1, sample_chars).alias("t"), "h")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "h", "t"))
     sample = rows.withColumn("r", rank).where(F.col("r") <= sample_docs).select("lang", "r", "t").collect()

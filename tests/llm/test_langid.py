@@ -53,3 +53,14 @@ def test_keep_identified_keeps_all_columns(odd, none):
     assert kept.columns == odd.columns
     assert kept.count() == langid.identify(odd).where("NOT rejected").count()
     assert langid.keep_identified(none).count() == 0
+
+
+def test_rows_without_letters_take_no_place_in_the_sample(spark):
+    # Some 40 documents of 'aa' among 20,000 rows of it without letters: all 40 are learned from.
+    from conftest import prose
+
+    rows = [(i, prose(i, 40), "aa") for i in range(60)] + [(100 + i, "12 34" if i % 2 else None, "aa") for i in range(30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = [t for i, t, _ in rows[:60] if zlib.crc32(str(i).encode()) % 3 != 1]
+    dictionary = langid.learn(docs).dictionaries["aa"].decode()
+    assert sorted(dictionary.split("\n")) == sorted(t.lower() for t in learned)
