@@ -20,7 +20,8 @@ from ladder.llm.common import ship
 #: The sample that dictionaries are made of: at most so many documents of each language, so many code points of each.
 SAMPLE_DOCS = 256
 SAMPLE_CHARS = 1024
-DICTIONARY_BYTES = 1 << 17
+#: Holds the whole sample: no code point has more than four bytes in lower case; a line end parts the texts.
+DICTIONARY_BYTES = SAMPLE_DOCS * (4 * SAMPLE_CHARS + 1)
 BLOCK = 2048
 LEVEL = 9
 #: A prediction is rejected if the runner-up's bytes exceed the winner's by less than this share.

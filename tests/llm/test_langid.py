@@ -64,3 +64,15 @@ def test_rows_without_letters_take_no_place_in_the_sample(spark):
     learned = [t for i, t, _ in rows[:60] if zlib.crc32(str(i).encode()) % 3 != 1]
     dictionary = langid.learn(docs).dictionaries["aa"].decode()
     assert sorted(dictionary.split("\n")) == sorted(t.lower() for t in learned)
+
+
+def test_dictionaries_hold_the_whole_sample(spark):
+    from conftest import prose
+
+    # 256 texts of 1,024 code points of two to four bytes: about three quarters of a megabyte.
+    letters = dict(zip("abcdeéñß", "яжд語文字𐐨𐐩"))
+    rows = [(i, "".join(letters.get(c, c) for c in prose(i, 400))[:1024], "aa") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    parts = langid.learn(docs).dictionaries["aa"].decode().split("\n")
+    assert len(parts) == langid.SAMPLE_DOCS and {len(p) for p in parts} == {1024}
+    assert set(parts) <= {t.lower() for _, t, _ in rows}
