@@ -5,7 +5,7 @@ import os
 import shutil
 
 
-from conftest import SF_SMALL
+from support import SF_SMALL
 from oracle_compare import compare
 
 import __spark_entry__ as entry_mod

@@ -98,7 +98,7 @@ def test_a_changed_input_is_seen_at_the_next_call(spark, tmp_out):
     """Nothing to invalidate: a query called with a plain path sees the input as it is then."""
     import shutil
 
-    from conftest import SF_SMALL
+    from support import SF_SMALL
     from ladder.plans.queries import QUERIES
     from ladder.sources.tables import TABLES
 
