@@ -1,31 +1,11 @@
-import random
+import os
+import sys
 
 import pytest
 
-SMALL = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, shard string, _row int"
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-
-def prose(seed: int, words: int, vocabulary: int = 300) -> str:
-    r = random.Random(seed)
-    known = ["".join(r.choices("abcdeéñß", k=r.randint(1, 8))) for _ in range(vocabulary)]
-    return " ".join(r.choices(known, k=words))
-
-
-def odd_rows() -> list[tuple]:
-    """Nulls in every column, empty, blank and long texts, repeated rows, equal ids; three columns with names that the
-    operators use themselves."""
-    base = prose(1, 120)
-    rows = [
-        (1, base, "en", "a"), (1, base, "en", "a"), (1, base, "en", "a"), (2, base, None, "a"), (3, None, "en", None),
-        (4, "", "en", "a"), (5, " \t\n ", "de", "b"), (None, base, "de", "b"), (None, None, None, None),
-        (6, prose(2, 9000), "de", "b"), (7, "x" * 50_000, "en", "a"), (8, "!? ... 123", "en", "b"),
-        (9, base.replace("a", "A"), "en", "a"), (10, base + " more", "en", "a"), (11, "one\ntwo\none\n\n\nthree", "de", "a"),
-        (12, "Copyright (c) 2020 Me\nReleased under the MIT LICENCE!", "en", "a"), (-5, prose(3, 200) + " \U0001f600'll", "de", "b"),
-        (13, "a b c a b c d", "en", "a"), (2, "other", "en", "a"),
-    ]
-    rows += [(100 + i, prose(50 + i % 20, 60 + i), "en" if i % 2 else "de", "abc"[i % 3]) for i in range(60)]
-    return [(*r, None if r[1] is None else len(r[1]), "k", "s", 7) for r in rows]
+from llm_support import SCHEMA, SMALL, odd_rows  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -41,8 +21,3 @@ def none(spark):
 @pytest.fixture(scope="session")
 def small(spark):
     return spark.read.parquet(f"{SMALL}/documents.parquet")
-
-
-def rows_of(df, *columns):
-    """Rows as a sorted list of tuples."""
-    return sorted((tuple(r) for r in (df.select(*columns) if columns else df).collect()), key=repr)

@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import odd_rows, prose
+from llm_support import odd_rows, prose
 
 from ladder.llm import bpe
 

@@ -1,6 +1,6 @@
 import zlib
 
-from conftest import odd_rows, rows_of
+from llm_support import odd_rows, rows_of
 
 from ladder.llm import langid
 
@@ -57,7 +57,7 @@ def test_keep_identified_keeps_all_columns(odd, none):
 
 def test_rows_without_letters_take_no_place_in_the_sample(spark):
     # Some 40 documents of 'aa' among 20,000 rows of it without letters: all 40 are learned from.
-    from conftest import prose
+    from llm_support import prose
 
     rows = [(i, prose(i, 40), "aa") for i in range(60)] + [(100 + i, "12 34" if i % 2 else None, "aa") for i in range(30_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -67,7 +67,7 @@ def test_rows_without_letters_take_no_place_in_the_sample(spark):
 
 
 def test_dictionaries_hold_the_whole_sample(spark):
-    from conftest import prose
+    from llm_support import prose
 
     # 256 texts of 1,024 code points of two to four bytes: about three quarters of a megabyte.
     letters = dict(zip("abcdeéñß", "яжд語文字𐐨𐐩"))

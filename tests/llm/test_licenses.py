@@ -1,5 +1,5 @@
 import duckdb
-from conftest import rows_of
+from llm_support import rows_of
 
 from ladder.llm import licenses
 from ladder.llm.queries import ORACLE_SQL, op2_license_scan

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
-from conftest import odd_rows, prose
+from llm_support import odd_rows, prose
 from tokenizers import Tokenizer
 
 from ladder.llm import packing

@@ -2,7 +2,7 @@ from collections import Counter
 
 import corpus_pipeline
 import __spark_entry__
-from conftest import SMALL, odd_rows
+from llm_support import SMALL, odd_rows
 from test_packing import check_packed
 from test_simhash import brute_components, brute_fingerprint
 

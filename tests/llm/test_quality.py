@@ -2,7 +2,7 @@ import re
 from collections import Counter
 
 import duckdb
-from conftest import odd_rows, rows_of
+from llm_support import odd_rows, rows_of
 
 from ladder.llm import quality
 from ladder.llm.queries import ORACLE_SQL, op1_quality_rules

@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from conftest import odd_rows
+from llm_support import odd_rows
 
 from ladder.llm import sharding
 

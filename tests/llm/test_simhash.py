@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 import xxhash
-from conftest import odd_rows, rows_of
+from llm_support import odd_rows, rows_of
 
 from ladder.llm import simhash
 from ladder.llm.common import Scratch

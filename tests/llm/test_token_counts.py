@@ -1,6 +1,6 @@
 import random
 
-from conftest import odd_rows, prose
+from llm_support import odd_rows, prose
 from test_bpe import mixed
 
 from ladder.llm import token_counts

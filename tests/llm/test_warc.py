@@ -4,7 +4,7 @@ import zlib
 
 import duckdb
 import pytest
-from conftest import rows_of
+from llm_support import rows_of
 
 from ladder.llm import warc
 from ladder.llm.common import Scratch
