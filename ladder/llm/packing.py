@@ -1,6 +1,7 @@
 """Best-fit packing of tokenised documents (operator 5).
 
-1. ``pieces``: documents are tokenised in Arrow batches and cut into pieces; one small row per piece.
+1. ``pieces``: documents are tokenised in Arrow batches and cut into pieces; one small row per piece. A batch's words are
+   split and numbered as arrays, each distinct word is encoded once, and the ids are gathered by number.
 2. ``pack``: bounded-space online best-fit. The pieces are dealt by hash to tasks of about ``PER_TASK`` pieces; each
    task streams its pieces, largest first, through at most ``OPEN_BINS`` open bins. A bin is two numbers, so memory is
    fixed. The bins' free spaces are marked in a bitset, whose lowest set bit at or above a piece's length is the
@@ -10,7 +11,6 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ladder.llm.common import Scratch, ship
+from ladder.llm.words import Words, groups, joined, ragged
 
 LENGTH = 4096
 OPEN_BINS = 16384
@@ -91,20 +92,23 @@ class WordIds:
         cut = np.searchsorted([o[0] for o in got.offsets], starts)
         return {s: ids[a:b].tobytes() for s, a, b in zip(strings, cut[:-1], cut[1:], strict=True)}
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]  # bytes: at ASCII white space only
-        found = [list(map(self.known.get, s)) for s in split]
-        fresh = {s for strings, ids in zip(split, found, strict=True) if None in ids
-                 for s, x in zip(strings, ids, strict=True) if x is None}
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, where each text's begin and the last's end)."""
+        words = Words(*joined(texts))
+        spellings = words.spellings.to_pylist()
+        ids = list(map(self.known.get, spellings))
+        fresh = [s for s, x in zip(spellings, ids, strict=True) if x is None]
         if fresh:
-            new = self._learn(list(fresh))
-            found = [[new[s] if x is None else x for s, x in zip(strings, ids, strict=True)] if None in ids else ids
-                     for strings, ids in zip(split, found, strict=True)]
+            new = self._learn(fresh)
+            ids = [new[s] if x is None else x for s, x in zip(spellings, ids, strict=True)]
             if len(self.known) + len(new) > REMEMBERED:
                 self.known.clear()
             if len(new) <= REMEMBERED:
                 self.known.update(new)
-        return [b"".join(ids) for ids in found]
+        size = np.array([len(x) for x in ids], dtype=np.int64) // 4
+        begin = np.cumsum(size) - size
+        flat, of = np.frombuffer(b"".join(ids), dtype="<u4"), size[words.codes]
+        return flat[ragged(begin[words.codes], of)], np.append(0, np.cumsum(of))[words.first]
 
 
 @lru_cache(maxsize=2)
@@ -112,20 +116,6 @@ def word_ids(vocabulary: str) -> WordIds:
     return WordIds(vocabulary)
 
 
-def _groups(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:
-    """(number of the first, texts) of runs of about ``most`` bytes; nulls as empty texts."""
-    group, size, first = [], 0, 0
-    for i, t in enumerate(texts):
-        data = t.as_py() or b""
-        if group and size + len(data) > most:
-            yield first, group
-            group, size, first = [], 0, i
-        group.append(data)
-        size += len(data)
-    if group:
-        yield first, group
-
-
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH,
            vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every row: its token ids, then ``END_ID``, cut every
@@ -138,12 +128,13 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
         encode = word_ids(vocabulary).encode
         for b in batches:
             row, out = [], []
-            for first, texts in _groups(b.column(1)):
-                for i, ids in enumerate(encode(texts), first):
-                    ids += end
+            for first, texts in groups(b.column(1)):
+                all_ids, bounds = encode(texts)
+                for i in range(len(texts)):
+                    ids = all_ids[bounds[i]:bounds[i + 1]].tobytes() + end
                     for at in range(0, len(ids), 4 * length):
                         part = ids[at:at + 4 * length]
-                        row.append(i)
+                        row.append(first + i)
                         out.append((at // (4 * length), at // 4, len(part) // 4, zlib.crc32(part), part * with_ids))
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             arrays = [b.column(0).take(pa.array(row, pa.int64())), pa.array(cols[0], pa.int32()),
