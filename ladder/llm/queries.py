@@ -11,6 +11,7 @@ from ladder.llm import (
     licenses,
     packing,
     quality,
+    runs,
     sharding,
     simhash,
     token_counts,
@@ -66,9 +67,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_report(runs.periodic_runs(runs.with_planted_runs(read(spark, sf_dir, "documents"))))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_license_scan, op3_edited_token_counts, op4_simhash_near_dedup, op5_best_fit_packing,
-    op6_winnowing, op7_warc, op8_byte_bpe, op9_uniform_shards, op10_language_id)}
+    op6_winnowing, op7_warc, op8_byte_bpe, op9_uniform_shards, op10_language_id, op13_periodic_runs)}
 
 _WORD = r"[^\x20\x09-\x0D]"
 
