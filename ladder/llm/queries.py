@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ladder.llm import (
     bpe,
+    exact,
     langid,
     licenses,
     packing,
@@ -67,13 +68,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(read(spark, sf_dir, "documents"), digest_all=True)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_report(runs.periodic_runs(runs.with_planted_runs(read(spark, sf_dir, "documents"))))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_license_scan, op3_edited_token_counts, op4_simhash_near_dedup, op5_best_fit_packing,
-    op6_winnowing, op7_warc, op8_byte_bpe, op9_uniform_shards, op10_language_id, op13_periodic_runs)}
+    op6_winnowing, op7_warc, op8_byte_bpe, op9_uniform_shards, op10_language_id, op12_exact_dedup,
+    op13_periodic_runs)}
 
 _WORD = r"[^\x20\x09-\x0D]"
 
@@ -172,10 +178,18 @@ def _warc_sql() -> str:
            CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM b"""
 
 
+_EXACT_SQL = """
+    WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents),
+    n AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id DESC NULLS LAST) AS place,
+                 max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size FROM d)
+    SELECT doc_id, keep_id, group_size, place = 1 AS kept, h AS text_sha256 FROM n"""
+
+
 #: DuckDB SQL by query. The others need a hash, a tokeniser, zstandard or random draws that SQL lacks; the tests hold
 #: them against brute force, round trips and held-out accuracy.
 ORACLE_SQL = {
     "op1_quality_rules": _quality_sql(),
     "op2_license_scan": _license_sql(),
     "op7_warc": _warc_sql(),
+    "op12_exact_dedup": _EXACT_SQL,
 }
