@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from ladder.llm import (
     langid,
     licenses,
     packing,
+    phrases,
     quality,
     runs,
     sharding,
@@ -68,6 +71,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(read(spark, sf_dir, "documents"), digest_all=True)
 
@@ -78,8 +85,8 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_license_scan, op3_edited_token_counts, op4_simhash_near_dedup, op5_best_fit_packing,
-    op6_winnowing, op7_warc, op8_byte_bpe, op9_uniform_shards, op10_language_id, op12_exact_dedup,
-    op13_periodic_runs)}
+    op6_winnowing, op7_warc, op8_byte_bpe, op9_uniform_shards, op10_language_id, op11_collocations,
+    op12_exact_dedup, op13_periodic_runs)}
 
 _WORD = r"[^\x20\x09-\x0D]"
 
@@ -178,6 +185,35 @@ def _warc_sql() -> str:
            CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM b"""
 
 
+def _phrases_sql() -> str:
+    """Every phrase of up to four words counted, every cut scored, every longer phrase compared."""
+    lower = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    return rf"""
+    WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({lower}, '[.,;:!?\x0A-\x0D]')) AS t
+               FROM documents),
+    w AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS ws FROM p),
+    g AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase
+          FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w), (VALUES (1), (2), (3), (4)) AS s(m)
+          WHERE i + m - 1 <= len(ws)),
+    f AS (SELECT lang, m, phrase, count(*) AS f, string_split(phrase, ' ') AS ws FROM g GROUP BY ALL),
+    c AS (SELECT * FROM f WHERE m >= 2 AND f >= {phrases.LEAST}),
+    cuts AS (SELECT c.lang, c.phrase, c.f AS a, k, l.f AS l, r.f AS r,
+                    CAST(CAST(2000000 AS HUGEINT) * c.f // (l.f + r.f) AS BIGINT) AS score
+             FROM (SELECT *, unnest(range(1, m)) AS k FROM c) AS c
+             JOIN f AS l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:k], ' ')
+             JOIN f AS r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[k + 1:c.m], ' ')),
+    best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    held AS (SELECT lang, array_to_string(ws[i:i + k - 1], ' ') AS phrase, max(f) AS f
+             FROM (SELECT *, unnest(range(1, 4)) AS i FROM c), (VALUES (2), (3)) AS s(k)
+             WHERE k < m AND i + k - 1 <= m GROUP BY ALL),
+    kept AS (SELECT best.* FROM best LEFT JOIN held USING (lang, phrase)
+             WHERE held.f IS NULL OR 100 * held.f < {phrases.COVER} * a),
+    total AS (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY lang),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+    SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN total USING (lang)
+    WHERE rank <= {phrases.TOP}"""
+
+
 _EXACT_SQL = """
     WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents),
     n AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id DESC NULLS LAST) AS place,
@@ -191,5 +227,6 @@ ORACLE_SQL = {
     "op1_quality_rules": _quality_sql(),
     "op2_license_scan": _license_sql(),
     "op7_warc": _warc_sql(),
+    "op11_collocations": _phrases_sql(),
     "op12_exact_dedup": _EXACT_SQL,
 }
