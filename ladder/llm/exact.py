@@ -69,8 +69,10 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     alone = settled.where("NOT _open").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"),
         "text_sha256")
-    counted = settled.where("_open").groupBy("text_sha256", "doc_id").agg(F.count("*").alias("n"))
-    groups = counted.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    # Written first, so that both sides of the join are plain rows: a hot digest's can then be split among tasks.
+    counted = scratch.table(settled.where("_open").groupBy("text_sha256", "doc_id").agg(F.count("*").alias("n")))
+    groups = scratch.table(counted.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"),
+                                                              F.sum("n").alias("group_size")))
     # Equal rows come out one by one; the first of the largest doc_id's stays.
     copies = counted.join(groups, "text_sha256").select("*", F.explode(F.expr("sequence(1L, n)")).alias("i"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("i") == 1)
