@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import string
 import zlib
 from functools import lru_cache
 
@@ -19,15 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladder.llm.common import Scratch, ship
-from ladder.llm.words import Words, groups, joined, ragged
+from ladder.llm.common import GAP_CHARS, Scratch, ship
+from ladder.llm.words import LOWER, Words, byte_table, groups, joined, mapped, ragged
 
 LENGTH = 4096
 OPEN_BINS = 16384
 PER_TASK = 65536
 END_ID = 1
-#: Most white-space separated strings a Python worker remembers the ids of.
+#: Most strings a Python worker remembers the ids of.
 REMEMBERED = 1_000_000
+#: Gaps, stops, and what a stop may end.
+KINDS = byte_table(GAP_CHARS, ".,;:!?", string.ascii_letters + string.digits)
 
 
 def default_vocabulary() -> str:
@@ -37,10 +40,12 @@ def default_vocabulary() -> str:
 
 
 class WordIds:
-    """Token ids of texts as little-endian unsigned 32-bit bytes.
+    """Token ids of texts.
 
     The vocabulary drops white space before it merges, so the ids of a text are those of its white-space separated
-    strings one after another. A string's ids are remembered; strings not seen yet are encoded together.
+    strings one after another. A stop that ends a string after a letter or digit is a word of its own, and case is
+    dropped. So each distinct string, lower-cased and without its stop, is encoded once and remembered; strings not seen
+    yet are encoded together.
     """
 
     def __init__(self, vocabulary: str):
@@ -51,37 +56,22 @@ class WordIds:
         ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
         self.ends_word[ends] = True
-        self.stops = {b"": b""} | {t.encode(): self._ids(t).tobytes() for t in ".,"}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def _learn(self, strings: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of strings not seen yet (and of the words in them)."""
+        """Ids of strings not seen yet."""
         new: dict[bytes, bytes] = {}
         for at in range(0, len(strings), 8192):
-            words, others = [], []
-            for s in strings[at:at + 8192]:
-                # A run of letters is one word of the vocabulary, whose case it drops; a stop after it is another.
-                word = s.lower()
-                stop = word[-1:] if word[-1:] in self.stops else b""
-                word = word[:len(word) - len(stop)]
-                if word.decode().isalpha():
-                    words.append((s, word, stop))
-                else:
-                    others.append(s)
-            seen = {w: self.known.get(w) or new.get(w) for _, w, _ in words}
-            fresh = [w for w, ids in seen.items() if ids is None]
-            ids = self._ids(b" ".join(fresh).decode())
+            part = strings[at:at + 8192]
+            words = [s for s in part if s.decode().isalpha()]  # a run of letters is one word of the vocabulary
+            ids = self._ids(b" ".join(words).decode())
             cut = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
-            if len(cut) == len(fresh):
+            if len(cut) == len(words):
                 flat = ids.tobytes()
-                seen.update((w, flat[4 * a:4 * b]) for w, a, b in zip(fresh, [0, *cut], cut, strict=False))
-                new.update(seen)
-                new.update((s, seen[w] + self.stops[stop]) for s, w, stop in words)
-            else:  # not each word was one: by the places of the tokens
-                others += [s for s, _, _ in words]
-            new.update(self._by_place(others))
+                new.update((w, flat[4 * a:4 * b]) for w, a, b in zip(words, [0, *cut], cut, strict=False))
+            new.update(self._by_place([s for s in part if s not in new]))  # not each was one word: by the places of tokens
         return new
 
     def _by_place(self, strings: list[bytes]) -> dict[bytes, bytes]:
@@ -94,17 +84,26 @@ class WordIds:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, where each text's begin and the last's end)."""
-        words = Words(*joined(texts))
+        data, at = joined(texts)
+        if b"<|" not in data.tobytes():  # special tokens are told by their case
+            data = mapped(data, LOWER)
+        kind = mapped(data, KINDS)
+        gap, stops = kind == 1, kind == 2
+        stops[:1] = False
+        stops[1:] &= kind[:-1] == 3
+        last = np.append(gap[1:], True)[:len(data)]
+        last[at[1:][at[1:] > 0] - 1] = True
+        words = Words(data, at, gap, stops & last)
         spellings = words.spellings.to_pylist()
         ids = list(map(self.known.get, spellings))
         fresh = [s for s, x in zip(spellings, ids, strict=True) if x is None]
         if fresh:
             new = self._learn(fresh)
             ids = [new[s] if x is None else x for s, x in zip(spellings, ids, strict=True)]
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-            if len(new) <= REMEMBERED:
+            if len(self.known) + len(new) <= REMEMBERED:
                 self.known.update(new)
+            else:  # what this batch had is likely to come again
+                self.known = dict(zip(spellings, ids, strict=True)) if len(ids) <= REMEMBERED else {}
         size = np.array([len(x) for x in ids], dtype=np.int64) // 4
         begin = np.cumsum(size) - size
         flat, of = np.frombuffer(b"".join(ids), dtype="<u4"), size[words.codes]

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ladder.llm.common import Scratch, ship
-from ladder.llm.words import LOWER, Words, byte_table, groups, joined
+from ladder.llm.words import LOWER, Words, byte_table, groups, joined, mapped
 
 WORDS = 4
 LEAST = 30
@@ -39,8 +39,8 @@ COVER = 80
 FIRST = 2
 GROWTH = 8
 FILTER_BITS = 1 << 24
-BREAKS = byte_table(".,;:!?\n\x0b\x0c\r")
-GAPS = BREAKS | byte_table(" \t")
+#: What parts words, and what parts pieces.
+KINDS = byte_table(" \t", ".,;:!?\n\x0b\x0c\r")
 _COLUMNS = "lang string, m int, phrase string, f long"
 
 
@@ -86,13 +86,14 @@ def _tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _grams(lang: str, texts: pa.Array, bits: int, frequent: np.ndarray | None, active: np.ndarray | None):
     """(words, phrases, counts) of texts in one language: words and pairs without filters, else phrases of 3 and 4."""
     raw, at = joined(texts)
-    data = LOWER[raw]
-    words = Words(data, at, GAPS)
+    data = mapped(raw, LOWER)
+    kind = mapped(data, KINDS)
+    words = Words(data, at, kind > 0)
     codes, n = words.codes, len(words.codes)
     if not n:
         return
     # Words of one piece have the same number of breaks and text ends before them.
-    piece = np.cumsum(BREAKS[data], dtype=np.int64)[words.starts] + np.repeat(np.arange(len(texts)), np.diff(words.first))
+    piece = np.searchsorted(np.flatnonzero(kind == 2), words.starts) + np.repeat(np.arange(len(texts)), np.diff(words.first))
     spell = words.spellings
     size = len(spell)
 

@@ -11,16 +11,22 @@ import pyarrow.compute as pc
 from ladder.llm.common import GAP_CHARS
 
 
-def byte_table(chars: str) -> np.ndarray:
-    """True for the bytes of these ASCII characters."""
-    table = np.zeros(256, dtype=bool)
-    table[list(chars.encode())] = True
-    return table
+def byte_table(*classes: str) -> bytes:
+    """A table for ``mapped``: 1 for the ASCII characters of the first class, 2 for those of the second and so on."""
+    table = bytearray(256)
+    for k, chars in enumerate(classes, 1):
+        for c in chars.encode():
+            table[c] = k
+    return bytes(table)
 
 
 GAPS = byte_table(GAP_CHARS)
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
+
+def mapped(data: np.ndarray, table: bytes) -> np.ndarray:
+    """Every byte replaced by its entry in a table of 256."""
+    return np.frombuffer(data.tobytes().translate(table), dtype=np.uint8)
 
 
 def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -36,20 +42,24 @@ def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of some texts: ``codes`` (number of each word's spelling), ``spellings`` (Arrow binary), ``first``
     (number of each text's first word; one more for the end), ``starts`` (each word's first byte in the joined data).
+    ``gap`` says which bytes belong to no word, ``cuts`` at which a word begins besides.
     """
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, gaps: np.ndarray = GAPS):
-        inner = ~gaps[data]
+    def __init__(self, data: np.ndarray, at: np.ndarray, gap: np.ndarray | None = None, cuts: np.ndarray | None = None):
+        inner = ~(mapped(data, GAPS).astype(bool) if gap is None else gap)
         begins = inner.copy()
         begins[1:] &= ~inner[:-1]
         edges = at[(at > 0) & (at < len(data))]
         begins[edges] = inner[edges]  # a text's first byte goes on no word of the text before
+        if cuts is not None:
+            begins |= cuts & inner
+        ends = inner.copy()
+        ends[:-1] &= ~inner[1:] | begins[1:]
         self.starts = np.flatnonzero(begins)
         self.first = np.searchsorted(self.starts, at)
         # Without the gaps the words lie one after another, as in an Arrow array.
-        before = np.cumsum(inner, dtype=np.int64)
-        ends = np.append(before[self.starts] - 1, before[-1] if len(before) else 0)
-        buffers = [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data[inner]))]
+        bounds = np.append(0, np.cumsum(np.flatnonzero(ends) + 1 - self.starts))
+        buffers = [None, pa.py_buffer(bounds), pa.py_buffer(data[inner])]
         words = pa.Array.from_buffers(pa.large_binary(), len(self.starts), buffers).dictionary_encode()
         self.codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         self.spellings = words.dictionary

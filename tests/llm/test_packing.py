@@ -47,10 +47,18 @@ def test_pieces_and_places(odd, small, none):
 def test_ids_of_odd_strings_equal_the_tokenisers():
     ids = packing.WordIds(packing.default_vocabulary())
     for t in ("", " ", "a b", "Á é", "İstanbul ΣΑΣ σας", "\x1c\x85x y", "it's I'LL x's", "\U0001f600!!\n\n12,5",
-              "<|endoftext|> a<|endoftext|>b", "漢字 かな", "é" * 3000, "Word, WORD. word.. e\u0301t\u00e9. \u0130. ﬁn. ǅ, ª. A, . , .,", prose(8, 4000), "a\x00b ﻿z"):
+              "<|endoftext|> a<|endoftext|>b", "漢字 かな", "é" * 3000, "Word, WORD. word.. e\u0301t\u00e9. \u0130. ﬁn. ǅ, ª. A, . , .,", prose(8, 4000), "a1. 2, x; y: z! w? v.. u?! t.; s'. 's, é. a.b a.b, .a ,", "<|ENDOFTEXT|> <|startoftext|>. A,", ". a", "a", "a.", "a\x00b ﻿z"):
         assert ids.encode(pa.array([t.encode()]))[0].tobytes() == np.array(TOKENIZER.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
 
 
+def test_stops_at_the_ends_of_texts():
+    ids = packing.WordIds(packing.default_vocabulary())
+    texts = ["a.", ".b", "c", ".", None, "d,", ", e", "", "f.", "g"]
+    flat, at = ids.encode(pa.array([None if t is None else t.encode() for t in texts], pa.binary()))
+    assert [flat[x:y].tolist() for x, y in zip(at[:-1], at[1:], strict=True)] == [
+        TOKENIZER.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_forgetting_strings_changes_nothing(monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 40)
     ids = packing.WordIds(packing.default_vocabulary())
