@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ladder.functions.columns import col_of, count_when, percent
+from ladder.functions.exact import exact_mean, exact_state, exact_sum, merged_state, state_total
 
 
 def _keys(keys) -> list:
@@ -40,7 +41,7 @@ def mean_by(df: DataFrame, keys, measure: str | Column, mean_as: str, digits: in
         df = df.where(m.isNotNull())
     if positive:
         df = df.where(m > 0)
-    mean = F.avg(m)
+    mean = exact_mean(m)
     aggs = []
     if count_as:
         aggs.append(F.count(F.lit(1)).alias(count_as))
@@ -53,23 +54,25 @@ def weighted_mean_by(df: DataFrame, keys, x: str | Column, weight: str | Column,
     """``SUM(x*w) / SUM(w)`` per group (A3). A NULL ``x`` leaves the numerator but keeps its weight in the
     denominator; a NULL key is its own group; a zero total weight gives NULL."""
     x, w = col_of(x), col_of(weight)
-    mean = F.try_divide(F.sum(x * w), F.sum(w))
+    mean = F.try_divide(exact_sum(x * w), exact_sum(w))
     return df.groupBy(*_keys(keys)).agg((F.round(mean, digits) if digits is not None else mean).alias(mean_as))
 
 
 def weighted_sums(df: DataFrame, keys, x: str | Column, weight: str | Column) -> DataFrame:
-    """Partial state of a weighted mean per group: ``SUM(x*w) AS _sxw, SUM(w) AS _sw``.
+    """Partial state of a weighted mean per group: the exact sums ``_sxw`` of x*w and ``_sw`` of w (``exact_state``).
 
-    Sums of sums give the same weighted mean, so the state can be aggregated below a join (fewer rows
+    States merge by addition to the same weighted mean, so the state can be aggregated below a join (fewer rows
     shuffled, and a hot key collapses map-side) and finished with ``weighted_mean_from_sums``."""
     x, w = col_of(x), col_of(weight)
-    return df.groupBy(*_keys(keys)).agg(F.sum(x * w).alias("_sxw"), F.sum(w).alias("_sw"))
+    return df.groupBy(*_keys(keys)).agg(*exact_state(x * w, "_sxw"), *exact_state(w, "_sw"))
 
 
 def weighted_mean_from_sums(sums: DataFrame, keys, mean_as: str = "mean", digits: int | None = None) -> DataFrame:
     """Finish ``weighted_sums`` states (possibly re-grouped by coarser keys) into the weighted mean."""
-    mean = F.try_divide(F.sum("_sxw"), F.sum("_sw"))
-    return sums.groupBy(*_keys(keys)).agg((F.round(mean, digits) if digits is not None else mean).alias(mean_as))
+    merged = sums.groupBy(*_keys(keys)).agg(*merged_state(["_sxw", "_sw"]))
+    mean = F.try_divide(state_total("_sxw"), state_total("_sw"))
+    return merged.select(*[c for c in merged.columns if not c.startswith("_s")],
+                         (F.round(mean, digits) if digits is not None else mean).alias(mean_as))
 
 
 def rate_by(df: DataFrame, keys, rates: Mapping[str, tuple[Column, Column]], digits: int | None = 1,
@@ -99,7 +102,7 @@ def cohort_rate(df: DataFrame, keys, cohort: str | Column, indicator: str | Colu
     aggs = []
     for tag, prefix in cohorts.items():
         is_tag = c == F.lit(tag)
-        rate = F.avg(F.when(is_tag, ind)) * F.lit(100)
+        rate = exact_mean(F.when(is_tag, ind)) * F.lit(100)
         aggs.append(count_when(is_tag).alias(f"{prefix}_n"))
         aggs.append((F.round(rate, digits) if digits is not None else rate).alias(f"{prefix}_rate"))
     return df.groupBy(*_keys(keys)).agg(*aggs)

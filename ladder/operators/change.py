@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ladder.functions.columns import col_of, int_code
+from ladder.functions.exact import exact_mean
 from ladder.operators.aggregate import pivot_max
 from ladder.operators.filters import endpoints, period_bounds
 
@@ -24,7 +25,7 @@ def change_between_endpoints(df: DataFrame, period: str, key: Column, measures:
     first, last = period_bounds(df if source is None else source, period)
     key_name = df.select(key).columns[0]
     means = endpoints(df, period, source).groupBy(F.col(period).alias("_p"), key).agg(
-        *[F.avg(col_of(m)).alias(f"_m{i}") for i, m in enumerate(measures)])
+        *[exact_mean(m).alias(f"_m{i}") for i, m in enumerate(measures)])
     ends = pivot_max(means, key_name, "_p", {
         f"_{side}{i}": (bound, f"_m{i}") for i in range(len(measures)) for side, bound in (("s", first), ("e", last))})
     out = [key_name]
@@ -46,7 +47,7 @@ def group_ratio_trend(df: DataFrame, period: str, key: str, measure: str, top: i
     """
     base = df.where(F.col(key).isin(bottom, top) & F.col(measure).isNotNull())
     means = base.groupBy(F.col(period).alias(period_as), int_code(key).alias("_k")).agg(
-        F.avg(measure).alias("_m"))
+        exact_mean(measure).alias("_m"))
     pair = pivot_max(means, period_as, "_k", {"_top": (top, "_m"), "_bottom": (bottom, "_m")})
     r = F.try_divide(F.col("_top"), F.col("_bottom"))
     return pair.select(period_as, (F.round(r, digits) if digits is not None else r).alias(ratio_as))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladder.functions.columns import lenient_double
+from ladder.functions.exact import exact_mean
 from ladder.functions.labels import HIGH_TIER, NORMAL_TIER, TIER_CUT
 from ladder.operators.joins import attach_scalar
 
@@ -19,7 +20,7 @@ def tier_means(institutions: DataFrame, rate_text: str = "rate_text", cut: float
     tiered = rated.select(
         F.when(F.col("_rate") >= F.lit(cut), F.lit(HIGH_TIER)).otherwise(F.lit(NORMAL_TIER)).alias(tier_as),
         "_rate")
-    return tiered.groupBy(tier_as).agg(F.avg("_rate").alias(mean_as))
+    return tiered.groupBy(tier_as).agg(exact_mean("_rate").alias(mean_as))
 
 
 def interpolate_two_tiers(bands: DataFrame, tiers: DataFrame, band: str, spend: str,

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ladder.functions.columns import col_of
+from ladder.functions.exact import exact_mean
 
 
 def gap_ratio(values: DataFrame, value: str, ignore_zero_min: bool = False, digits: int = 1) -> Column:
@@ -38,7 +39,7 @@ def transition_summary(matrix: DataFrame, levels: int = 10, digits: int = 1) ->
     cell = lambda i: F.max(F.when((F.col("row_pos") == i) & (F.col("col_pos") == i), F.col("value")))
     return matrix.agg(
         F.count(F.lit(1)).alias("_cells"),
-        F.round(F.avg(F.when(diag, F.col("value"))), digits).alias("avg_stay"),
+        F.round(exact_mean(F.when(diag, F.col("value"))), digits).alias("avg_stay"),
         F.round(cell(1), digits).alias("lower_stay"),
         F.round(cell(levels), digits).alias("upper_stay"),
     ).where(F.col("_cells") > 0).drop("_cells")

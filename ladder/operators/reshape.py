@@ -18,9 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ladder.functions.exact import exact_mean, exact_sum
 from ladder.operators.joins import label_of, literal_frame
 
-_AGG = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min}
+_AGG = {"sum": exact_sum, "mean": exact_mean, "max": F.max, "min": F.min}
 
 
 def _type_of(values: Sequence) -> T.DataType:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ladder.functions.columns import count_when, int_code, percent
+from ladder.functions.exact import exact_state, merged_state, state_total
 from ladder.functions.labels import (
     EDU_LABELS,
     EMPLOYMENT_TYPE_LABELS,
@@ -72,7 +73,8 @@ def latest_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     flag = {name: F.col(f"_c_{name}") for name in cond}
     aggs = [count_when(flag[name]).alias(f"n_{name}") for name in cond]
-    aggs += [F.sum(F.when(flag[name], F.col(x))).alias(f"s_{name}") for name, x in MEASURES.items()]
+    for name, x in MEASURES.items():
+        aggs += exact_state(x, f"s_{name}", flag[name])
     aggs.append(count_when(flag["retention"] & (F.col("h_incomeq") >= UPPER_MIN_DECILE)).alias("hits_retention"))
     return base.groupBy(*KEYS).agg(*aggs)
 
@@ -82,8 +84,11 @@ def _part(spark: SparkSession, sf_dir: str, measure: str, *keys: str) -> DataFra
     n = F.sum(f"n_{measure}")
     aggs = [n.alias(f"n_{measure}")]
     if measure in MEASURES:
-        aggs.append(F.try_divide(F.sum(f"s_{measure}"), n).alias(f"m_{measure}"))
-    return latest_cells(spark, sf_dir).groupBy(*keys).agg(*aggs).where(F.col(f"n_{measure}") > 0)
+        aggs += merged_state([f"s_{measure}"])
+    part = latest_cells(spark, sf_dir).groupBy(*keys).agg(*aggs).where(F.col(f"n_{measure}") > 0)
+    if measure in MEASURES:
+        part = part.withColumn(f"m_{measure}", F.try_divide(state_total(f"s_{measure}"), F.col(f"n_{measure}")))
+    return part
 
 
 def _mean(spark, sf_dir, measure, key, mean_as, count_as=None, labels=None, label_as=None):

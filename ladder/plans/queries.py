@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ladder.functions.columns import first_digit, int_code, rank_of
+from ladder.functions.exact import state_columns
 from ladder.functions.labels import (
     COHORT_FIRST,
     COHORT_OTHER,
@@ -117,7 +118,7 @@ def spend_by_band(spark: SparkSession, sf_dir: str, city: int = CITY) -> DataFra
     suppliers = views.city_suppliers(spark, sf_dir, city)
     li = read_table(spark, sf_dir, "lineitem")
     states = weighted_sums(li, ["l_suppkey", F.col("l_linenumber").alias("band")], "l_extendedprice", "l_quantity")
-    joined = states.join(suppliers, states["l_suppkey"] == suppliers["s_suppkey"]).select("band", "_sxw", "_sw")
+    joined = states.join(suppliers, states["l_suppkey"] == suppliers["s_suppkey"]).select("band", *state_columns(["_sxw", "_sw"]))
     return weighted_mean_from_sums(joined, "band", "mean_cost")
 
 

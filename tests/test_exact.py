@@ -1,0 +1,58 @@
+"""Sums that don't depend on the order or the partitions of the rows."""
+
+import math
+import random
+from fractions import Fraction
+
+from pyspark.sql import functions as F
+
+from ladder.functions import exact_mean, exact_state, exact_sum, merged_state, state_total
+from ladder.operators import mean_by, weighted_mean_by
+
+
+def near_ties(seed, n):
+    """Values whose mean lies next to a rounding tie, and whose plain sum depends on the order."""
+    r = random.Random(seed)
+    half = [r.choice([0.1, 0.25, 1e-3, 7921.525, 1e9 + 0.05, 3e13, -2e13, 1.005]) * r.randint(1, 99) for _ in range(n // 2)]
+    return half + [-x + 0.05 for x in half]
+
+
+def test_equal_under_any_partitions(spark):
+    values = near_ties(1, 4000)
+    assert len({sum(random.Random(k).sample(values, len(values))) for k in range(9)}) > 1  # plain sums differ
+    rows = [(i % 7, x, (i % 5) / 3) for i, x in enumerate(values)]
+    results, exact = set(), {k: sum(Fraction(x) for g, x, _ in rows if g == k) for k in range(7)}
+    for n in (1, 7, 200):
+        random.Random(n).shuffle(rows)
+        df = spark.createDataFrame(rows, "k int, x double, w double").repartition(n)
+        sums = df.groupBy("k").agg(exact_sum("x").alias("s")).collect()
+        assert all(abs(Fraction(r.s) - exact[r.k]) <= Fraction(math.ulp(r.s)) for r in sums)
+        results.add(tuple(sorted(map(tuple, sums)))
+                    + tuple(sorted(map(tuple, mean_by(df, "k", "x", "m", digits=None).collect())))
+                    + tuple(sorted(map(tuple, mean_by(df, "k", "x", "m").collect())))
+                    + tuple(sorted(map(tuple, weighted_mean_by(df, "k", "x", "w").collect()))))
+    assert len(results) == 1
+
+
+def test_states_merge_to_the_whole(spark):
+    values = near_ties(2, 900)
+    df = spark.createDataFrame([(i % 3, i % 2 == 0, x) for i, x in enumerate(values)], "part int, odd boolean, x double")
+    states = df.groupBy("part").agg(*exact_state("x", "s"), *exact_state("x", "t", F.col("odd")))
+    merged = states.agg(*merged_state(["s", "t"])).select(state_total("s").alias("s"), state_total("t").alias("t")).first()
+    whole = df.agg(exact_sum("x").alias("s"), exact_sum(F.when(F.col("odd"), F.col("x"))).alias("t")).first()
+    assert merged == whole
+
+
+def test_nulls_empty_and_wild_values(spark):
+    df = spark.createDataFrame([(1, None), (2, 5.0), (2, None), (3, float("nan")), (3, 1.0), (4, float("inf")), (5, 2.0**100),
+                                (5, 1.0), (6, -0.0)], "k int, x double")
+    got = {r.k: (r.s, r.m) for r in df.groupBy("k").agg(exact_sum("x").alias("s"), exact_mean("x").alias("m")).collect()}
+    assert got[1] == (None, None) and got[2] == (5.0, 5.0) and got[6] == (0.0, 0.0)
+    assert math.isnan(got[3][0]) and got[4][0] == math.inf and got[5][0] == 2.0**100
+    assert df.where("false").agg(exact_mean("x")).first()[0] is None
+
+
+def test_other_number_types(spark):
+    got = spark.range(10).select(F.col("id"), F.col("id").cast("decimal(12,2)").alias("d")).agg(
+        exact_sum("id").alias("a"), exact_mean("d").alias("b")).first()
+    assert (got.a, got.b) == (45.0, 4.5)
