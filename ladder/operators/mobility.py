@@ -16,19 +16,20 @@ def transition_matrix(df: DataFrame, entity: str = "household_id", period: str =
                       prev: str = "prev_income_decile", cur: str = "h_incomeq", gap: str = "year_gap",
                       levels: int = 10, dedupe: bool = True, digits: int | None = 1,
                       prev_as: str = "prev_decile", cur_as: str = "cur_decile",
-                      count_as: str = "n_households", share_as: str = "share") -> DataFrame:
+                      count_as: str = "n_households", share_as: str = "share", marker: str | None = None) -> DataFrame:
     """Transitions between consecutive periods: count per (previous, current) level and the share of
     each previous level's entities moving to each current level (A10, A2, W4).
 
     Keeps rows with ``gap = 1``, a non-NULL entity and both levels in ``[1, levels]`` (tested before the
     integer cast). With ``dedupe`` the person-grain rows are first reduced to one row per
-    (entity, period, prev, cur) — the one high-cardinality shuffle, partially aggregated map-side.
+    (entity, period, prev, cur), a high-cardinality shuffle, partially aggregated map-side. ``marker`` names a boolean
+    column that is true in one row of each such combination: with it only the counts are shuffled.
     """
-    base = df.where(
+    base = (df if marker is None or not dedupe else df.where(marker)).where(
         (F.col(gap) == 1) & F.col(entity).isNotNull()
         & F.col(prev).between(1, levels) & F.col(cur).between(1, levels)
     ).select(entity, period, int_code(prev).alias(prev_as), int_code(cur).alias(cur_as))
-    if dedupe:
+    if dedupe and marker is None:
         base = base.distinct()
     counted = base.groupBy(prev_as, cur_as).agg(F.count(F.lit(1)).alias(count_as))
     return share_of_counts(counted, prev_as, count_as, share_as, digits)

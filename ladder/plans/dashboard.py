@@ -34,14 +34,17 @@ STATEMENTS = [
 @contextmanager
 def shared_statements(spark: SparkSession, sf_dir: str) -> Iterator[Run]:
     """A ``Run`` over ``sf_dir`` whose statements are persisted for the duration of the block: queries called with it
-    compute each statement once (the first to need one fills it) and share the latest-year pass."""
-    base = Run(sf_dir)
+    compute each statement once (the first to need one fills it) and share the latest-year pass. At the end of the block
+    ``InputChanged`` is raised if an input file was replaced meanwhile."""
+    base = Run(sf_dir, relations=sf_dir.relations, city=sf_dir.city) if isinstance(sf_dir, Run) else Run(sf_dir)
     held = [latest_cells(spark, base).persist(StorageLevel.MEMORY_AND_DISK)]
-    run = Run(sf_dir, given=fused_statements(spark, base))
+    run = Run(sf_dir, given=fused_statements(spark, base), relations=base.relations, city=base.city)
     run._built.update(base._built)  # the scans and derived tables found so far
+    run._pinned = base._pinned
     try:
         held += [QUERIES[name](spark, run, ordered=False).persist(StorageLevel.MEMORY_AND_DISK) for name in STATEMENTS]
         yield run
+        run.verify()
     finally:
         for df in held:
             df.unpersist()

@@ -38,6 +38,7 @@ from ladder.operators.aggregate import (
     cohort_rate,
     group_order,
     mean_by,
+    weighted_mean_by,
     weighted_mean_from_sums,
     weighted_sums,
 )
@@ -115,6 +116,9 @@ def spend_by_band(spark: SparkSession, sf_dir: str, city: int = CITY) -> DataFra
     supplier that holds a large share of all rows. Only those states are joined to the suppliers and aggregated per
     band.
     """
+    if isinstance(sf_dir, Run) and sf_dir.relations is not None:
+        return weighted_mean_by(views.edu_spend(spark, sf_dir, city), F.col("income_band").alias("band"), "total_cost",
+                                "weight", "mean_cost")
     suppliers = views.city_suppliers(spark, sf_dir, city)
     li = read_table(spark, sf_dir, "lineitem")
     states = weighted_sums(li, ["l_suppkey", F.col("l_linenumber").alias("band")], "l_extendedprice", "l_quantity")
@@ -124,8 +128,9 @@ def spend_by_band(spark: SparkSession, sf_dir: str, city: int = CITY) -> DataFra
 
 @query(order=("band",))
 def expected_rate_by_income_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bands = spend_by_band(spark, sf_dir, CITY)
-    tiers = tier_means(views.institution(spark, sf_dir).where(F.col("city") == CITY))
+    city = CITY if sf_dir.city is None else sf_dir.city
+    bands = spend_by_band(spark, sf_dir, city)
+    tiers = tier_means(views.institution(spark, sf_dir).where(F.col("city") == F.lit(city)))
     return interpolate_two_tiers(bands, tiers, "band", "mean_cost", spend_as="avg_private_edu_cost",
                                  expected_as="expected_employment_rate")
 
@@ -266,7 +271,7 @@ def mobility_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(order=("prev_decile", "cur_decile"))
 def income_transition_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transition_matrix(views.panel(spark, sf_dir))
+    return transition_matrix(views.panel(spark, sf_dir), marker="household_row")
 
 
 @query()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ladder.sources.run import once
+from ladder.sources.run import run_of
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -18,8 +18,9 @@ def table_path(sf_dir: str, name: str) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table as a lazy DataFrame; Catalyst prunes columns and pushes filters into the scan.
-    Within a ``Run`` the file listing and schema read happen once."""
-    return once(sf_dir, ("table", name), lambda: spark.read.parquet(table_path(sf_dir, name)))
+    Within a ``Run`` the file listing and schema read happen once, and the listing is kept (``Run.pin``)."""
+    run, path = run_of(sf_dir), table_path(sf_dir, name)
+    return run.once(("table", name), lambda: run.pin(path, spark.read.parquet(path)))
 
 
 def load_views(spark: SparkSession, sf_dir: str, names=("region", "nation", "customer", "supplier",

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ladder.sources.run import once
+from ladder.sources.run import run_of
 from ladder.sources.store import materialize, write_scratch
 from ladder.sources.tables import read_table, table_path
 
@@ -35,6 +35,8 @@ PANEL_SCHEMA = T.StructType([
     T.StructField("p_job_status", T.DoubleType()),
     T.StructField("generation", T.StringType()),
     T.StructField("p_monthly_wage", T.DoubleType()),
+    # True in one row of each household and year (with the same deciles and gap): household grain without a distinct.
+    T.StructField("household_row", T.BooleanType()),
 ])
 PANEL_COLUMNS = [f.name for f in PANEL_SCHEMA.fields]
 
@@ -166,27 +168,42 @@ def build_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(acct < 5000, F.lit("middle")).otherwise(F.lit("senior")).alias("generation"),
         F.when(person == 3, F.lit(None).cast("double")).when(hid % 7 == 0, F.lit(0.0))
         .otherwise(F.col("inc").cast("double") / F.lit(12) / person).alias("p_monthly_wage"),
+        ((person == 1) & (hid % 41 != 0)).alias("household_row"),
     )
 
 
-def _panel_inputs(sf_dir: str) -> list[str]:
-    return [table_path(sf_dir, "orders"), table_path(sf_dir, "customer")]
+def _derived(spark: SparkSession, sf_dir: str, name: str, inputs: tuple[str, ...], build, **how) -> DataFrame:
+    """A derived table of the Run's pinned inputs, built once per their contents; the caller's own relation if given."""
+    run = run_of(sf_dir)
+
+    def make() -> DataFrame:
+        own = run.own(name)
+        if own is not None:
+            return own
+        for table in inputs:
+            read_table(spark, run, table)
+        paths = [table_path(run, table) for table in inputs]
+        return materialize(spark, lambda: build(spark, run), f"{name}-{_SOURCE_SALT}", paths, files=run.files(*paths), **how)
+
+    return run.once(name, make)
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel view, materialised as Parquet partitioned by ``year`` (latest-year filters prune)."""
-    return once(sf_dir, "panel", lambda: materialize(
-        spark, lambda: build_panel(spark, sf_dir), f"panel-{_SOURCE_SALT}", _panel_inputs(sf_dir),
-        schema=PANEL_SCHEMA, partition_by=("year",), columns=PANEL_COLUMNS))
+    return _derived(spark, sf_dir, "panel", ("orders", "customer"), build_panel, schema=PANEL_SCHEMA,
+                    partition_by=("year",), columns=PANEL_COLUMNS)
 
 
 def panel_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel's distinct ``year`` values (a handful of rows), aggregated from the panel once and stored beside it.
 
     Period bounds (``MAX(year)``, ``MIN(year)``) read this instead of scanning the panel in every query."""
-    return once(sf_dir, "panel_periods", lambda: materialize(
-        spark, lambda: panel(spark, sf_dir).select("year").distinct().coalesce(1), f"panel_periods-{_SOURCE_SALT}",
-        _panel_inputs(sf_dir), schema=T.StructType([T.StructField("year", T.IntegerType())])))
+    return _derived(spark, sf_dir, "panel_periods", ("orders", "customer"), build_periods,
+                    schema=T.StructType([T.StructField("year", T.IntegerType())]))
+
+
+def build_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel(spark, sf_dir).select("year").distinct().coalesce(1)
 
 
 def build_parent_child(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,10 +221,8 @@ def build_parent_child(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parent_child(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(sf_dir, "parent_child", lambda: materialize(
-        spark, lambda: build_parent_child(spark, sf_dir), f"parent_child-{_SOURCE_SALT}",
-        [table_path(sf_dir, "customer")], schema=PARENT_CHILD_SCHEMA,
-        columns=[f.name for f in PARENT_CHILD_SCHEMA.fields]))
+    return _derived(spark, sf_dir, "parent_child", ("customer",), build_parent_child, schema=PARENT_CHILD_SCHEMA,
+                    columns=[f.name for f in PARENT_CHILD_SCHEMA.fields])
 
 
 def city_suppliers(spark: SparkSession, sf_dir: str, city: int | None = None) -> DataFrame:
@@ -222,6 +237,9 @@ def city_suppliers(spark: SparkSession, sf_dir: str, city: int | None = None) ->
 def edu_spend(spark: SparkSession, sf_dir: str, city: int | None = None) -> DataFrame:
     """lineitem x supplier x nation: (income_band, total_cost, weight, city). Lazy; Spark picks the joins by the
     tables' sizes."""
+    own = run_of(sf_dir).own("edu_spend")
+    if own is not None:
+        return own if city is None else own.where(F.col("city") == F.lit(city))
     li = read_table(spark, sf_dir, "lineitem").select("l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity")
     sup_city = city_suppliers(spark, sf_dir, city)
     return li.join(sup_city, li["l_suppkey"] == sup_city["s_suppkey"]).select(
@@ -234,6 +252,9 @@ def edu_spend(spark: SparkSession, sf_dir: str, city: int | None = None) -> Data
 
 def institution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customer x nation: (name, city, rate_text) with NULL, '' and '-' rates mixed in."""
+    own = run_of(sf_dir).own("institution")
+    if own is not None:
+        return own
     cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
     nat = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     key = F.col("c_custkey")
