@@ -104,11 +104,15 @@ VIEW_CTES = {
 }
 
 
-def with_views(views: list[str], body: str) -> str:
-    """Prefix ``body`` with the CTEs of ``views``; a body that starts with WITH is merged flat."""
+def with_views(views: list[str], body: str, keep: dict[str, str] | None = None) -> str:
+    """Prefix ``body`` with the CTEs of ``views``, of which only the rows that ``keep`` names are used; a body that starts
+    with WITH is merged flat."""
     ctes = []
     for v in views:
-        ctes.extend(f"{name} AS ({sql}\n)" for name, sql in VIEW_CTES[v])
+        for name, sql in VIEW_CTES[v]:
+            if name == v and v in (keep or {}):
+                sql = f"SELECT * FROM ({sql}\n) WHERE {keep[v]}"
+            ctes.append(f"{name} AS ({sql}\n)")
     body = body.strip().rstrip(";")
     if body[:4].upper() == "WITH":
         return "WITH " + ",\n".join(ctes) + ",\n" + body[4:].lstrip()
