@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +26,16 @@ def change_between_endpoints(df: DataFrame, period: str, key: Column, measures:
     key_name = df.select(key).columns[0]
     means = endpoints(df, period, source).groupBy(F.col(period).alias("_p"), key).agg(
         *[exact_mean(m).alias(f"_m{i}") for i, m in enumerate(measures)])
+    return change_of_means(means, key_name, list(measures.values()), first, last, digits)
+
+
+def change_of_means(means: DataFrame, key_name: str, names: Sequence[str], first: Column, last: Column,
+                    digits: int | None = 1) -> DataFrame:
+    """``(last - first) * 100.0 / NULLIF(first, 0)`` per key from means ``_m0, _m1, ...`` per period ``_p`` and key."""
     ends = pivot_max(means, key_name, "_p", {
-        f"_{side}{i}": (bound, f"_m{i}") for i in range(len(measures)) for side, bound in (("s", first), ("e", last))})
+        f"_{side}{i}": (bound, f"_m{i}") for i in range(len(names)) for side, bound in (("s", first), ("e", last))})
     out = [key_name]
-    for i, alias in enumerate(measures.values()):
+    for i, alias in enumerate(names):
         start, end = F.col(f"_s{i}"), F.col(f"_e{i}")
         ch = F.try_divide((end - start) * F.lit(100.0), start)
         out.append((F.round(ch, digits) if digits is not None else ch).alias(alias))
@@ -48,6 +54,11 @@ def group_ratio_trend(df: DataFrame, period: str, key: str, measure: str, top: i
     base = df.where(F.col(key).isin(bottom, top) & F.col(measure).isNotNull())
     means = base.groupBy(F.col(period).alias(period_as), int_code(key).alias("_k")).agg(
         exact_mean(measure).alias("_m"))
+    return ratio_of_means(means, period_as, top, bottom, digits, ratio_as)
+
+
+def ratio_of_means(means: DataFrame, period_as: str, top: int, bottom: int, digits: int | None, ratio_as: str) -> DataFrame:
+    """Per period the mean ``_m`` of group ``_k = top`` over that of ``bottom``; NULL for a zero or missing one."""
     pair = pivot_max(means, period_as, "_k", {"_top": (top, "_m"), "_bottom": (bottom, "_m")})
     r = F.try_divide(F.col("_top"), F.col("_bottom"))
     return pair.select(period_as, (F.round(r, digits) if digits is not None else r).alias(ratio_as))
