@@ -23,11 +23,11 @@ from ladder.operators.metrics import (
     transition_summary,
 )
 from ladder.operators.mobility import escape_and_retention, transition_matrix, upper_retention
-from ladder.operators.reshape import dense_grid, dense_long, dense_pivot, to_chart, to_long, to_matrix
+from ladder.operators.reshape import dense_grid, dense_long, dense_pivot, dense_rows, ranked_keys, to_chart, to_long, to_matrix
 from ladder.operators.shares import share_of_counts, share_of_total, share_within
 
 __all__ = [
-    "attach_scalar", "change_between_endpoints", "cohort_rate", "dedupe", "dense_grid", "dense_long",
+    "attach_scalar", "change_between_endpoints", "cohort_rate", "dedupe", "dense_grid", "dense_long", "dense_rows", "ranked_keys",
     "dense_pivot", "endpoint_values", "endpoints", "escape_and_retention", "extremes", "first_last",
     "gap_ratio", "group_order", "group_ratio_trend", "interpolate_two_tiers", "label_of",
     "latest_period", "mean_by", "period_bounds", "pivot_max", "rate_by", "share_of_counts",

@@ -6,7 +6,8 @@ Inputs are aggregated results (rows x categories cells), so every step here move
   of a handful of rows, broadcast and left-joined, so missing rows appear as zeros and
   unlisted rows drop out.
 * ``dense_grid`` (one row of arrays, what the registered matrices and documents use): one pass over the input, then
-  array functions on its cells; lazy, no pivot job, no join. ``to_long`` explodes it.
+  array functions on its cells; lazy, no pivot job, no join. ``to_long`` explodes it. For code domains.
+* ``dense_rows`` (long form, any number of observed rows): ranked keys, a scaffold and a join.
 * ``to_chart`` / ``to_matrix``: the emitted nested encodings of a grid.
 """
 
@@ -108,6 +109,44 @@ def dense_long(df: DataFrame, *args, **kwargs) -> DataFrame:
     return to_long(dense_grid(df, *args, **kwargs))
 
 
+def ranked_keys(df: DataFrame, key: str) -> DataFrame:
+    """(key, row_pos): the distinct non-null keys with their positions from 1 in ascending order, without one task that
+    sees them all: keys are range-partitioned and numbered per partition, and the partitions' sizes (one row each) give
+    the offsets. The numbered keys are written once, so that the numbers hold."""
+    from ladder.sources.store import write_scratch
+
+    keys = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key")).distinct()
+    numbered = write_scratch(keys.repartitionByRange("key").sortWithinPartitions("key")
+                             .withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = numbered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = write_scratch(sizes.select("part", F.coalesce(before, F.lit(0)).alias("before")))
+    return numbered.withColumn("part", part).join(offsets, "part").select(
+        "key", (F.col("before") + place + 1).alias("row_pos"))
+
+
+def dense_rows(df: DataFrame, row: str, col: str, value: str, cols: Sequence, agg: str = "sum", fill: float = 0.0,
+               col_labels: Mapping | None = None, digits: int | None = 1) -> DataFrame:
+    """A dense matrix with any number of observed row keys, in long form: ``row_pos, row_label, col_pos, col_label,
+    value`` (R2, R3 beyond the code domains). ``cols`` is a fixed list; cells of other columns and of NULL keys are
+    dropped, but not their rows.
+
+    The scaffold is the ranked row keys times a literal list, and the aggregated cells are joined to it: no cell array,
+    no pivot, nothing that grows with the keys in one task. ``dense_grid`` is the one-row form for code domains.
+    """
+    kind = df.schema[col].dataType
+    cells = df.where(F.col(row).isNotNull() & F.col(col).isin(*cols)).groupBy(
+        F.col(row).alias("key"), F.col(col).alias("c")).agg(_AGG[agg](value).cast("double").alias("v"))
+    listed = F.array(*[F.lit(c).cast(kind) for c in cols])
+    scaffold = ranked_keys(df, row).select("key", "row_pos", F.posexplode(listed).alias("j", "c"))
+    full = scaffold.join(cells, ["key", "c"], "left")
+    v = F.coalesce("v", F.lit(float(fill)))
+    label = label_of("c", col_labels, fallback=True) if col_labels else F.col("c").cast("string")
+    return full.select("row_pos", F.col("key").cast("string").alias("row_label"), (F.col("j") + 1).alias("col_pos"),
+                       label.alias("col_label"), (F.round(v, digits) if digits is not None else v).alias("value"))
+
+
 def _or_empty(grid: DataFrame, value: Column, only_observed: bool) -> Column:
     """``value``, or an empty array where the grid has no rows or no columns (``only_observed``: no observed cell)."""
     kind = grid.select(value.alias("x")).schema["x"].dataType

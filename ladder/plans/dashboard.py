@@ -1,7 +1,7 @@
 """One dashboard refresh: every registered result, with the statements computed once and shared.
 
-The twelve latest-year statements come from one pass over the latest-year slice (``fused.latest_cells``) instead of
-twelve scans. The statement results are small (bounded by the category domains), so they are persisted and every
+The statements over the panel come from one pass over it (``incremental.stored_state``), kept beside it, instead of a scan
+each. The statement results are small (bounded by the category domains), so they are persisted and every
 derived output (dense matrices, chart documents, KPI rows) is planned on top of them: Spark's cache manager substitutes
 the persisted result wherever an identical plan fragment appears. A lost block is recomputed from lineage, so the
 refresh survives executor loss. The plans are the same at every size.
@@ -16,7 +16,7 @@ from contextlib import contextmanager
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from ladder.plans.fused import fused_statements, latest_cells
+from ladder.plans.incremental import statements, stored_state
 from ladder.plans.queries import QUERIES
 from ladder.sources.run import Run
 
@@ -34,11 +34,11 @@ STATEMENTS = [
 @contextmanager
 def shared_statements(spark: SparkSession, sf_dir: str) -> Iterator[Run]:
     """A ``Run`` over ``sf_dir`` whose statements are persisted for the duration of the block: queries called with it
-    compute each statement once (the first to need one fills it) and share the latest-year pass. At the end of the block
+    compute each statement once (the first to need one fills it) and share the pass over the panel. At the end of the block
     ``InputChanged`` is raised if an input file was replaced meanwhile."""
     base = Run(sf_dir, relations=sf_dir.relations, city=sf_dir.city) if isinstance(sf_dir, Run) else Run(sf_dir)
-    held = [latest_cells(spark, base).persist(StorageLevel.MEMORY_AND_DISK)]
-    run = Run(sf_dir, given=fused_statements(spark, base), relations=base.relations, city=base.city)
+    held = []
+    run = Run(sf_dir, given=statements(stored_state(spark, base)), relations=base.relations, city=base.city)
     run._built.update(base._built)  # the scans and derived tables found so far
     run._pinned = base._pinned
     try:

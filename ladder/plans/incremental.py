@@ -10,8 +10,10 @@ run over all files, whatever the order and the number of refreshes, as the sums
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Mapping
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,14 +26,18 @@ from ladder.operators.shares import share_of_counts
 from ladder.plans import fused
 from ladder.sources import views
 from ladder.sources.relations import conform
+from ladder.sources.run import run_of
 from ladder.sources.store import (
     delete_path,
     list_files,
+    materialize,
     pinned_files,
     read_json,
     table_root,
     write_json,
+    write_scratch,
 )
+from ladder.sources.tables import table_path
 from ladder.sources.views import PANEL_SCHEMA
 
 KEYS = ["year", *fused.KEYS, "generation"]
@@ -106,6 +112,24 @@ def statements(state: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
+_SALT = hashlib.sha1(b"".join(Path(m.__file__).read_bytes() for m in (fused, views)) + Path(__file__).read_bytes()).hexdigest()[:12]
+
+
+def stored_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of a Run's whole panel, built in one pass and kept beside it like the panel itself."""
+    run = run_of(sf_dir)
+
+    def build() -> DataFrame:
+        panel = views.panel(spark, run)
+        if run.relations is not None:
+            return write_scratch(state_of(panel))
+        schema = state_of(panel).schema
+        paths = [table_path(run, t) for t in views.PANEL_INPUTS]
+        return materialize(spark, lambda: state_of(panel), f"panel_state-{_SALT}", paths, schema=schema, files=run.files(*paths))
+
+    return run.once("panel_state", build)
+
+
 class StoredPanel:
     """A panel kept as files in one folder, to which files are added; its results come from stored states.
 

@@ -11,6 +11,7 @@ substitutes the persisted results.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import wraps
 
@@ -500,7 +501,16 @@ def _records(df: DataFrame, order) -> DataFrame:
 
 @query()
 def dashboard_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """KPIs, statements as records, charts and matrices in one JSON document (one row, bounded by the code domains)."""
+    """KPIs, statements as records, charts and matrices in one JSON document (one row, bounded by the code domains).
+
+    The panel's statements are roll-ups of its stored state; every part is one branch of a union, so it runs once."""
+    from ladder.plans.incremental import statements, stored_state
+
+    if not sf_dir.given:
+        base, sf_dir = sf_dir, Run(sf_dir, given=statements(stored_state(spark, sf_dir)), relations=sf_dir.relations,
+                                   city=sf_dir.city)
+        sf_dir._built.update({k: v for k, v in base._built.items() if not isinstance(k, tuple) or k[0] != "query"})
+        sf_dir._pinned = base._pinned
     charts = {fn.__name__: _records(fn(spark, sf_dir, ordered=False), fn.order) for fn in RECORD_STATEMENTS}
     charts |= {
         "child_education_chart": to_chart(child_education_grid(spark, sf_dir), raw=True, empty=True),
@@ -512,10 +522,17 @@ def dashboard_document(spark: SparkSession, sf_dir: str) -> DataFrame:
         "income_transition_chart": to_matrix(income_transition_grid(spark, sf_dir), raw=True),
     }
     kpis = summary_kpi_row(spark, sf_dir)
-    packed = kpis.select(F.struct(
-        F.struct(*kpis.columns).alias("kpis"),
-        F.struct(*[df.scalar().alias(name) for name, df in charts.items()]).alias("charts")).alias("document"))
-    return _json(packed, "document")
+    parts = [(name, df.select(F.col(df.columns[0]).alias("doc"))) for name, df in charts.items()]
+    parts.append(("kpis", kpis.select(F.struct(*kpis.columns).alias("doc"))))
+    rows = None
+    for at, (name, df) in enumerate(parts):
+        text = F.concat(F.lit(json.dumps(name) + ":"), F.to_json("doc", {"ignoreNullFields": "false"}))
+        row = df.select(F.lit(at).alias("at"), text.alias("text"))
+        rows = row if rows is None else rows.unionAll(row)
+    texts = F.sort_array(F.collect_list(F.struct("at", "text")))["text"]
+    one = rows.agg(texts.alias("t"))
+    inner = F.array_join(F.slice("t", 1, len(charts)), ",")
+    return one.select(F.concat(F.lit("{"), F.get("t", F.lit(len(charts))), F.lit(',"charts":{'), inner, F.lit("}}")).alias("document"))
 
 
 QUERIES: dict[str, Query] = {

@@ -46,7 +46,9 @@ def write_dashboard(spark: SparkSession, sf_dir: str, path: str,
                     fmt: str = "json", workers: int = 4) -> dict[str, str]:
     """Compute every registered result over ``sf_dir`` and write one dataset per result (S3).
 
-    With the default query set the statements are computed once and shared by the derived outputs."""
+    With the default query set the statements are computed once and shared by the derived outputs, and what must hold of
+    them (``plans.invariants``) is measured by the writes themselves: ``<path>/_checks.json`` has the metrics by result and
+    the problems found."""
     from ladder.plans.dashboard import run_all, shared_statements
     from ladder.plans.queries import QUERIES
 
@@ -58,5 +60,22 @@ def write_dashboard(spark: SparkSession, sf_dir: str, path: str,
 
     if queries is not None:
         return write(dict(queries), sf_dir)
+    from ladder.plans import invariants
+    from ladder.sources.store import write_json
+
+    watches = {}
+
+    def watched(name, fn):
+        def result(spark, source):
+            df, watches[name] = invariants.observed(fn(spark, source), name)
+            return df
+
+        return result
+
+    checked = {*invariants.SHARES, *invariants.LABELS, *invariants.DECILES, *invariants.RETENTION}
     with shared_statements(spark, sf_dir) as run:
-        return write(dict(QUERIES), run)
+        paths = write({n: watched(n, fn) if n in checked else fn for n, fn in QUERIES.items()}, run)
+    metrics = {name: dict(watch.get) for name, watch in sorted(watches.items())}
+    found = [vars(p) for p in invariants.problems(metrics)]
+    write_json(spark, f"{path.rstrip('/')}/_checks.json", {"metrics": metrics, "problems": found}, replace=True)
+    return paths

@@ -38,6 +38,7 @@ PANEL_SCHEMA = T.StructType([
     # True in one row of each household and year (with the same deciles and gap): household grain without a distinct.
     T.StructField("household_row", T.BooleanType()),
 ])
+PANEL_INPUTS = ("orders", "customer")
 PANEL_COLUMNS = [f.name for f in PANEL_SCHEMA.fields]
 
 PARENT_CHILD_SCHEMA = T.StructType([
@@ -190,7 +191,7 @@ def _derived(spark: SparkSession, sf_dir: str, name: str, inputs: tuple[str, ...
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel view, materialised as Parquet partitioned by ``year`` (latest-year filters prune)."""
-    return _derived(spark, sf_dir, "panel", ("orders", "customer"), build_panel, schema=PANEL_SCHEMA,
+    return _derived(spark, sf_dir, "panel", PANEL_INPUTS, build_panel, schema=PANEL_SCHEMA,
                     partition_by=("year",), columns=PANEL_COLUMNS)
 
 
@@ -198,7 +199,7 @@ def panel_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel's distinct ``year`` values (a handful of rows), aggregated from the panel once and stored beside it.
 
     Period bounds (``MAX(year)``, ``MIN(year)``) read this instead of scanning the panel in every query."""
-    return _derived(spark, sf_dir, "panel_periods", ("orders", "customer"), build_periods,
+    return _derived(spark, sf_dir, "panel_periods", PANEL_INPUTS, build_periods,
                     schema=T.StructType([T.StructField("year", T.IntegerType())]))
 
 

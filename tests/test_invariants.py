@@ -1,0 +1,98 @@
+"""What must hold of a refresh, measured by the writes themselves; matrices with many observed rows."""
+
+import json
+import os
+
+import pandas as pd
+from oracle_compare import compare
+from pyspark.sql import functions as F
+from support import SF_SMALL
+
+from ladder.operators.reshape import dense_rows, ranked_keys
+from ladder.plans import invariants
+from ladder.plans.queries import QUERIES
+from ladder.sources import own_relations, views, write_dashboard
+from ladder.sources.relations import RELATIONS
+
+
+def test_queries_equal_their_sql(spark):
+    report = compare(spark, SF_SMALL, ["refresh_checks", "customer_status_dense"])
+    assert {k: v["status"] for k, v in report.items()} == dict.fromkeys(report, "ok")
+
+
+def _jobs(spark, group, action):
+    spark.sparkContext.setJobGroup(group, "")
+    out = action()
+    n = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, n
+
+
+def test_metrics_come_with_the_write(spark, tmp_out):
+    plain = QUERIES["mobility_share"](spark, SF_SMALL)
+    _, bare = _jobs(spark, "bare", lambda: plain.write.parquet(f"{tmp_out}/a"))
+    df, watch = invariants.observed(QUERIES["mobility_share"](spark, SF_SMALL), "mobility_share")
+    _, with_metrics = _jobs(spark, "metrics", lambda: df.write.parquet(f"{tmp_out}/b"))
+    assert with_metrics <= bare and watch.get == {"rows": 3.0, "shares_off": 0.0, "unlabelled": 0.0}
+    assert spark.read.parquet(f"{tmp_out}/b").columns == plain.columns
+
+
+def test_a_refresh_writes_its_checks(spark, tmp_out):
+    write_dashboard(spark, SF_SMALL, tmp_out)
+    report = json.load(open(os.path.join(tmp_out, "_checks.json")))
+    assert set(report["metrics"]) == {*invariants.SHARES, *invariants.LABELS, *invariants.DECILES, *invariants.RETENTION}
+    # the fixture has employment code 9, which has no label
+    assert {(p["result"], p["metric"]) for p in report["problems"]} == {("employment_mobility_share", "unlabelled")}
+
+
+def test_a_corrupted_input_is_reported(spark, tmp_out):
+    sf = {n: getattr(views, n)(spark, SF_SMALL) for n in RELATIONS}
+    bad = sf["panel"].drop("household_row").withColumn("p_firm_size", F.when(F.col("p_firm_size") == 2, 77.0).otherwise(F.col("p_firm_size")))
+    bad = bad.withColumn("education_group", F.when(F.col("education_group") == "college", "colege").otherwise(F.col("education_group")))
+    run = own_relations(spark, {**sf, "panel": bad}, city=1)
+    write_dashboard(spark, run, tmp_out)
+    found = {(p["result"], p["metric"]) for p in json.load(open(os.path.join(tmp_out, "_checks.json")))["problems"]}
+    assert {("wage_by_firm_size", "unlabelled"), ("wage_by_education", "unlabelled")} <= found
+
+
+def test_problems():
+    ok = {"mobility_share": {"rows": 3.0, "shares_off": 0.0, "unlabelled": 0.0}, "upper_retention_kpi": {"retention": 81.5},
+          "escape_and_retention_trend": {"retention": 81.5}}
+    assert invariants.problems(ok) == []
+    ok["upper_retention_kpi"]["retention"] = 80.0
+    ok["mobility_share"]["shares_off"] = 3.0
+    assert [(p.result, p.metric) for p in invariants.problems(ok)] == [("mobility_share", "shares_off"), ("upper_retention_kpi", "retention")]
+    assert invariants.problems({"upper_retention_kpi": {"retention": 0.0}, "escape_and_retention_trend": {"retention": None}}) == []
+
+
+def test_shares_that_do_not_add_up_are_seen(spark):
+    df = spark.createDataFrame([(1, 60.0), (1, 30.0), (2, 33.3), (2, 33.3), (2, 33.3), (3, None)], "quintile int, share double")
+    extended, metrics = invariants.measured(df, "child_education_share")
+    assert extended.agg(metrics["shares_off"].alias("x")).first().x == 3.0  # both rows of 1, and the null
+
+
+def test_many_observed_rows(spark):
+    n = 100_000
+    df = spark.range(n).selectExpr("id * 7 % 1000003 AS k", "CASE WHEN id % 3 = 0 THEN 'a' WHEN id % 3 = 1 THEN 'b' ELSE 'z' END AS c",
+                                   "id / 8 AS v").repartition(5)
+    got = dense_rows(df, "k", "c", "v", ["b", "a"], digits=None)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "Cartesian" not in plan
+    p = df.toPandas()
+    want = p[p.c.isin(["a", "b"])].pivot_table(index="k", columns="c", values="v", aggfunc="sum").reindex(
+        index=sorted(p.k), columns=["b", "a"]).fillna(0.0)
+    g = got.toPandas()
+    assert len(g) == 2 * n and g.row_pos.max() == n
+    back = g.assign(k=g.row_label.astype("int64")).sort_values(["row_pos", "col_pos"])
+    assert back.k.tolist() == [k for k in want.index for _ in range(2)]
+    assert back.value.tolist() == want.to_numpy().ravel().tolist()
+    assert set(back[back.col_pos == 1].col_label) == {"b"}
+
+
+def test_rows_without_listed_cells_nulls_and_no_rows(spark):
+    df = spark.createDataFrame([("x", 9, 1.0), (None, 1, 1.0), ("y", None, 2.0), ("y", 1, 2.0), ("y", 1, 3.0)], "k string, c int, v double")
+    got = sorted(map(tuple, dense_rows(df, "k", "c", "v", [1, 2], col_labels={1: "one"}).collect()))
+    assert got == [(1, "x", 1, "one", 0.0), (1, "x", 2, "2", 0.0), (2, "y", 1, "one", 5.0), (2, "y", 2, "2", 0.0)]
+    assert dense_rows(df.limit(0), "k", "c", "v", [1]).count() == 0
+    assert [tuple(r) for r in ranked_keys(spark.createDataFrame(pd.DataFrame({"k": [3, 1, 3, 2]})), "k").orderBy("row_pos").collect()] == [
+        (1, 1), (2, 2), (3, 3)]
