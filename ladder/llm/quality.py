@@ -4,9 +4,10 @@
 2. ``sketches``: per (language, source) and measure a mergeable quantile sketch: counts per logarithmic bucket with
    ``2**BITS`` steps per power of two (values below that are exact, others within ``2**-BITS``). Sketches merge by
    adding counts, so one pass over the rows makes the finest level and the coarser levels come from it.
-3. ``thresholds``: upper and lower fences from each sketch's quartiles, a quartile no farther from the median than the
-   other one or the floor, so that junk on one side moves no fence while it is less than half. A (language, source) group with fewer than
-   ``min_rows`` rows uses its language's merged sketch, a small language the sketch of all rows.
+3. ``thresholds``: upper and lower fences from each sketch's outer deciles and its own spread between them. A decile is
+   drawn in to the other one's distance from the median (or the floor, if that is more), so that junk on one side moves no
+   fence while it is less than half. A (language, source) group with fewer than ``min_rows`` rows uses its language's
+   merged sketch, a small language the sketch of all rows.
 4. ``judge``: the rows joined with their group's fences.
 
 A hot source is one partly aggregated row per task and bucket; the join's other side is a handful of rows per group.
@@ -28,24 +29,26 @@ BITS = 5
 
 @dataclass(frozen=True)
 class Rule:
-    """A measure is out of bounds beyond ``quartile ± width * max(inter-quartile range, floor)``, on the given side. A
-    quartile farther from the median than both the other quartile and the floor is first drawn in to that distance."""
+    """A measure is out of bounds beyond the outer decile on the given side by more than ``width`` times the group's
+    spread (the range between its outer deciles), or by more than ``floor`` where that is wider: in groups whose rows are
+    nearly all alike, as for measures that are 0 in most texts. A decile farther from the median than both the other one
+    and the floor is first drawn in to that distance."""
 
     measure: str
     side: str
     floor: int
 
 
-#: Measures are whole numbers (per mille, or hundredths of a character); floors are their least spread.
+#: Measures are whole numbers (per mille, or hundredths of a character), and so are floors.
 RULES = (
-    Rule("symbols_pm", "high", 15),
-    Rule("capitals_pm", "high", 40),
-    Rule("repeats_pm", "high", 120),
-    Rule("dup_lines_pm", "high", 100),
+    Rule("symbols_pm", "high", 60),
+    Rule("capitals_pm", "high", 16),
+    Rule("repeats_pm", "high", 200),
+    Rule("dup_lines_pm", "high", 400),
     Rule("word_len_pc", "high", 60),
     Rule("word_len_pc", "low", 60),
 )
-WIDTH = 4
+WIDTH = 3
 MIN_ROWS = 100
 MIN_WORDS = 50
 
@@ -122,6 +125,14 @@ def sketches(measured: DataFrame, lang: str, source: str) -> DataFrame:
             .groupBy("level", "lang", "source", "measure", "bucket").agg(F.sum("n").alias("n")))
 
 
+def fence_sql(rule: Rule, width: int = WIDTH) -> str:
+    """The rule's fence from d1, mid and d9 (the deciles and the median of its measure)."""
+    upper = f"least(d9, mid + greatest(mid - d1, {rule.floor}))"
+    lower = f"greatest(d1, mid - greatest(d9 - mid, {rule.floor}))"
+    margin = f"greatest({width} * ({upper} - {lower}), {rule.floor})"
+    return f"{upper} + {margin}" if rule.side == "high" else f"{lower} - {margin}"
+
+
 def thresholds(sketch: DataFrame, min_rows: int = MIN_ROWS, width: int = WIDTH) -> DataFrame:
     """One row per (lang, source) with ``low_<measure>`` and ``high_<measure>`` from the finest level that has
     ``min_rows`` rows (or else that of all rows)."""
@@ -129,27 +140,22 @@ def thresholds(sketch: DataFrame, min_rows: int = MIN_ROWS, width: int = WIDTH)
     running = Window.partitionBy(*group).orderBy("bucket")
     ranked = (sketch.withColumn("upto", F.sum("n").over(running.rowsBetween(Window.unboundedPreceding, 0)))
               .withColumn("total", F.sum("n").over(Window.partitionBy(*group))))
-    # The quartile is the first bucket whose running count reaches a quarter (three quarters) of the rows.
+    # A decile is the first bucket whose running count reaches its share of the rows.
     fences = ranked.groupBy(*group).agg(
-        F.min(F.when(4 * F.col("upto") >= F.col("total"), F.col("bucket"))).alias("q1"),
+        F.min(F.when(10 * F.col("upto") >= F.col("total"), F.col("bucket"))).alias("d1"),
         F.min(F.when(2 * F.col("upto") >= F.col("total"), F.col("bucket"))).alias("mid"),
-        F.min(F.when(4 * F.col("upto") >= 3 * F.col("total"), F.col("bucket"))).alias("q3"),
+        F.min(F.when(10 * F.col("upto") >= 9 * F.col("total"), F.col("bucket"))).alias("d9"),
         F.max("total").alias("rows"))
     aggs = []
     for r in RULES:
-        upper = f"least(q3, mid + greatest(mid - q1, {r.floor}))"
-        lower = f"greatest(q1, mid - greatest(q3 - mid, {r.floor}))"
-        spread = f"greatest({upper} - {lower}, {r.floor})"
-        edge = f"{upper} + {width} * {spread}" if r.side == "high" else f"{lower} - {width} * {spread}"
-        aggs.append(F.max(F.when(F.col("measure") == r.measure, F.expr(edge))).alias(f"{r.side}_{r.measure}"))
+        aggs.append(F.max(F.when(F.col("measure") == r.measure, F.expr(fence_sql(r, width)))).alias(f"{r.side}_{r.measure}"))
     wide = fences.groupBy("level", "lang", "source").agg(F.max("rows").alias("rows"), *aggs)
     edges = F.struct("rows", *[f"{r.side}_{r.measure}" for r in RULES])
     fine, by_lang, every = (wide.where(F.col("level") == i) for i in range(3))
     fine = fine.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), edges.alias("e0"))
     by_lang = by_lang.select(F.col("lang").alias("l_lang"), edges.alias("e1"))
-    every = every.select(edges.alias("e2")).withColumn("one", F.lit(1))
     joined = (fine.join(by_lang, F.col("g_lang").eqNullSafe(F.col("l_lang")), "left").drop("l_lang")
-              .withColumn("one", F.lit(1)).join(every, "one", "left").drop("one"))
+              .withColumn("e2", every.select(edges).scalar()))
     use = (F.when(F.col("e0.rows") >= min_rows, F.col("e0"))
            .when(F.col("e1.rows") >= min_rows, F.col("e1")).otherwise(F.col("e2")))
     return joined.select("g_lang", "g_source", use.alias("fence"))
@@ -175,7 +181,8 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
 
     The measures (a few numbers per row) are written once to the shared folder, so the texts are read once.
     Nulls: a null text has no words and fails the base rules; null languages and sources form their own groups.
-    Repeated rows are judged alike; other columns of the input are not read; an empty table gives an empty result.
+    Repeated rows are judged alike; other columns of the input are not read; an empty table gives an empty result. A very
+    long text is measured whole, as one row, in memory proportional to it.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("_lang"), F.col(source).alias("_source"),
                        F.col(text).alias("text"))

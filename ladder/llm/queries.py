@@ -91,14 +91,19 @@ QUERIES = {f.__name__: f for f in (
 _WORD = r"[^\x20\x09-\x0D]"
 
 
+def _fence(rule: quality.Rule) -> str:
+    """The rule's fence, told case by case: on which side the decile lies far out, and whether the spread is wide."""
+    up = f"CASE WHEN high - mid > mid - low AND high - mid > {rule.floor} THEN mid + greatest(mid - low, {rule.floor}) ELSE high END"
+    down = f"CASE WHEN mid - low > high - mid AND mid - low > {rule.floor} THEN mid - greatest(high - mid, {rule.floor}) ELSE low END"
+    wide = f"CASE WHEN {quality.WIDTH} * (({up}) - ({down})) > {rule.floor} THEN {quality.WIDTH} * (({up}) - ({down})) ELSE {rule.floor} END"
+    return f"({up}) + {wide}" if rule.side == "high" else f"({down}) - {wide}"
+
+
 def _quality_sql() -> str:
     """The rules as one statement: quantile sketches as bucket counts, merged by sums."""
     names = sorted({r.measure for r in quality.RULES})
     bits = quality.BITS + 1
-    fence = {f"{r.side}_{r.measure}": (
-        f"max(CASE WHEN measure = '{r.measure}' THEN "
-        + (f"q3 + {quality.WIDTH} * greatest(q3 - q1, {r.floor})" if r.side == "high"
-           else f"q1 - {quality.WIDTH} * greatest(q3 - q1, {r.floor})") + " END)") for r in quality.RULES}
+    fence = {f"{r.side}_{r.measure}": f"max(CASE WHEN measure = '{r.measure}' THEN {_fence(r)} END)" for r in quality.RULES}
     fences = ", ".join(f"{v} AS {k}" for k, v in fence.items())
     pick = ", ".join(f"CASE WHEN e0.n >= {quality.MIN_ROWS} THEN e0.{k} WHEN e1.n >= {quality.MIN_ROWS} THEN e1.{k} "
                      f"ELSE e2.{k} END AS {k}" for k in fence)
@@ -133,8 +138,9 @@ def _quality_sql() -> str:
                   measure, bucket, sum(n) AS n FROM b, (VALUES (0), (1), (2)) AS l(level) GROUP BY ALL),
     cum AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS upto,
                    sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM sk),
-    q AS (SELECT level, lang, source, measure, min(CASE WHEN 4 * upto >= total THEN bucket END) AS q1,
-                 min(CASE WHEN 4 * upto >= 3 * total THEN bucket END) AS q3, max(total) AS n FROM cum GROUP BY ALL),
+    q AS (SELECT level, lang, source, measure, min(bucket) FILTER (WHERE upto >= 0.1 * total) AS low,
+                 min(bucket) FILTER (WHERE upto >= 0.5 * total) AS mid, min(bucket) FILTER (WHERE upto >= 0.9 * total) AS high,
+                 max(total) AS n FROM cum GROUP BY ALL),
     e AS (SELECT level, lang, source, max(n) AS n, {fences} FROM q GROUP BY ALL),
     f AS (SELECT e0.lang AS g_lang, e0.source AS g_source, {pick} FROM e e0
           JOIN e e1 ON e1.level = 1 AND e1.lang IS NOT DISTINCT FROM e0.lang JOIN e e2 ON e2.level = 2

@@ -1,8 +1,9 @@
+import random
 import re
 from collections import Counter
 
 import duckdb
-from llm_support import odd_rows, rows_of
+from llm_support import odd_rows, prose, rows_of
 
 from ladder.llm import quality
 from ladder.llm.queries import ORACLE_SQL, op1_quality_rules
@@ -65,6 +66,38 @@ def test_keep_good_returns_the_kept_rows_with_all_columns(odd, none):
     assert quality.keep_good(none).count() == 0 and quality.quality_rules(none).count() == 0
 
 
+def sql_rows(docs, tmp_path):
+    """(Spark's rows, the SQL's rows, the SQL's columns) over the documents."""
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    rel = duck.sql(ORACLE_SQL["op1_quality_rules"])
+    return rows_of(op1_quality_rules(docs.sparkSession, str(tmp_path)).select(*rel.columns)), sorted(rel.fetchall(), key=repr), rel.columns
+
+
+def test_equals_sql_where_sources_have_limits_of_their_own(spark, tmp_path):
+    r = random.Random(4)
+    rows = []
+    for source, symbols, length, junk in (("a", 0, 5, 0.45), ("b", 30, 7, 0.1), ("c", 3, 9, 0.0), ("d", 0, 4, 0.3), ("few", 9, 9, 0.5)):
+        for i in range(30 if source == "few" else 180):
+            bad = r.random() < junk
+            words = [("#" * r.randint(1, 4) if bad or r.random() * 100 < symbols else "") + "".join(
+                r.choices("abcdeXé", k=max(1, int(r.gauss(length, 2)) + 9 * (bad and source == "d")))) for _ in range(r.randint(40, 120))]
+            words += words[:r.randint(0, 20)]
+            rows.append((len(rows), "".join(w + r.choice([" ", " ", "\n"]) for w in words), r.choice(["en", None]) if source == "c" else "en", source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got, want, columns = sql_rows(docs, tmp_path)
+    assert got == want
+    kept = {row[columns.index("doc_id")] for row in got if row[columns.index("kept")]}
+    assert 0.5 * len(rows) < len(kept) < 0.9 * len(rows)
+    # the sources' limits differ, and those with 180 rows have their own
+    m = quality.measures(docs.select("doc_id", "text", "lang", "source")).cache()
+    m.count()
+    edges = {e.g_source: e.fence.high_symbols_pm for e in quality.thresholds(
+        quality.sketches(m, "lang", "source")).where("g_lang = 'en'").collect()}
+    assert len({edges[x] for x in "abd"}) == 3 and edges["few"] not in {edges[x] for x in "abd"}
+
+
 def test_equals_sql(spark):
     sf = "/root/testdata/sf0.001"
     duck = duckdb.connect()
@@ -78,7 +111,7 @@ def test_plan_is_native(small):
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
 
 
-def test_a_junk_heavy_source_keeps_its_fences(spark):
+def test_a_junk_heavy_source_keeps_its_fences(spark, tmp_path):
     # 70 good rows and 50 of junk (42 %) in one source: too many symbols, long words, or short ones.
     def text(word, i):
         return " ".join(f"{word}{chr(97 + j % 26)}{chr(97 + j // 26)}{chr(97 + i % 26)}" for j in range(80))
@@ -90,3 +123,11 @@ def test_a_junk_heavy_source_keeps_its_fences(spark):
         assert {r.doc_id for r in got if r.kept} == set(range(70)), rule
         assert all(rule in r.failed_rules for r in got if r.doc_id >= 1000), rule
         assert quality.keep_good(docs).count() == 70
+        got, want, columns = sql_rows(docs, tmp_path / rule)
+        assert got == want and sum(row[columns.index("kept")] for row in want) == 70
+
+
+def test_a_very_long_text(spark):
+    text = prose(3, 80_000, 50_000) + " #" * 20_000
+    got = quality.quality_rules(spark.createDataFrame([(1, text, "en", "a")], "doc_id long, text string, lang string, source string")).first()
+    assert got.n_words == 100_000 and got.n_symbols == 20_000 and tuple(got[c] for c in BASE) == brute(1, text)
