@@ -4,10 +4,12 @@
 2. Distinct fingerprints are cut into ``BLOCKS`` blocks. Fingerprints that differ in at most ``max_bits`` bits agree
    on at least ``BLOCKS - max_bits`` whole blocks, so they meet under at least one choice of that many blocks: an
    equi-join key, no cross join and no loss.
-3. Fingerprints under one key are compared by their pivot distance tables: Hamming distances to reference
+3. Fingerprints under one key are compared by their pivot distance tables: Hamming distances to fixed reference
    fingerprints are computed first, a pair whose coordinates differ by more than ``max_bits`` anywhere can't be
-   within ``max_bits`` (triangle inequality) and is discarded, survivors are verified. Only links that join two
-   groups not joined before are sent on (a spanning set), so a group of g near copies gives about g links, not g².
+   within ``max_bits`` (triangle inequality) and is discarded, survivors are verified. Rows are sorted by one coordinate,
+   so only neighbours in it are looked at. Only links that join two groups not joined before are sent on (a spanning set),
+   so a group of g near copies gives about g links, not g². ``BLOCKS`` sets the keys' size: 7 give 35 keys of some 27
+   bits a fingerprint, 8 give 70 of 32; with more fingerprints larger keys keep the groups small.
 4. Keys with more than ``MOST`` fingerprints are cut into chunks, and every pair of chunks is a task of its own.
 5. Connected components by alternating large-star and small-star steps over written tables.
 """
@@ -25,11 +27,10 @@ from ladder.llm.common import Scratch, ship
 
 SHINGLE = 4
 MAX_BITS = 4
-BLOCKS = 6
+BLOCKS = 7
 MOST = 4096
-SMALL = 8
 SEED = 42
-#: Reference fingerprints for small groups: fixed pseudo-random ones. Large groups also take members as references.
+#: Reference fingerprints: fixed pseudo-random ones.
 PIVOTS = np.random.default_rng(SEED).integers(0, 2**64, 16, dtype=np.uint64)
 
 
@@ -81,84 +82,56 @@ def block_keys(fp: Column, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> Co
     return F.array(*out)
 
 
-class _Joined:
-    """Union-find over positions 0..n-1."""
+def spanning_links(fp: np.ndarray, run: np.ndarray, max_bits: int = MAX_BITS,
+                   verified: list[int] | None = None) -> list[tuple[int, int]]:
+    """Positions of linked pairs of distinct fingerprints within each run of equal ``run`` numbers (non-decreasing), that
+    connect what all pairs within ``max_bits`` connect.
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        if i != j:
-            self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
-def spanning_links(fp: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
-    """Positions of linked pairs of distinct fingerprints that connect what all pairs within ``max_bits`` connect.
-
-    References are drawn from the members: the first member that no reference is near becomes one. Its row of the
-    distance table links it to all members near it. What is left are pairs of members that are no references and
-    aren't joined yet; they are discarded by the largest coordinate difference or verified.
+    Every fingerprint's distances to PIVOTS are its coordinates. Rows are sorted by run and first coordinate, and compared
+    with the one after them, the second after them and so on, all rows at once, while the first coordinate allows it. A
+    pair goes on if it isn't joined yet and no other coordinate differs by more than ``max_bits`` (triangle inequality);
+    what is left is verified. ``verified`` counts those. The same at every size; memory is a few numbers per row.
     """
-    n, links, joined = len(fp), [], _Joined(len(fp))
-    free = np.ones(n, dtype=bool)
-    is_ref = np.zeros(n, dtype=bool)
-    table = []
-    while free.any():
-        p = int(np.argmax(free))
-        row = np.bitwise_count(fp ^ fp[p])
-        is_ref[p] = True
-        table.append(row)
-        near = np.flatnonzero(row <= max_bits)
-        free[near] = False
-        links += [(p, int(x)) for x in near if joined.join(p, int(x))]
-    rest = np.flatnonzero(~is_ref)
-    if len(rest) < 2:
-        return links
-    root = np.array([joined.find(int(i)) for i in rest])
-    if (root == root[0]).all():
-        return links
-    coords = np.stack(table).astype(np.int8)[:, rest]
-    for k in range(len(rest) - 1):
-        other = np.flatnonzero(root[k + 1:] != root[k]) + k + 1
-        for c in coords:  # discard by coordinate difference, one reference after the other
-            if not len(other):
-                break
-            other = other[np.abs(c[other] - c[k]) <= max_bits]
-        if len(other):
-            other = other[np.bitwise_count(fp[rest[other]] ^ fp[rest[k]]) <= max_bits]
-        hit = [int(x) for x in other if joined.join(int(rest[k]), int(rest[x]))]
-        links += [(int(rest[k]), int(rest[x])) for x in hit]
-        if hit:
-            root = np.array([joined.find(int(i)) for i in rest])
-    return links
-
-
-def _links_of_runs(fp: np.ndarray, run: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """Links inside each run of equal ``run`` numbers (non-decreasing). Runs of up to SMALL rows are compared row by
-    row at once for all runs, through the table of distances to PIVOTS."""
-    links: list[tuple[int, int]] = []
-    first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-    size = np.diff(np.r_[first, len(run)])
-    few = np.repeat(size <= SMALL, size)
     table = np.bitwise_count(fp[:, None] ^ PIVOTS).astype(np.int8)
-    for lag in range(1, SMALL):
-        at = np.flatnonzero((run[lag:] == run[:-lag]) & few[lag:]) if len(run) > lag else np.empty(0, int)
-        if not len(at):
-            break
-        at = at[np.abs(table[at] - table[at + lag]).max(axis=1) <= max_bits]
-        at = at[np.bitwise_count(fp[at] ^ fp[at + lag]) <= max_bits]
-        links += [(int(i), int(i) + lag) for i in at]
-    for s, n in zip(first[size > SMALL], size[size > SMALL], strict=True):
-        links += [(int(s) + i, int(s) + j) for i, j in spanning_links(fp[s:s + n], max_bits)]
-    return links
+    order = np.lexsort((table[:, 0], run))
+    fp, run, table = fp[order], run[order], np.ascontiguousarray(table[order].T)
+    root, links, lag = np.arange(len(fp)), [], 1
+    going = np.arange(len(fp))
+    while len(going := going[going + lag < len(fp)]):
+        going = going[(run[going + lag] == run[going]) & (table[0, going + lag] - table[0, going] <= max_bits)]
+        pairs = going[root[going] != root[going + lag]]
+        for c in table[1:]:
+            pairs = pairs[np.abs(c[pairs + lag] - c[pairs]) <= max_bits]
+        if verified is not None:
+            verified.append(len(pairs))
+        pairs = pairs[np.bitwise_count(fp[pairs] ^ fp[pairs + lag]) <= max_bits]
+        if len(pairs):
+            links += _join(root, pairs, pairs + lag)
+        lag += 1
+    return [(int(order[i]), int(order[j])) for i, j in links]
+
+
+def _join(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Join the pairs, keeping ``root`` flat; the pairs that joined two sets."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while x in up:
+            x = up[x]
+        return x
+
+    made = []
+    for i, j in zip(left.tolist(), right.tolist(), strict=True):
+        a, b = find(int(root[i])), find(int(root[j]))
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            made.append((i, j))
+    if up:
+        old = np.fromiter(up, dtype=root.dtype)
+        to = np.arange(len(root))
+        to[old] = [find(int(x)) for x in old]
+        root[:] = to[root]
+    return made
 
 
 def _near_in_groups(max_bits: int):
@@ -177,7 +150,7 @@ def _near_in_groups(max_bits: int):
             yield links(np.zeros(len(kept[0]), dtype=int), kept[3])
 
     def links(group, fp):
-        found = np.array(_links_of_runs(fp.view(np.uint64), group, max_bits), dtype=np.int64).reshape(-1, 2)
+        found = np.array(spanning_links(fp.view(np.uint64), group, max_bits), dtype=np.int64).reshape(-1, 2)
         ends = fp[found]
         return pa.RecordBatch.from_arrays([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1))], names=["a", "b"])
 

@@ -76,18 +76,54 @@ def clouds(seed, centres, each, flips):
     return sorted(out)
 
 
+def roots(n, links):
+    up = list(range(n))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in links:
+        a, b = find(i), find(j)
+        up[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
 def test_spanning_links_connect_what_all_pairs_connect():
     for seed in range(12):
         fps = clouds(seed, 6, 40, 2 + seed % 8)
-        links = simhash.spanning_links(np.array(fps, dtype=np.uint64))
+        random.Random(seed).shuffle(fps)
+        links = simhash.spanning_links(np.array(fps, dtype=np.uint64), np.zeros(len(fps), dtype=int))
         assert len(links) < len(fps) and all((fps[i] ^ fps[j]).bit_count() <= 4 for i, j in links)
-        joined = simhash._Joined(len(fps))
-        for i, j in links:
-            joined.join(i, j)
-        a, b = [joined.find(i) for i in range(len(fps))], brute_components(fps)
+        a, b = roots(len(fps), links), brute_components(fps)
         assert len(set(zip(a, b, strict=True))) == len(set(a)) == len(set(b))
 
 
+def test_runs_are_kept_apart():
+    fps, run, want, base = [], [], [], 0
+    for seed in range(30):
+        part = clouds(seed, 2, 1 + seed % 7, 4)
+        want += [base + c for c in brute_components(part)]
+        fps, run, base = fps + part, run + [seed] * len(part), base + len(part)
+    a = roots(len(fps), simhash.spanning_links(np.array(fps, dtype=np.uint64), np.array(run)))
+    assert len(set(zip(a, want, strict=True))) == len(set(a)) == len(set(want))
+    assert simhash.spanning_links(np.empty(0, dtype=np.uint64), np.empty(0, dtype=int)) == []
+
+
+def test_pivots_discard_nearly_all_pairs_of_unrelated_fingerprints():
+    n = 4096
+    fps = np.random.default_rng(3).integers(0, 2**64, n, dtype=np.uint64)
+    verified = []
+    assert simhash.spanning_links(fps, np.zeros(n, dtype=int), verified=verified) == []
+    assert sum(verified) < n * n / 2 / 1000
+    # one cloud of near copies: joined after few comparisons
+    cloud = np.array([c for c in clouds(1, 1, 3000, 2)], dtype=np.uint64)
+    verified = []
+    assert len(simhash.spanning_links(cloud, np.zeros(len(cloud), dtype=int), verified=verified)) == len(cloud) - 1
+    assert sum(verified) < len(cloud) ** 2 / 50
+
+
 def test_links_with_hot_keys_split_into_chunks(spark):
     for most in (4, 16, 4096):
         fps = clouds(99, 12, 30, 5)
