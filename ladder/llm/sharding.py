@@ -2,14 +2,17 @@
 
 The rows lie in units (runs of at most ``UNIT`` rows of an input partition); shards are cut into blocks of at most
 ``BLOCK`` slots. A communication matrix says how many rows of each unit go to each block. Given the sizes of units
-and blocks, a uniform permutation's matrix is multivariate hypergeometric, so it is drawn from that law: for groups of
-units on the driver, within each group by a task. Then each unit is permuted, cut by its row of the matrix, exchanged,
-and each block is permuted again. Sizes are exact at any input and no task holds more than a unit or a block.
+and blocks, a uniform permutation's matrix is multivariate hypergeometric. It is drawn from that law by splitting: how
+many rows of each group of units go to each shard (on the driver: groups times shards), how a shard's are divided among
+its blocks (a task per shard), how a group's are divided among its units (a task per group, unit by unit). Then each unit
+is permuted, cut by its row of the matrix, exchanged, and each block is permuted again. Sizes are exact at any input; no
+task holds more than a unit, a block, or a row and a column sum of the matrix.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,7 +25,8 @@ from ladder.llm.common import Scratch, ship
 SHARDS = 16
 UNIT = 1 << 16
 BLOCK = 1 << 20
-GROUP = 256
+#: Partitions to a group of units, and units of one partition.
+GROUP = 64
 SEED = 20240229
 
 
@@ -56,20 +60,20 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int
     return mode
 
 
-def draw_matrix(rng: np.random.Generator, rows: list[int], columns: np.ndarray) -> np.ndarray:
-    """Counts with these row and column sums, as a uniform permutation has them. Row by row, each row from what the
+def draw_rows(rng: np.random.Generator, rows: Iterable[int], columns: np.ndarray) -> Iterator[np.ndarray]:
+    """Row by row a matrix with these row and column sums, as a uniform permutation has them: each row from what the
     columns have left."""
-    left, out = np.array(columns, dtype=np.int64), np.zeros((len(rows), len(columns)), dtype=np.int64)
-    for i, n in enumerate(rows):
-        others = int(left.sum())
-        for j in range(len(left)):
+    left = np.array(columns, dtype=np.int64)
+    for n in rows:
+        others, row = int(left.sum()), np.zeros(len(left), dtype=np.int64)
+        for j in np.flatnonzero(left):
             if not n:
                 break
             others -= int(left[j])
-            out[i, j] = hypergeometric(rng, int(left[j]), others, n)
-            n -= int(out[i, j])
-        left -= out[i]
-    return out
+            row[j] = hypergeometric(rng, int(left[j]), others, n)
+            n -= int(row[j])
+        left -= row
+        yield row
 
 
 def uniform_shards(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, unit: int = UNIT, block: int = BLOCK,
@@ -89,27 +93,42 @@ def uniform_shards(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, unit
     placed = scratch.table(placed)
     # A place is the partition in the upper bits and the row's number in it in the lower 33.
     unit_of = F.concat_ws("-", F.shiftright("at", 33), F.expr(f"(at & {(1 << 33) - 1}) div {unit}"))
-    units = placed.groupBy(unit_of.alias("unit")).count()
-    units = scratch.table(units.withColumn("no", F.row_number().over(Window.orderBy("unit")) - 1)
-                          .withColumn("grp", F.expr(f"int(no div {group})")))
+    # Groups by place, so that nothing has to be numbered: neighbouring partitions, and units of a partition.
+    part, place = F.shiftright("at", 33), F.expr(f"(at & {(1 << 33) - 1}) div {unit}")
+    units = scratch.table(
+        placed.groupBy(part.alias("part"), place.alias("no")).count()
+        .withColumn("unit", F.concat_ws("-", "part", "no"))
+        .withColumn("grp", F.concat_ws("-", F.expr(f"part div {group}"), F.expr(f"no div {group}"))))
     totals = [(r["grp"], r["n"]) for r in units.groupBy("grp").agg(F.sum("count").alias("n")).orderBy("grp").collect()]
-    n = sum(x for _, x in totals)
-    blocks = _blocks(n, shards, block)
-    sizes = np.array([b[2] for b in blocks], dtype=np.int64)
-    rng = np.random.default_rng([seed, 0])
-    drawn = draw_matrix(rng, [x for _, x in totals], sizes)
-    by_group = spark.createDataFrame([(g, [int(x) for x in drawn[i]]) for i, (g, _) in enumerate(totals)],
-                                     "grp int, sums array<long>")
-
-    def within(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("no")
-        own = draw_matrix(np.random.default_rng([seed, 1, int(frame["grp"].iloc[0])]),
-                          [int(x) for x in frame["count"]], np.array(frame["sums"].iloc[0]))
-        i, j = np.nonzero(own)
-        first = np.cumsum(own, axis=1) - own
-        return pd.DataFrame({"unit": frame["unit"].to_numpy()[i], "block": j.astype(np.int32), "rank": first[i, j]})
-
-    cuts = units.join(by_group, "grp").groupBy("grp").applyInPandas(within, "unit string, block int, rank long")
+    blocks = _blocks(sum(x for _, x in totals), shards, block)
+    sizes = np.zeros(shards, dtype=np.int64)
+    for s, _, size in blocks:
+        sizes[s] += size
+    drawn = draw_rows(np.random.default_rng([seed, 0]), [x for _, x in totals], sizes)
+    by_shard = spark.createDataFrame([(s, i, g, int(row[s])) for i, ((g, _), row) in enumerate(zip(totals, drawn, strict=True))
+                                      for s in range(shards)], "shard int, at int, grp string, n long")
+
+    def to_blocks(frame: pd.DataFrame) -> pd.DataFrame:
+        frame, shard = frame.sort_values("at"), int(frame["shard"].iloc[0])
+        numbers = np.array([k for k, b in enumerate(blocks) if b[0] == shard])
+        rng, parts = np.random.default_rng([seed, 1, shard]), []
+        for g, row in zip(frame["grp"], draw_rows(rng, frame["n"], [blocks[k][2] for k in numbers]), strict=True):
+            j = np.flatnonzero(row)
+            parts.append(pd.DataFrame({"grp": g, "block": numbers[j], "n": row[j]}))
+        return pd.concat(parts)
+
+    by_block = by_shard.groupBy("shard").applyInPandas(to_blocks, "grp string, block int, n long")
+
+    def to_units(own: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+        own, sums = own.sort_values(["part", "no"]), sums.sort_values("block")
+        key = [int(x) for x in own["grp"].iloc[0].split("-")] if len(own) else []
+        numbers, parts = sums["block"].to_numpy(), [pd.DataFrame({"unit": [], "block": [], "rank": []})]
+        for u, row in zip(own["unit"], draw_rows(np.random.default_rng([seed, 2, *key]), own["count"], sums["n"]), strict=True):
+            j = np.flatnonzero(row)
+            parts.append(pd.DataFrame({"unit": u, "block": numbers[j], "rank": (np.cumsum(row) - row)[j]}))
+        return pd.concat(parts[1:] or parts)
+
+    cuts = units.groupBy("grp").cogroup(by_block.groupBy("grp")).applyInPandas(to_units, "unit string, block int, rank long")
     # Permute each unit, and let every row find the last cut at or before its rank.
     random = lambda k: F.xxhash64(F.lit(seed), F.lit(k), "at")
     ranked = placed.withColumn("unit", unit_of).withColumn(

@@ -1,6 +1,7 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+from itertools import permutations
 
 import numpy as np
 import pytest
@@ -41,12 +42,49 @@ def test_matrix_has_the_sums_and_the_law():
     rows, cols = [5, 0, 11, 4], np.array([7, 6, 7, 0])
     total = np.zeros((4, 4))
     for _ in range(4000):
-        m = sharding.draw_matrix(rng, rows, cols)
+        m = np.array(list(sharding.draw_rows(rng, rows, cols)))
         assert (m.sum(axis=1) == rows).all() and (m.sum(axis=0) == cols).all() and (m >= 0).all()
         total += m
     assert np.allclose(total / 4000, np.outer(rows, cols) / 20, atol=0.1)
 
 
+def test_the_splits_together_have_the_exact_law():
+    """Groups to shards, shards to blocks, groups to units: the matrix of units and blocks has the probabilities that all
+    permutations, counted one by one, give it."""
+    units, groups, blocks, shards = [2, 1, 2], [[0, 1], [2]], [1, 1, 3], [[0, 1], [2]]
+    slots = [b for b, n in enumerate(blocks) for _ in range(n)]
+    owner = [u for u, n in enumerate(units) for _ in range(n)]
+    exact = Counter()
+    for order in permutations(range(5)):
+        m = np.zeros((3, 3), dtype=int)
+        for row, slot in enumerate(order):
+            m[owner[row], slots[slot]] += 1
+        exact[tuple(m.ravel())] += 1
+    rng, seen, times = np.random.default_rng(11), Counter(), 20_000
+    for _ in range(times):
+        top = np.array(list(sharding.draw_rows(rng, [sum(units[u] for u in g) for g in groups], np.array([sum(blocks[b] for b in s) for s in shards]))))
+        by_block = np.zeros((len(groups), 3), dtype=int)
+        for s, own in enumerate(shards):
+            by_block[:, own] = np.array(list(sharding.draw_rows(rng, top[:, s], np.array([blocks[b] for b in own]))))
+        m = np.zeros((3, 3), dtype=int)
+        for g, own in enumerate(groups):
+            m[own] = np.array(list(sharding.draw_rows(rng, [units[u] for u in own], by_block[g])))
+        seen[tuple(m.ravel())] += 1
+    assert set(seen) == set(exact)
+    chi = sum((seen[m] - times * n / 120) ** 2 / (times * n / 120) for m, n in exact.items())
+    assert chi < len(exact) + 5 * (2 * len(exact)) ** 0.5
+
+
+def test_every_placement_is_as_likely(spark):
+    """All of uniform_shards by brute force: which two of four rows go to shard 0, over many seeds."""
+    df = spark.range(0, 4, 1, 2).withColumnRenamed("id", "doc_id").cache()
+    seen = Counter()
+    for seed in range(60):
+        got = sharding.uniform_shards(df, 2, seed=seed, unit=1, block=1, group=1).collect()
+        seen[tuple(sorted(r.doc_id for r in got if r.shard == 0))] += 1
+    assert len(seen) == 6 and sum((n - 10) ** 2 / 10 for n in seen.values()) < 20  # 5 degrees of freedom
+
+
 def test_large_hypergeometric_by_inversion(monkeypatch):
     rng = np.random.default_rng(2)
     big = [sharding.hypergeometric(rng, 6 * 10**9, 4 * 10**9, 1000) for _ in range(2000)]
