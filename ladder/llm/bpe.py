@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ladder.llm.common import ship
+from ladder.llm.common import Scratch, ship
 
 CHUNK = 16384
 OVERLAP = 1024
@@ -92,22 +92,23 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: s
     """(doc_id, ids) of every row; ``ids`` are little-endian unsigned 32-bit, binary. A null text is empty.
 
     Texts of one chunk need no stitching and are encoded where they are read. Chunks of longer ones are dealt out by
-    (doc_id, digest of the text, chunk); repeated rows meet there and are counted, so no row key is needed. Where two
-    chunks have no boundary in common in their overlap (one run of letters longer than it), the rest of the text is
-    encoded as one piece. Other columns are not read; an empty table gives no rows.
+    (doc_id, digest of the text, chunk); repeated rows meet there and are counted, so no row key is needed. What brings a
+    text's chunks together is their boundaries, not their texts. A piece has at most about two chunks and the run of
+    letters between them. Other columns are not read; an empty table gives no rows.
     """
     ship(docs.sparkSession)
     ranks, pattern = ranks or default_ranks(), pattern or default_pattern()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     short = _encoded(rows.where(F.length("t") <= chunk), f"doc_id {kind}", ranks, pattern)
-    long = rows.where(F.length("t") > chunk).select("doc_id", F.sha2("t", 256).alias("h"), "t")
+    # A null doc_id has a key, too.
+    key = F.concat_ws(":", F.col("doc_id").isNull(), F.col("doc_id").cast("string"), F.sha2("t", 256))
+    long = rows.where(F.length("t") > chunk).select("doc_id", key.alias("h"), "t")
     return short.unionByName(_encode_long(long, kind, ranks, pattern, chunk, overlap))
 
 
-def _encode_long(long: DataFrame, kind: str, ranks: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
-    keys = f"doc_id {kind}, h string"
-
+def _cut_chunks(long: DataFrame, kind: str, chunk: int, overlap: int) -> DataFrame:
+    """(doc_id, h, c, final, n, t): the overlapping chunks of the distinct rows, with the rows' numbers."""
     def cut(batches):
         for b in batches:
             for i, t in enumerate(b.column(2)):
@@ -120,41 +121,76 @@ def _encode_long(long: DataFrame, kind: str, ranks: str, pattern: str, chunk: in
                      pa.array([text[s:s + chunk + overlap] for s in starts], pa.string())],
                     names=["doc_id", "h", "c", "final", "t"])
 
+    return (long.mapInArrow(cut, f"doc_id {kind}, h string, c int, final boolean, t string")
+            .groupBy("doc_id", "h", "c", "final").agg(F.count("*").alias("n"), F.first("t").alias("t")))
+
+
+def _seams(chunks: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame:
+    """(h, c, piece, begin, upto, chunks): what part of each chunk belongs to which piece (named by its first chunk), and of
+    how many chunks the piece is. Boundaries only; no texts."""
     def pre_tokenise(batches):
         for b in batches:
-            head, tail = [], []
-            for final, t in zip(b.column(3), b.column(5), strict=True):
+            head, tail, size = [], [], []
+            for final, t in zip(b.column(2), b.column(3), strict=True):
                 part = t.as_py()
                 at = np.array(boundaries(part, pattern))
                 head.append(at[at <= overlap].tolist())
                 sure = at[(at >= chunk) & (at + LOOKAHEAD <= len(part))]  # what follows the chunk can't move these
                 tail.append([] if final.as_py() else (sure - chunk).tolist())
-            kind_of = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(head, kind_of), pa.array(tail, kind_of)],
-                                             names=[*b.schema.names, "head", "tail"])
-
-    chunks = (long.mapInArrow(cut, f"{keys}, c int, final boolean, t string")
-              .groupBy("doc_id", "h", "c", "final").agg(F.count("*").alias("n"), F.first("t").alias("t")))
-    seen = chunks.mapInArrow(pre_tokenise, f"{keys}, c int, final boolean, n long, t string, head array<long>, "
-                                           "tail array<long>")
-    by_text = Window.partitionBy("doc_id", "h").orderBy("c")
-    so_far = by_text.rowsBetween(Window.unboundedPreceding, 0)
-    # meet: where this chunk and the one before agree first, from this chunk's start.
-    seams = (seen.withColumn("meet", F.when(F.col("c") == 0, F.lit(0)).otherwise(
-                 F.array_min(F.array_intersect(F.lag("tail").over(by_text), "head"))))
-             .withColumn("lost", F.max(F.col("meet").isNull()).over(so_far))
-             .withColumn("begin", F.when(F.col("lost"), F.lit(0)).otherwise(F.col("meet")))
-             .withColumn("piece", F.max(F.when(~F.col("lost"), F.col("c"))).over(so_far)))
-    upto = F.when(F.col("final"), F.length("t")).otherwise(chunk + F.lead("begin").over(by_text))
-    parts = seams.withColumn("upto", upto).select(
-        "doc_id", "h", "n", "piece", "c", F.substr("t", F.col("begin").cast("int") + 1,
-                                                   (F.col("upto") - F.col("begin")).cast("int")).alias("t"))
-    in_order = lambda name: F.sort_array(F.collect_list(F.struct(name, "t")))
-    pieces = parts.groupBy("doc_id", "h", "n", "piece").agg(
-        F.array_join(in_order("c")["t"], "").alias("t"))
-    encoded = _encoded(pieces, f"{keys}, n long, piece int", ranks, pattern)
-    whole = encoded.groupBy("doc_id", "h", "n").agg(
-        F.sort_array(F.collect_list(F.struct("piece", "ids")))["ids"].alias("ids"))
+                size.append(len(part))
+            kind_of = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:3], pa.array(size, pa.int32()), pa.array(head, kind_of), pa.array(tail, kind_of)],
+                names=["h", "c", "final", "size", "head", "tail"])
+
+    seen = chunks.select("h", "c", "final", "t").mapInArrow(
+        pre_tokenise, "h string, c int, final boolean, size int, head array<int>, tail array<int>")
+    by_text = Window.partitionBy("h").orderBy("c")
+    # meet: where this chunk and the one before agree first, from this chunk's start; null where they don't.
+    meet = F.when(F.col("c") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect(F.lag("tail").over(by_text), "head")))
+    met = seen.select("h", "c", "final", "size", meet.alias("meet"))
+    met = met.withColumn("begin", F.coalesce("meet", F.lit(0))).withColumn(
+        "piece", F.max(F.when(F.col("meet").isNotNull(), F.col("c"))).over(
+            by_text.rowsBetween(Window.unboundedPreceding, 0)))
+    upto = F.when(F.col("final"), F.col("size")).otherwise(chunk + F.lead("begin").over(by_text))
+    return met.withColumn("upto", upto).select(
+        "h", "c", "piece", "begin", "upto", F.count("*").over(Window.partitionBy("h", "piece")).alias("chunks"))
+
+
+def _encode_long(long: DataFrame, kind: str, ranks: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
+    scratch = Scratch(long.sparkSession, "bpe")
+    keys = f"doc_id {kind}, h string, n long, piece int"
+    chunks = scratch.table(_cut_chunks(long, kind, chunk, overlap))
+    seams = scratch.table(_seams(chunks, pattern, chunk, overlap))
+    cut = chunks.join(seams, ["h", "c"]).select(
+        "doc_id", "h", "n", "piece", "c", "chunks", "final",
+        F.substr("t", F.col("begin") + 1, F.col("upto") - F.col("begin")).alias("t"),
+        F.substr("t", F.col("upto") + 1, F.lit(overlap + 64)).alias("after"))
+    single = _encoded(cut.where("chunks = 1").select("doc_id", "h", "n", "piece", "t"), keys, ranks, pattern)
+
+    def encode_joined(batches):
+        for b in batches:
+            ids = []
+            for t, after in zip(b.column(4), b.column(5), strict=True):
+                part, rest = t.as_py(), after.as_py()
+                # The cut after a joined piece holds if the piece's own boundaries have it; null: it doesn't.
+                holds = rest is None or len(part) in boundaries(part + rest, pattern)
+                ids.append(encode_bytes(part, ranks, pattern) if holds else None)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(ids, pa.binary())],
+                                             names=["doc_id", "h", "n", "piece", "ids"])
+
+    in_order = lambda *c: F.sort_array(F.collect_list(F.struct(*c)))
+    pieces = cut.where("chunks > 1").groupBy("doc_id", "h", "n", "piece").agg(
+        F.array_join(in_order("c", "t")["t"], "").alias("t"),
+        F.max_by(F.when(~F.col("final"), F.col("after")), "c").alias("after"))
+    encoded = scratch.table(single.unionByName(pieces.mapInArrow(encode_joined, f"{keys}, ids binary")))
+    wrong = encoded.where("ids IS NULL").select("h").distinct()
+    if not wrong.isEmpty():  # a text whose chunks never agree for good is encoded whole
+        whole = chunks.join(wrong, "h", "left_semi").groupBy("doc_id", "h", "n").agg(
+            F.array_join(F.transform(in_order("c", F.substring("t", 1, chunk).alias("t"))["t"], lambda x: x), "").alias("t"))
+        whole = whole.select("doc_id", "h", "n", F.lit(0).alias("piece"), "t")
+        encoded = encoded.join(wrong, "h", "left_anti").unionByName(_encoded(whole, keys, ranks, pattern))
+    whole = encoded.groupBy("doc_id", "h", "n").agg(in_order("piece", "ids")["ids"].alias("ids"))
 
     def join(batches):
         for b in batches:
@@ -163,7 +199,7 @@ def _encode_long(long: DataFrame, kind: str, ranks: str, pattern: str, chunk: in
                                              names=["doc_id", "n", "ids"])
 
     joined = whole.select("doc_id", "n", "ids").mapInArrow(join, f"doc_id {kind}, n long, ids binary")
-    return joined.select("doc_id", F.explode(F.array_repeat("ids", F.col("n").cast("int"))).alias("ids"))
+    return joined.select("doc_id", "ids", F.explode(F.expr("sequence(1L, n)")).alias("_copy")).drop("_copy")
 
 
 def decode(encoded: DataFrame, ranks: str | None = None, pattern: str | None = None) -> DataFrame:

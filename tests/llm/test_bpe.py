@@ -37,3 +37,48 @@ def test_decoding_gives_the_bytes_back(odd, none):
 def test_ids_are_little_endian_numbers():
     ids = np.frombuffer(whole("hello world"), dtype="<u4")
     assert b"".join(bpe.encoder(bpe.default_ranks(), bpe.default_pattern())[1][int(i)] for i in ids) == b"hello world"
+
+
+def test_a_long_run_widens_only_its_seam(spark):
+    """A run of letters longer than the overlap (and than a chunk) inside a long text, with the default sizes: the pieces
+    around it are short, and the ids are those of the whole text."""
+    from pyspark.sql import functions as F
+
+    texts = {1: prose(1, 12_000) + " " + "x" * 40_000 + " " + prose(2, 30_000), 2: "y" * 20_000 + ". " + prose(3, 20_000),
+             3: prose(4, 9_000) + "é" * 2_000 + prose(5, 9_000)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: bytes(r.ids) for r in bpe.encode(df).collect()}
+    assert got == {i: whole(t) for i, t in texts.items()}
+    rows = df.select("doc_id", F.col("doc_id").cast("string").alias("h"), F.col("text").alias("t"))
+    seams = bpe._seams(bpe._cut_chunks(rows, "bigint", bpe.CHUNK, bpe.OVERLAP).cache(), bpe.default_pattern(), bpe.CHUNK, bpe.OVERLAP)
+    by_piece = seams.groupBy("h", "piece").agg(F.sum(F.col("upto") - F.col("begin")).alias("n")).collect()
+    assert max(r.n for r in by_piece if r.h == "1") < 40_000 + 3 * bpe.CHUNK
+    assert max(r.n for r in by_piece if r.h == "3") < 3 * bpe.CHUNK
+    assert all(sum(r.n for r in by_piece if r.h == str(i)) == len(t) for i, t in texts.items())
+
+
+def test_cuts_that_do_not_hold_are_not_used(spark, monkeypatch):
+    """Where the chunks agree on a cut that the text doesn't have, the text is encoded whole."""
+    old = bpe._seams
+
+    def wrong(chunks, pattern, chunk, overlap):
+        from pyspark.sql import functions as F
+
+        return old(chunks, pattern, chunk, overlap).withColumn("piece", F.lit(0) + F.expr("2 * int(c div 2)")).withColumn(
+            "chunks", F.lit(2)).withColumn("begin", F.lit(0)).withColumn("upto", F.least("upto", F.lit(chunk)))
+
+    monkeypatch.setattr(bpe, "_seams", wrong)
+    texts = [(i, mixed(i, 900)) for i in range(6)] + [(9, "a" * 3000)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: bytes(r.ids) for r in bpe.encode(df, chunk=64, overlap=8).collect()}
+    assert got == {i: whole(t) for i, t in texts}
+
+
+def test_a_hot_repeated_long_row(spark):
+    text = prose(9, 4000)
+    df = spark.range(10_000).selectExpr("7L AS doc_id").crossJoin(spark.createDataFrame([(text,)], "text string"))
+    got = bpe.encode(df, chunk=1000, overlap=100)
+    from pyspark.sql import functions as F
+
+    assert [tuple(r) for r in got.groupBy("doc_id", F.sha2("ids", 256).alias("h")).count().collect()] == [
+        (7, __import__("hashlib").sha256(whole(text)).hexdigest(), 10_000)]
