@@ -40,6 +40,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of the documents that all stages keep.
+
+    Null, empty and letterless texts go with the first stage, texts of few words with the second. Of repeated rows one stays
+    (third stage), as of near copies; of rows without a doc_id the same. Very long texts are judged and packed whole. Other
+    columns pass through until the last stage, whatever their names. An empty table gives no rows.
+    """
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:

@@ -32,8 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 class Scratch:
     """Tables written once under the shared folder and scanned back: cuts lineage, so a lost executor re-reads
-    files. They stay until the folder is cleaned (results are lazy and may be read at any later time), except
-    those given up with ``drop``."""
+    files. They stay while the session lives (results are lazy and may be read at any later time), except those given up
+    with ``drop``, and are removed when it ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -44,6 +44,8 @@ class Scratch:
         self._n += 1
         path = f"{self.path}/{self._n}"
         df.write.parquet(path)
+        if self._n == 1:
+            delete_at_end(self.spark, self.path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -56,6 +58,12 @@ class Scratch:
             folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Remove a folder that is there when the session's process ends."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 _SHIPPED: set[str] = set()
 
 

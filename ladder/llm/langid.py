@@ -8,6 +8,7 @@ nearly as small, the prediction is rejected.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ladder.llm.common import ship
+from ladder.llm.common import Scratch, ship
 
 #: The sample that dictionaries are made of: at most so many documents of each language, so many code points of each.
 SAMPLE_DOCS = 256
@@ -26,6 +27,8 @@ BLOCK = 2048
 LEVEL = 9
 #: A prediction is rejected if the runner-up's bytes exceed the winner's by less than this share.
 MARGIN = 0.002
+#: A language is learned if at least one labelled row in so many has it: so many languages at most come to the driver.
+RAREST = 10_000
 UNKNOWN = "und"
 _PLACES = 1 << 40
 
@@ -54,14 +57,16 @@ def is_held_out(doc_id):
 
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
           sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS,
-          dictionary_bytes: int = DICTIONARY_BYTES) -> Model:
+          dictionary_bytes: int = DICTIONARY_BYTES, rarest: int = RAREST) -> Model:
     """Dictionaries from a bounded sample: of each language's documents that aren't held out and have a letter, the
     ``sample_docs`` with the smallest hash, ``sample_chars`` code points of each. Rows without a language teach
-    nothing. The languages' counts say below which hash about four times as many lie, so only those are ranked, however
+    nothing, nor do languages that fewer than one labelled row in ``rarest`` has. The languages' counts say below which hash about four times as many lie, so only those are ranked, however
     many rows and tasks there are; a language's sample comes to the driver."""
     labelled = docs.where(F.col(lang).isNotNull() & ~is_held_out(doc_id) & F.col(text).rlike(r"\p{L}")).select(
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("t"), F.xxhash64(doc_id, text).alias("h"))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    tally = Scratch(docs.sparkSession, "langid").table(labelled.groupBy("lang").count())
+    often = tally.where(F.col("count") * rarest >= tally.agg(F.sum("count")).scalar())
+    counts = {r["lang"]: r["count"] for r in often.collect()}
     if not counts:
         return Model({})
     place = F.pmod("h", F.lit(_PLACES))
@@ -88,6 +93,17 @@ def classify(data: bytes, compressors: dict, margin: float = MARGIN) -> tuple[st
     return best, score, lead, lead < margin
 
 
+def classifier(model: Model, margin: float = MARGIN):
+    """``classify`` for texts: of one without a letter, or where no language was learned, nothing is told."""
+    compressors = model.compressors()
+
+    def verdict(text: str | None) -> tuple[str, float, float, bool]:
+        known = compressors and text is not None and any(map(str.isalpha, text))
+        return classify(text.lower().encode(), compressors, margin) if known else (UNKNOWN, 0.0, 0.0, True)
+
+    return verdict
+
+
 def predictions(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text",
                 margin: float = MARGIN) -> DataFrame:
     """(doc_id, lang_pred, score, margin, rejected) per row. Texts that are null or have no letter, and all texts
@@ -97,13 +113,9 @@ def predictions(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str
     kinds = [pa.string(), pa.float64(), pa.float64(), pa.bool_()]
 
     def run(batches):
-        compressors = model.compressors()
+        verdict = classifier(model, margin)
         for b in batches:
-            out = []
-            for t in b.column(1):
-                s = t.as_py()
-                known = compressors and s is not None and any(map(str.isalpha, s))
-                out.append(classify(s.lower().encode(), compressors, margin) if known else (UNKNOWN, 0.0, 0.0, True))
+            out = [verdict(t.as_py()) for t in b.column(1)]
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]],
                                              names=names)
@@ -116,7 +128,8 @@ def predictions(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
              margin: float = MARGIN) -> DataFrame:
     """Learns from the rows that aren't held out and predicts every row: doc_id, held_out, lang_pred, score, margin,
-    rejected. Whole texts are compressed; other columns aren't read; repeated rows come out alike."""
+    rejected. Whole texts are compressed, very long ones block by block; other columns aren't read; repeated rows come out
+    alike; an empty table gives no rows."""
     model = learn(docs, doc_id, text, lang)
     return predictions(docs, model, doc_id, text, margin).select(
         "doc_id", is_held_out("doc_id").alias("held_out"), "lang_pred", "score", "margin", "rejected")
@@ -124,7 +137,15 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
 def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
                     margin: float = MARGIN) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is told; rejected ones go."""
+    """The rows of ``docs``, all columns, whose language is told; rejected ones go, and so do null texts and those without a
+    letter. Repeated rows stay repeated; an empty table gives no rows."""
+    ship(docs.sparkSession)
     model = learn(docs, doc_id, text, lang)
-    rows = docs.select(F.struct("*").alias("_row"), F.col(text).cast("string").alias("_text"))
-    return predictions(rows, model, "_row", "_text", margin).where("NOT rejected").select("doc_id.*")
+
+    @F.arrow_udf("boolean")
+    def told(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        verdict = classifier(model, margin)
+        for texts in batches:
+            yield pa.array([not verdict(t.as_py())[3] for t in texts], pa.bool_())
+
+    return docs.where(told(F.col(text).cast("string")))  # rows stay in the JVM: only texts go out and verdicts come in

@@ -127,7 +127,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
         encode = word_ids(vocabulary).encode
         for b in batches:
             row, out = [], []
-            for first, texts in groups(b.column(1)):
+            for first, texts in groups(b.column(1), 1 << 23):
                 all_ids, bounds = encode(texts)
                 for i in range(len(texts)):
                     ids = all_ids[bounds[i]:bounds[i + 1]].tobytes() + end

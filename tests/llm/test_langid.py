@@ -76,3 +76,56 @@ def test_dictionaries_hold_the_whole_sample(spark):
     parts = langid.learn(docs).dictionaries["aa"].decode().split("\n")
     assert len(parts) == langid.SAMPLE_DOCS and {len(p) for p in parts} == {1024}
     assert set(parts) <= {t.lower() for _, t, _ in rows}
+
+
+def test_predictions_equal_plain_compression(spark, small):
+    """Every row by brute force: each 2 KiB block compressed with each language's dictionary, one after another."""
+    import zstandard as zstd
+
+    model = langid.learn(small)
+    got = {r.doc_id: r for r in langid.predictions(small, model).collect()}
+    for r in small.collect():
+        data = (r.text or "").lower().encode()
+        if not any(c.isalpha() for c in r.text or ""):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        sizes = []
+        for name in sorted(model.dictionaries):
+            c = zstd.ZstdCompressor(level=9, dict_data=zstd.ZstdCompressionDict(model.dictionaries[name], dict_type=zstd.DICT_TYPE_RAWCONTENT),
+                                    write_content_size=False)
+            sizes.append((sum(len(c.compress(data[i:i + 2048])) for i in range(0, len(data), 2048)), name))
+        best, second = sorted(sizes)[:2]
+        row = got[r.doc_id]
+        assert row.lang_pred == best[1]
+        assert row.rejected == ((second[0] - best[0]) / second[0] < 0.002)
+        assert abs(row.score - 1 / sum(2.0 ** -min(s - best[0], 64) for s, _ in sizes)) < 1e-12
+
+
+def test_the_sample_is_the_smallest_hashes(spark, small):
+    """What is learned, by brute force: Spark's own hash of (doc_id, text), ranked in Python."""
+    from pyspark.sql import functions as F
+
+    rows = small.select("doc_id", "text", "lang", F.xxhash64("doc_id", "text").alias("h")).collect()
+    want = {}
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.lang and any(c.isalpha() for c in r.text or ""):
+            want.setdefault(r.lang, []).append((r.h % (1 << 40), r.h, r.text[:100]))
+    model = langid.learn(small, sample_docs=5, sample_chars=100)
+    for lang, texts in want.items():
+        assert model.dictionaries[lang] == b"\n".join(t.lower().encode() for *_, t in sorted(sorted(texts)[:5], reverse=True))
+
+
+def test_rare_languages_and_many_of_them(spark):
+    from llm_support import prose
+
+    rows = [(i, prose(i % 50, 30), "en") for i in range(3000)] + [(10_000 + i, prose(i, 30), f"l{i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert list(langid.learn(docs, rarest=100).dictionaries) == ["en"]
+    assert len(langid.learn(docs).dictionaries) > 100
+
+
+def test_a_very_long_text(spark, small):
+    text = " ".join(r.text for r in small.where("lang = 'de'").collect())
+    text = text * (3_000_000 // len(text) + 1)
+    docs = small.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(10**9, text, None)], "doc_id long, text string, lang string"))
+    assert {r.lang_pred for r in langid.identify(docs).where("doc_id = 1000000000").collect()} == {"de"}

@@ -1,12 +1,18 @@
+import os
+import subprocess
+import sys
 from collections import Counter
 
 import corpus_pipeline
 import __spark_entry__
 from llm_support import SMALL, odd_rows
-from test_packing import check_packed
+from test_packing import brute_pieces, check_packed
 from test_simhash import brute_components, brute_fingerprint
 
 from ladder.llm import langid, quality
+from ladder.llm.queries import ORACLE_SQL
+
+ROOT = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
 
 
 def test_stages_and_run(spark, tmp_path, odd, none):
@@ -28,8 +34,50 @@ def test_stages_and_run(spark, tmp_path, odd, none):
         check_packed(packed, 4096)
 
 
+def test_run_equals_brute_force(spark, tmp_path, small):
+    """All four stages by other means: plain compression, the DuckDB SQL of the rules, all pairs, the tokeniser itself."""
+    import duckdb
+    import pandas as pd
+
+    model = langid.learn(small)
+    verdict = langid.classifier(model)
+    told = [r for r in small.collect() if not verdict(r.text)[3]]
+    documents = pd.DataFrame([r.asDict() for r in told])  # noqa: F841  (the SQL reads it)
+    duck = duckdb.connect()
+    duck.register("documents", documents)
+    good = {i for i, k in duck.sql(f"SELECT doc_id, kept FROM ({ORACLE_SQL['op1_quality_rules']})").fetchall() if k}
+    kept = [r for r in told if r.doc_id in good]
+    group, first = brute_components([brute_fingerprint(r.text) for r in kept]), {}
+    for r, g in zip(kept, group, strict=True):
+        first[g] = min(r.doc_id, first.get(g, r.doc_id))
+    stay = [(r.doc_id, r.text) for r in kept if r.doc_id in set(first.values())]
+    packed = corpus_pipeline.run(spark, SMALL).collect()
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed), key=repr) == brute_pieces(stay)
+    assert 0 < len(stay) < len(told) < small.count()
+    check_packed(packed, 4096)
+
+
+def test_scratch_tables_go_when_the_session_ends(tmp_path):
+    code = f'''
+import sys; sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+         .config("spark.checkpoint.dir", "{tmp_path}/ck").config("spark.sql.shuffle.partitions", "2").getOrCreate())
+import os, corpus_pipeline
+from ladder.llm.queries import QUERIES
+corpus_pipeline.run(spark, {SMALL!r}).count()
+for name in ("op7_warc", "op9_uniform_shards", "op12_exact_dedup"):
+    QUERIES[name](spark, {SMALL!r}).count()
+assert os.listdir("{tmp_path}/ck/llm")
+spark.stop()
+'''
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=280, capture_output=True)
+    left = [f for _, _, names in os.walk(f"{tmp_path}/ck") for f in names]
+    assert left == []
+
+
 def test_registered_with_sql_where_it_can():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 14)}
     assert set(__spark_entry__.oracle_sql()) <= set(names)
     assert len(odd_rows()) > 70
