@@ -43,7 +43,7 @@ class Rule:
 RULES = (
     Rule("symbols_pm", "high", 60),
     Rule("capitals_pm", "high", 16),
-    Rule("repeats_pm", "high", 200),
+    Rule("repeats_pm", "high", 300),
     Rule("dup_lines_pm", "high", 400),
     Rule("word_len_pc", "high", 60),
     Rule("word_len_pc", "low", 60),
