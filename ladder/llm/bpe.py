@@ -108,7 +108,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: s
 
 
 def _cut_chunks(long: DataFrame, kind: str, chunk: int, overlap: int) -> DataFrame:
-    """(doc_id, h, c, final, n, t): the overlapping chunks of the distinct rows, with the rows' numbers."""
+    """(h, c, doc_id, final, n, t): the overlapping chunks of the distinct rows, with the rows' numbers."""
     def cut(batches):
         for b in batches:
             for i, t in enumerate(b.column(2)):
@@ -121,8 +121,10 @@ def _cut_chunks(long: DataFrame, kind: str, chunk: int, overlap: int) -> DataFra
                      pa.array([text[s:s + chunk + overlap] for s in starts], pa.string())],
                     names=["doc_id", "h", "c", "final", "t"])
 
+    # The condition, always true, is what the join will ask for: with it both users of the exchange are alike.
     return (long.mapInArrow(cut, f"doc_id {kind}, h string, c int, final boolean, t string")
-            .groupBy("doc_id", "h", "c", "final").agg(F.count("*").alias("n"), F.first("t").alias("t")))
+            .where("h IS NOT NULL AND c IS NOT NULL").groupBy("h", "c").agg(F.first("doc_id").alias("doc_id"), F.first("final").alias("final"),
+                                   F.count("*").alias("n"), F.first("t").alias("t")))
 
 
 def _seams(chunks: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame:
@@ -131,7 +133,7 @@ def _seams(chunks: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFra
     def pre_tokenise(batches):
         for b in batches:
             head, tail, size = [], [], []
-            for final, t in zip(b.column(2), b.column(3), strict=True):
+            for final, t in zip(b.column("final"), b.column("t"), strict=True):
                 part = t.as_py()
                 at = np.array(boundaries(part, pattern))
                 head.append(at[at <= overlap].tolist())
@@ -140,10 +142,10 @@ def _seams(chunks: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFra
                 size.append(len(part))
             kind_of = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:3], pa.array(size, pa.int32()), pa.array(head, kind_of), pa.array(tail, kind_of)],
+                [b.column("h"), b.column("c"), b.column("final"), pa.array(size, pa.int32()), pa.array(head, kind_of), pa.array(tail, kind_of)],
                 names=["h", "c", "final", "size", "head", "tail"])
 
-    seen = chunks.select("h", "c", "final", "t").mapInArrow(
+    seen = chunks.mapInArrow(  # all columns: the same exchange as the join's
         pre_tokenise, "h string, c int, final boolean, size int, head array<int>, tail array<int>")
     by_text = Window.partitionBy("h").orderBy("c")
     # meet: where this chunk and the one before agree first, from this chunk's start; null where they don't.
@@ -160,8 +162,10 @@ def _seams(chunks: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFra
 def _encode_long(long: DataFrame, kind: str, ranks: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
     scratch = Scratch(long.sparkSession, "bpe")
     keys = f"doc_id {kind}, h string, n long, piece int"
-    chunks = scratch.table(_cut_chunks(long, kind, chunk, overlap))
-    seams = scratch.table(_seams(chunks, pattern, chunk, overlap))
+    # Chunks are dealt out by (h, c) once: the boundaries are made from that exchange, and the join with the seams reuses
+    # it, as part of the same query.
+    chunks = _cut_chunks(long, kind, chunk, overlap)
+    seams = _seams(chunks, pattern, chunk, overlap)
     cut = chunks.join(seams, ["h", "c"]).select(
         "doc_id", "h", "n", "piece", "c", "chunks", "final",
         F.substr("t", F.col("begin") + 1, F.col("upto") - F.col("begin")).alias("t"),
