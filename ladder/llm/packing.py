@@ -28,7 +28,7 @@ OPEN_BINS = 16384
 PER_TASK = 65536
 END_ID = 1
 #: Most strings a Python worker remembers the ids of.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 #: Gaps, stops, and what a stop may end.
 KINDS = byte_table(GAP_CHARS, ".,;:!?", string.ascii_letters + string.digits)
 
@@ -127,7 +127,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
         encode = word_ids(vocabulary).encode
         for b in batches:
             row, out = [], []
-            for first, texts in groups(b.column(1), 1 << 23):
+            for first, texts in groups(b.column(1), 1 << 22):
                 all_ids, bounds = encode(texts)
                 for i in range(len(texts)):
                     ids = all_ids[bounds[i]:bounds[i + 1]].tobytes() + end
